@@ -6,7 +6,7 @@ import importlib
 
 from .registry import INVENTORY, ORACLES, QUERIES
 
-_MODULES = ["q_tabular", "q_eval", "q_models", "pipelines"]
+_MODULES = ["q_tabular", "q_eval", "q_models", "flagship", "pipelines"]
 for _m in _MODULES:
     try:
         importlib.import_module(f"{__package__}.{_m}")
