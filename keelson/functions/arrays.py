@@ -32,12 +32,32 @@ def dot(a, b) -> Column:
     return array_sum(F.zip_with(as_double_array(a), as_double_array(b), lambda x, y: x * y))
 
 
+# Up to this many weights a dot product is unrolled into element accesses, which
+# whole-stage codegen compiles; higher-order functions are evaluated row by row.
+UNROLL_MAX = 1024
+
+
 def dot_literal(a, weights: Sequence[float]) -> Column:
-    """``a . w`` for a fixed weight vector (one fitted model)."""
+    """``a . w`` for a fixed weight vector (one fitted model), summed left to right
+    from 0.0 (the same order as the higher-order form, so results are identical)."""
+    if len(weights) <= UNROLL_MAX:
+        x = _as_col(a)
+        acc = F.lit(0.0)
+        for j, v in enumerate(weights):
+            acc = acc + x[j].cast("double") * F.lit(float(v))
+        return acc
     w = F.array(*[F.lit(float(v)) for v in weights])
     return dot(a, w)
 
 
+def dot_columns(cols: Sequence[str], weights: Sequence[float]) -> Column:
+    """``sum_j col_j * w_j`` over flat double columns, left to right from 0.0."""
+    acc = F.lit(0.0)
+    for c, v in zip(cols, weights):
+        acc = acc + F.col(c) * F.lit(float(v))
+    return acc
+
+
 def squared_distance(a, b) -> Column:
     """Squared Euclidean distance."""
     return array_sum(F.zip_with(as_double_array(a), as_double_array(b), lambda x, y: (x - y) * (x - y)))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import as_double_array, dot_literal, fixed_point
+from ..functions.arrays import dot_columns, dot_literal, fixed_point
 from ..functions.scalar import sigmoid, threshold_label
 from ..session import cut_lineage
 from .metrics import bce_term
@@ -44,36 +44,46 @@ def predict(df: DataFrame, features: str, model: LinearModel, p: str = "p", pred
     return linear_score(df, features, model.weights, model.bias, p).withColumn(pred, threshold_label(p))
 
 
-def _epoch_stats(data: DataFrame, features: str, label: str, w: np.ndarray, b: float, d: int) -> tuple:
-    p = sigmoid(linear_logit(features, w.tolist(), b))
-    scored = data.select(as_double_array(features).alias("_x"), F.col(label).cast("double").alias("_y"), p.alias("_p"))
+def _epoch_stats(data: DataFrame, cols: list[str], w: np.ndarray, b: float) -> tuple:
+    """One pass: gradient sums, loss sum and count at weights (w, b)."""
+    p = sigmoid(dot_columns(cols, w.tolist()) + F.lit(float(b)))
+    scored = data.select(*cols, "_y", p.alias("_p"))
     err = F.col("_p") - F.col("_y")
-    aggs = [F.sum(err * F.col("_x")[j]).alias(f"g{j}") for j in range(d)]
+    aggs = [F.sum(err * F.col(c)).alias(f"g{j}") for j, c in enumerate(cols)]
     aggs += [F.sum(err).alias("gb"), F.sum(bce_term("_y", "_p")).alias("loss"), F.count(F.lit(1)).alias("n")]
     row = scored.agg(*aggs).first()
     n = row["n"]
-    g = np.array([row[f"g{j}"] for j in range(d)], dtype=np.float64) / n
+    g = np.array([row[f"g{j}"] for j in range(len(cols))], dtype=np.float64) / n
     return g, row["gb"] / n, row["loss"] / n
 
 
-def _prepare(data: DataFrame, features: str, label: str, checkpoint: bool) -> tuple[DataFrame, int]:
-    slim = data.select(as_double_array(features).alias(features), F.col(label))
-    slim = cut_lineage(slim) if checkpoint else slim.cache()
-    d = slim.select(F.max(F.size(features))).first()[0]
-    return slim, int(d or 0)
+def _prepare(data: DataFrame, features: str, label: str, checkpoint: bool) -> tuple[DataFrame, list[str]]:
+    """Flat double columns x0..x{d-1} and _y, spread over at least the cluster's
+    parallelism (upstream AQE may have coalesced a small input into one partition),
+    then checkpointed so every epoch starts from the same materialised rows."""
+    spark = data.sparkSession
+    d = int(data.select(F.max(F.size(features))).first()[0] or 0)
+    cols = [f"x{j}" for j in range(d)]
+    flat = data.select(*[F.col(features)[j].cast("double").alias(c) for j, c in enumerate(cols)],
+                       F.col(label).cast("double").alias("_y"))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    flat = flat.repartition(parts)
+    flat = cut_lineage(flat) if checkpoint else flat.cache()
+    return flat, cols
 
 
 def train_gd(data: DataFrame, features: str, label: str, epochs: int = 200, lr: float = 0.1,
              init: Sequence[float] | None = None, init_bias: float = 0.0, checkpoint: bool = True) -> LinearModel:
     """M1: full-batch gradient descent on mean binary cross-entropy. ``history``
     holds, per epoch, the loss at the weights before the step and the weights after it."""
-    slim, d = _prepare(data, features, label, checkpoint)
+    slim, cols = _prepare(data, features, label, checkpoint)
+    d = len(cols)
     w = np.zeros(d) if init is None else np.asarray(init, dtype=np.float64)
     b = float(init_bias)
     hist = []
     try:
         for epoch in range(1, epochs + 1):
-            g, gb, loss = _epoch_stats(slim, features, label, w, b, d)
+            g, gb, loss = _epoch_stats(slim, cols, w, b)
             w = w - lr * g
             b = b - lr * gb
             hist.append({"epoch": epoch, "loss": loss, "bias": b, "weights": w.tolist()})
@@ -85,14 +95,15 @@ def train_gd(data: DataFrame, features: str, label: str, epochs: int = 200, lr:
 def train_adam(data: DataFrame, features: str, label: str, epochs: int = 10, lr: float = 0.01,
                betas: tuple[float, float] = (0.9, 0.999), eps: float = 1e-8, checkpoint: bool = True) -> LinearModel:
     """M2: full-batch Adam (published update rule, bias-corrected moments)."""
-    slim, d = _prepare(data, features, label, checkpoint)
+    slim, cols = _prepare(data, features, label, checkpoint)
+    d = len(cols)
     w, b = np.zeros(d), 0.0
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     b1, b2 = betas
     hist = []
     try:
         for t in range(1, epochs + 1):
-            g, gb, loss = _epoch_stats(slim, features, label, w, b, d)
+            g, gb, loss = _epoch_stats(slim, cols, w, b)
             grad = np.append(g, gb)
             m = b1 * m + (1 - b1) * grad
             v = b2 * v + (1 - b2) * grad * grad
