@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+from . import ranking
+from .joins import sized_broadcast
+
 # A one-hot encoder makes one column per category; beyond this it is refused.
 MAX_ONE_HOT = 1000
 
@@ -34,11 +38,27 @@ def _stack(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def fit_label_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Code table (feature, s, d, code): 0-based codes of the non-null values of each
-    column in sorted value order (E1). One scan and one shuffle for all columns; the
-    ranking window is partitioned by feature, so a task holds one column's distinct values."""
-    pairs = _stack(df, cols).where(F.col("s").isNotNull() | F.col("d").isNotNull()).distinct()
+    column in sorted value order (E1).
+
+    One scan and one shuffle find the distinct (feature, value) pairs of all
+    columns (partial aggregation first, so a hot value is combined map-side). A
+    feature with few distinct values is ranked by a window partitioned by feature;
+    one with more than ``ranking.SMALL_DISTINCT`` values is ranked by range
+    partitions, so no task holds a huge distinct set. The table is materialised
+    once (it is the fitted state) and then joined to every column it encodes."""
+    pairs = cut_lineage(_stack(df, cols).where(F.col("s").isNotNull() | F.col("d").isNotNull()).distinct())
+    sizes = {r["feature"]: r["n"] for r in pairs.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    big = [c for c in cols if sizes.get(c, 0) > ranking.SMALL_DISTINCT]
+    small = pairs.where(~F.col("feature").isin(big)) if big else pairs
     w = Window.partitionBy("feature").orderBy("s", "d")
-    return pairs.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    out = small.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    for c in big:
+        key = "s" if _is_string(df, c) else "d"
+        other = "d" if key == "s" else "s"
+        codes = ranking.dense_codes(pairs.where(F.col("feature") == F.lit(c)), key)
+        out = out.unionByName(codes.select(F.lit(c).alias("feature"), F.col(key),
+                                           F.lit(None).cast("double" if other == "d" else "string").alias(other), "code"))
+    return cut_lineage(out)
 
 
 def apply_label_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str], suffix: str = "",
@@ -47,7 +67,8 @@ def apply_label_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str], suff
     out = df
     for c in cols:
         key = "s" if _is_string(df, c) else "d"
-        t = codes.where(F.col("feature") == F.lit(c)).select(F.col(key).alias(f"_k_{c}"), F.col("code").alias(f"_c_{c}"))
+        t = sized_broadcast(codes.where(F.col("feature") == F.lit(c))
+                            .select(F.col(key).alias(f"_k_{c}"), F.col("code").alias(f"_c_{c}")))
         probe = F.col(c) if key == "s" else F.col(c).cast("double")
         out = out.join(t, probe == F.col(f"_k_{c}"), "left")
         name = f"{c}{suffix}"
@@ -77,10 +98,14 @@ def combine_encode(df: DataFrame, c1: str, c2: str, fit_on: DataFrame | None = N
 
 def frequency_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature, s, d, freq): share of the column's non-null rows holding the value.
-    One pass for all columns; map-side partial counts before the shuffle."""
+    One pass for all columns with map-side partial counts; per-feature totals are a
+    group-by (one row per column), not a window over a feature's whole value set.
+    Materialised once, then joined to every column it encodes."""
     pairs = _stack(df, cols).where(F.col("s").isNotNull() | F.col("d").isNotNull())
     counts = pairs.groupBy("feature", "s", "d").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy("feature"))).drop("n")
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("_total"))
+    t = counts.join(F.broadcast(totals), "feature").withColumn("freq", F.col("n") / F.col("_total"))
+    return cut_lineage(t.drop("n", "_total"))
 
 
 def freq_encode(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None,
@@ -90,7 +115,8 @@ def freq_encode(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = N
     out = df
     for c in cols:
         key = "s" if _is_string(df, c) else "d"
-        t = table.where(F.col("feature") == F.lit(c)).select(F.col(key).alias(f"_k_{c}"), F.col("freq").alias(f"_f_{c}"))
+        t = sized_broadcast(table.where(F.col("feature") == F.lit(c))
+                            .select(F.col(key).alias(f"_k_{c}"), F.col("freq").alias(f"_f_{c}")))
         probe = F.col(c) if key == "s" else F.col(c).cast("double")
         out = out.join(t, probe == F.col(f"_k_{c}"), "left")
         is_sentinel = (F.col(c) == F.lit(str(int(sentinel)))) if key == "s" else (F.col(c).cast("double") == F.lit(float(sentinel)))
@@ -118,7 +144,7 @@ def group_stat_encode(df: DataFrame, main_columns: Sequence[str], uids: Sequence
             src = F.nullif(F.col(m), F.lit(sentinel)) if usena else F.col(m)
             for a in aggregations:
                 aggs.append(funcs[a](src.cast("double")).alias(f"{m}_{uid}_{a}"))
-        stats = fit.groupBy(uid).agg(*aggs)
+        stats = sized_broadcast(cut_lineage(fit.groupBy(uid).agg(*aggs)))
         out = out.join(stats, uid, "left")
         if fillna:
             names = [f"{m}_{uid}_{a}" for m in main_columns for a in aggregations]
@@ -133,7 +159,7 @@ def group_nunique_encode(df: DataFrame, main_columns: Sequence[str], uids: Seque
     out = df
     for uid in uids:
         stats = fit.groupBy(uid).agg(*[F.count_distinct(m).alias(f"{m}_{uid}_ct") for m in main_columns])
-        out = out.join(stats, uid, "left")
+        out = out.join(sized_broadcast(cut_lineage(stats)), uid, "left")
     return out
 
 

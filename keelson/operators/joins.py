@@ -8,6 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# A fitted lookup table is broadcast only when its measured row count is within
+# this bound; above it the join stays a shuffle join.
+BROADCAST_MAX_ROWS = 500_000
+
+
+def sized_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint behind a size check. ``small`` should be materialised (a
+    fitted table), so counting it is a cheap scan."""
+    n = small.count()
+    return F.broadcast(small) if n <= max_rows else small
+
+
 def left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
     """Left outer equi-join; AQE turns it into a broadcast join when the right side
     is measured small at run time, a sort-merge join otherwise."""

@@ -95,3 +95,12 @@ def test_rename_positional_checks_count(spark):
         raise AssertionError("expected failure")
     except ValueError:
         pass
+
+
+def test_label_codes_high_cardinality_path(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"k{i % 53:03d}", float(i % 41)) for i in range(400)], "id int, c string, x double")
+    small = {(r["id"]): (r["c"], r["x"]) for r in encode.label_encode(df, ["c", "x"]).collect()}
+    monkeypatch.setattr(ranking, "SMALL_DISTINCT", 10)
+    big = {(r["id"]): (r["c"], r["x"]) for r in encode.label_encode(df, ["c", "x"]).collect()}
+    assert small == big
+    assert {v[0] for v in big.values()} == set(range(53)) and {v[1] for v in big.values()} == set(range(41))
