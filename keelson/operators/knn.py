@@ -49,69 +49,66 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
 
 
-def _sq_dist(q: np.ndarray, t: np.ndarray, t_sq: np.ndarray) -> np.ndarray:
-    """Squared distances of a query block to all chunk rows."""
-    if q.shape[0] * t.shape[0] * t.shape[1] * 8 <= BLOCK_BYTES:
-        diff = q[:, None, :] - t[None, :, :]
-        return np.einsum("ijk,ijk->ij", diff, diff)
-    d = (q * q).sum(axis=1)[:, None] + t_sq[None, :] - 2.0 * (q @ t.T)
-    return np.maximum(d, 0.0)
-
-
-def _block_rows(m: int, dim: int) -> int:
-    per_row = max(1, m * max(dim, 1) * 8)
-    return max(1, min(4096, BLOCK_BYTES // per_row))
-
-
-def _topk_block(d: np.ndarray, t_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (rows x k') of the k smallest (dist, id) per row; k' = min(k, m)."""
-    b, m = d.shape
+def _block_rows(m: int) -> int:
+    """Query rows per block so that the (rows x m) distance matrix fits BLOCK_BYTES."""
+    return max(1, min(8192, BLOCK_BYTES // max(1, m * 8)))
+
+
+def _candidates(q: np.ndarray, t: np.ndarray, t_sq: np.ndarray, k: int, self_mask: np.ndarray | None):
+    """Expanded distances |q|^2 + |t|^2 - 2 q.t by one matrix product (BLAS), then the
+    candidate pairs whose expanded distance is within a rounding-error bound of the
+    k-th smallest. Returns (rows, cols, expanded matrix)."""
+    q_sq = (q * q).sum(axis=1)
+    d = q_sq[:, None] + t_sq[None, :] - 2.0 * (q @ t.T)
+    if self_mask is not None:
+        d[self_mask] = np.inf
+    m = d.shape[1]
     kk = min(k, m)
-    if kk == 0:
-        return np.zeros((b, 0), dtype=np.int64), np.zeros(b, dtype=np.int64)
-    if kk < m:
-        part = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-    else:
-        part = np.tile(np.arange(m), (b, 1))
-    thr = np.take_along_axis(d, part, axis=1).max(axis=1)
-    n_tied = (d <= thr[:, None]).sum(axis=1)
-    out = np.empty((b, kk), dtype=np.int64)
-    for r in np.nonzero(n_tied > kk)[0]:          # ties across the cut: exact order by (dist, id)
-        cand = np.nonzero(d[r] <= thr[r])[0]
-        order = np.lexsort((t_ids[cand], d[r, cand]))
-        part[r] = cand[order[:kk]]
-    by_id = np.argsort(t_ids[part], axis=1, kind="stable")
-    part = np.take_along_axis(part, by_id, axis=1)
-    by_d = np.argsort(np.take_along_axis(d, part, axis=1), axis=1, kind="stable")
-    out[:] = np.take_along_axis(part, by_d, axis=1)
-    return out, np.full(b, kk)
+    kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+    # rounding error of the expanded form is below ~dim * eps * (|q|^2 + |t|^2)
+    tol = 16.0 * (q.shape[1] + 2) * np.finfo(np.float64).eps * (q_sq + (t_sq.max() if m else 0.0)) + 1e-300
+    rows, cols = np.nonzero(d <= (kth + tol)[:, None])
+    return rows, cols, d
+
+
+def _exact_topk(q: np.ndarray, t: np.ndarray, t_ids: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int):
+    """Exact squared distances of the candidate pairs, ordered by (row, dist, id), the
+    first k per row. Returns (rows, cols, dist, rank) of the kept pairs."""
+    diff = q[rows] - t[cols]
+    dist = np.einsum("ij,ij->i", diff, diff)
+    order = np.lexsort((t_ids[cols], dist, rows))
+    rows, cols, dist = rows[order], cols[order], dist[order]
+    first = np.r_[0, np.nonzero(np.diff(rows))[0] + 1]
+    starts = np.repeat(first, np.diff(np.r_[first, len(rows)]))
+    rank = np.arange(len(rows)) - starts + 1
+    keep = rank <= k
+    return rows[keep], cols[keep], dist[keep], rank[keep]
 
 
 def _neighbour_fn(bc, k: int, exclude_self: bool):
     def run(batches):
         t_ids, t_vec, t_lab = bc.value
-        t_sq = (t_vec * t_vec).sum(axis=1) if len(t_ids) else np.zeros(0)
-        step = _block_rows(len(t_ids), t_vec.shape[1] if t_vec.ndim == 2 else 0)
+        if len(t_ids) == 0:
+            return
+        t_sq = (t_vec * t_vec).sum(axis=1)
+        step = _block_rows(len(t_ids))
         for pdf in batches:
-            if len(pdf) == 0 or len(t_ids) == 0:
+            if len(pdf) == 0:
                 continue
             q_ids = pdf["query_id"].to_numpy(dtype=np.int64)
             q_vec = _matrix(pdf["vec"])
             for s in range(0, len(q_ids), step):
                 qi, qv = q_ids[s:s + step], q_vec[s:s + step]
-                d = _sq_dist(qv, t_vec, t_sq)
-                if exclude_self:
-                    d = np.where(qi[:, None] == t_ids[None, :], np.inf, d)
-                idx, _ = _topk_block(d, t_ids, k)
-                kk = idx.shape[1]
-                dist = np.take_along_axis(d, idx, axis=1)
-                keep = np.isfinite(dist).ravel()
+                mask = (qi[:, None] == t_ids[None, :]) if exclude_self else None
+                rows, cols, d = _candidates(qv, t_vec, t_sq, k, mask)
+                fin = np.isfinite(d[rows, cols])
+                rows, cols, dist, rank = _exact_topk(qv, t_vec, t_ids, rows[fin], cols[fin], k)
                 yield pd.DataFrame({
-                    "query_id": np.repeat(qi, kk)[keep],
-                    "neighbor_id": t_ids[idx].ravel()[keep],
-                    "neighbor_label": (t_lab[idx].ravel()[keep] if t_lab is not None else pd.array([None] * int(keep.sum()), dtype="Int64")),
-                    "dist": dist.ravel()[keep],
-                    "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(qi))[keep],
+                    "query_id": qi[rows],
+                    "neighbor_id": t_ids[cols],
+                    "neighbor_label": (t_lab[cols] if t_lab is not None else pd.array([None] * len(cols), dtype="Int64")),
+                    "dist": dist,
+                    "rank": rank.astype(np.int32),
                 })
     return run
 
@@ -120,7 +117,7 @@ def _summary_fn(bc):
     def run(batches):
         t_ids, t_vec, _ = bc.value
         t_sq = (t_vec * t_vec).sum(axis=1) if len(t_ids) else np.zeros(0)
-        step = _block_rows(len(t_ids), t_vec.shape[1] if t_vec.ndim == 2 else 0)
+        step = _block_rows(len(t_ids))
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -133,14 +130,31 @@ def _summary_fn(bc):
                                         "min_dist": np.full(len(qi), np.nan), "sum_dist": np.zeros(len(qi)),
                                         "n_train": np.zeros(len(qi), dtype=np.int64)})
                     continue
-                d = _sq_dist(qv, t_vec, t_sq)
-                idx, _ = _topk_block(d, t_ids, 1)
-                yield pd.DataFrame({"query_id": qi, "nearest_id": t_ids[idx[:, 0]],
-                                    "min_dist": np.take_along_axis(d, idx, axis=1)[:, 0],
-                                    "sum_dist": d.sum(axis=1), "n_train": np.full(len(qi), len(t_ids), dtype=np.int64)})
+                rows, cols, d = _candidates(qv, t_vec, t_sq, 1, None)
+                rows, cols, dist, _ = _exact_topk(qv, t_vec, t_ids, rows, cols, 1)
+                nearest = np.empty(len(qi), dtype=np.int64)
+                mind = np.empty(len(qi))
+                nearest[rows], mind[rows] = t_ids[cols], dist
+                # sum over all pairs in closed form: M|q|^2 - 2 q.sum(t) + sum|t|^2
+                total = len(t_ids) * (qv * qv).sum(axis=1) - 2.0 * (qv @ t_vec.sum(axis=0)) + t_sq.sum()
+                yield pd.DataFrame({"query_id": qi, "nearest_id": nearest, "min_dist": mind,
+                                    "sum_dist": total, "n_train": np.full(len(qi), len(t_ids), dtype=np.int64)})
     return run
 
 
+# Target distance work (query rows x training rows x dims) per task of the
+# distance pass; query partitions follow the work, not the bytes.
+WORK_PER_TASK = 2e9
+
+
+def _spread_queries(q: DataFrame, n_train: int, dim: int) -> DataFrame:
+    spark = q.sparkSession
+    n_q = q.count()
+    parts = math.ceil(n_q * max(n_train, 1) * max(dim, 1) / WORK_PER_TASK)
+    parts = int(min(max(parts, spark.sparkContext.defaultParallelism), max(n_q, 1), 200_000))
+    return q.repartition(parts)
+
+
 def _train_chunks(train: DataFrame, id_col: str, vec_col: str, label_col: str | None, max_chunk_bytes: int):
     """Yield broadcastable (ids, matrix, labels) chunks of checked byte size."""
     cols = [F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v")]
@@ -158,7 +172,7 @@ def _train_chunks(train: DataFrame, id_col: str, vec_col: str, label_col: str |
         ids = pdf["i"].to_numpy(dtype=np.int64)
         vec = _matrix(pdf["v"]) if len(pdf) else np.zeros((0, dim))
         lab = pdf["l"].to_numpy(dtype=np.int64) if label_col else None
-        yield sc.broadcast((ids, vec, lab)), n_chunks
+        yield sc.broadcast((ids, vec, lab)), n_chunks, n, dim
 
 
 def knn(queries: DataFrame, train: DataFrame, k: int, query_id: str, query_vec: str, train_id: str,
@@ -169,8 +183,10 @@ def knn(queries: DataFrame, train: DataFrame, k: int, query_id: str, query_vec:
     neighbor_label, dist, rank (1-based)."""
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("vec"))
     parts = []
-    for bc, n_chunks in _train_chunks(train, train_id, train_vec, train_label, max_chunk_bytes):
-        parts.append(q.mapInPandas(_neighbour_fn(bc, k, exclude_self), NEIGHBOUR_SCHEMA))
+    spread = None
+    for bc, n_chunks, n, dim in _train_chunks(train, train_id, train_vec, train_label, max_chunk_bytes):
+        spread = spread if spread is not None else _spread_queries(q, n, dim)
+        parts.append(spread.mapInPandas(_neighbour_fn(bc, k, exclude_self), NEIGHBOUR_SCHEMA))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -185,8 +201,11 @@ def pairwise_summary(queries: DataFrame, train: DataFrame, query_id: str, query_
     """J4 + D1 over all (query, train) pairs without emitting them: per query the
     nearest training id, its distance, and the mean distance to the whole train set."""
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("vec"))
-    parts = [q.mapInPandas(_summary_fn(bc), SUMMARY_SCHEMA)
-             for bc, _ in _train_chunks(train, train_id, train_vec, None, max_chunk_bytes)]
+    parts = []
+    spread = None
+    for bc, _, n, dim in _train_chunks(train, train_id, train_vec, None, max_chunk_bytes):
+        spread = spread if spread is not None else _spread_queries(q, n, dim)
+        parts.append(spread.mapInPandas(_summary_fn(bc), SUMMARY_SCHEMA))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -11,6 +11,8 @@ a partition from the checkpoint, not from the whole feature pipeline.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -23,6 +25,10 @@ from ..functions.scalar import sigmoid, threshold_label
 from ..session import cut_lineage
 
 
+# Target in-memory size of one partition of the training table.
+TRAIN_PARTITION_BYTES = 128 * 1024 * 1024
+
+
 @dataclass
 class LinearModel:
     weights: list[float]
@@ -43,6 +49,42 @@ def predict(df: DataFrame, features: str, model: LinearModel, p: str = "p", pred
     return linear_score(df, features, model.weights, model.bias, p).withColumn(pred, threshold_label(p))
 
 
+class _EpochRunner:
+    """Runs the per-epoch aggregate over the prepared training table.
+
+    The table is registered as a global temp view and queried from a child
+    session (same context and cache, own SQL conf) with adaptive execution off:
+    a one-row global aggregate gains nothing from re-planning, and with it off
+    the new generated code of each epoch (weights are literals) is compiled
+    once instead of per query stage. The caller's session is not touched."""
+
+    def __init__(self, data: DataFrame, cols: list[str]):
+        self.cols = cols
+        self.view = f"keelson_train_{uuid.uuid4().hex}"
+        data.createOrReplaceGlobalTempView(self.view)
+        self.session = data.sparkSession.newSession()
+        self.session.conf.set("spark.sql.adaptive.enabled", "false")
+
+    def stats(self, w: np.ndarray, b: float) -> tuple:
+        """Gradient (mean), bias gradient and mean loss at weights (w, b). The logit
+        is summed left to right from 0.0 like :func:`dot_literal`, so scoring and
+        training agree to the last bit."""
+        z = "0.0D"
+        for c, v in zip(self.cols, w):
+            z = f"({z} + {c} * {_sql_double(v)})"
+        z = f"({z} + {_sql_double(b)})"
+        grads = ", ".join(f"sum((_p - _y) * {c}) AS g{j}" for j, c in enumerate(self.cols))
+        q = (f"SELECT {grads}, sum(_p - _y) AS gb, sum({_BCE_SQL}) AS loss, count(1) AS n "
+             f"FROM (SELECT *, 1.0D / (1.0D + exp(-{z})) AS _p FROM global_temp.{self.view})")
+        row = self.session.sql(q).first()
+        n = row["n"]
+        g = np.array([row[f"g{j}"] for j in range(len(self.cols))], dtype=np.float64) / n
+        return g, row["gb"] / n, row["loss"] / n
+
+    def close(self):
+        self.session.catalog.dropGlobalTempView(self.view)
+
+
 def _sql_double(v: float) -> str:
     v = float(v)
     return f"{v!r}D" if np.isfinite(v) else f"CAST('{v!r}' AS DOUBLE)"
@@ -53,22 +95,12 @@ _BCE_SQL = ("-(_y * CASE WHEN _p > 0 THEN greatest(ln(_p), -100.0D) ELSE -100.0D
 
 
 def _epoch_stats(data: DataFrame, cols: list[str], w: np.ndarray, b: float) -> tuple:
-    """One pass: gradient sums, loss sum and count at weights (w, b).
-
-    The per-epoch query is one SQL text (one parse instead of hundreds of
-    expression-building calls); the logit is summed left to right from 0.0 like
-    :func:`dot_literal`, so scoring and training agree to the last bit."""
-    z = "0.0D"
-    for c, v in zip(cols, w):
-        z = f"({z} + {c} * {_sql_double(v)})"
-    z = f"({z} + {_sql_double(b)})"
-    grads = ", ".join(f"sum((_p - _y) * {c}) AS g{j}" for j, c in enumerate(cols))
-    q = (f"SELECT {grads}, sum(_p - _y) AS gb, sum({_BCE_SQL}) AS loss, count(1) AS n "
-         f"FROM (SELECT *, 1.0D / (1.0D + exp(-{z})) AS _p FROM {{t}})")
-    row = data.sparkSession.sql(q, t=data).first()
-    n = row["n"]
-    g = np.array([row[f"g{j}"] for j in range(len(cols))], dtype=np.float64) / n
-    return g, row["gb"] / n, row["loss"] / n
+    """One epoch's statistics (standalone form of :class:`_EpochRunner`)."""
+    run = _EpochRunner(data, cols)
+    try:
+        return run.stats(w, b)
+    finally:
+        run.close()
 
 
 def _prepare(data: DataFrame, features: str, label: str, checkpoint: bool) -> tuple[DataFrame, list[str]]:
@@ -76,11 +108,13 @@ def _prepare(data: DataFrame, features: str, label: str, checkpoint: bool) -> tu
     parallelism (upstream AQE may have coalesced a small input into one partition),
     then checkpointed so every epoch starts from the same materialised rows."""
     spark = data.sparkSession
-    d = int(data.select(F.max(F.size(features))).first()[0] or 0)
+    stats = data.agg(F.max(F.size(features)).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    d, n = int(stats["d"] or 0), int(stats["n"] or 0)
     cols = [f"x{j}" for j in range(d)]
     flat = data.select(*[F.col(features)[j].cast("double").alias(c) for j, c in enumerate(cols)],
                        F.col(label).cast("double").alias("_y"))
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # partitions follow the bytes of the flat table, never fewer than the cores
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(n * (d + 1) * 8 / TRAIN_PARTITION_BYTES))
     flat = flat.repartition(parts)
     if checkpoint:
         flat = cut_lineage(flat)
@@ -98,13 +132,15 @@ def train_gd(data: DataFrame, features: str, label: str, epochs: int = 200, lr:
     w = np.zeros(d) if init is None else np.asarray(init, dtype=np.float64)
     b = float(init_bias)
     hist = []
+    run = _EpochRunner(slim, cols)
     try:
         for epoch in range(1, epochs + 1):
-            g, gb, loss = _epoch_stats(slim, cols, w, b)
+            g, gb, loss = run.stats(w, b)
             w = w - lr * g
             b = b - lr * gb
             hist.append({"epoch": epoch, "loss": loss, "bias": b, "weights": w.tolist()})
     finally:
+        run.close()
         slim.unpersist()
     return LinearModel(w.tolist(), b, hist)
 
@@ -118,9 +154,10 @@ def train_adam(data: DataFrame, features: str, label: str, epochs: int = 10, lr:
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     b1, b2 = betas
     hist = []
+    run = _EpochRunner(slim, cols)
     try:
         for t in range(1, epochs + 1):
-            g, gb, loss = _epoch_stats(slim, cols, w, b)
+            g, gb, loss = run.stats(w, b)
             grad = np.append(g, gb)
             m = b1 * m + (1 - b1) * grad
             v = b2 * v + (1 - b2) * grad * grad
@@ -128,6 +165,7 @@ def train_adam(data: DataFrame, features: str, label: str, epochs: int = 10, lr:
             w, b = w - step[:d], b - step[d]
             hist.append({"epoch": t, "loss": loss, "bias": b, "weights": w.tolist()})
     finally:
+        run.close()
         slim.unpersist()
     return LinearModel(w.tolist(), float(b), hist)
 

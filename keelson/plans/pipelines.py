@@ -18,7 +18,10 @@ from .registry import b, query, r
 
 
 def _evaluate(scored: DataFrame, model: str, y: str = "label", p: str = "p", pred: str = "pred") -> DataFrame:
-    """One metrics row: n, accuracy, precision, recall, f1, auc, log_loss."""
+    """One metrics row: n, accuracy, precision, recall, f1, auc, log_loss. The scored
+    rows are materialised first, so the model (e.g. a kNN pass) runs once, not once
+    per metric."""
+    scored = cut_lineage(scored.select(y, p, pred))
     prf = metrics.binary_prf(scored, y, pred)
     acc = metrics.accuracy(scored, y, pred).select("n", "accuracy")
     auc = metrics.roc_auc(scored, y, p).select("auc")
