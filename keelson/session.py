@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Arrow batches handed to mapInPandas scorers; bounded so a batch fits a task.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    # checkpoint files of frames that are no longer referenced are deleted
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
