@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import hash_uint32
+from ..session import ship_package
 
 # Largest training chunk shipped to every task, and the scratch size of one
 # distance block inside a task.
@@ -181,6 +182,7 @@ def knn(queries: DataFrame, train: DataFrame, k: int, query_id: str, query_vec:
     """L1: the k nearest training rows of every query row by squared Euclidean
     distance, ordered by (dist, neighbor_id): columns query_id, neighbor_id,
     neighbor_label, dist, rank (1-based)."""
+    ship_package(queries.sparkSession)
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("vec"))
     parts = []
     spread = None
@@ -200,6 +202,7 @@ def pairwise_summary(queries: DataFrame, train: DataFrame, query_id: str, query_
                      train_vec: str, max_chunk_bytes: int = MAX_CHUNK_BYTES) -> DataFrame:
     """J4 + D1 over all (query, train) pairs without emitting them: per query the
     nearest training id, its distance, and the mean distance to the whole train set."""
+    ship_package(queries.sparkSession)
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("vec"))
     parts = []
     spread = None

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from ..sources.weights import collect_layers
 
 
@@ -110,6 +111,7 @@ SCORE_SCHEMA = T.StructType([
 def score_net(images: DataFrame, net: Net, weights: DataFrame, id_col: str = "image_id",
               pixels_col: str = "pixels") -> DataFrame:
     """Logits and arg-max class (first on ties) per image."""
+    ship_package(images.sparkSession)
     params = collect_layers(weights, net.shapes())
     bc = images.sparkSession.sparkContext.broadcast(params)
     n_in = net.channels * net.height * net.width

@@ -131,16 +131,18 @@ PROJECT_REMOVE = ["o_custkey", "o_orderstatus", "o_orderpriority"]
 @query("project_reorder", "P2 P3", sql=f"""
 WITH {OF}
 SELECT {sr("avg_disc")} AS avg_disc, {sr("avg_tax")} AS avg_tax, label::BIGINT AS label, {sr("max_price", 2)} AS max_price,
-       n_lines::BIGINT AS n_lines, n_returned::BIGINT AS n_returned, o_orderkey::BIGINT AS o_orderkey,
+       n_lines::DOUBLE AS n_lines, n_returned::DOUBLE AS n_returned, o_orderkey::BIGINT AS o_orderkey,
        {sr("o_totalprice", 2)} AS o_totalprice, {sr("sum_qty")} AS sum_qty
 FROM order_features""")
 def project_reorder(spark, d):
     df = clean.drop_columns(ds.order_features(spark, d), PROJECT_REMOVE)
     keep = sorted(c for c in df.columns if c not in PROJECT_REMOVE)
     df = clean.select_ordered(df, keep)
-    ints = {"label", "n_lines", "n_returned", "o_orderkey"}
+    ints = {"label", "o_orderkey"}
+    counts = {"n_lines", "n_returned"}           # nullable counts: DOUBLE on both sides
     two = {"max_price", "o_totalprice"}
-    return df.select(*[b(c) if c in ints else r(c, places=2 if c in two else 6) for c in df.columns])
+    return df.select(*[b(c) if c in ints else F.col(c).cast("double").alias(c) if c in counts
+                       else r(c, places=2 if c in two else 6) for c in df.columns])
 
 
 CUSTOMER_HEAD = ["c_custkey", "c_name", "c_nationkey", "c_acctbal"]
@@ -447,10 +449,11 @@ def fractional_part(spark, d):
 @query("capped_sum", "F5", sql=f"""
 WITH {OF}
 SELECT o_orderkey::BIGINT AS o_orderkey,
-       (CASE WHEN n_lines + n_returned > 6 THEN 6 ELSE n_lines + n_returned END)::BIGINT AS family_size FROM order_features""")
+       (CASE WHEN n_lines + n_returned > 6 THEN 6 ELSE n_lines + n_returned END)::DOUBLE AS family_size FROM order_features""")
 def capped_sum(spark, d):
+    # nullable count reported as DOUBLE on both sides (null is NaN in both engines' frames)
     df = ds.order_features(spark, d)
-    return df.select(b("o_orderkey"), b("family_size", S.capped_sum("n_lines", "n_returned", 6)))
+    return df.select(b("o_orderkey"), S.capped_sum("n_lines", "n_returned", 6).cast("double").alias("family_size"))
 
 
 # Bin edges and labels of the two binning queries.

@@ -68,3 +68,55 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never localCheckpoint): survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _write_bytes(spark: SparkSession, target: str, data: bytes) -> None:
+    """Write a small file to the shared folder (local path or any Hadoop filesystem)."""
+    if target.startswith("file:"):
+        local = target[len("file:"):]
+        while local.startswith("//"):
+            local = local[1:]
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(local, "wb") as fh:
+            fh.write(data)
+        return
+    if "://" not in target:
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        with open(target, "wb") as fh:
+            fh.write(data)
+        return
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers (``mapInPandas`` stages
+    reference its functions by module). The package is zipped into the shared
+    scratch folder and added with ``addPyFile`` once per SparkContext."""
+    import hashlib
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_keelson_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.join("keelson", os.path.relpath(full, pkg_dir)))
+    data = buf.getvalue()
+    digest = hashlib.sha1(data).hexdigest()[:16]
+    target = scratch_path(spark, f"pyfiles/{digest}/keelson.zip")
+    _write_bytes(spark, target, data)
+    sc.addPyFile(target)
+    sc._keelson_shipped = True
