@@ -179,9 +179,11 @@ def macro_prf(df: DataFrame, y: str, pred: str, classes: Sequence[int]) -> DataF
 def model_drift_summary(df: DataFrame, model: str, y: str, pred: str, baseline: str) -> DataFrame:
     """Per model key n and accuracy in ONE group-by, then each model's signed and
     absolute accuracy difference to the baseline model (join of the tiny summary)."""
+    from pyspark.sql import Window
     per = df.groupBy(model).agg(F.count(F.lit(1)).alias("n"),
                                 F.avg((F.col(y) == F.col(pred)).cast("double")).alias("accuracy"))
-    base = per.where(F.col(model) == F.lit(baseline)).select(F.col("accuracy").alias("_base"), F.lit(1).alias("_k"))
-    out = per.withColumn("_k", F.lit(1)).join(base, "_k", "left").drop("_k")
+    # the per-model table has one row per model: a window over it, no join
+    base = F.max(F.when(F.col(model) == F.lit(baseline), F.col("accuracy"))).over(Window.partitionBy())
+    out = per.withColumn("_base", base)
     return out.select(model, "n", "accuracy", (F.col("accuracy") - F.col("_base")).alias("drift"),
                       F.abs(F.col("accuracy") - F.col("_base")).alias("abs_drift"))

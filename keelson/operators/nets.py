@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
+from .joins import sized_broadcast
 from ..sources.weights import collect_layers
 
 
@@ -157,16 +158,17 @@ def im2col_windows(images: DataFrame, height: int, width: int, kernel: int, stri
 
 def conv2d_relational(windows: DataFrame, weights: DataFrame, layer: str, kernel: int) -> DataFrame:
     """Convolution (one input channel) as an equi-join of windows with the kernel
-    on (ki, kj) and a grouped sum: image_id, ch, oh, ow, z. The kernel is tiny,
-    so the join is a broadcast hash join; the group key spreads over images."""
-    w = weights.where((F.col("layer") == F.lit(layer)))
+    on (ki, kj) and a grouped sum: image_id, ch, oh, ow, z. The kernel is broadcast
+    after its row count is checked; the group key spreads over images, and rows of
+    one image are partially summed before the shuffle."""
+    w = weights.where(F.col("layer") == F.lit(layer))
     kern = w.where(F.col("in_idx") >= 0).select(F.col("out_idx").alias("ch"),
                                                   (F.col("in_idx") / F.lit(kernel)).cast("int").alias("ki"),
                                                   (F.col("in_idx") % F.lit(kernel)).cast("int").alias("kj"), "w")
     bias = w.where(F.col("in_idx") < 0).select(F.col("out_idx").alias("ch"), F.col("w").alias("b"))
-    z = windows.join(F.broadcast(kern), ["ki", "kj"]).groupBy("image_id", "ch", "oh", "ow") \
+    z = windows.join(sized_broadcast(kern), ["ki", "kj"]).groupBy("image_id", "ch", "oh", "ow") \
                .agg(F.sum(F.col("v") * F.col("w")).alias("s"))
-    return z.join(F.broadcast(bias), "ch").select("image_id", "ch", "oh", "ow", (F.col("s") + F.col("b")).alias("z"))
+    return z.join(sized_broadcast(bias), "ch").select("image_id", "ch", "oh", "ow", (F.col("s") + F.col("b")).alias("z"))
 
 
 def maxpool_relational(fmap: DataFrame, size: int = 2, value: str = "z") -> DataFrame:
