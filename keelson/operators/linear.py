@@ -85,6 +85,57 @@ class _EpochRunner:
         self.session.catalog.dropGlobalTempView(self.view)
 
 
+# Above this many features the per-epoch SQL (a d-deep sum and d aggregates)
+# risks the JVM method-size limit; partial gradients are then taken per Arrow
+# batch in NumPy and summed by one aggregate.
+SQL_EPOCH_MAX_FEATURES = 256
+
+
+class _NumpyEpochRunner:
+    """Wide-input epochs: per-batch NumPy partial sums (mapInPandas), then one
+    aggregate over the partial rows (one row per Arrow batch)."""
+
+    def __init__(self, data: DataFrame, cols: list[str]):
+        from ..session import ship_package
+        ship_package(data.sparkSession)
+        self.data, self.cols = data, cols
+        fields = ", ".join([f"g{j} double" for j in range(len(cols))] + ["gb double", "loss double", "n long"])
+        self.schema = fields
+
+    def stats(self, w: np.ndarray, b: float) -> tuple:
+        cols, wv, bv = self.cols, np.asarray(w, dtype=np.float64), float(b)
+
+        def run(batches):
+            import pandas as pd
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                x = pdf[cols].to_numpy(dtype=np.float64)
+                y = pdf["_y"].to_numpy(dtype=np.float64)
+                p = 1.0 / (1.0 + np.exp(-(x @ wv + bv)))
+                err = p - y
+                with np.errstate(divide="ignore"):
+                    lp = np.where(p > 0, np.maximum(np.log(p), -100.0), -100.0)
+                    lq = np.where(p < 1, np.maximum(np.log1p(-p), -100.0), -100.0)
+                row = {f"g{j}": v for j, v in enumerate(err @ x)}
+                row.update(gb=err.sum(), loss=float(-(y * lp + (1 - y) * lq).sum()), n=len(y))
+                yield pd.DataFrame([row])
+
+        parts = self.data.select(*cols, "_y").mapInPandas(run, self.schema)
+        names = [f"g{j}" for j in range(len(cols))] + ["gb", "loss", "n"]
+        row = parts.agg(*[F.sum(c).alias(c) for c in names]).first()
+        n = row["n"]
+        g = np.array([row[f"g{j}"] for j in range(len(cols))], dtype=np.float64) / n
+        return g, row["gb"] / n, row["loss"] / n
+
+    def close(self):
+        pass
+
+
+def _runner(data: DataFrame, cols: list[str]):
+    return _EpochRunner(data, cols) if len(cols) <= SQL_EPOCH_MAX_FEATURES else _NumpyEpochRunner(data, cols)
+
+
 def _sql_double(v: float) -> str:
     v = float(v)
     return f"{v!r}D" if np.isfinite(v) else f"CAST('{v!r}' AS DOUBLE)"
@@ -132,7 +183,7 @@ def train_gd(data: DataFrame, features: str, label: str, epochs: int = 200, lr:
     w = np.zeros(d) if init is None else np.asarray(init, dtype=np.float64)
     b = float(init_bias)
     hist = []
-    run = _EpochRunner(slim, cols)
+    run = _runner(slim, cols)
     try:
         for epoch in range(1, epochs + 1):
             g, gb, loss = run.stats(w, b)
@@ -154,7 +205,7 @@ def train_adam(data: DataFrame, features: str, label: str, epochs: int = 10, lr:
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     b1, b2 = betas
     hist = []
-    run = _EpochRunner(slim, cols)
+    run = _runner(slim, cols)
     try:
         for t in range(1, epochs + 1):
             g, gb, loss = run.stats(w, b)

@@ -110,3 +110,12 @@ def test_mlp_beats_majority_on_separable_label(spark):
     pred = N.mlp_predict(model, df, "f", ["id", "y"])
     acc = pred.select(F.avg((F.col("y") == F.col("pred")).cast("double"))).first()[0]
     assert acc > max(y.mean(), 1 - y.mean()) + 0.1
+
+
+def test_wide_input_numpy_epochs_match_sql(spark, monkeypatch):
+    X, y, df = _lr_data(spark)
+    sql_model = L.train_gd(df, "f", "y", epochs=8, lr=0.5)
+    monkeypatch.setattr(L, "SQL_EPOCH_MAX_FEATURES", 1)
+    np_model = L.train_gd(df, "f", "y", epochs=8, lr=0.5)
+    assert np.allclose(sql_model.weights, np_model.weights, atol=1e-12)
+    assert abs(sql_model.history[-1]["loss"] - np_model.history[-1]["loss"]) < 1e-12
