@@ -40,7 +40,13 @@ def hash_rank(df: DataFrame, id_col: str, seed, by: Sequence[str] = (), bits: in
     if size_col:
         counts = counts.withColumn(size_col, F.sum("_n").over(Window.partitionBy(*by)))
         keep.append(size_col)
-    x = x.join(counts.select(*keep), [*by, "_b"])
+    # null-safe on the group keys: a null class is a class, not a dropped row
+    c = counts.select(*[F.col(k).alias(f"_g_{k}") for k in by], *[k for k in keep if k not in by])
+    c = c.withColumnRenamed("_b", "_cb")
+    cond = F.col("_b") == F.col("_cb")
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    x = x.join(c, cond).drop("_cb", *[f"_g_{k}" for k in by])
     rn = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", id_col))
     return x.withColumn(rank_col, (F.col("_off") + rn).cast("bigint")).drop("_h", "_b", "_off")
 

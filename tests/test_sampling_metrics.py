@@ -125,3 +125,11 @@ def test_drift_summary(spark):
     df = spark.createDataFrame([("plain", 1, 1), ("plain", 0, 0), ("v", 1, 0), ("v", 0, 0)], "m string, y int, p int")
     got = {r["m"]: (r["accuracy"], r["drift"]) for r in M.model_drift_summary(df, "m", "y", "p", "plain").collect()}
     assert got == {"plain": (1.0, 0.0), "v": (0.5, -0.5)}
+
+
+def test_null_class_is_kept_by_stratified_split(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2) for i in range(200)], "id long, y int")
+    s = sample.split_stratified(df, "id", "y", seed=3, test_ratio=0.2)
+    assert s.count() == 200
+    got = {(r["y"], r["split"]): r["count"] for r in s.groupBy("y", "split").count().collect()}
+    assert got[(None, "test")] == 10 and got[(None, "train")] == 40
