@@ -1,8 +1,5 @@
 import math
 
-import pytest
-from pyspark.sql import functions as F
-
 from keelson.functions import scalar as S
 from keelson.functions.arrays import argmax, dot_literal, fixed_point, log_sum_exp, squared_distance
 from keelson.functions.hashing import hash_uniform
