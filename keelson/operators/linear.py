@@ -155,23 +155,26 @@ def _epoch_stats(data: DataFrame, cols: list[str], w: np.ndarray, b: float) -> t
 
 
 def _prepare(data: DataFrame, features: str, label: str, checkpoint: bool) -> tuple[DataFrame, list[str]]:
-    """Flat double columns x0..x{d-1} and _y, spread over at least the cluster's
-    parallelism (upstream AQE may have coalesced a small input into one partition),
-    then checkpointed so every epoch starts from the same materialised rows."""
+    """Flat double columns x0..x{d-1} and _y over partitions sized by bytes (never
+    fewer than the cores; upstream AQE may have coalesced a small input).
+
+    The upstream pipeline runs ONCE: its (features, label) rows are checkpointed
+    first; the width, the row count and the flat table are all taken from the
+    checkpoint. Every row's width is checked while flattening."""
     spark = data.sparkSession
-    stats = data.agg(F.max(F.size(features)).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    d, n = int(stats["d"] or 0), int(stats["n"] or 0)
+    base = data.select(F.col(features).alias("_f"), F.col(label).cast("double").alias("_l"))
+    base = cut_lineage(base) if checkpoint else base.cache()
+    first = base.select(F.size("_f").alias("d")).first()
+    d = int(first["d"]) if first is not None and first["d"] is not None else 0
+    n = base.count()
     cols = [f"x{j}" for j in range(d)]
-    flat = data.select(*[F.col(features)[j].cast("double").alias(c) for j, c in enumerate(cols)],
-                       F.col(label).cast("double").alias("_y"))
-    # partitions follow the bytes of the flat table, never fewer than the cores
+    checked = F.when(F.size("_f") == F.lit(d), F.col("_l")).otherwise(
+        F.raise_error(F.lit(f"every feature array must have {d} values")))
+    flat = base.select(*[F.col("_f")[j].cast("double").alias(c) for j, c in enumerate(cols)], checked.alias("_y"))
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(n * (d + 1) * 8 / TRAIN_PARTITION_BYTES))
-    flat = flat.repartition(parts)
-    if checkpoint:
-        flat = cut_lineage(flat)
     # in memory on top of the checkpoint: a lost block is re-read from the
     # checkpoint files, never recomputed from the feature pipeline
-    return flat.cache(), cols
+    return flat.repartition(parts).cache(), cols
 
 
 def train_gd(data: DataFrame, features: str, label: str, epochs: int = 200, lr: float = 0.1,

@@ -65,9 +65,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never localCheckpoint): survives executor loss."""
+    """Reliable checkpoint (never localCheckpoint): survives executor loss.
+
+    A reliable checkpoint writes its files in a second job after the eager count;
+    without a persisted input that job recomputes the whole upstream plan. The
+    input is persisted for the duration of the checkpoint and released after."""
+    from pyspark import StorageLevel
+
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
 
 
 def _write_bytes(spark: SparkSession, target: str, data: bytes) -> None:
