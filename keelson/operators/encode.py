@@ -154,11 +154,11 @@ def group_stat_encode(df: DataFrame, main_columns: Sequence[str], uids: Sequence
 
 def group_nunique_encode(df: DataFrame, main_columns: Sequence[str], uids: Sequence[str],
                          fit_on: DataFrame | None = None) -> DataFrame:
-    """A4: distinct count of each main column per uid (nulls not counted), ``{main}_{uid}_ct``."""
+    """A4: distinct count of each main column per uid (nulls not counted), named ``{uid}_{main}_ct`` (uid first)."""
     fit = fit_on if fit_on is not None else df
     out = df
     for uid in uids:
-        stats = fit.groupBy(uid).agg(*[F.count_distinct(m).alias(f"{m}_{uid}_ct") for m in main_columns])
+        stats = fit.groupBy(uid).agg(*[F.count_distinct(m).alias(f"{uid}_{m}_ct") for m in main_columns])
         out = out.join(sized_broadcast(cut_lineage(stats)), uid, "left")
     return out
 

@@ -322,12 +322,12 @@ def group_stat_encode(spark, d):
 
 
 @query("group_nunique_encode", "A4", sql="""
-SELECT e.event_id::BIGINT AS event_id, e.user_id::BIGINT AS user_id, c.ct::BIGINT AS event_type_user_id_ct
+SELECT e.event_id::BIGINT AS event_id, e.user_id::BIGINT AS user_id, c.ct::BIGINT AS user_id_event_type_ct
 FROM events e LEFT JOIN (SELECT user_id, count(DISTINCT event_type) AS ct FROM events GROUP BY user_id) c ON e.user_id = c.user_id""")
 def group_nunique_encode(spark, d):
     df = encode.group_nunique_encode(table(spark, d, "events").select("event_id", "user_id", "event_type"),
                                      ["event_type"], ["user_id"])
-    return df.select(b("event_id"), b("user_id"), b("event_type_user_id_ct"))
+    return df.select(b("event_id"), b("user_id"), b("user_id_event_type_ct"))
 
 
 # ---------------------------------------------------------------- 2.5 scaling

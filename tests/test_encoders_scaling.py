@@ -42,7 +42,7 @@ def test_group_stats_single_row_and_sentinel(spark):
 
 def test_group_nunique_ignores_null(spark):
     df = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 1, None), (4, 2, "a")], "id int, u int, c string")
-    got = {r["id"]: r["c_u_ct"] for r in encode.group_nunique_encode(df, ["c"], ["u"]).collect()}
+    got = {r["id"]: r["u_c_ct"] for r in encode.group_nunique_encode(df, ["c"], ["u"]).collect()}
     assert got == {1: 2, 2: 2, 3: 2, 4: 1}
 
 
