@@ -74,7 +74,7 @@ def passenger_style(spark: SparkSession, d: str, epochs: int = 200, lr: float =
     df = df.withColumn("qty_bin", S.bin_left_closed("sum_qty", QTY_EDGES, ["q0", "q1", "q2", "q3", "q4"]))
     df = df.withColumn("disc_bin", S.bin_right_closed("avg_disc", DISC_EDGES, ["d0", "d1", "d2", "d3", "d4"]))
     df = df.withColumn("is_open", S.flag_equals("o_orderstatus", "O").cast("int"))
-    df = df.withColumn("alone", S.flag_equals("family", 1).cast("int"))
+    df = df.withColumn("alone", S.flag_equals("family", 0).cast("int"))
     df = cut_lineage(sample.split_exact(df, "o_orderkey", seed=42, test_ratio=0.2))
     train = df.where(F.col("split") == "train")
     df = clean.fill_constant(df, {"sum_qty": 0.0, "avg_disc": 0.0, "avg_tax": 0.0, "max_price": 0.0})
