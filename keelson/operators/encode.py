@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from . import ranking
-from .joins import sized_broadcast
+from .joins import BROADCAST_MAX_ROWS, sized_broadcast
 
 # A one-hot encoder makes one column per category; beyond this it is refused.
 MAX_ONE_HOT = 1000
@@ -61,14 +61,26 @@ def fit_label_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return cut_lineage(out)
 
 
+def _feature_sizes(table: DataFrame, cols: Sequence[str]) -> dict:
+    """Rows per feature of a materialised fitted table, in one job."""
+    rows = table.where(F.col("feature").isin(list(cols))).groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r["feature"]: r["n"] for r in rows}
+
+
+def _lookup(t: DataFrame, n_rows: int) -> DataFrame:
+    """Broadcast a lookup table only when its counted size is within the bound."""
+    return F.broadcast(t) if n_rows <= BROADCAST_MAX_ROWS else t
+
+
 def apply_label_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str], suffix: str = "",
                       missing: int = -1) -> DataFrame:
     """Replace (or add ``{c}{suffix}``) codes; null and unseen values get ``missing``."""
     out = df
+    sizes = _feature_sizes(codes, cols)
     for c in cols:
         key = "s" if _is_string(df, c) else "d"
-        t = sized_broadcast(codes.where(F.col("feature") == F.lit(c))
-                            .select(F.col(key).alias(f"_k_{c}"), F.col("code").alias(f"_c_{c}")))
+        t = _lookup(codes.where(F.col("feature") == F.lit(c))
+                    .select(F.col(key).alias(f"_k_{c}"), F.col("code").alias(f"_c_{c}")), sizes.get(c, 0))
         probe = F.col(c) if key == "s" else F.col(c).cast("double")
         out = out.join(t, probe == F.col(f"_k_{c}"), "left")
         name = f"{c}{suffix}"
@@ -113,10 +125,11 @@ def freq_encode(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = N
     """A2: ``{c}_FE`` = frequency of the value; null stays null; the sentinel maps to itself."""
     table = frequency_table(fit_on if fit_on is not None else df, cols)
     out = df
+    sizes = _feature_sizes(table, cols)
     for c in cols:
         key = "s" if _is_string(df, c) else "d"
-        t = sized_broadcast(table.where(F.col("feature") == F.lit(c))
-                            .select(F.col(key).alias(f"_k_{c}"), F.col("freq").alias(f"_f_{c}")))
+        t = _lookup(table.where(F.col("feature") == F.lit(c))
+                    .select(F.col(key).alias(f"_k_{c}"), F.col("freq").alias(f"_f_{c}")), sizes.get(c, 0))
         probe = F.col(c) if key == "s" else F.col(c).cast("double")
         out = out.join(t, probe == F.col(f"_k_{c}"), "left")
         is_sentinel = (F.col(c) == F.lit(str(int(sentinel)))) if key == "s" else (F.col(c).cast("double") == F.lit(float(sentinel)))
