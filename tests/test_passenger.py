@@ -27,3 +27,37 @@ def test_passenger_preprocessing(spark):
     assert (r1["Fare_bin"], r3["Fare_bin"], r2["Fare_bin"], r4["Fare_bin"]) == (0, 0, 1, 2)
     assert r1["Age_Pclass"] == r1["Age_Bin"] * r1["Pclass"] and r3["isAlone_Sex"] == 0
     assert "Ticket" not in r1.asDict() and "Name" not in r1.asDict()
+
+
+def test_passenger_workflow(spark):
+    import os
+    import tempfile
+
+    import numpy as np
+    import pandas as pd
+
+    from keelson.plans.passenger import passenger_workflow
+
+    rng = np.random.default_rng(2)
+
+    def frame(ids, labelled):
+        n = len(ids)
+        sex = rng.choice(["male", "female"], n)
+        df = pd.DataFrame({"PassengerId": ids, "Pclass": rng.integers(1, 4, n),
+                           "Name": [f"Doe, {t}. X" for t in rng.choice(["Mr", "Mrs", "Miss", "Dr"], n)],
+                           "Sex": sex, "Age": np.where(rng.random(n) < 0.2, np.nan, rng.integers(1, 80, n)),
+                           "SibSp": rng.integers(0, 4, n), "Parch": rng.integers(0, 3, n), "Ticket": "T",
+                           "Fare": rng.random(n) * 120, "Cabin": rng.choice(["C85", "B5", None], n),
+                           "Embarked": rng.choice(["S", "C", "Q", None], n)})
+        if labelled:
+            df.insert(1, "Survived", ((sex == "female") ^ (rng.random(n) < 0.15)).astype(int))
+        return df
+
+    tmp = tempfile.mkdtemp(prefix="keelson-pass-")
+    tr, te = os.path.join(tmp, "train.csv"), os.path.join(tmp, "test.csv")
+    frame(np.arange(1, 201), True).to_csv(tr, index=False)
+    frame(np.arange(1001, 1051), False).to_csv(te, index=False)
+    out = {r["model"]: r for r in passenger_workflow(spark, tr, te, epochs=20).collect()}
+    assert set(out) == {"lr_gd", "lr_gd_fixed20", "lr_gd_fixed40", "knn5", "knn3"}
+    assert out["lr_gd"]["n"] == 40 and out["lr_gd"]["accuracy"] > 0.7      # the label follows Sex
+    assert abs(out["lr_gd_fixed40"]["accuracy"] - out["lr_gd"]["accuracy"]) < 1e-9
