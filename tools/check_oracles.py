@@ -47,7 +47,9 @@ def main():
     args = sys.argv[1:]
     sf = args[0] if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
     names = [a for a in args if not os.path.isdir(a)] or sorted(QUERIES)
-    spark = get_spark("local[8]", shuffle_partitions=8)
+    import json
+    extra = json.loads(os.environ.get("KEELSON_EXTRA_CONF", "{}"))   # e.g. '{"spark.sql.ansi.enabled": "false"}'
+    spark = get_spark("local[8]", shuffle_partitions=8, extra=extra)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
