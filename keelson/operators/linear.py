@@ -235,13 +235,16 @@ def history_frame(spark, model: LinearModel) -> DataFrame:
 def fixed_point_scores(df: DataFrame, features: str, weights: Sequence[float], bias: float,
                        frac_bits: Sequence[int], p: str = "p") -> DataFrame:
     """M9: scores with features and weights rounded to the grid 2^-bits, next to the
-    plain score, as one row per (row, variant). Not encryption and not a noise model:
+    plain score, as one row per (row, variant) carrying ``{p}_plain`` as well. Not encryption and not a noise model:
     only the drift that fixed-point rounding alone causes."""
-    variants = [F.struct(F.lit("plain").alias("variant"), sigmoid(linear_logit(features, weights, bias)).alias(p))]
+    variants = [F.struct(F.lit("plain").alias("variant"), F.col("_p_plain").alias(p))]
     for bits in frac_bits:
         s = float(2 ** bits)
         wq = [float(np.rint(x * s) / s) for x in weights]
         bq = float(np.rint(bias * s) / s)
         logit = dot_literal(fixed_point(features, bits), wq) + F.lit(bq)
         variants.append(F.struct(F.lit(f"fixed{bits}").alias("variant"), sigmoid(logit).alias(p)))
-    return df.select("*", F.explode(F.array(*variants)).alias("_v")).select("*", "_v.*").drop("_v")
+    # the plain score rides along in every variant row, so drift needs no self-join
+    base = df.withColumn("_p_plain", sigmoid(linear_logit(features, weights, bias)))
+    out = base.select("*", F.explode(F.array(*variants)).alias("_v")).select("*", "_v.*").drop("_v")
+    return out.withColumnRenamed("_p_plain", f"{p}_plain")
