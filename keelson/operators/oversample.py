@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uint32, hash_uniform
 from .knn import knn
+from .metrics import MAX_CLASSES
 from .ranking import hash_rank
 
 
@@ -26,7 +27,10 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5,
     base = df.select(F.col(id_col).cast("long").alias("id"),
                      F.transform(vec_col, lambda x: x.cast("double")).alias("vec"),
                      F.col(label_col).cast("long").alias("label"))
-    sizes = {r["label"]: r["n"] for r in base.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = base.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes: the label is not a class label")
+    sizes = {r["label"]: r["n"] for r in counts}
     max_id = base.agg(F.max("id")).first()[0] or 0
     n_major = max(sizes.values()) if sizes else 0
     out = base.withColumn("synthetic", F.lit(0))
