@@ -18,6 +18,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     # checkpoint files of frames that are no longer referenced are deleted
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Spark already runs one task per core: NumPy's BLAS in Python workers stays single-threaded
+    "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
+    "spark.executorEnv.OMP_NUM_THREADS": "1",
 }
 
 
