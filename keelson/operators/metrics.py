@@ -187,3 +187,28 @@ def model_drift_summary(df: DataFrame, model: str, y: str, pred: str, baseline:
     out = per.withColumn("_base", base)
     return out.select(model, "n", "accuracy", (F.col("accuracy") - F.col("_base")).alias("drift"),
                       F.abs(F.col("accuracy") - F.col("_base")).alias("abs_drift"))
+
+
+def binary_report(scored: DataFrame, y: str, p: str, pred: str) -> dict:
+    """n, accuracy, precision, recall, F1 and log loss in ONE aggregate, plus the
+    exact AUC; ``scored`` should be materialised (the model runs once)."""
+    row = scored.agg(*binary_counts(scored, y, pred), F.count(F.lit(1)).alias("n"),
+                     F.avg(bce_term(y, p)).alias("log_loss")).first()
+    tp, fp, fn, tn, n = (row[k] or 0 for k in ("tp", "fp", "fn", "tn", "n"))
+
+    def div(a, b):
+        return float(a) / b if b else 0.0
+
+    auc = roc_auc(scored, y, p).first()["auc"]
+    return {"n": n, "accuracy": div(tp + tn, n), "precision": div(tp, tp + fp), "recall": div(tp, tp + fn),
+            "f1": div(2 * tp, 2 * tp + fp + fn), "auc": auc, "log_loss": row["log_loss"]}
+
+
+REPORT_SCHEMA = ("model string, n long, accuracy double, precision double, recall double, f1 double, auc double, "
+                 "log_loss double")
+
+
+def report_frame(spark: SparkSession, reports: list[tuple[str, dict]]) -> DataFrame:
+    """One row per model from :func:`binary_report` results."""
+    keys = ["n", "accuracy", "precision", "recall", "f1", "auc", "log_loss"]
+    return spark.createDataFrame([(name, *[r[k] for k in keys]) for name, r in reports], REPORT_SCHEMA)

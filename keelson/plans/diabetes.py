@@ -33,13 +33,9 @@ SCHEMA = T.StructType([T.StructField(c, T.DoubleType() if c in DOUBLE_FEATURES e
                        for c in FEATURES] + [T.StructField(LABEL, T.LongType(), True)])
 
 
-def _metrics_row(spark, name: str, scored: DataFrame) -> tuple:
+def _metrics_row(name: str, scored: DataFrame) -> tuple[str, dict]:
     scored = cut_lineage(scored.select(LABEL, "p", "pred"))
-    prf = metrics.binary_prf(scored, LABEL, "pred").first()
-    acc = metrics.accuracy(scored, LABEL, "pred").first()
-    auc = metrics.roc_auc(scored, LABEL, "p").first()
-    return (name, acc["n"], float(acc["accuracy"]), float(prf["precision"]), float(prf["recall"]), float(prf["f1"]),
-            auc["auc"])
+    return name, metrics.binary_report(scored, LABEL, "p", "pred")
 
 
 def diabetes_workflow(spark: SparkSession, csv_path: str, seed: int = 42, epochs: int = EPOCHS,
@@ -54,11 +50,10 @@ def diabetes_workflow(spark: SparkSession, csv_path: str, seed: int = 42, epochs
     vec = cut_lineage(df.select("row_id", "split", assemble(FEATURES).alias("x"), F.col(LABEL).cast("int").alias(LABEL)))
     tr, te = vec.where(F.col("split") == "train"), vec.where(F.col("split") == "test")
     model = linear.train_gd(tr, "x", LABEL, epochs=epochs, lr=lr)
-    rows = [_metrics_row(spark, "lr_gd", linear.predict(te, "x", model))]
+    rows = [_metrics_row("lr_gd", linear.predict(te, "x", model))]
     for k, vote in ((K_MAJORITY, knn.majority_vote), (K_MEAN, knn.mean_vote)):
         nb = knn.knn(te, tr, k, "row_id", "x", "row_id", "x", LABEL)
         share = nb.groupBy("query_id").agg(F.avg(F.col("neighbor_label").cast("double")).alias("p"))
         scored = vote(nb).join(share, "query_id").join(te.select(F.col("row_id").alias("query_id"), LABEL), "query_id")
-        rows.append(_metrics_row(spark, f"knn{k}", scored))
-    return spark.createDataFrame(rows, "model string, n long, accuracy double, precision double, recall double, "
-                                       "f1 double, auc double")
+        rows.append(_metrics_row(f"knn{k}", scored))
+    return metrics.report_frame(spark, rows)

@@ -122,11 +122,7 @@ def passenger_workflow(spark, train_csv: str, test_csv: str, epochs: int = PASSE
 
     def report(name, scored):
         scored = cut_lineage(scored.select("y", "p", "pred"))
-        prf = metrics.binary_prf(scored, "y", "pred").first()
-        acc = metrics.accuracy(scored, "y", "pred").first()
-        auc = metrics.roc_auc(scored, "y", "p").first()
-        rows.append((name, acc["n"], float(acc["accuracy"]), float(prf["precision"]), float(prf["recall"]),
-                     float(prf["f1"]), auc["auc"]))
+        rows.append((name, metrics.binary_report(scored, "y", "p", "pred")))
 
     variants = linear.fixed_point_scores(te_s, "x", model.weights, model.bias, FIXED_POINT_BITS)
     variants = cut_lineage(variants.withColumn("pred", (F.col("p") > 0.5).cast("int")))
@@ -138,5 +134,4 @@ def passenger_workflow(spark, train_csv: str, test_csv: str, epochs: int = PASSE
         scored = vote(nb).join(share, "query_id").join(te_s.select(F.col("PassengerId").alias("query_id"), "y"),
                                                         "query_id")
         report(f"knn{k}", scored)
-    return spark.createDataFrame(rows, "model string, n long, accuracy double, precision double, recall double, "
-                                       "f1 double, auc double")
+    return metrics.report_frame(spark, rows)

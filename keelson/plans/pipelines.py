@@ -18,19 +18,10 @@ from .registry import b, query, r
 
 
 def _evaluate(scored: DataFrame, model: str, y: str = "label", p: str = "p", pred: str = "pred") -> DataFrame:
-    """One metrics row: n, accuracy, precision, recall, f1, auc, log_loss. The scored
-    rows are materialised first, so the model (e.g. a kNN pass) runs once, not once
-    per metric."""
+    """One metrics row. The scored rows are materialised first, so the model (e.g. a
+    kNN pass) runs once, not once per metric."""
     scored = cut_lineage(scored.select(y, p, pred))
-    prf = metrics.binary_prf(scored, y, pred)
-    acc = metrics.accuracy(scored, y, pred).select("n", "accuracy")
-    auc = metrics.roc_auc(scored, y, p).select("auc")
-    ll = metrics.log_loss(scored, y, p).select("log_loss")
-    row = {**prf.first().asDict(), **acc.first().asDict(), **auc.first().asDict(), **ll.first().asDict()}
-    spark = scored.sparkSession
-    return spark.createDataFrame(
-        [(model, row["n"], row["accuracy"], row["precision"], row["recall"], row["f1"], row["auc"], row["log_loss"])],
-        "model string, n long, accuracy double, precision double, recall double, f1 double, auc double, log_loss double")
+    return metrics.report_frame(scored.sparkSession, [(model, metrics.binary_report(scored, y, p, pred))])
 
 
 def _report(df: DataFrame) -> DataFrame:
