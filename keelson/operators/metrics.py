@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import as_double_array, log_sum_exp
-from .ranking import running_sums_desc, unit_bucket
+from .ranking import next_desc, running_sums_desc, unit_bucket
 
 MAX_CLASSES = 10_000
 
@@ -89,18 +89,33 @@ def _score_table(df: DataFrame, y: str, score: str, bucket: Column | None) -> Da
     return running_sums_desc(per, "threshold", ["tp", "fp"], b)
 
 
-def roc_points(df: DataFrame, y: str, score: str, bucket: Column | None = None) -> DataFrame:
-    """One ROC point per distinct score (descending thresholds): cumulative
-    true / false positives and their rates. Scores are grouped first, then
-    running sums come from bucketed offsets (no one-task window). The default
-    bucket assumes scores in [0, 1]; pass a monotone ``bucket`` otherwise."""
+def roc_points(df: DataFrame, y: str, score: str, bucket: Column | None = None, drop_intermediate: bool = True,
+               include_origin: bool = True) -> DataFrame:
+    """ROC points (threshold, fps, tps, fpr, tpr) in the plotting library's
+    convention: one point per distinct score in descending order; with
+    ``drop_intermediate`` a point is kept only where the curve bends (its own
+    (fp, tp) step differs from the next point's), plus the first and last; with
+    ``include_origin`` the point (0, 0) at threshold +inf comes first. Scores are
+    grouped first, running sums and next-point values come from bucketed offsets
+    (no one-task window). The default bucket assumes scores in [0, 1]."""
     t = _score_table(df, y, score, bucket)
     tot = df.agg(F.sum((F.col(y) == F.lit(1)).cast("long")).alias("P"),
                  F.sum((F.col(y) != F.lit(1)).cast("long")).alias("N")).first()
     P, N = tot["P"] or 0, tot["N"] or 0
-    return t.select("threshold", F.col("cum_fp").cast("bigint").alias("fps"), F.col("cum_tp").cast("bigint").alias("tps"),
-                    (F.col("cum_fp") / F.lit(float(N)) if N else F.lit(None).cast("double")).alias("fpr"),
-                    (F.col("cum_tp") / F.lit(float(P)) if P else F.lit(None).cast("double")).alias("tpr"))
+    if drop_intermediate:
+        b = bucket if bucket is not None else unit_bucket(F.col("threshold"))
+        t = next_desc(t, "threshold", ["tp", "fp"], b)
+        first = (F.col("cum_tp") == F.col("tp")) & (F.col("cum_fp") == F.col("fp"))
+        bend = (F.col("next_tp") != F.col("tp")) | (F.col("next_fp") != F.col("fp"))
+        t = t.where(first | F.col("next_tp").isNull() | bend)
+    pts = t.select("threshold", F.col("cum_fp").cast("bigint").alias("fps"), F.col("cum_tp").cast("bigint").alias("tps"))
+    if include_origin:
+        origin = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"),
+                                                 F.lit(0).cast("bigint").alias("fps"), F.lit(0).cast("bigint").alias("tps"))
+        pts = pts.unionByName(origin)
+    return pts.select("threshold", "fps", "tps",
+                      (F.col("fps") / F.lit(float(N)) if N else F.lit(None).cast("double")).alias("fpr"),
+                      (F.col("tps") / F.lit(float(P)) if P else F.lit(None).cast("double")).alias("tpr"))
 
 
 def roc_auc(df: DataFrame, y: str, score: str, bucket: Column | None = None) -> DataFrame:

@@ -91,3 +91,21 @@ def running_sums_desc(df: DataFrame, score_col: str, value_cols: Sequence[str],
     for v in value_cols:
         x = x.withColumn(f"{prefix}{v}", F.col(f"_o_{v}") + F.sum(v).over(within))
     return x.drop("_b", *[f"_o_{v}" for v in value_cols])
+
+
+def next_desc(df: DataFrame, score_col: str, value_cols: Sequence[str], bucket: Column,
+              prefix: str = "next_") -> DataFrame:
+    """For rows with one score per row, the values of the next row in descending
+    score order (null for the last), without a one-task window: ``lead`` within
+    the bucket, and for a bucket's last row the first row of the next lower
+    non-empty bucket, taken from the small per-bucket table."""
+    x = df.withColumn("_b", bucket)
+    first = Window.partitionBy("_b").orderBy(F.col(score_col).desc())
+    heads = (x.withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1)
+             .select("_b", *[F.col(v).alias(f"_h_{v}") for v in value_cols]))
+    down = Window.orderBy(F.col("_b").desc())
+    heads = heads.select("_b", *[F.lead(f"_h_{v}").over(down).alias(f"_n_{v}") for v in value_cols])
+    x = x.join(heads, "_b")
+    for v in value_cols:
+        x = x.withColumn(f"{prefix}{v}", F.coalesce(F.lead(v).over(first), F.col(f"_n_{v}")))
+    return x.drop("_b", *[f"_n_{v}" for v in value_cols])

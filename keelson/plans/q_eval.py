@@ -95,12 +95,18 @@ tot AS (SELECT sum(tp) AS P, sum(fp) AS N FROM per)"""
 
 
 @query("roc_points", "A11", sql=f"""
-WITH {ROC_SQL}
-SELECT {sr("threshold", 9)} AS threshold, cfp::BIGINT AS fps, ctp::BIGINT AS tps,
-       {sr("cfp::DOUBLE / N")} AS fpr, {sr("ctp::DOUBLE / P")} AS tpr FROM cum, tot""")
+WITH {ROC_SQL},
+o AS (SELECT *, lead(tp) OVER (ORDER BY threshold DESC) AS ntp, lead(fp) OVER (ORDER BY threshold DESC) AS nfp,
+             row_number() OVER (ORDER BY threshold DESC) AS rn FROM cum),
+kept AS (SELECT threshold, cfp, ctp FROM o WHERE rn = 1 OR ntp IS NULL OR ntp <> tp OR nfp <> fp
+         UNION ALL SELECT 'inf'::DOUBLE, 0, 0)
+SELECT CASE WHEN isinf(threshold) THEN threshold ELSE {sr("threshold", 9)} END AS threshold, cfp::BIGINT AS fps,
+       ctp::BIGINT AS tps, {sr("cfp::DOUBLE / N")} AS fpr, {sr("ctp::DOUBLE / P")} AS tpr FROM kept, tot""")
 def q_roc_points(spark, d):
     t = M.roc_points(scored_orders(spark, d), "label", "p")
-    return t.select(r("threshold", places=9), b("fps"), b("tps"), r("fpr"), r("tpr"))
+    th = F.col("threshold")
+    return t.select(F.when(F.isnan(th) | (th == float("inf")), th).otherwise(r("threshold", places=9)).alias("threshold"),
+                    b("fps"), b("tps"), r("fpr"), r("tpr"))
 
 
 @query("roc_auc", "A12", sql=f"""

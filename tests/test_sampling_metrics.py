@@ -86,9 +86,9 @@ def test_auc_exact_under_ties_and_symmetric(spark):
     assert abs(auc + M.roc_auc(flipped, "y", "s").first()["auc"] - 1.0) < 1e-12
 
 
-def test_roc_points_cumulative(spark):
+def test_roc_points_cumulative_all_points(spark):
     df = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.5), (0, 0.1)], "y int, s double")
-    pts = sorted((r["threshold"], r["fps"], r["tps"]) for r in M.roc_points(df, "y", "s").collect())
+    pts = sorted((r["threshold"], r["fps"], r["tps"]) for r in M.roc_points(df, "y", "s", drop_intermediate=False, include_origin=False).collect())
     assert pts == [(0.1, 2, 2), (0.5, 1, 2), (0.9, 1, 1)]
 
 
@@ -131,3 +131,29 @@ def test_null_class_is_kept_by_stratified_split(spark):
     assert s.count() == 200
     got = {(r["y"], r["split"]): r["count"] for r in s.groupBy("y", "split").count().collect()}
     assert got[(None, "test")] == 10 and got[(None, "train")] == 40
+
+
+def _roc_reference(y, s):
+    """The plotting library's roc_curve with drop_intermediate, written out in NumPy."""
+    order = np.argsort(-s, kind="mergesort")
+    s, y = s[order], y[order]
+    idx = np.r_[np.nonzero(np.diff(s))[0], len(s) - 1]
+    tps = np.cumsum(y)[idx]
+    fps = 1 + idx - tps
+    thr = s[idx]
+    if len(fps) > 2:
+        keep = np.nonzero(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+        fps, tps, thr = fps[keep], tps[keep], thr[keep]
+    return list(zip(np.r_[np.inf, thr].tolist(), np.r_[0, fps].tolist(), np.r_[0, tps].tolist()))
+
+
+def test_roc_points_match_library_convention(spark):
+    from keelson.operators.ranking import unit_bucket
+    rng = np.random.default_rng(7)
+    s = np.round(rng.random(600), 2)
+    y = (rng.random(600) < s).astype(int)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double")
+    want = sorted(_roc_reference(y, s))
+    for bucket in (None, unit_bucket(F.col("threshold"), bits=3)):
+        got = sorted((r["threshold"], r["fps"], r["tps"]) for r in M.roc_points(df, "y", "s", bucket=bucket).collect())
+        assert got == want
