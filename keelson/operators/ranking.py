@@ -109,3 +109,36 @@ def next_desc(df: DataFrame, score_col: str, value_cols: Sequence[str], bucket:
     for v in value_cols:
         x = x.withColumn(f"{prefix}{v}", F.coalesce(F.lead(v).over(first), F.col(f"_n_{v}")))
     return x.drop("_b", *[f"_n_{v}" for v in value_cols])
+
+
+def hash_cut(df: DataFrame, id_col: str, seed, cut_of, by: Sequence[str] = (), bits: int = 16,
+             flag: str = "in_cut") -> DataFrame:
+    """Boolean ``flag``: is the row's rank (within ``by``, in (md5 draw, id) order, as
+    :func:`hash_rank`) at most ``cut_of(group_size)``?
+
+    Only the rows of the one bucket per group that straddles the cut need an
+    ordering: every other bucket lies wholly below or above it. The small bucket
+    table (offsets and state) is materialised and joined by a size-checked
+    broadcast, so the data takes a map-only pass; the boundary rows alone go
+    through a window."""
+    from .joins import sized_broadcast
+
+    by = list(by)
+    x = df.withColumn("_h", hash_uint32(seed, id_col)).withColumn("_b", F.shiftright(F.col("_h"), 32 - bits))
+    counts = x.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
+                    .withColumn("_n", F.sum("_cnt").over(Window.partitionBy(*by))))
+    counts = counts.withColumn("_cut", cut_of(F.col("_n")).cast("long"))
+    counts = counts.withColumn("_state", F.when(F.col("_off") + F.col("_cnt") <= F.col("_cut"), F.lit(1))
+                                          .when(F.col("_off") >= F.col("_cut"), F.lit(0)).otherwise(F.lit(-1)))
+    table = counts.select(*[F.col(k).alias(f"_g_{k}") for k in by], F.col("_b").alias("_cb"), "_state", "_off", "_cut")
+    table = sized_broadcast(cut_lineage(table))
+    cond = F.col("_b") == F.col("_cb")
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    x = x.join(table, cond).drop("_cb", *[f"_g_{k}" for k in by])
+    settled = x.where(F.col("_state") >= 0).withColumn(flag, F.col("_state") == F.lit(1))
+    rn = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", id_col))
+    edge = x.where(F.col("_state") < 0).withColumn(flag, F.col("_off") + rn <= F.col("_cut"))
+    return settled.unionByName(edge).drop("_h", "_b", "_state", "_off", "_cut")

@@ -1,8 +1,9 @@
 """Seeded exact sampling: balancing, splits, minibatches, first-n.
 
-Every draw is an md5 of ``seed|id`` (see functions.hashing), ranks are exact
-(operators.ranking.hash_rank), so results are identical across runs, partition
-counts and engines. No ``rand``, ``sample`` or ``randomSplit``.
+Every draw is an md5 of ``seed|id`` (see functions.hashing) and cuts are exact
+(operators.ranking.hash_cut: only the bucket straddling the cut is ordered), so
+results are identical across runs, partition counts and engines. No ``rand``,
+``sample`` or ``randomSplit``.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uint32
-from .ranking import hash_rank
+from .ranking import hash_cut
 
 
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
@@ -21,16 +22,15 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
 def undersample_balance(df: DataFrame, label: str, id_col: str, seed=73) -> DataFrame:
     """Keep, in every class, the ``min class size`` rows first in hash order."""
     smallest = class_sizes(df, label).agg(F.min("n")).first()[0] or 0
-    ranked = hash_rank(df, id_col, seed, by=[label], rank_col="_r")
-    return ranked.where(F.col("_r") <= F.lit(smallest)).drop("_r")
+    cut = hash_cut(df, id_col, seed, lambda n: F.lit(smallest), by=[label], flag="_keep")
+    return cut.where(F.col("_keep")).drop("_keep")
 
 
 def split_exact(df: DataFrame, id_col: str, seed=42, test_ratio: float = 0.3, by=(), tag: str = "split") -> DataFrame:
     """``floor(n * ratio)`` rows (per ``by`` group when stratified) in hash
     order go to ``test``, the rest to ``train``; exact sizes, disjoint and complete."""
-    ranked = hash_rank(df, id_col, seed, by=list(by), rank_col="_r", size_col="_n")
-    is_test = F.col("_r") <= F.floor(F.col("_n") * F.lit(float(test_ratio)))
-    return ranked.withColumn(tag, F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop("_r", "_n")
+    cut = hash_cut(df, id_col, seed, lambda n: F.floor(n * F.lit(float(test_ratio))), by=list(by), flag="_test")
+    return cut.withColumn(tag, F.when(F.col("_test"), F.lit("test")).otherwise(F.lit("train"))).drop("_test")
 
 
 def split_stratified(df: DataFrame, id_col: str, label: str, seed=42, test_ratio: float = 0.2,

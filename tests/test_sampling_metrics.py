@@ -157,3 +157,13 @@ def test_roc_points_match_library_convention(spark):
     for bucket in (None, unit_bucket(F.col("threshold"), bits=3)):
         got = sorted((r["threshold"], r["fps"], r["tps"]) for r in M.roc_points(df, "y", "s", bucket=bucket).collect())
         assert got == want
+
+
+@pytest.mark.parametrize("bits", [1, 4, 16])
+def test_hash_cut_equals_rank_filter(spark, bits):
+    df = spark.range(2000).withColumn("g", F.when(F.col("id") % 5 == 0, None).otherwise((F.col("id") % 3).cast("int")))
+    cut = ranking.hash_cut(df, "id", 11, lambda n: F.floor(n * F.lit(0.37)), by=["g"], bits=bits)
+    got = {r["id"] for r in cut.where("in_cut").collect()}
+    ranked = ranking.hash_rank(df, "id", 11, by=["g"], size_col="n")
+    want = {r["id"] for r in ranked.where(F.col("rank") <= F.floor(F.col("n") * F.lit(0.37))).collect()}
+    assert got == want and cut.count() == 2000
