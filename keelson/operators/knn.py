@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import hash_uint32
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 
 # Largest training chunk shipped to every task, and the scratch size of one
 # distance block inside a task.
@@ -187,7 +187,10 @@ def knn(queries: DataFrame, train: DataFrame, k: int, query_id: str, query_vec:
     parts = []
     spread = None
     for bc, n_chunks, n, dim in _train_chunks(train, train_id, train_vec, train_label, max_chunk_bytes):
-        spread = spread if spread is not None else _spread_queries(q, n, dim)
+        if spread is None:
+            spread = _spread_queries(q, n, dim)
+            if n_chunks > 1:   # every chunk re-reads the queries: materialise them once
+                spread = cut_lineage(spread)
         parts.append(spread.mapInPandas(_neighbour_fn(bc, k, exclude_self), NEIGHBOUR_SCHEMA))
     out = parts[0]
     for p in parts[1:]:
@@ -206,8 +209,11 @@ def pairwise_summary(queries: DataFrame, train: DataFrame, query_id: str, query_
     q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("vec"))
     parts = []
     spread = None
-    for bc, _, n, dim in _train_chunks(train, train_id, train_vec, None, max_chunk_bytes):
-        spread = spread if spread is not None else _spread_queries(q, n, dim)
+    for bc, n_chunks, n, dim in _train_chunks(train, train_id, train_vec, None, max_chunk_bytes):
+        if spread is None:
+            spread = _spread_queries(q, n, dim)
+            if n_chunks > 1:
+                spread = cut_lineage(spread)
         parts.append(spread.mapInPandas(_summary_fn(bc), SUMMARY_SCHEMA))
     out = parts[0]
     for p in parts[1:]:
