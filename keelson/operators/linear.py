@@ -76,7 +76,7 @@ class _EpochRunner:
         grads = ", ".join(f"sum((_p - _y) * {c}) AS g{j}" for j, c in enumerate(self.cols))
         q = (f"SELECT {grads}, sum(_p - _y) AS gb, sum({_BCE_SQL}) AS loss, count(1) AS n "
              f"FROM (SELECT *, 1.0D / (1.0D + exp(-{z})) AS _p FROM global_temp.{self.view})")
-        row = self.session.sql(q).first()
+        row = self.session.sql(q).collect()[0]   # a global aggregate: exactly one row, no limit operator
         n = row["n"]
         g = np.array([row[f"g{j}"] for j in range(len(self.cols))], dtype=np.float64) / n
         return g, row["gb"] / n, row["loss"] / n
