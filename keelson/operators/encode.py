@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from . import ranking
-from .joins import BROADCAST_MAX_ROWS, sized_broadcast
+from .joins import sized_broadcast
 
 # A one-hot encoder makes one column per category; beyond this it is refused.
 MAX_ONE_HOT = 1000
@@ -69,7 +69,8 @@ def _feature_sizes(table: DataFrame, cols: Sequence[str]) -> dict:
 
 def _lookup(t: DataFrame, n_rows: int) -> DataFrame:
     """Broadcast a lookup table only when its counted size is within the bound."""
-    return F.broadcast(t) if n_rows <= BROADCAST_MAX_ROWS else t
+    from . import joins as _joins
+    return F.broadcast(t) if n_rows <= _joins.BROADCAST_MAX_ROWS else t
 
 
 def apply_label_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str], suffix: str = "",

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 500_000
 
 
-def sized_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint behind a size check. ``small`` should be materialised (a
-    fitted table), so counting it is a cheap scan."""
+def sized_broadcast(small: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Broadcast hint behind a size check (``BROADCAST_MAX_ROWS``, read at call
+    time). ``small`` should be materialised (a fitted table), so counting it is a
+    cheap scan."""
+    bound = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+    return F.broadcast(small) if n <= bound else small
 
 
 def left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
