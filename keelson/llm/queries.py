@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import dedup, quality
+from . import dedup, mixing, quality
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op3_exact_dedup": dedup.op3_exact_dedup,
     "op7_quality": quality.op7_quality,
 }
