@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import dedup, mixing, quality
+from . import bpe, dedup, mixing, quality, tokenfile
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_token_files": tokenfile.op2_token_files,
     "op3_exact_dedup": dedup.op3_exact_dedup,
+    "op5_bpe": bpe.op5_bpe,
     "op7_quality": quality.op7_quality,
 }
 ORACLES = {
