@@ -16,6 +16,7 @@ locator stays; null identifiers order lowest; an empty table gives an empty resu
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, shared_path, text_or_empty
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The state store: RocksDB, without disk space set aside in advance by each of its many small instances.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Reduced rows (Parquet bytes) that one micro-batch takes.
 BATCH_BYTES = 16 << 30
 
@@ -43,30 +47,35 @@ def with_locator(docs: DataFrame) -> DataFrame:
         return stored.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), loc)
 
 
-def stream_state(reduced: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(digest, top(id, loc), group_size) of the streamed rows (digest, id, loc), read from the query's state."""
-    spark = reduced.sparkSession
-    source, checkpoint = shared_path(spark, "dedup-rows"), shared_path(spark, "dedup-state")
-    reduced.write.parquet(source)
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+@contextmanager
+def state_conf(spark):
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
-        rows = spark.readStream.schema(reduced.schema).option("maxBytesPerTrigger", batch_bytes).parquet(source)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stream_state(reduced: DataFrame, folder: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """(digest, top(id, loc), group_size) of the rows (digest, id, loc) of ``folder``, read from the query's state."""
+    spark = reduced.sparkSession
+    checkpoint = shared_path(spark, "dedup-state")
+    with state_conf(spark):
+        rows = spark.readStream.schema(reduced.schema).option("maxBytesPerTrigger", batch_bytes).parquet(folder)
         state = rows.groupBy("digest").agg(F.max(F.struct("id", "loc")).alias("top"), F.count(F.lit(1)).alias("n"))
         query = (state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint)
                  .trigger(availableNow=True).start())
         query.awaitTermination()
-    finally:
-        spark.conf.set(PROVIDER, before)
-    if query.lastProgress is None:  # no batch ran: the source has no rows
-        return rows_without_state(reduced)
-    held = spark.read.format("statestore").load(checkpoint)
-    top, n = held.schema["value"].dataType.names
-    return held.select(F.col("key.digest").alias("digest"), F.col(f"value.`{top}`").alias("top"), F.col(f"value.`{n}`").alias("group_size"))
-
-
-def rows_without_state(reduced: DataFrame) -> DataFrame:
-    return reduced.filter(F.lit(False)).select("digest", F.struct("id", "loc").alias("top"), F.lit(1).cast("bigint").alias("group_size"))
+        if query.lastProgress is None:  # no batch ran: the source has no rows
+            none = F.lit(False)
+            return reduced.filter(none).select("digest", F.struct("id", "loc").alias("top"), F.lit(1).cast("bigint").alias("group_size"))
+        held = spark.read.format("statestore").load(checkpoint)
+        top, n = held.schema["value"].dataType.names
+        return materialize(held.select(F.col("key.digest").alias("digest"), F.col(f"value.`{top}`").alias("top"),
+                                       F.col(f"value.`{n}`").alias("group_size")), "dedup-groups")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -76,9 +85,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``digest`` may be any function of the normalised text; results stay exact when it collides."""
     located = with_locator(docs)
     text = ascii_lower(F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")))
-    reduced = materialize(located.select(digest(text).alias("digest"), F.col(f"doc.`{id_col}`").alias("id"), "loc"), "dedup-reduced")
-    state = materialize(stream_state(reduced, batch_bytes), "dedup-state-rows")
-    labelled = reduced.join(state, "digest")
+    folder = shared_path(docs.sparkSession, "dedup-rows")
+    located.select(digest(text).alias("digest"), F.col(f"doc.`{id_col}`").alias("id"), "loc").write.parquet(folder)
+    reduced = docs.sparkSession.read.parquet(folder)
+    labelled = reduced.join(stream_state(reduced, folder, batch_bytes), "digest")
 
     # full texts of the hits, fetched by locator; equal texts are combined before the second shuffle
     full = located.select("loc", text.alias("norm"))
