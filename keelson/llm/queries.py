@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, mixing, quality, tokenfile
+from . import bpe, dedup, html, mixing, quality, secrets, tokenfile, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_token_files": tokenfile.op2_token_files,
     "op3_exact_dedup": dedup.op3_exact_dedup,
+    "op4_html": html.op4_html,
     "op5_bpe": bpe.op5_bpe,
     "op7_quality": quality.op7_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
     "op3_exact_dedup": dedup.OP3_SQL,
