@@ -66,3 +66,37 @@ def group_key(col: str) -> Column:
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers."""
     ship_package(spark)
+
+
+def byte_slices(batch, column: int, limit: int):
+    """Slices of an Arrow batch whose text column holds up to ``limit`` bytes each (or one row)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        base = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, base + limit, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def hashed_words(texts):
+    """(64-bit hashes of all words of an Arrow text column, A-Z lower-cased; begins of the rows' words, one more
+    than rows). Arrow cuts and numbers the words; each distinct word is hashed once."""
+    import numpy as np
+    import pyarrow.compute as pc
+    import xxhash
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = lists.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
+    codes = coded.indices.to_numpy()
+    bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+    if "" in distinct:  # white space at an end of a text
+        real = codes != distinct.index("")
+        bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+        codes = codes[real]
+    return hashes[codes], bounds

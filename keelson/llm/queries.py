@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, html, mixing, quality, secrets, tokenfile, toxicity
+from . import bpe, dedup, html, mixing, neardup, quality, secrets, tokenfile, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op7_quality": quality.op7_quality,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
