@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, html, mixing, neardup, quality, secrets, tokenfile, toxicity
+from . import bpe, dedup, html, lm, mixing, neardup, quality, secrets, tokenfile, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": dedup.op3_exact_dedup,
     "op4_html": html.op4_html,
     "op5_bpe": bpe.op5_bpe,
+    "op6_language_model": lm.op6_language_model,
     "op7_quality": quality.op7_quality,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_near_duplicates": neardup.op9_near_duplicates,
