@@ -41,7 +41,9 @@ def words(c: Column) -> Column:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared scratch folder."""
-    return scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex[:12]}")
+    path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex[:12]}")
+    _SCRATCH.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -100,3 +102,13 @@ def hashed_words(texts):
         bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
         codes = codes[real]
     return hashes[codes], bounds
+
+
+_SCRATCH: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what :func:`shared_path` has handed out so far. Only for callers that know that no frame still reads it."""
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
