@@ -83,11 +83,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: (id, loc, digest, keep_id, keep_loc, group_size, kept).
 
     ``digest`` may be any function of the normalised text; results stay exact when it collides."""
-    located = with_locator(docs)
+    return dedup_located(with_locator(docs), id_col, text_col, digest, batch_bytes)
+
+
+def dedup_located(located: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  digest: Callable[[Column], Column] = sha256_digest, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """:func:`exact_dedup` of rows (doc, loc)."""
+    spark = located.sparkSession
     text = ascii_lower(F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")))
-    folder = shared_path(docs.sparkSession, "dedup-rows")
+    folder = shared_path(spark, "dedup-rows")
     located.select(digest(text).alias("digest"), F.col(f"doc.`{id_col}`").alias("id"), "loc").write.parquet(folder)
-    reduced = docs.sparkSession.read.parquet(folder)
+    reduced = spark.read.parquet(folder)
     labelled = reduced.join(stream_state(reduced, folder, batch_bytes), "digest")
 
     # full texts of the hits, fetched by locator; equal texts are combined before the second shuffle
@@ -112,8 +118,9 @@ def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
 
 def stage_exact_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, with the input's columns."""
-    kept = exact_dedup(docs).filter("kept").select("loc")
-    return with_locator(docs).join(kept, "loc", "left_semi").select("doc.*")
+    located = with_locator(docs)
+    kept = dedup_located(located).filter("kept").select("loc")
+    return located.join(kept, "loc", "left_semi").select("doc.*")
 
 
 OP3_SQL = """
