@@ -2,7 +2,8 @@
 
 Tree: the tokens of the standard library's HTML tokenizer become a tree; start tags close what they imply closed (a
 paragraph before a block, an item before the next item, cells, rows, table sections, options, terms), void elements
-have no content, an end tag closes up to its match inside the nearest scope, and unmatched end tags are dropped.
+have no content, an end tag closes up to its match inside the nearest scope, that of a formatting element closes no
+block, and unmatched end tags are dropped.
 
 Visibility: nothing of head, script, style, template, comments, form controls' options that are not chosen, media
 fallbacks; nothing under ``hidden``, ``display:none`` or ``visibility:hidden``, a closed ``dialog`` or a closed
@@ -119,8 +120,8 @@ class TreeBuilder(HTMLParser):
             if self.open[i].tag == tag:
                 self._pop_to(i)
                 return
-            if self.open[i].tag in stops:
-                return
+            if self.open[i].tag in stops or tag not in BLOCK and self.open[i].tag in BLOCK:
+                return  # a formatting element's end closes no block
 
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
@@ -273,6 +274,8 @@ def render(root: Node) -> str:
         node, parent, leaving = todo.pop()
         flow = flows[-1]
         if isinstance(node, str):
+            if parent.tag == "details" and "open" not in parent.attrs:
+                continue
             if not (parent.tag in ("table", "thead", "tbody", "tfoot", "tr", "ul", "ol", "select") and not node.strip()):
                 flow.text(node, pre > 0)
             continue
