@@ -138,7 +138,8 @@ def write_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -
     spark = docs.sparkSession
     ship(spark)
     folder = shared_path(spark, "shingle-sets")
-    x = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t")).join(wanted, "id", "left_semi")
+    x = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t")).join(
+        wanted.hint("merge"), "id", "left_semi")  # the same plan at every size
 
     def run(batches):
         out, path, at, seen = None, "", 0, set()
@@ -275,7 +276,8 @@ def block_members(star: DataFrame) -> DataFrame:
     asked = rows.filter("NOT m.linked").withColumn("query_block", F.pmod(place, "query_blocks").cast("int")).withColumn("block", every("blocks"))
     both = held.select("c_id", "block", "query_block", "m", F.lit(False).alias("asks")).unionByName(
         asked.select("c_id", "block", "query_block", "m", F.lit(True).alias("asks")))
-    units = both.groupBy("c_id", "block", "query_block").agg(
+    # dealt by block, not by centre: a large group spreads over the tasks
+    units = both.repartition("c_id", "block", "query_block").groupBy("c_id", "block", "query_block").agg(
         F.collect_list(F.when(~F.col("asks"), F.col("m"))).alias("members"), F.collect_list(F.when(F.col("asks"), F.col("m"))).alias("queries"))
     units = units.select("members", "queries").filter("size(members) > 0 AND size(queries) > 0")
 
