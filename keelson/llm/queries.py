@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op3_exact_dedup": dedup.OP3_SQL,
     "op7_quality": quality.OP7_SQL,
+    "op9_near_duplicates": neardup.OP9_SQL,
 }
