@@ -1,12 +1,13 @@
 """Exact k-nearest-neighbour join.
 
-Catalyst has no kNN join, and a plain cross join materialises N x M rows. Here
-the training side is cut into chunks whose byte size is checked against a
-bound; each chunk is broadcast once, and a ``mapInPandas`` pass over the query
-rows computes squared distances block by block in NumPy and emits only the k
-best candidates per query (ties broken by training id). With more than one
-chunk the candidates (k per query per chunk) are merged by a window partitioned
-by query id. Memory per task is bounded by ``block_bytes``; no pair rows exist.
+Catalyst has no kNN join, and a plain cross join materialises N x M rows. Here both sides are hashed into blocks of
+bounded bytes; every query block meets every training block in one task (``applyInArrow`` on the pair of block
+numbers), which computes squared distances in NumPy and emits the k best per query; a window merges them by query id.
+Nothing passes through the driver but one row of counts, and no pair rows exist. The distance work stays the exact
+N x M of the brute-force definition; each side is shipped once per block of the other.
+
+Policy: ties go to the smaller training id; a distance that is not a number (or overflows) is reported as NaN and comes
+after all others, by id, so every query gets min(k, m) rows; a null training label stays null.
 """
 
 from __future__ import annotations
@@ -14,220 +15,193 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.hashing import hash_uint32
-from ..session import cut_lineage, ship_package
+from ..session import ship_package
 
-# Largest training chunk shipped to every task, and the scratch size of one
-# distance block inside a task.
-MAX_CHUNK_BYTES = 512 * 1024 * 1024
+#: Bytes of vectors in a training or query block, and of scratch for one block of distances inside a task.
+SIDE_BYTES = 16 * 1024 * 1024
 BLOCK_BYTES = 64 * 1024 * 1024
+#: Distance work (query rows x training rows x dims) that one pair of blocks aims at.
+WORK_PER_TASK = 2e9
 
-NEIGHBOUR_SCHEMA = T.StructType([
-    T.StructField("query_id", T.LongType(), False),
-    T.StructField("neighbor_id", T.LongType(), False),
-    T.StructField("neighbor_label", T.LongType(), True),
-    T.StructField("dist", T.DoubleType(), False),
-    T.StructField("rank", T.IntegerType(), False),
-])
-
-SUMMARY_SCHEMA = T.StructType([
-    T.StructField("query_id", T.LongType(), False),
-    T.StructField("nearest_id", T.LongType(), True),
-    T.StructField("min_dist", T.DoubleType(), True),
-    T.StructField("sum_dist", T.DoubleType(), False),
-    T.StructField("n_train", T.LongType(), False),
-])
-
-
-def _matrix(col: pd.Series) -> np.ndarray:
-    if len(col) == 0:
-        return np.zeros((0, 0), dtype=np.float64)
-    return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
-
-
-def _block_rows(m: int) -> int:
-    """Query rows per block so that the (rows x m) distance matrix fits BLOCK_BYTES."""
-    return max(1, min(8192, BLOCK_BYTES // max(1, m * 8)))
-
-
-def _candidates(q: np.ndarray, t: np.ndarray, t_sq: np.ndarray, k: int, self_mask: np.ndarray | None):
-    """Expanded distances |q|^2 + |t|^2 - 2 q.t by one matrix product (BLAS), then the
-    candidate pairs whose expanded distance is within a rounding-error bound of the
-    k-th smallest. Returns (rows, cols, expanded matrix)."""
+NEIGHBOUR_SCHEMA = "query_id long, neighbor_id long, neighbor_label long, dist double"
+SUMMARY_SCHEMA = "query_id long, nearest_id long, min_dist double, sum_dist double, n_train long"
+
+
+def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
+    """Rows of an Arrow list column as a float64 matrix; all rows must have the same length."""
+    rows = len(column)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null element becomes NaN
+    width = len(flat) // rows if rows else 0
+    lengths = np.diff(column.offsets.to_numpy())
+    if column.null_count or (lengths != width).any() or (dim is not None and rows and width != dim):
+        raise ValueError("every vector must be present and have the same length")
+    return flat.reshape(rows, width)
+
+
+class _Train:
+    """A training block: distinct vectors, each with its ids in ascending order. ``per`` ids of each are kept, so a
+    vector that is repeated without end costs no more than one that is repeated ``per`` times."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, per: int):
+        order = np.argsort(ids, kind="stable")
+        rows = np.ascontiguousarray(vectors[order])
+        bits = rows.view(np.dtype((np.void, 8 * rows.shape[1]))).reshape(-1) if rows.shape[1] else np.zeros(len(rows), np.uint8)
+        _, first, place = np.unique(bits, return_index=True, return_inverse=True)
+        by_id = np.argsort(first, kind="stable")  # distinct vectors in the order of their least id
+        rank = np.empty(len(by_id), np.int64)
+        rank[by_id] = np.arange(len(by_id))
+        group = rank[place]
+        grouped = np.argsort(group, kind="stable")
+        sizes = np.bincount(group, minlength=len(by_id))
+        begins = np.cumsum(sizes) - sizes
+        within = np.arange(len(group)) - np.repeat(begins, sizes)
+        self.vectors = rows[first[by_id]]
+        self.members = order[grouped[within < per]]  # row numbers of the block, by distinct vector and id
+        self.kept = np.minimum(sizes, per)
+        self.begins = np.cumsum(self.kept) - self.kept
+        self.squares = (self.vectors * self.vectors).sum(axis=1)
+
+
+def _candidates(q: np.ndarray, train: _Train, k: int):
+    """(rows, distinct vectors) that hold the k nearest of each query row: expanded distances by one matrix product, cut
+    with a bound of their rounding error. Where fewer than k are finite, the first of the rest by id are added."""
     q_sq = (q * q).sum(axis=1)
-    d = q_sq[:, None] + t_sq[None, :] - 2.0 * (q @ t.T)
-    if self_mask is not None:
-        d[self_mask] = np.inf
-    m = d.shape[1]
-    kk = min(k, m)
-    kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-    # rounding error of the expanded form is below ~dim * eps * (|q|^2 + |t|^2)
-    tol = 16.0 * (q.shape[1] + 2) * np.finfo(np.float64).eps * (q_sq + (t_sq.max() if m else 0.0)) + 1e-300
-    rows, cols = np.nonzero(d <= (kth + tol)[:, None])
-    return rows, cols, d
-
-
-def _exact_topk(q: np.ndarray, t: np.ndarray, t_ids: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int):
-    """Exact squared distances of the candidate pairs, ordered by (row, dist, id), the
-    first k per row. Returns (rows, cols, dist, rank) of the kept pairs."""
-    diff = q[rows] - t[cols]
+    d = q_sq[:, None] + train.squares[None, :] - 2.0 * (q @ train.vectors.T)
+    d[~np.isfinite(d)] = np.inf
+    k = min(k, d.shape[1])
+    kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+    largest = train.squares[np.isfinite(train.squares)].max(initial=0.0)
+    tol = 16.0 * (q.shape[1] + 2) * np.finfo(np.float64).eps * (np.where(np.isfinite(q_sq), q_sq, 0.0) + largest) + 1e-300
+    near = (d <= (kth + tol)[:, None]) & np.isfinite(d)
+    short = np.flatnonzero(~np.isfinite(kth))
+    if len(short):
+        odd = ~np.isfinite(d[short])
+        near[short] |= odd & (np.cumsum(odd, axis=1) <= k)
+    return np.nonzero(near)
+
+
+def _nearest(q: np.ndarray, ids: np.ndarray, train: _Train, k: int, self_ids: np.ndarray | None):
+    """(query rows, training rows, distances) of the k nearest of each query row, exact."""
+    extra = 1 if self_ids is not None else 0
+    rows, which = _candidates(q, train, k + extra)
+    diff = q[rows] - train.vectors[which]
     dist = np.einsum("ij,ij->i", diff, diff)
-    order = np.lexsort((t_ids[cols], dist, rows))
-    rows, cols, dist = rows[order], cols[order], dist[order]
-    first = np.r_[0, np.nonzero(np.diff(rows))[0] + 1]
-    starts = np.repeat(first, np.diff(np.r_[first, len(rows)]))
-    rank = np.arange(len(rows)) - starts + 1
-    keep = rank <= k
-    return rows[keep], cols[keep], dist[keep], rank[keep]
-
-
-def _neighbour_fn(bc, k: int, exclude_self: bool):
-    def run(batches):
-        t_ids, t_vec, t_lab = bc.value
-        if len(t_ids) == 0:
-            return
-        t_sq = (t_vec * t_vec).sum(axis=1)
-        step = _block_rows(len(t_ids))
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            q_ids = pdf["query_id"].to_numpy(dtype=np.int64)
-            q_vec = _matrix(pdf["vec"])
-            for s in range(0, len(q_ids), step):
-                qi, qv = q_ids[s:s + step], q_vec[s:s + step]
-                mask = (qi[:, None] == t_ids[None, :]) if exclude_self else None
-                rows, cols, d = _candidates(qv, t_vec, t_sq, k, mask)
-                fin = np.isfinite(d[rows, cols])
-                rows, cols, dist, rank = _exact_topk(qv, t_vec, t_ids, rows[fin], cols[fin], k)
-                yield pd.DataFrame({
-                    "query_id": qi[rows],
-                    "neighbor_id": t_ids[cols],
-                    "neighbor_label": (t_lab[cols] if t_lab is not None else pd.array([None] * len(cols), dtype="Int64")),
-                    "dist": dist,
-                    "rank": rank.astype(np.int32),
-                })
-    return run
-
-
-def _summary_fn(bc):
-    def run(batches):
-        t_ids, t_vec, _ = bc.value
-        t_sq = (t_vec * t_vec).sum(axis=1) if len(t_ids) else np.zeros(0)
-        step = _block_rows(len(t_ids))
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            q_ids = pdf["query_id"].to_numpy(dtype=np.int64)
-            q_vec = _matrix(pdf["vec"])
-            for s in range(0, len(q_ids), step):
-                qi, qv = q_ids[s:s + step], q_vec[s:s + step]
-                if len(t_ids) == 0:
-                    yield pd.DataFrame({"query_id": qi, "nearest_id": pd.array([None] * len(qi), dtype="Int64"),
-                                        "min_dist": np.full(len(qi), np.nan), "sum_dist": np.zeros(len(qi)),
-                                        "n_train": np.zeros(len(qi), dtype=np.int64)})
-                    continue
-                rows, cols, d = _candidates(qv, t_vec, t_sq, 1, None)
-                rows, cols, dist, _ = _exact_topk(qv, t_vec, t_ids, rows, cols, 1)
-                nearest = np.empty(len(qi), dtype=np.int64)
-                mind = np.empty(len(qi))
-                nearest[rows], mind[rows] = t_ids[cols], dist
-                # sum over all pairs in closed form: M|q|^2 - 2 q.sum(t) + sum|t|^2
-                total = len(t_ids) * (qv * qv).sum(axis=1) - 2.0 * (qv @ t_vec.sum(axis=0)) + t_sq.sum()
-                yield pd.DataFrame({"query_id": qi, "nearest_id": nearest, "min_dist": mind,
-                                    "sum_dist": total, "n_train": np.full(len(qi), len(t_ids), dtype=np.int64)})
-    return run
-
-
-# Target distance work (query rows x training rows x dims) per task of the
-# distance pass; query partitions follow the work, not the bytes.
-WORK_PER_TASK = 2e9
+    dist[~np.isfinite(dist)] = np.nan
+    n = train.kept[which]
+    ends = np.cumsum(n)
+    members = train.members[np.repeat(train.begins[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    rows, dist = np.repeat(rows, n), np.repeat(dist, n)
+    if self_ids is not None:
+        other = ids[members] != self_ids[rows]
+        rows, dist, members = rows[other], dist[other], members[other]
+    order = np.lexsort((ids[members], dist, rows))  # NaN sorts last
+    rows, dist, members = rows[order], dist[order], members[order]
+    begins = np.searchsorted(rows, rows, "left")
+    keep = np.arange(len(rows)) - begins < k
+    return rows[keep], members[keep], dist[keep]
+
+
+def _paired(queries: DataFrame, train: DataFrame, query_id: str, query_vec: str, train_id: str, train_vec: str,
+            train_label: str | None, side_bytes: int) -> DataFrame:
+    """Rows of both sides (is_query, id, vec, label) dealt to all pairs of a query block and a training block."""
+    double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    q = queries.select(F.lit(True).alias("is_query"), F.col(query_id).cast("long").alias("id"), double(query_vec).alias("vec"),
+                       F.lit(None).cast("long").alias("label"))
+    t = train.select(F.lit(False).alias("is_query"), F.col(train_id).cast("long").alias("id"), double(train_vec).alias("vec"),
+                     (F.col(train_label).cast("long") if train_label else F.lit(None).cast("long")).alias("label"))
+    n_q = q.count()
+    n_t, dim = t.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    width = 8 * max(dim or 0, 1) + 16
+    t_blocks = max(1, math.ceil(n_t * width / side_bytes))
+    work = math.ceil(n_q * max(n_t, 1) * max(dim or 0, 1) / WORK_PER_TASK / t_blocks)
+    spread = math.ceil(queries.sparkSession.sparkContext.defaultParallelism / t_blocks)
+    q_blocks = max(1, min(n_q, max(spread, work, math.ceil(n_q * width / side_bytes))))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("qb", F.pmod(hash_uint32("query", "id"), F.lit(q_blocks)).cast("int")).withColumn("tb", every(t_blocks))
+    t = t.withColumn("tb", F.pmod(hash_uint32("train", "id"), F.lit(t_blocks)).cast("int")).withColumn("qb", every(q_blocks))
+    return q.unionByName(t)
 
 
-def _spread_queries(q: DataFrame, n_train: int, dim: int) -> DataFrame:
-    spark = q.sparkSession
-    n_q = q.count()
-    parts = math.ceil(n_q * max(n_train, 1) * max(dim, 1) / WORK_PER_TASK)
-    parts = int(min(max(parts, spark.sparkContext.defaultParallelism), max(n_q, 1), 200_000))
-    return q.repartition(parts)
-
-
-def _train_chunks(train: DataFrame, id_col: str, vec_col: str, label_col: str | None, max_chunk_bytes: int):
-    """Yield broadcastable (ids, matrix, labels) chunks of checked byte size."""
-    cols = [F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v")]
-    if label_col:
-        cols.append(F.col(label_col).cast("long").alias("l"))
-    t = train.select(*cols)
-    stats = t.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    n, dim = stats["n"] or 0, stats["d"] or 0
-    total = n * (dim * 8 + 16)
-    n_chunks = max(1, math.ceil(total / max_chunk_bytes))
-    sc = train.sparkSession.sparkContext
-    for c in range(n_chunks):
-        part = t if n_chunks == 1 else t.where(F.pmod(hash_uint32("chunk", "i"), F.lit(n_chunks)) == F.lit(c))
-        pdf = part.toPandas()
-        ids = pdf["i"].to_numpy(dtype=np.int64)
-        vec = _matrix(pdf["v"]) if len(pdf) else np.zeros((0, dim))
-        lab = pdf["l"].to_numpy(dtype=np.int64) if label_col else None
-        yield sc.broadcast((ids, vec, lab)), n_chunks, n, dim
+def _sides(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    is_query = table.column("is_query")
+    return table.filter(is_query).combine_chunks(), table.filter(pc.invert(is_query)).combine_chunks()
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    c = table.column(name)
+    return c.chunk(0) if c.num_chunks else pa.array([], c.type)
 
 
 def knn(queries: DataFrame, train: DataFrame, k: int, query_id: str, query_vec: str, train_id: str,
         train_vec: str, train_label: str | None = None, exclude_self: bool = False,
-        max_chunk_bytes: int = MAX_CHUNK_BYTES) -> DataFrame:
-    """L1: the k nearest training rows of every query row by squared Euclidean
-    distance, ordered by (dist, neighbor_id): columns query_id, neighbor_id,
-    neighbor_label, dist, rank (1-based)."""
+        side_bytes: int = SIDE_BYTES) -> DataFrame:
+    """L1: the k nearest training rows of every query row by squared Euclidean distance, ordered by (dist, neighbor_id):
+    columns query_id, neighbor_id, neighbor_label, dist, rank (1-based)."""
     ship_package(queries.sparkSession)
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("vec"))
-    parts = []
-    spread = None
-    for bc, n_chunks, n, dim in _train_chunks(train, train_id, train_vec, train_label, max_chunk_bytes):
-        if spread is None:
-            spread = _spread_queries(q, n, dim)
-            if n_chunks > 1:   # every chunk re-reads the queries: materialise them once
-                spread = cut_lineage(spread)
-        parts.append(spread.mapInPandas(_neighbour_fn(bc, k, exclude_self), NEIGHBOUR_SCHEMA))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if len(parts) > 1:
-        w = Window.partitionBy("query_id").orderBy("dist", "neighbor_id")
-        out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(k))
-    return out
+
+    def run(table: pa.Table) -> pa.Table:
+        q, t = _sides(table)
+        out = []
+        if q.num_rows and t.num_rows:
+            ids = _column(t, "id").to_numpy()
+            vectors = _matrix(_column(t, "vec"))
+            held = _Train(ids, vectors, k + (1 if exclude_self else 0))
+            q_ids, q_vec = _column(q, "id").to_numpy(), _matrix(_column(q, "vec"), vectors.shape[1])
+            step = max(1, min(8192, BLOCK_BYTES // (32 * max(1, len(held.vectors)))))
+            for s in range(0, len(q_ids), step):
+                rows, members, dist = _nearest(q_vec[s:s + step], ids, held, k, q_ids[s:s + step] if exclude_self else None)
+                out.append(pa.table({"query_id": q_ids[s:s + step][rows], "neighbor_id": ids[members],
+                                     "neighbor_label": _column(t, "label").take(pa.array(members)), "dist": dist}))
+        schema = pa.schema([("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("neighbor_label", pa.int64()), ("dist", pa.float64())])
+        return pa.concat_tables([x.cast(schema) for x in out]) if out else schema.empty_table()
+
+    found = _paired(queries, train, query_id, query_vec, train_id, train_vec, train_label, side_bytes).groupBy("qb", "tb").applyInArrow(run, NEIGHBOUR_SCHEMA)
+    best = Window.partitionBy("query_id").orderBy("dist", "neighbor_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.lit(k))
 
 
 def pairwise_summary(queries: DataFrame, train: DataFrame, query_id: str, query_vec: str, train_id: str,
-                     train_vec: str, max_chunk_bytes: int = MAX_CHUNK_BYTES) -> DataFrame:
+                     train_vec: str, side_bytes: int = SIDE_BYTES) -> DataFrame:
     """J4 + D1 over all (query, train) pairs without emitting them: per query the
     nearest training id, its distance, and the mean distance to the whole train set."""
     ship_package(queries.sparkSession)
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("vec"))
-    parts = []
-    spread = None
-    for bc, n_chunks, n, dim in _train_chunks(train, train_id, train_vec, None, max_chunk_bytes):
-        if spread is None:
-            spread = _spread_queries(q, n, dim)
-            if n_chunks > 1:
-                spread = cut_lineage(spread)
-        parts.append(spread.mapInPandas(_summary_fn(bc), SUMMARY_SCHEMA))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    best = F.min(F.struct(F.col("min_dist"), F.col("nearest_id")))
-    agg = out.groupBy("query_id").agg(best.alias("_b"), F.sum("sum_dist").alias("sum_dist"),
-                                      F.sum("n_train").alias("n_train"))
+
+    def run(table: pa.Table) -> pa.Table:
+        q, t = _sides(table)
+        q_ids, m = _column(q, "id").to_numpy(), t.num_rows
+        nearest, least, total = np.zeros(len(q_ids), np.int64), np.full(len(q_ids), np.nan), np.zeros(len(q_ids))
+        if m and len(q_ids):
+            ids, vectors = _column(t, "id").to_numpy(), _matrix(_column(t, "vec"))
+            q_vec, held = _matrix(_column(q, "vec"), vectors.shape[1]), _Train(ids, vectors, 1)
+            step = max(1, min(8192, BLOCK_BYTES // (32 * max(1, len(held.vectors)))))
+            # sum over all pairs in closed form, around the block's mean: m |q - c|^2 + sum |t - c|^2
+            centre = vectors.mean(axis=0)
+            around = ((vectors - centre) ** 2).sum()
+            for s in range(0, len(q_ids), step):
+                part = q_vec[s:s + step]
+                rows, members, dist = _nearest(part, ids, held, 1, None)
+                nearest[s + rows], least[s + rows] = ids[members], dist
+                total[s:s + step] = m * ((part - centre) ** 2).sum(axis=1) + around
+        return pa.table({"query_id": pa.array(q_ids, pa.int64()), "nearest_id": pa.array(nearest, mask=np.full(len(q_ids), not m)),
+                         "min_dist": pa.array(least, mask=np.full(len(q_ids), not m)), "sum_dist": total,
+                         "n_train": np.full(len(q_ids), m, np.int64)})
+
+    out = _paired(queries, train, query_id, query_vec, train_id, train_vec, None, side_bytes).groupBy("qb", "tb").applyInArrow(run, SUMMARY_SCHEMA)
+    best = F.min(F.when(F.col("nearest_id").isNotNull(), F.struct(F.col("min_dist"), F.col("nearest_id"))))
+    agg = out.groupBy("query_id").agg(best.alias("_b"), F.sum("sum_dist").alias("sum_dist"), F.sum("n_train").alias("n_train"))
     return agg.select("query_id", F.col("_b.nearest_id").alias("nearest_id"), F.col("_b.min_dist").alias("min_dist"),
-                      (F.col("sum_dist") / F.col("n_train")).alias("mean_dist"), F.col("n_train").cast("bigint"))
+                      F.when(F.col("n_train") > 0, F.col("sum_dist") / F.col("n_train")).alias("mean_dist"), F.col("n_train").cast("bigint"))
 
 
 def majority_vote(neighbours: DataFrame, out: str = "pred") -> DataFrame:
-    """M4: most frequent neighbour label per query, the smallest label on ties."""
-    counts = neighbours.groupBy("query_id", "neighbor_label").agg(F.count(F.lit(1)).alias("_n"))
+    """M4: most frequent neighbour label per query, the smallest label on ties; a null label has no vote."""
+    counts = neighbours.where(F.col("neighbor_label").isNotNull()).groupBy("query_id", "neighbor_label").agg(F.count(F.lit(1)).alias("_n"))
     best = F.max(F.struct(F.col("_n"), (-F.col("neighbor_label")).alias("_neg")))
     return counts.groupBy("query_id").agg(best.alias("_b")).select(
         "query_id", (-F.col("_b._neg")).cast("long").alias(out))
