@@ -12,8 +12,6 @@ after all others, by id, so every query gets min(k, m) rows; a null training lab
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -108,24 +106,31 @@ def _nearest(q: np.ndarray, ids: np.ndarray, train: _Train, k: int, self_ids: np
 
 
 def _paired(queries: DataFrame, train: DataFrame, query_id: str, query_vec: str, train_id: str, train_vec: str,
-            train_label: str | None, side_bytes: int) -> DataFrame:
-    """Rows of both sides (is_query, id, vec, label) dealt to all pairs of a query block and a training block."""
+            train_label: str | None, side_bytes: int, group: str | None = None) -> DataFrame:
+    """Rows of both sides (is_query, id, vec, label, g) dealt to all pairs of a query block and a training block of the
+    same group (one group if ``group`` is None). Numbers of blocks follow the group's sizes."""
+    spark = queries.sparkSession
     double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    g = F.col(group).cast("string") if group else F.lit("")
     q = queries.select(F.lit(True).alias("is_query"), F.col(query_id).cast("long").alias("id"), double(query_vec).alias("vec"),
-                       F.lit(None).cast("long").alias("label"))
+                       F.lit(None).cast("long").alias("label"), g.alias("g"))
     t = train.select(F.lit(False).alias("is_query"), F.col(train_id).cast("long").alias("id"), double(train_vec).alias("vec"),
-                     (F.col(train_label).cast("long") if train_label else F.lit(None).cast("long")).alias("label"))
-    n_q = q.count()
-    n_t, dim = t.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    width = 8 * max(dim or 0, 1) + 16
-    t_blocks = max(1, math.ceil(n_t * width / side_bytes))
-    work = math.ceil(n_q * max(n_t, 1) * max(dim or 0, 1) / WORK_PER_TASK / t_blocks)
-    spread = math.ceil(queries.sparkSession.sparkContext.defaultParallelism / t_blocks)
-    q_blocks = max(1, min(n_q, max(spread, work, math.ceil(n_q * width / side_bytes))))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.withColumn("qb", F.pmod(hash_uint32("query", "id"), F.lit(q_blocks)).cast("int")).withColumn("tb", every(t_blocks))
-    t = t.withColumn("tb", F.pmod(hash_uint32("train", "id"), F.lit(t_blocks)).cast("int")).withColumn("qb", every(q_blocks))
-    return q.unionByName(t)
+                     (F.col(train_label).cast("long") if train_label else F.lit(None).cast("long")).alias("label"), g.alias("g"))
+    sizes = q.select("g", F.lit(1).alias("q"), F.lit(0).alias("t"), F.size("vec").alias("d")).unionByName(
+        t.select("g", F.lit(0).alias("q"), F.lit(1).alias("t"), F.size("vec").alias("d")))
+    sizes = sizes.groupBy("g").agg(F.sum("q").alias("n_q"), F.sum("t").alias("n_t"), F.greatest(F.max("d"), F.lit(1)).alias("d"))
+    width = F.col("d") * 8 + 16
+    t_blocks = F.greatest(F.ceil(F.col("n_t") * width / side_bytes), F.lit(1))
+    spread = F.ceil(F.lit(spark.sparkContext.defaultParallelism) / F.col("t_blocks")) if group is None else F.lit(1)
+    work = F.ceil(F.col("n_q") * F.col("n_t") * F.col("d") / WORK_PER_TASK / F.col("t_blocks"))
+    q_blocks = F.least(F.col("n_q"), F.greatest(spread, work, F.ceil(F.col("n_q") * width / side_bytes)))
+    blocks = sizes.withColumn("t_blocks", t_blocks).withColumn("q_blocks", F.greatest(q_blocks, F.lit(1)))
+    blocks = blocks.select("g", F.col("t_blocks").cast("int").alias("t_blocks"), F.col("q_blocks").cast("int").alias("q_blocks"))
+    own = lambda tag, n: F.pmod(hash_uint32(tag, "id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(blocks, "g").withColumn("qb", own("query", "q_blocks")).withColumn("tb", every("t_blocks"))
+    t = t.join(blocks, "g").withColumn("tb", own("train", "t_blocks")).withColumn("qb", every("q_blocks"))
+    return q.unionByName(t).drop("t_blocks", "q_blocks")
 
 
 def _sides(table: pa.Table) -> tuple[pa.Table, pa.Table]:
@@ -140,10 +145,13 @@ def _column(table: pa.Table, name: str) -> pa.Array:
 
 def knn(queries: DataFrame, train: DataFrame, k: int, query_id: str, query_vec: str, train_id: str,
         train_vec: str, train_label: str | None = None, exclude_self: bool = False,
-        side_bytes: int = SIDE_BYTES) -> DataFrame:
+        side_bytes: int = SIDE_BYTES, group: str | None = None, with_vectors: bool = False) -> DataFrame:
     """L1: the k nearest training rows of every query row by squared Euclidean distance, ordered by (dist, neighbor_id):
-    columns query_id, neighbor_id, neighbor_label, dist, rank (1-based)."""
+    columns query_id, neighbor_id, neighbor_label, dist, rank (1-based), and neighbor_vec if ``with_vectors``. With
+    ``group``, a column of both sides, neighbours come from the query's own group (rows without a group have none)."""
     ship_package(queries.sparkSession)
+    fields = [("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("neighbor_label", pa.int64()), ("dist", pa.float64())]
+    schema = pa.schema([*fields, *([("neighbor_vec", pa.list_(pa.float64()))] if with_vectors else [])])
 
     def run(table: pa.Table) -> pa.Table:
         q, t = _sides(table)
@@ -156,12 +164,15 @@ def knn(queries: DataFrame, train: DataFrame, k: int, query_id: str, query_vec:
             step = max(1, min(8192, BLOCK_BYTES // (32 * max(1, len(held.vectors)))))
             for s in range(0, len(q_ids), step):
                 rows, members, dist = _nearest(q_vec[s:s + step], ids, held, k, q_ids[s:s + step] if exclude_self else None)
-                out.append(pa.table({"query_id": q_ids[s:s + step][rows], "neighbor_id": ids[members],
-                                     "neighbor_label": _column(t, "label").take(pa.array(members)), "dist": dist}))
-        schema = pa.schema([("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("neighbor_label", pa.int64()), ("dist", pa.float64())])
+                picked = pa.array(members)
+                cols = {"query_id": q_ids[s:s + step][rows], "neighbor_id": ids[members], "neighbor_label": _column(t, "label").take(picked), "dist": dist}
+                if with_vectors:
+                    cols["neighbor_vec"] = _column(t, "vec").take(picked)
+                out.append(pa.table(cols))
         return pa.concat_tables([x.cast(schema) for x in out]) if out else schema.empty_table()
 
-    found = _paired(queries, train, query_id, query_vec, train_id, train_vec, train_label, side_bytes).groupBy("qb", "tb").applyInArrow(run, NEIGHBOUR_SCHEMA)
+    paired = _paired(queries, train, query_id, query_vec, train_id, train_vec, train_label, side_bytes, group)
+    found = paired.groupBy("g", "qb", "tb").applyInArrow(run, NEIGHBOUR_SCHEMA + (", neighbor_vec array<double>" if with_vectors else ""))
     best = Window.partitionBy("query_id").orderBy("dist", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.lit(k))
 
@@ -192,7 +203,7 @@ def pairwise_summary(queries: DataFrame, train: DataFrame, query_id: str, query_
                          "min_dist": pa.array(least, mask=np.full(len(q_ids), not m)), "sum_dist": total,
                          "n_train": np.full(len(q_ids), m, np.int64)})
 
-    out = _paired(queries, train, query_id, query_vec, train_id, train_vec, None, side_bytes).groupBy("qb", "tb").applyInArrow(run, SUMMARY_SCHEMA)
+    out = _paired(queries, train, query_id, query_vec, train_id, train_vec, None, side_bytes).groupBy("g", "qb", "tb").applyInArrow(run, SUMMARY_SCHEMA)
     best = F.min(F.when(F.col("nearest_id").isNotNull(), F.struct(F.col("min_dist"), F.col("nearest_id"))))
     agg = out.groupBy("query_id").agg(best.alias("_b"), F.sum("sum_dist").alias("sum_dist"), F.sum("n_train").alias("n_train"))
     return agg.select("query_id", F.col("_b.nearest_id").alias("nearest_id"), F.col("_b.min_dist").alias("min_dist"),

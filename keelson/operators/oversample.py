@@ -2,59 +2,53 @@
 with points interpolated between a class member and one of its k nearest
 class neighbours.
 
-Synthetic row s of class c takes base member ``s mod n_c`` (members numbered in
-seeded hash order), neighbour number ``1 + draw(s) mod k`` and gap
-``uniform(s)``. The synthetic index range is ``spark.range`` (spread over all
-tasks), the members and neighbours are reached by equi-joins, the
-interpolation is a ``zip_with``: no row of the class is collected anywhere.
+All classes are grown in one plan. Members are numbered within their class in
+seeded hash order; member r of a class of n makes the synthetic rows s = r,
+r + n, r + 2n, ... below the class's deficit, so every member explodes its own
+share. The neighbours (with their vectors) come from one kNN within classes.
+Row s takes neighbour number ``1 + draw(s) mod k`` and gap ``uniform(s)``.
+
+A class with fewer than k + 1 members has only the neighbours it has; a class
+of one member is grown by copies of it. Rows without a label are kept and form
+no class.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uint32, hash_uniform
+from ..session import cut_lineage
 from .knn import knn
-from .metrics import MAX_CLASSES
 from .ranking import hash_rank
 
 
 def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Original rows plus synthetic ones: id, vec (array<double>), label, synthetic (0/1).
-    Synthetic ids continue after the largest input id."""
-    spark = df.sparkSession
+    Synthetic ids continue after the largest input id, class by class in label order."""
     base = df.select(F.col(id_col).cast("long").alias("id"),
                      F.transform(vec_col, lambda x: x.cast("double")).alias("vec"),
                      F.col(label_col).cast("long").alias("label"))
-    counts = base.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(counts) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes: the label is not a class label")
-    sizes = {r["label"]: r["n"] for r in counts}
-    max_id = base.agg(F.max("id")).first()[0] or 0
-    n_major = max(sizes.values()) if sizes else 0
     out = base.withColumn("synthetic", F.lit(0))
-    next_id = max_id + 1
-    for c in sorted(sizes):
-        n_c = sizes[c]
-        n_new = n_major - n_c
-        if n_new <= 0 or n_c < 2:
-            continue
-        kk = min(k, n_c - 1)
-        members = base.where(F.col("label") == F.lit(c))
-        ranked = hash_rank(members, "id", seed, rank_col="r").select("id", "vec", (F.col("r") - 1).alias("r"))
-        nb = knn(members, members, kk, "id", "vec", "id", "vec", exclude_self=True) \
-            .select(F.col("query_id").alias("base_id"), F.col("rank").alias("nb_rank"), F.col("neighbor_id"))
-        s = spark.range(n_new).withColumnRenamed("id", "s")
-        s = s.select("s", (F.col("s") % F.lit(n_c)).alias("r"),
-                     (F.pmod(hash_uint32(seed, F.lit(f"nb{c}"), "s"), F.lit(kk)) + 1).cast("int").alias("nb_rank"),
-                     hash_uniform(seed, F.lit(f"gap{c}"), "s").alias("gap"))
-        b = ranked.select(F.col("r"), F.col("id").alias("base_id"), F.col("vec").alias("base_vec"))
-        n = ranked.select(F.col("id").alias("neighbor_id"), F.col("vec").alias("nb_vec"))
-        syn = s.join(b, "r").join(nb, ["base_id", "nb_rank"]).join(n, "neighbor_id")
-        syn = syn.select((F.lit(next_id) + F.col("s")).alias("id"),
-                         F.zip_with("base_vec", "nb_vec", lambda x, y: x + F.col("gap") * (y - x)).alias("vec"),
-                         F.lit(c).cast("long").alias("label"), F.lit(1).alias("synthetic"))
-        out = out.unionByName(syn)
-        next_id += n_new
-    return out
+    # one row per class: its deficit and the first id of its synthetic rows
+    classes = base.where(F.col("label").isNotNull()).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy()
+    before = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.withColumn("n_new", F.max("n").over(whole) - F.col("n"))
+    classes = classes.withColumn("ahead", F.coalesce(F.sum("n_new").over(before), F.lit(0))).where(F.col("n_new") > 0)
+    max_id = base.agg(F.max("id")).first()[0] or 0
+    members = cut_lineage(base.join(classes, "label"))
+    ranked = hash_rank(members, "id", seed, by=["label"], rank_col="r")
+    near = knn(members, members, k, "id", "vec", "id", "vec", exclude_self=True, group="label", with_vectors=True)
+    near = near.groupBy(F.col("query_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", "neighbor_vec"))).alias("near"))
+    rows = ranked.join(near, "id", "left").where(F.col("r") <= F.col("n_new"))
+    rows = rows.withColumn("s", F.explode(F.sequence(F.col("r") - 1, F.col("n_new") - 1, F.col("n"))))
+    tag = lambda name: F.concat(F.lit(name), F.col("label").cast("string"))
+    pick = F.pmod(hash_uint32(seed, tag("nb"), "s"), F.size("near")) + 1
+    other = F.when(F.col("near").isNull(), F.col("vec")).otherwise(F.element_at("near", pick.cast("int"))["neighbor_vec"])
+    rows = rows.select("s", "label", "ahead", "vec", other.alias("other"), hash_uniform(seed, tag("gap"), "s").alias("gap"))
+    synthetic = rows.select((F.lit(max_id + 1) + F.col("ahead") + F.col("s")).cast("long").alias("id"),
+                            F.zip_with("vec", "other", lambda x, y: x + F.col("gap") * (y - x)).alias("vec"),
+                            "label", F.lit(1).alias("synthetic"))
+    return out.unionByName(synthetic)

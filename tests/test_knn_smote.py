@@ -128,3 +128,20 @@ def test_smote_balances_and_interpolates(spark):
                 if -1e-9 <= t <= 1 + 1e-9 and np.allclose(minority[i] + t * dvec, v, atol=1e-9):
                     ok = True
         assert ok
+
+
+def test_smote_small_classes_and_null_labels(spark):
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(40, 3))
+    y = [0] * 25 + [1] * 10 + [2] * 3 + [3] + [None]
+    rows = [(i, [float(v) for v in x], c) for i, (x, c) in enumerate(zip(X, y))]
+    out = smote(spark.createDataFrame(rows, "id long, vec array<double>, label long"), "id", "vec", "label", k=5, seed=2)
+    counts = {r["label"]: r["count"] for r in out.groupBy("label").count().collect()}
+    assert counts == {0: 25, 1: 25, 2: 25, 3: 25, None: 1}
+    new = out.where("synthetic = 1").collect()
+    assert sorted(r["id"] for r in new) == list(range(40, 40 + len(new)))       # ids go on without gaps
+    assert all(np.allclose(r["vec"], X[38]) for r in new if r["label"] == 3)    # copies of the only member
+
+
+def test_smote_without_rows(spark):
+    assert smote(spark.createDataFrame([], "id long, vec array<double>, label long"), "id", "vec", "label").collect() == []
