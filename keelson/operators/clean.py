@@ -45,13 +45,19 @@ def fill_constant(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 
 
 def column_modes(df: DataFrame, cols: Sequence[str]) -> dict:
-    """Most frequent non-null value per column, the smallest on ties; one job for all columns."""
-    row = df.agg(*[F.mode(c, True).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
-
-
-def fill_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    modes = column_modes(df, cols)
+    """Most frequent non-null value per column, the smallest on ties. Values are counted by a grouping, so no task holds a
+    column's whole table of values; one row per column comes back."""
+    modes = {}
+    for c in cols:
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        top = counts.agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("top")).first()["top"]
+        modes[c] = top["v"] if top is not None else None
+    return modes
+
+
+def fill_mode(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
+    """Nulls to the column's mode in ``fit_on`` (default: ``df`` itself)."""
+    modes = column_modes(fit_on if fit_on is not None else df, cols)
     return df.fillna({c: v for c, v in modes.items() if v is not None})
 
 

@@ -10,82 +10,84 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from . import ranking
-from .joins import sized_broadcast
+from . import joins, ranking
 
-# A one-hot encoder makes one column per category; beyond this it is refused.
-MAX_ONE_HOT = 1000
+#: Columns of a stacked value, one per kind, so no value passes through another type: text, whole numbers (and booleans,
+#: days of dates, microseconds of timestamps), decimals, floating point.
+KEYS = ("s", "i", "n", "d")
+_TYPES = {"s": "string", "i": "bigint", "n": "decimal(38,18)", "d": "double"}
 
 
-def _is_string(df: DataFrame, c: str) -> bool:
-    return isinstance(df.schema[c].dataType, T.StringType)
+def _kind(df: DataFrame, c: str) -> str:
+    t = df.schema[c].dataType
+    if isinstance(t, T.StringType):
+        return "s"
+    if isinstance(t, (T.IntegralType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "i"
+    if isinstance(t, T.DecimalType):
+        return "i" if t.scale == 0 and t.precision <= 18 else "n"
+    if isinstance(t, T.FractionalType):
+        return "d"
+    raise TypeError(f"column {c} of type {t.simpleString()} cannot be encoded")
+
+
+def _value(df: DataFrame, c: str) -> Column:
+    """The column's value in the type of its kind."""
+    t = df.schema[c].dataType
+    if isinstance(t, T.DateType):
+        return F.unix_date(c).cast("bigint")
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(c).cast("timestamp"))
+    return F.col(c).cast(_TYPES[_kind(df, c)])
 
 
 def _stack(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, s, d) rows, one per input row and column; s for strings, d for numbers."""
+    """(feature, s, i, n, d) rows, one per input row and non-null value."""
     structs = []
     for c in cols:
-        s = F.col(c) if _is_string(df, c) else F.lit(None).cast("string")
-        d = F.lit(None).cast("double") if _is_string(df, c) else F.col(c).cast("double")
-        structs.append(F.struct(F.lit(c).alias("feature"), s.alias("s"), d.alias("d")))
-    return df.select(F.explode(F.array(*structs)).alias("_p")).select("_p.*")
+        kind = _kind(df, c)
+        values = [(_value(df, c) if k == kind else F.lit(None).cast(_TYPES[k])).alias(k) for k in KEYS]
+        structs.append(F.struct(F.lit(c).alias("feature"), *values))
+    rows = df.select(F.explode(F.array(*structs)).alias("_p")).select("_p.*")
+    return rows.where("s IS NOT NULL OR i IS NOT NULL OR n IS NOT NULL OR d IS NOT NULL")
 
 
 def fit_label_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Code table (feature, s, d, code): 0-based codes of the non-null values of each
+    """Code table (feature, s, i, n, d, code): 0-based codes of the non-null values of each
     column in sorted value order (E1).
 
-    One scan and one shuffle find the distinct (feature, value) pairs of all
-    columns (partial aggregation first, so a hot value is combined map-side). A
-    feature with few distinct values is ranked by a window partitioned by feature;
-    one with more than ``ranking.SMALL_DISTINCT`` values is ranked by range
-    partitions, so no task holds a huge distinct set. The table is materialised
-    once (it is the fitted state) and then joined to every column it encodes."""
-    pairs = cut_lineage(_stack(df, cols).where(F.col("s").isNotNull() | F.col("d").isNotNull()).distinct())
-    sizes = {r["feature"]: r["n"] for r in pairs.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
-    big = [c for c in cols if sizes.get(c, 0) > ranking.SMALL_DISTINCT]
-    small = pairs.where(~F.col("feature").isin(big)) if big else pairs
-    w = Window.partitionBy("feature").orderBy("s", "d")
-    out = small.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
-    for c in big:
-        key = "s" if _is_string(df, c) else "d"
-        other = "d" if key == "s" else "s"
-        codes = ranking.dense_codes(pairs.where(F.col("feature") == F.lit(c)), key)
-        out = out.unionByName(codes.select(F.lit(c).alias("feature"), F.col(key),
-                                           F.lit(None).cast("double" if other == "d" else "string").alias(other), "code"))
-    return cut_lineage(out)
-
-
-def _feature_sizes(table: DataFrame, cols: Sequence[str]) -> dict:
-    """Rows per feature of a materialised fitted table, in one job."""
-    rows = table.where(F.col("feature").isin(list(cols))).groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()
-    return {r["feature"]: r["n"] for r in rows}
-
-
-def _lookup(t: DataFrame, n_rows: int) -> DataFrame:
-    """Broadcast a lookup table only when its counted size is within the bound."""
-    from . import joins as _joins
-    return F.broadcast(t) if n_rows <= _joins.BROADCAST_MAX_ROWS else t
+    One scan and one shuffle find the distinct (feature, value) pairs of all columns (partial aggregation first, so a
+    hot value is combined map-side); range partitions with offsets rank them, so no task holds a feature's whole value
+    set. The table is materialised (it is the fitted state) and then joined to every column it encodes."""
+    return cut_lineage(ranking.ranged_codes(_stack(df, cols).distinct(), ["feature"], list(KEYS)))
+
+
+def _broadcastable(table: DataFrame, cols: Sequence[str]) -> set:
+    """Features whose part of a fitted table is within the broadcast bound, measured in one job."""
+    rows = table.where(F.col("feature").isin(list(cols))).groupBy("feature").agg(joins.measured_bytes(table).alias("n")).collect()
+    return {r["feature"] for r in rows if r["n"] <= joins.BROADCAST_MAX_BYTES}
+
+
+def _attach(df: DataFrame, table: DataFrame, c: str, value: str, small: set) -> DataFrame:
+    """``df`` with the fitted ``value`` of column ``c`` as ``_v_{c}`` (null where there is none)."""
+    t = table.where(F.col("feature") == F.lit(c)).select(F.col(_kind(df, c)).alias(f"_k_{c}"), F.col(value).alias(f"_v_{c}"))
+    t = F.broadcast(t) if c in small else t
+    return df.join(t, _value(df, c) == F.col(f"_k_{c}"), "left").drop(f"_k_{c}")
 
 
 def apply_label_codes(df: DataFrame, codes: DataFrame, cols: Sequence[str], suffix: str = "",
                       missing: int = -1) -> DataFrame:
     """Replace (or add ``{c}{suffix}``) codes; null and unseen values get ``missing``."""
     out = df
-    sizes = _feature_sizes(codes, cols)
+    small = _broadcastable(codes, cols)
     for c in cols:
-        key = "s" if _is_string(df, c) else "d"
-        t = _lookup(codes.where(F.col("feature") == F.lit(c))
-                    .select(F.col(key).alias(f"_k_{c}"), F.col("code").alias(f"_c_{c}")), sizes.get(c, 0))
-        probe = F.col(c) if key == "s" else F.col(c).cast("double")
-        out = out.join(t, probe == F.col(f"_k_{c}"), "left")
-        name = f"{c}{suffix}"
-        out = out.withColumn(name, F.coalesce(F.col(f"_c_{c}"), F.lit(missing)).cast("int")).drop(f"_k_{c}", f"_c_{c}")
+        out = _attach(out, codes, c, "code", small)
+        out = out.withColumn(f"{c}{suffix}", F.coalesce(F.col(f"_v_{c}"), F.lit(missing)).cast("int")).drop(f"_v_{c}")
     return out
 
 
@@ -110,32 +112,29 @@ def combine_encode(df: DataFrame, c1: str, c2: str, fit_on: DataFrame | None = N
 
 
 def frequency_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, s, d, freq): share of the column's non-null rows holding the value.
+    """(feature, s, i, n, d, freq): share of the column's non-null rows holding the value.
     One pass for all columns with map-side partial counts; per-feature totals are a
     group-by (one row per column), not a window over a feature's whole value set.
     Materialised once, then joined to every column it encodes."""
-    pairs = _stack(df, cols).where(F.col("s").isNotNull() | F.col("d").isNotNull())
-    counts = pairs.groupBy("feature", "s", "d").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("feature").agg(F.sum("n").alias("_total"))
-    t = counts.join(F.broadcast(totals), "feature").withColumn("freq", F.col("n") / F.col("_total"))
-    return cut_lineage(t.drop("n", "_total"))
+    counts = _stack(df, cols).groupBy("feature", *KEYS).agg(F.count(F.lit(1)).alias("_count"))
+    counts = cut_lineage(counts)
+    totals = counts.groupBy("feature").agg(F.sum("_count").alias("_total"))   # one row per column
+    t = counts.join(F.broadcast(totals), "feature").withColumn("freq", F.col("_count") / F.col("_total"))
+    return t.drop("_count", "_total")
 
 
 def freq_encode(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None,
                 sentinel: float = -1) -> DataFrame:
-    """A2: ``{c}_FE`` = frequency of the value; null stays null; the sentinel maps to itself."""
+    """A2: ``{c}_FE`` = frequency of the value; null stays null. The sentinel is a number: in number columns it maps to
+    itself, a text that looks like it has a frequency like any other."""
     table = frequency_table(fit_on if fit_on is not None else df, cols)
     out = df
-    sizes = _feature_sizes(table, cols)
+    small = _broadcastable(table, cols)
     for c in cols:
-        key = "s" if _is_string(df, c) else "d"
-        t = _lookup(table.where(F.col("feature") == F.lit(c))
-                    .select(F.col(key).alias(f"_k_{c}"), F.col("freq").alias(f"_f_{c}")), sizes.get(c, 0))
-        probe = F.col(c) if key == "s" else F.col(c).cast("double")
-        out = out.join(t, probe == F.col(f"_k_{c}"), "left")
-        is_sentinel = (F.col(c) == F.lit(str(int(sentinel)))) if key == "s" else (F.col(c).cast("double") == F.lit(float(sentinel)))
-        out = out.withColumn(f"{c}_FE", F.when(is_sentinel, F.lit(float(sentinel))).otherwise(F.col(f"_f_{c}"))) \
-                 .drop(f"_k_{c}", f"_f_{c}")
+        number = _kind(df, c) != "s" and not isinstance(df.schema[c].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        is_sentinel = F.coalesce(_value(df, c) == F.lit(sentinel), F.lit(False)) if number else F.lit(False)
+        out = _attach(out, table, c, "freq", small)
+        out = out.withColumn(f"{c}_FE", F.when(is_sentinel, F.lit(float(sentinel))).otherwise(F.col(f"_v_{c}"))).drop(f"_v_{c}")
     return out
 
 
@@ -158,7 +157,7 @@ def group_stat_encode(df: DataFrame, main_columns: Sequence[str], uids: Sequence
             src = F.nullif(F.col(m), F.lit(sentinel)) if usena else F.col(m)
             for a in aggregations:
                 aggs.append(funcs[a](src.cast("double")).alias(f"{m}_{uid}_{a}"))
-        stats = sized_broadcast(cut_lineage(fit.groupBy(uid).agg(*aggs)))
+        stats = joins.sized_broadcast(cut_lineage(fit.groupBy(uid).agg(*aggs)))
         out = out.join(stats, uid, "left")
         if fillna:
             names = [f"{m}_{uid}_{a}" for m in main_columns for a in aggregations]
@@ -173,17 +172,13 @@ def group_nunique_encode(df: DataFrame, main_columns: Sequence[str], uids: Seque
     out = df
     for uid in uids:
         stats = fit.groupBy(uid).agg(*[F.count_distinct(m).alias(f"{uid}_{m}_ct") for m in main_columns])
-        out = out.join(sized_broadcast(cut_lineage(stats)), uid, "left")
+        out = out.join(joins.sized_broadcast(cut_lineage(stats)), uid, "left")
     return out
 
 
 def one_hot_categories(train: DataFrame, col: str) -> list:
-    """Sorted distinct non-null categories; bounded by MAX_ONE_HOT (checked)."""
-    vals = train.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(MAX_ONE_HOT + 1)
-    cats = [r[0] for r in vals.collect()]
-    if len(cats) > MAX_ONE_HOT:
-        raise ValueError(f"{col} has more than {MAX_ONE_HOT} categories")
-    return cats
+    """Sorted distinct non-null categories: the names of the columns to make."""
+    return [r[0] for r in train.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
 
 
 def one_hot(df: DataFrame, col: str, categories: Sequence, prefix: str | None = None, drop: bool = True) -> DataFrame:

@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-# A fitted lookup table is broadcast only when its measured row count is within
-# this bound; above it the join stays a shuffle join.
-BROADCAST_MAX_ROWS = 500_000
+# A fitted lookup table is broadcast only when its measured size is within
+# this many bytes; above it the join stays a shuffle join.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
-def sized_broadcast(small: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast hint behind a size check (``BROADCAST_MAX_ROWS``, read at call
-    time). ``small`` should be materialised (a fitted table), so counting it is a
+def measured_bytes(df: DataFrame):
+    """Aggregate: bytes of the rows, text at its real length, 16 for every other value."""
+    texts = [c for c, t in df.dtypes if t in ("string", "binary")]
+    width = F.lit(16 * len(df.columns))
+    for c in texts:
+        width = width + F.coalesce(F.octet_length(c), F.lit(0))
+    return F.coalesce(F.sum(width), F.lit(0))
+
+
+def sized_broadcast(small: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Broadcast hint behind a size check (``BROADCAST_MAX_BYTES``, read at call
+    time). ``small`` should be materialised (a fitted table), so measuring it is a
     cheap scan."""
-    bound = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    n = small.count()
-    return F.broadcast(small) if n <= bound else small
+    bound = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
+    return F.broadcast(small) if small.agg(measured_bytes(small)).first()[0] <= bound else small
 
 
 def left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
@@ -29,12 +37,6 @@ def left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str |
     return left.join(right, left[left_key] == right[right_key], "left").drop(right[right_key])
 
 
-def map_through(df: DataFrame, col: str, table: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """``df[col].map(dict)`` as a left join to a lookup table; missing keys give null."""
-    t = table.select(F.col(key).alias("_k"), F.col(value).alias(out))
-    return df.join(t, df[col].eqNullSafe(t["_k"]), "left").drop("_k")
-
-
 def tagged_union(parts: dict[str, DataFrame], tag: str = "split") -> DataFrame:
     """Union all of named frames with a tag column (train/test processed in step)."""
     frames = [d.withColumn(tag, F.lit(name)) for name, d in parts.items()]

@@ -9,10 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import as_double_array, log_sum_exp
-from .ranking import next_desc, running_sums_desc, unit_bucket
-
-MAX_CLASSES = 10_000
-
+from ..session import cut_lineage
+from .ranking import next_desc, running_sums_desc
 
 def _div(num: Column, den: Column) -> Column:
     """Guarded division: 0 when the denominator is 0 (the 'zero_division=0' rule)."""
@@ -20,15 +18,12 @@ def _div(num: Column, den: Column) -> Column:
 
 
 def observed_classes(df: DataFrame, *cols: str) -> list:
-    """Sorted union of the values in ``cols``; the class set is small (checked)."""
+    """Sorted union of the values in ``cols``: one value per class."""
     u = None
     for c in cols:
         part = df.select(F.col(c).cast("long").alias("c"))
         u = part if u is None else u.unionByName(part)
-    vals = [r[0] for r in u.where(F.col("c").isNotNull()).distinct().orderBy("c").limit(MAX_CLASSES + 1).collect()]
-    if len(vals) > MAX_CLASSES:
-        raise ValueError("too many classes")
-    return vals
+    return [r[0] for r in u.where(F.col("c").isNotNull()).distinct().orderBy("c").collect()]
 
 
 def _class_table(spark: SparkSession, classes: Sequence[int], name: str) -> DataFrame:
@@ -43,10 +38,14 @@ def class_size_report(df: DataFrame, label: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, y: str, pred: str, classes: Sequence[int] | None = None) -> DataFrame:
-    """(y_true, y_pred, n) for every class pair, zero-filled."""
-    classes = classes if classes is not None else observed_classes(df, y, pred)
-    grid = _class_table(df.sparkSession, classes, "y_true").select(
-        "y_true", F.explode(F.array(*[F.lit(int(c)).cast("long") for c in classes])).alias("y_pred"))
+    """(y_true, y_pred, n) for every class pair, zero-filled. The classes (given, or those observed) are laid out by
+    the executors: nothing is collected."""
+    if classes is not None:
+        held = _class_table(df.sparkSession, classes, "c")
+    else:
+        held = df.select(F.explode(F.array(F.col(y).cast("long"), F.col(pred).cast("long"))).alias("c")).distinct()
+    held = held.agg(F.collect_set("c").alias("all"))
+    grid = held.select(F.explode("all").alias("y_true"), "all").select("y_true", F.explode("all").alias("y_pred"))
     counts = df.groupBy(F.col(y).cast("long").alias("y_true"), F.col(pred).cast("long").alias("y_pred")) \
                .agg(F.count(F.lit(1)).alias("n"))
     return grid.join(counts, ["y_true", "y_pred"], "left").select(
@@ -81,29 +80,43 @@ def close_enough_accuracy(df: DataFrame, y: str, p: str, tol: float = 0.5) -> Da
              .withColumn("accuracy", _div(F.col("n_correct"), F.col("n")))
 
 
-def _score_table(df: DataFrame, y: str, score: str, bucket: Column | None) -> DataFrame:
-    per = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(
-        F.sum((F.col(y) == F.lit(1)).cast("long")).alias("tp"),
-        F.sum((F.col(y) != F.lit(1)).cast("long")).alias("fp"))
-    b = bucket if bucket is not None else unit_bucket(F.col("threshold"))
-    return running_sums_desc(per, "threshold", ["tp", "fp"], b)
+#: Ranges of scores that running sums are split into.
+SCORE_RANGES = 64
+
+
+def score_ranges(per: DataFrame, score: str, ranges: int = SCORE_RANGES) -> Column:
+    """Range number of a score, non-decreasing in it: cut at approximate quantiles of the distinct scores, so any
+    distribution spreads evenly. At most ``ranges`` cuts come to the driver."""
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = per.agg(F.percentile_approx(score, shares, 100 * ranges).alias("cuts")).first()["cuts"] or []
+    held = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    return F.size(F.filter(held, lambda c: c < F.col(score)))
+
+
+def _score_table(df: DataFrame, y: str, score: str) -> tuple[DataFrame, Column]:
+    """One row per distinct score with its counts and running sums; rows whose score is null or NaN are left out."""
+    per = df.select(F.col(score).cast("double").alias("threshold"), F.col(y).alias("y"))
+    per = per.where(F.col("threshold").isNotNull() & ~F.isnan("threshold")).groupBy("threshold").agg(
+        F.sum((F.col("y") == F.lit(1)).cast("long")).alias("tp"),
+        F.sum((F.col("y") != F.lit(1)).cast("long")).alias("fp"))
+    per = cut_lineage(per)   # read for the cuts, the sums of the ranges and the running sums
+    b = score_ranges(per, "threshold")
+    return running_sums_desc(per, "threshold", ["tp", "fp"], b), b
 
 
-def roc_points(df: DataFrame, y: str, score: str, bucket: Column | None = None, drop_intermediate: bool = True,
-               include_origin: bool = True) -> DataFrame:
+def roc_points(df: DataFrame, y: str, score: str, drop_intermediate: bool = True, include_origin: bool = True) -> DataFrame:
     """ROC points (threshold, fps, tps, fpr, tpr) in the plotting library's
     convention: one point per distinct score in descending order; with
     ``drop_intermediate`` a point is kept only where the curve bends (its own
     (fp, tp) step differs from the next point's), plus the first and last; with
     ``include_origin`` the point (0, 0) at threshold +inf comes first. Scores are
-    grouped first, running sums and next-point values come from bucketed offsets
-    (no one-task window). The default bucket assumes scores in [0, 1]."""
-    t = _score_table(df, y, score, bucket)
-    tot = df.agg(F.sum((F.col(y) == F.lit(1)).cast("long")).alias("P"),
-                 F.sum((F.col(y) != F.lit(1)).cast("long")).alias("N")).first()
+    grouped first, running sums and next-point values come from the offsets of
+    score ranges cut at quantiles (no one-task window, any distribution). Rows
+    whose score is null or NaN are left out of points and totals."""
+    t, b = _score_table(df, y, score)
+    tot = t.agg(F.sum("tp").alias("P"), F.sum("fp").alias("N")).first()
     P, N = tot["P"] or 0, tot["N"] or 0
     if drop_intermediate:
-        b = bucket if bucket is not None else unit_bucket(F.col("threshold"))
         t = next_desc(t, "threshold", ["tp", "fp"], b)
         first = (F.col("cum_tp") == F.col("tp")) & (F.col("cum_fp") == F.col("fp"))
         bend = (F.col("next_tp") != F.col("tp")) | (F.col("next_fp") != F.col("fp"))
@@ -118,10 +131,11 @@ def roc_points(df: DataFrame, y: str, score: str, bucket: Column | None = None,
                       (F.col("tps") / F.lit(float(P)) if P else F.lit(None).cast("double")).alias("tpr"))
 
 
-def roc_auc(df: DataFrame, y: str, score: str, bucket: Column | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Trapezoid area under the ROC curve, exact under ties. The previous
-    point of each threshold is (cum - own counts), so no ordered ``lag`` is needed."""
-    t = _score_table(df, y, score, bucket)
+    point of each threshold is (cum - own counts), so no ordered ``lag`` is needed.
+    Rows whose score is null or NaN are left out."""
+    t, _ = _score_table(df, y, score)
     area2 = F.sum(F.col("fp") * (F.col("cum_tp") * 2 - F.col("tp")))
     return t.agg(area2.alias("a2"), F.sum("tp").alias("P"), F.sum("fp").alias("N")).select(
         F.col("P").cast("bigint").alias("n_pos"), F.col("N").cast("bigint").alias("n_neg"),
@@ -191,17 +205,20 @@ def macro_prf(df: DataFrame, y: str, pred: str, classes: Sequence[int]) -> DataF
                  F.avg("f1").alias("macro_f1"))
 
 
-def model_drift_summary(df: DataFrame, model: str, y: str, pred: str, baseline: str) -> DataFrame:
-    """Per model key n and accuracy in ONE group-by, then each model's signed and
-    absolute accuracy difference to the baseline model (join of the tiny summary)."""
+def model_drift_summary(df: DataFrame, model: str, y: str, pred: str, baseline: str, positive: int = 1) -> DataFrame:
+    """Per model key n, accuracy, precision, recall and F1 in ONE group-by, then each model's signed and
+    absolute accuracy difference to the baseline model."""
     from pyspark.sql import Window
-    per = df.groupBy(model).agg(F.count(F.lit(1)).alias("n"),
-                                F.avg((F.col(y) == F.col(pred)).cast("double")).alias("accuracy"))
+    per = df.groupBy(model).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(y) == F.col(pred)).cast("double")).alias("accuracy"),
+                                *binary_counts(df, y, pred, positive))
     # the per-model table has one row per model: a window over it, no join
     base = F.max(F.when(F.col(model) == F.lit(baseline), F.col("accuracy"))).over(Window.partitionBy())
     out = per.withColumn("_base", base)
     return out.select(model, "n", "accuracy", (F.col("accuracy") - F.col("_base")).alias("drift"),
-                      F.abs(F.col("accuracy") - F.col("_base")).alias("abs_drift"))
+                      F.abs(F.col("accuracy") - F.col("_base")).alias("abs_drift"),
+                      _div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+                      _div(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"),
+                      _div(F.col("tp") * 2, F.col("tp") * 2 + F.col("fp") + F.col("fn")).alias("f1"))
 
 
 def binary_report(scored: DataFrame, y: str, p: str, pred: str) -> dict:

@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_uint32
 from ..session import cut_lineage
 
-# Above this many distinct values a code table is ranked by range partitions.
-SMALL_DISTINCT = 1_000_000
-
-
 def hash_rank(df: DataFrame, id_col: str, seed, by: Sequence[str] = (), bits: int = 20,
               rank_col: str = "rank", size_col: str | None = None) -> DataFrame:
     """1-based rank within ``by`` groups, ordered by (md5 draw of ``seed|id``, id).
@@ -51,31 +47,23 @@ def hash_rank(df: DataFrame, id_col: str, seed, by: Sequence[str] = (), bits: in
     return x.withColumn(rank_col, (F.col("_off") + rn).cast("bigint")).drop("_h", "_b", "_off")
 
 
-def dense_codes(values: DataFrame, col: str, code_col: str = "code") -> DataFrame:
-    """0-based dense codes of the distinct non-null values of ``col`` in sorted order.
-
-    The distinct table of a categorical column is small; when it is not
-    (counted first), it is ranked by range partitions with offsets.
-    """
-    vals = values.select(col).where(F.col(col).isNotNull()).distinct()
-    n = vals.count()
-    if n <= SMALL_DISTINCT:
-        w = Window.orderBy(col)
-        return vals.withColumn(code_col, (F.row_number().over(w) - 1).cast("int"))
-    parts = max(1, n // SMALL_DISTINCT + 1) * 8
-    ranged = cut_lineage(vals.repartitionByRange(parts, col).withColumn("_pid", F.spark_partition_id()))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rn = F.row_number().over(Window.partitionBy("_pid").orderBy(col))
-    return (ranged.join(F.broadcast(counts.select("_pid", "_off")), "_pid")
-            .withColumn(code_col, (F.col("_off") + rn - 1).cast("int")).select(col, code_col))
+def ranged_codes(rows: DataFrame, group: Sequence[str], order: Sequence[str], code_col: str = "code") -> DataFrame:
+    """0-based place of each of the distinct ``rows`` within its group in the order of ``order``, by range partitions:
+    rows are counted per partition and group, the counts become offsets, and only a partition's own rows are sorted."""
+    group = list(group)
+    ranged = cut_lineage(rows.repartitionByRange(*group, *order).withColumn("_pid", F.spark_partition_id()))
+    counts = ranged.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_off", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    place = F.row_number().over(Window.partitionBy(*group, "_pid").orderBy(*order))
+    out = ranged.join(counts, [*group, "_pid"])
+    return out.withColumn(code_col, (F.col("_off") + place - 1).cast("int")).drop("_pid", "_off")
 
 
-def unit_bucket(score: Column, bits: int = 20) -> Column:
-    """Monotone bucket for scores in [0, 1]."""
-    top = (1 << bits) - 1
-    return F.least(F.greatest(F.floor(score * F.lit(float(1 << bits))), F.lit(0)), F.lit(top)).cast("long")
+def dense_codes(values: DataFrame, col: str, code_col: str = "code") -> DataFrame:
+    """0-based dense codes of the distinct non-null values of ``col`` in sorted order."""
+    vals = values.select(col).where(F.col(col).isNotNull()).distinct()
+    return ranged_codes(vals, [], [col], code_col)
 
 
 def running_sums_desc(df: DataFrame, score_col: str, value_cols: Sequence[str], bucket: Column,

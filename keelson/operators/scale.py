@@ -55,7 +55,7 @@ def fit_minimums(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
 def min_shift(df: DataFrame, cols: Sequence[str], exempt: Sequence[str] = (), fit_on: DataFrame | None = None,
               fill: float = -1) -> DataFrame:
     """``x - min(x)`` over the fitting frame (train and test together), null to ``fill``.
-    Exempt columns are only filled."""
+    Exempt columns are left as they are: neither shifted nor filled."""
     shift = [c for c in cols if c not in set(exempt)]
     mins = fit_minimums(fit_on if fit_on is not None else df, shift)
     out = []
@@ -63,8 +63,6 @@ def min_shift(df: DataFrame, cols: Sequence[str], exempt: Sequence[str] = (), fi
         if c in mins:
             expr = F.col(c).cast("double") - F.lit(mins[c]) if mins[c] is not None else F.col(c).cast("double")
             out.append(F.coalesce(expr, F.lit(float(fill))).alias(c))
-        elif c in cols:
-            out.append(F.coalesce(F.col(c).cast("double"), F.lit(float(fill))).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)

@@ -2,16 +2,7 @@
 
 from __future__ import annotations
 
-import importlib
-
+from . import flagship, pipelines, q_eval, q_models, q_tabular  # noqa: F401
 from .registry import INVENTORY, ORACLES, QUERIES
 
-_MODULES = ["q_tabular", "q_eval", "q_models", "flagship", "pipelines"]
-for _m in _MODULES:
-    try:
-        importlib.import_module(f"{__package__}.{_m}")
-    except ModuleNotFoundError as e:  # a module not written yet
-        if e.name != f"{__package__}.{_m}":
-            raise
-
 __all__ = ["QUERIES", "ORACLES", "INVENTORY"]

@@ -8,7 +8,7 @@ train), a seeded split, equal k is a parameter of both kNN variants.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,8 +41,11 @@ def _metrics_row(name: str, scored: DataFrame) -> tuple[str, dict]:
 def diabetes_workflow(spark: SparkSession, csv_path: str, seed: int = 42, epochs: int = EPOCHS,
                       lr: float = LEARNING_RATE) -> DataFrame:
     df = read_csv(spark, csv_path, SCHEMA)
-    # the file has no key: rows get an id once, pinned by a checkpoint (stable on retries)
-    df = cut_lineage(clean.drop_null_rows(df).withColumn("row_id", F.monotonically_increasing_id()))
+    # the file has no key: a row's id is a hash of its content and of its place among equal rows, so splits do not depend
+    # on the file's layout
+    df = clean.drop_null_rows(df)
+    same = F.row_number().over(Window.partitionBy(*df.columns).orderBy(F.lit(1)))
+    df = cut_lineage(df.withColumn("_same", same).withColumn("row_id", F.xxhash64(*df.columns, "_same")).drop("_same"))
     df = sample.undersample_balance(df, LABEL, "row_id", seed=BALANCE_SEED)
     df = cut_lineage(sample.split_exact(df, "row_id", seed=seed, test_ratio=TEST_RATIO))
     train = df.where(F.col("split") == "train")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics
 from ..operators.nets import Act, Conv, Dense, Net, Pool, score_net
-from ..sources.weights import MAX_MODEL_BYTES, WEIGHTS_SCHEMA
+from ..sources.weights import WEIGHTS_SCHEMA
 
 # The four architectures of the digit scripts.
 CONV_SQUARE_NET = Net(1, 28, 28, (Conv("conv1", 4, 7, 3), Act("square"), Dense("fc1", 1024), Act("square"),
@@ -27,9 +27,6 @@ def weights_table(spark: SparkSession, arrays: dict[str, tuple[np.ndarray, np.nd
     """{layer: (W, b)} -> (layer, out_idx, in_idx, w) rows; a conv kernel (out, in, kh, kw)
     is flattened row-major, so in_idx = c_in * kh * kw + ki * kw + kj; bias has in_idx -1.
     Model-sized input only: the byte bound is checked."""
-    total = sum(np.asarray(w).size + np.asarray(b).size for w, b in arrays.values()) * 8
-    if total > MAX_MODEL_BYTES:
-        raise ValueError(f"model of {total} bytes exceeds {MAX_MODEL_BYTES}")
     rows = []
     for name, (w, b) in arrays.items():
         w2 = np.asarray(w, dtype=np.float64).reshape(np.asarray(w).shape[0], -1)

@@ -69,7 +69,7 @@ def passenger_style(spark: SparkSession, d: str, epochs: int = 200, lr: float =
     df = cut_lineage(sample.split_exact(df, "o_orderkey", seed=42, test_ratio=0.2))
     train = df.where(F.col("split") == "train")
     df = clean.fill_constant(df, {"sum_qty": 0.0, "avg_disc": 0.0, "avg_tax": 0.0, "max_price": 0.0})
-    df = clean.fill_mode(df, ["n_lines", "family"])
+    df = clean.fill_mode(df, ["n_lines", "family"], fit_on=train)
     df = encode.label_encode(df, ["qty_bin", "disc_bin", "c_mktsegment"], fit_on=train, suffix="_code")
     cats = encode.one_hot_categories(train, "o_orderstatus")
     df = encode.one_hot(df, "o_orderstatus", cats, prefix="status")

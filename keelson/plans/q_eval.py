@@ -220,13 +220,18 @@ def _variant_scores(spark, d):
 
 @query("model_drift_summary", "A17", sql=f"""
 WITH {OF}, {_variants_sql()},
-per AS (SELECT variant, count(*) AS n, avg(CASE WHEN label = (p > 0.5)::INT THEN 1.0 ELSE 0.0 END) AS accuracy FROM v GROUP BY variant)
+per AS (SELECT variant, count(*) AS n, avg(CASE WHEN label = (p > 0.5)::INT THEN 1.0 ELSE 0.0 END) AS accuracy,
+        count(*) FILTER (label = 1 AND p > 0.5) AS tp, count(*) FILTER (label <> 1 AND p > 0.5) AS fp,
+        count(*) FILTER (label = 1 AND NOT p > 0.5) AS fn FROM v GROUP BY variant)
 SELECT variant, n::BIGINT AS n, {sr("accuracy")} AS accuracy,
        {sr("accuracy - (SELECT accuracy FROM per WHERE variant = 'plain')")} AS drift,
-       {sr("abs(accuracy - (SELECT accuracy FROM per WHERE variant = 'plain'))")} AS abs_drift FROM per""")
+       {sr("abs(accuracy - (SELECT accuracy FROM per WHERE variant = 'plain'))")} AS abs_drift,
+       {sr("CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fp) END")} AS "precision",
+       {sr("CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fn) END")} AS recall,
+       {sr("CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE (2 * tp)::DOUBLE / (2 * tp + fp + fn) END")} AS f1 FROM per""")
 def q_model_drift(spark, d):
     t = M.model_drift_summary(_variant_scores(spark, d), "variant", "label", "pred", "plain")
-    return t.select("variant", b("n"), r("accuracy"), r("drift"), r("abs_drift"))
+    return t.select("variant", b("n"), r("accuracy"), r("drift"), r("abs_drift"), r("precision"), r("recall"), r("f1"))
 
 
 @query("fixed_point_drift", "M9", sql=f"""

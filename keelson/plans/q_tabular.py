@@ -362,12 +362,13 @@ SHIFT_COLS = ["o_totalprice", "n_lines", "sum_qty", "avg_disc", "max_price"]
 
 @query("min_shift", "A7", sql=f"""
 WITH {OF}
-SELECT o_orderkey::BIGINT AS o_orderkey, {sr("coalesce(o_totalprice, -1.0)")} AS o_totalprice,
+SELECT o_orderkey::BIGINT AS o_orderkey, {sr("CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END")} AS o_totalprice,
        {", ".join(sr(f"coalesce({c} - min({c}) OVER (), -1.0)") + f" AS {c}" for c in SHIFT_COLS[1:])}
 FROM order_features""")
 def min_shift(spark, d):
-    df = scale.min_shift(ds.order_features(spark, d).select("o_orderkey", *SHIFT_COLS), SHIFT_COLS,
-                         exempt=["o_totalprice"])
+    df = ds.order_features(spark, d).select("o_orderkey", *SHIFT_COLS)
+    df = df.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")))   # null exempt amounts
+    df = scale.min_shift(df, SHIFT_COLS, exempt=["o_totalprice"])
     return df.select(b("o_orderkey"), *[r(c) for c in SHIFT_COLS])
 
 

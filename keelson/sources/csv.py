@@ -36,8 +36,10 @@ def numbered(prefix: str, lo: int, hi: int, width: int = 0, sep: str = "") -> li
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str] | None = None,
              header: bool = True) -> DataFrame:
     """CSV with header and a declared schema; ``columns`` prunes (Catalyst pushes
-    the projection into the scan, so unused columns are never parsed)."""
-    df = spark.read.schema(schema).option("header", header).option("mode", "FAILFAST").csv(path)
+    the projection into the scan, so unused columns are never parsed). A header
+    whose names or order differ from the schema is an error, not a silent shift."""
+    df = (spark.read.schema(schema).option("header", header).option("enforceSchema", not header)
+          .option("mode", "FAILFAST").csv(path))
     return df.select(*columns) if columns else df
 
 

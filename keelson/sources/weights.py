@@ -1,7 +1,7 @@
 """Model weights as a table: (layer, out_idx, in_idx, w); bias has in_idx = -1.
 
-Weights are model-sized, never data-sized; readers check the byte bound before
-shipping them to executors.
+Weights are model-sized, never data-sized: their number is fixed by the net's
+shapes, and a table with a missing, repeated or surplus weight is refused.
 """
 
 from __future__ import annotations
@@ -18,10 +18,6 @@ WEIGHTS_SCHEMA = T.StructType([
     T.StructField("w", T.DoubleType(), False),
 ])
 
-# Bound on a model shipped to every task (bytes of float64 weights).
-MAX_MODEL_BYTES = 256 * 1024 * 1024
-
-
 def write_weights(df: DataFrame, path: str) -> str:
     df.select("layer", "out_idx", "in_idx", F.col("w").cast("double")).write.mode("overwrite").parquet(path)
     return path
@@ -54,15 +50,26 @@ def formula_matrix(n_out: int, n_in: int, a: int = 7, b: int = 3, mod: int = 11,
 
 
 def collect_layers(weights: DataFrame, shapes: dict[str, tuple[int, int]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Weights table -> {layer: (W[out, in], b[out])}, after checking the size bound.
+    """Weights table -> {layer: (W[out, in], b[out])}.
 
-    Only model parameters pass through the driver; their size is known from
-    ``shapes`` and checked before anything is collected.
+    Only model parameters pass through the driver; their number is known from
+    ``shapes``. Every layer must hold each (out_idx, in_idx) of its shape exactly
+    once, bias included; that is checked before anything is collected.
     """
-    total = sum((o * (i + 1)) * 8 for o, i in shapes.values())
-    if total > MAX_MODEL_BYTES:
-        raise ValueError(f"model of {total} bytes exceeds the broadcast bound {MAX_MODEL_BYTES}")
-    rows = weights.where(F.col("layer").isin(list(shapes))).toPandas()
+    own = weights.where(F.col("layer").isin(list(shapes)))
+    distinct = F.count_distinct("out_idx", "in_idx")
+    inside = F.lit(False)
+    for name, (n_out, n_in) in shapes.items():
+        inside = inside | ((F.col("layer") == name) & F.col("out_idx").between(0, n_out - 1) & F.col("in_idx").between(-1, n_in - 1))
+    found = {r["layer"]: (r["n"], r["d"], r["bad"]) for r in own.groupBy("layer").agg(
+        F.count(F.lit(1)).alias("n"), distinct.alias("d"),
+        F.sum((~inside | F.col("w").isNull()).cast("long")).alias("bad")).collect()}
+    for name, (n_out, n_in) in shapes.items():
+        n, d, bad = found.get(name, (0, 0, 0))
+        want = n_out * (n_in + 1)
+        if (n, d, bad) != (want, want, 0):
+            raise ValueError(f"layer {name}: {want} weights expected, found {n} rows, {d} distinct places, {bad} outside the shape or null")
+    rows = own.toPandas()
     out = {}
     for name, (n_out, n_in) in shapes.items():
         part = rows[rows["layer"] == name]

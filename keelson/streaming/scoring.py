@@ -1,8 +1,8 @@
 """Score rows as they arrive with a fitted linear model.
 
 The scorer is the same native expression as batch scoring (no state, no
-watermark needed). The stream's checkpoint lives under the shared
-``spark.checkpoint.dir`` so a restarted query resumes where it stopped.
+watermark needed). The caller names the stream's checkpoint folder, on shared
+storage, so a restarted query resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import threshold_label
 from ..operators.linear import linear_score
-from ..session import scratch_path
 
 
 def score_stream(stream: DataFrame, features: Sequence[Column] | str, weights: Sequence[float], bias: float,
@@ -27,12 +26,13 @@ def score_stream(stream: DataFrame, features: Sequence[Column] | str, weights: S
 
 
 def run_to_parquet(spark: SparkSession, source_dir: str, schema: T.StructType,
-                   build: Callable[[DataFrame], DataFrame], out_path: str, name: str,
+                   build: Callable[[DataFrame], DataFrame], out_path: str, checkpoint: str,
                    glob: str = "*.parquet", max_files_per_trigger: int = 1) -> None:
-    """Process every file matching ``glob`` currently in ``source_dir`` (available-now trigger)."""
+    """Process every file matching ``glob`` in ``source_dir`` that earlier runs with the same ``checkpoint`` folder have
+    not processed (available-now trigger)."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .option("pathGlobFilter", glob).parquet(source_dir))
     q = (build(stream).writeStream.format("parquet").option("path", out_path)
-         .option("checkpointLocation", scratch_path(spark, f"stream-{name}"))
+         .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

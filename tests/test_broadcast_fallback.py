@@ -15,7 +15,7 @@ def test_fallback_paths_give_same_results(spark, monkeypatch):
     names = ["label_encode", "freq_encode", "group_stat_encode", "split_stratified", "undersample_balance",
              "conv2d_relational"]
     want = {n: _rows(QUERIES[n](spark, SF_SMALL)) for n in names}
-    monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 0)
+    monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", 0)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # no broadcast by Catalyst's estimate either
     try:
@@ -36,6 +36,6 @@ def _check(spark, names, want):
 def test_hash_cut_without_broadcast(spark, monkeypatch):
     df = spark.range(500).withColumn("g", (F.col("id") % 2).cast("int"))
     want = {r["id"] for r in ranking.hash_cut(df, "id", 3, lambda n: F.floor(n * F.lit(0.5)), by=["g"]).where("in_cut").collect()}
-    monkeypatch.setattr(joins, "BROADCAST_MAX_ROWS", 0)
+    monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", 0)
     got = {r["id"] for r in ranking.hash_cut(df, "id", 3, lambda n: F.floor(n * F.lit(0.5)), by=["g"]).where("in_cut").collect()}
     assert got == want and len(got) == 250

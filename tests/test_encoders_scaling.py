@@ -16,13 +16,10 @@ def test_label_codes_numeric_order(spark):
     assert got == {1: 1, 2: 0, 3: 2}
 
 
-def test_dense_codes_range_path_equals_window(spark, monkeypatch):
-    df = spark.createDataFrame([(f"v{i % 37:03d}",) for i in range(500)], "c string")
-    small = {r["c"]: r["code"] for r in ranking.dense_codes(df, "c").collect()}
-    monkeypatch.setattr(ranking, "SMALL_DISTINCT", 5)
-    big = {r["c"]: r["code"] for r in ranking.dense_codes(df, "c").collect()}
-    assert small == big
-    assert sorted(small.values()) == list(range(37))
+def test_dense_codes_over_range_partitions(spark):
+    df = spark.createDataFrame([(f"v{i % 37:03d}",) for i in range(500)], "c string").repartition(7)
+    codes = {r["c"]: r["code"] for r in ranking.dense_codes(df, "c").collect()}
+    assert codes == {f"v{i:03d}": i for i in range(37)}
 
 
 def test_freq_encode_null_and_sentinel(spark):
@@ -60,6 +57,36 @@ def test_combine_uses_nan_text(spark):
     assert got == ["3_x", "nan_x", "3_nan"]
 
 
+def test_codes_and_frequencies_keep_types_apart(spark):
+    """Neighbouring 64-bit keys, dates, decimals and the text "-1" stay what they are."""
+    import datetime as dt
+    from decimal import Decimal
+    big = 2 ** 53
+    rows = [(i, k, d, m, s) for i, (k, d, m, s) in enumerate([
+        (big, dt.date(2020, 1, 1), Decimal("0.10"), "-1"), (big + 1, dt.date(2020, 1, 2), Decimal("0.11"), "x"),
+        (big + 1, dt.date(2020, 1, 2), Decimal("0.11"), "x"), (-1, None, None, None)])]
+    df = spark.createDataFrame(rows, "id int, k long, d date, m decimal(12,2), s string")
+    cols = ["k", "d", "m", "s"]
+    codes = {r["id"]: tuple(r[f"{c}_c"] for c in cols) for r in encode.label_encode(df, cols, suffix="_c").collect()}
+    assert codes == {0: (1, 0, 0, 0), 1: (2, 1, 1, 1), 2: (2, 1, 1, 1), 3: (0, -1, -1, -1)}
+    freq = {r["id"]: tuple(r[f"{c}_FE"] for c in cols) for r in encode.freq_encode(df, cols).collect()}
+    third = 1 / 3
+    assert freq == {0: (0.25, third, third, third), 1: (0.5, 2 / 3, 2 / 3, 2 / 3), 2: (0.5, 2 / 3, 2 / 3, 2 / 3), 3: (-1.0, None, None, None)}
+
+
+def test_min_shift_leaves_exempt_columns_alone(spark):
+    df = spark.createDataFrame([(1, 5.0, None), (2, None, 2.0), (3, 7.0, 3.0)], "id int, a double, b double")
+    out = {r["id"]: (r["a"], r["b"]) for r in scale.min_shift(df, ["a", "b"], exempt=["b"]).collect()}
+    assert out == {1: (0.0, None), 2: (-1.0, 2.0), 3: (2.0, 3.0)}
+
+
+def test_fill_mode_fits_on_another_frame(spark):
+    fit = spark.createDataFrame([(7, "a"), (7, "b"), (8, "b")], "x int, y string")
+    df = spark.createDataFrame([(None, None), (9, "c")], "x int, y string")
+    assert sorted(map(tuple, clean.fill_mode(df, ["x", "y"], fit_on=fit).collect())) == [(7, "b"), (9, "c")]
+    assert clean.column_modes(df.where("x IS NULL"), ["x", "y"]) == {"x": None, "y": None}
+
+
 def test_fill_mode_tie_smallest(spark):
     df = spark.createDataFrame([(1, 2), (2, 1), (3, 2), (4, 1), (5, None)], "id int, x int")
     got = {r["id"]: r["x"] for r in clean.fill_mode(df, ["x"]).collect()}
@@ -79,12 +106,6 @@ def test_standardize_sample(spark):
     assert out == {1: -1 / s, 2: 1 / s}
 
 
-def test_min_shift_exempt_and_fill(spark):
-    df = spark.createDataFrame([(1, 5.0, 2.0), (2, None, 4.0), (3, 7.0, None)], "id int, a double, amt double")
-    out = {r["id"]: (r["a"], r["amt"]) for r in scale.min_shift(df, ["a", "amt"], exempt=["amt"]).collect()}
-    assert out == {1: (0.0, 2.0), 2: (-1.0, 4.0), 3: (2.0, -1.0)}
-
-
 def test_rename_positional_checks_count(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     assert clean.rename_positional(df, ["x", "y"]).columns == ["x", "y"]
@@ -95,10 +116,7 @@ def test_rename_positional_checks_count(spark):
         pass
 
 
-def test_label_codes_high_cardinality_path(spark, monkeypatch):
-    df = spark.createDataFrame([(i, f"k{i % 53:03d}", float(i % 41)) for i in range(400)], "id int, c string, x double")
-    small = {(r["id"]): (r["c"], r["x"]) for r in encode.label_encode(df, ["c", "x"]).collect()}
-    monkeypatch.setattr(ranking, "SMALL_DISTINCT", 10)
-    big = {(r["id"]): (r["c"], r["x"]) for r in encode.label_encode(df, ["c", "x"]).collect()}
-    assert small == big
-    assert {v[0] for v in big.values()} == set(range(53)) and {v[1] for v in big.values()} == set(range(41))
+def test_label_codes_of_several_columns_over_range_partitions(spark):
+    df = spark.createDataFrame([(i, f"k{i % 53:03d}", float(i % 41)) for i in range(400)], "id int, c string, x double").repartition(9)
+    got = {r["id"]: (r["c"], r["x"]) for r in encode.label_encode(df, ["c", "x"]).collect()}
+    assert got == {i: (i % 53, i % 41) for i in range(400)}

@@ -148,15 +148,38 @@ def _roc_reference(y, s):
 
 
 def test_roc_points_match_library_convention(spark):
-    from keelson.operators.ranking import unit_bucket
     rng = np.random.default_rng(7)
     s = np.round(rng.random(600), 2)
     y = (rng.random(600) < s).astype(int)
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double")
     want = sorted(_roc_reference(y, s))
-    for bucket in (None, unit_bucket(F.col("threshold"), bits=3)):
-        got = sorted((r["threshold"], r["fps"], r["tps"]) for r in M.roc_points(df, "y", "s", bucket=bucket).collect())
-        assert got == want
+    got = sorted((r["threshold"], r["fps"], r["tps"]) for r in M.roc_points(df, "y", "s").collect())
+    assert got == want
+
+
+def test_roc_of_rare_event_scores_spreads_over_the_ranges(spark):
+    """All scores below 1e-6: the ranges still share the distinct scores evenly, and the curve is exact."""
+    rng = np.random.default_rng(8)
+    s = rng.random(20_000) * 1e-6
+    y = (rng.random(20_000) < 0.3).astype(int)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double")
+    per = df.select(F.col("s").alias("threshold")).distinct()
+    sizes = [r["count"] for r in per.groupBy(M.score_ranges(per, "threshold").alias("b")).count().collect()]
+    assert len(sizes) == M.SCORE_RANGES and max(sizes) < 3 * 20_000 / M.SCORE_RANGES
+    order = np.argsort(-s)
+    ranks = np.empty(20_000)
+    ranks[np.argsort(s)] = np.arange(1, 20_001)
+    want = (ranks[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (20_000 - y.sum()))
+    assert len(order) and abs(M.roc_auc(df, "y", "s").first()["auc"] - want) < 1e-12
+
+
+def test_roc_leaves_out_null_and_nan_scores(spark):
+    rows = [(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.1)]
+    odd = [(1, None), (0, None), (1, float("nan")), (0, float("nan")), (1, -3.0), (0, 7.0)]
+    clean_, mixed = (spark.createDataFrame(x, "y int, s double") for x in (rows + odd[4:], rows + odd))
+    assert sorted(map(str, M.roc_points(clean_, "y", "s").collect())) == sorted(map(str, M.roc_points(mixed, "y", "s").collect()))
+    assert M.roc_auc(clean_, "y", "s").first() == M.roc_auc(mixed, "y", "s").first()
+    assert M.roc_auc(mixed.where("s IS NULL"), "y", "s").first()["auc"] is None
 
 
 @pytest.mark.parametrize("bits", [1, 4, 16])
