@@ -23,7 +23,7 @@ HEADLINE = [
     "flagship_order_metrics", "group_stat_encode", "freq_encode", "label_encode", "one_hot", "standardize_sample",
     "min_shift", "split_stratified", "undersample_balance", "roc_auc", "roc_points", "confusion_matrix",
     "knn_topk", "knn_majority_vote", "smote_oversample", "lr_train_gd", "dense_square_score", "conv_pool_score",
-    "conv2d_relational", "maxpool_relational", "pipeline_fraud", "pipeline_diabetes",
+    "conv2d_relational", "maxpool_relational", "pipeline_fraud", "pipeline_diabetes", "pipeline_passenger",
 ]
 
 

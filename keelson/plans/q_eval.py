@@ -10,10 +10,12 @@ from ..functions.arrays import argmax
 from ..functions.hashing import sql_hash_uint32
 from ..functions.scalar import threshold_label
 from ..operators import metrics as M
+from ..operators import nets as N
 from ..operators import sample
 from ..operators.linear import fixed_point_scores, linear_score
 from ..tables import table
 from . import datasets as ds
+from .q_models import DENSE_RELU, net_weights, sql_net_ctes
 from .registry import b, query, r, sr
 
 OF = ds.ORDER_FEATURES_SQL
@@ -128,19 +130,19 @@ def q_log_loss(spark, d):
 
 
 def image_logits(spark, d):
-    """image_id, label, logits = 10 * first ten pixels (a stand-in logit vector)."""
+    """image_id, label, logits of the dense ReLU net over all pixels."""
     im = ds.images(spark, d)
-    return im.select("image_id", "label",
-                     F.transform(F.slice("pixels", 1, 10), lambda x: x.cast("double") * F.lit(10.0)).alias("logits"))
+    return N.score_net(im, DENSE_RELU, net_weights(spark, DENSE_RELU)).select("image_id", "logits").join(im.select("image_id", "label"), "image_id")
 
 
-LOGITS_SQL = """lg AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE * 10.0::DOUBLE) AS z FROM embeddings)"""
+_NET, _LAST = sql_net_ctes(DENSE_RELU)
+LOGITS_SQL = f"""{_NET}, lz AS (SELECT id, list(v ORDER BY j) AS z FROM {_LAST} GROUP BY id),
+lg AS (SELECT e.vec_id, e.label, lz.z FROM embeddings e JOIN lz ON lz.id = e.vec_id)"""
 
 
 @query("cross_entropy", "A14 R5", sql=f"""
 WITH {LOGITS_SQL},
-nb AS (SELECT ceil(count(*) / 64.0)::BIGINT AS k FROM embeddings),
-rows_ AS (SELECT {sql_hash_uint32(0, "'0'", "vec_id")} % (SELECT k FROM nb) AS batch_id,
+rows_ AS (SELECT (row_number() OVER (ORDER BY {sql_hash_uint32("0|0", "vec_id")}, vec_id) - 1) // 64 AS batch_id,
                  list_max(z) + ln(list_reduce(list_prepend(0.0::DOUBLE, list_transform(z, lambda x: exp(x - list_max(z)))), lambda a, x: a + x))
                  - z[label + 1] AS ce FROM lg)
 SELECT batch_id::BIGINT AS batch_id, count(*)::BIGINT AS n, {sr("avg(ce)")} AS cross_entropy FROM rows_ GROUP BY batch_id""")
@@ -297,14 +299,12 @@ def q_split_stratified(spark, d):
 
 
 @query("minibatch_ids", "R5", sql=f"""
-WITH nb AS (SELECT ceil(count(*) / 64.0)::BIGINT AS k FROM embeddings)
 SELECT vec_id::BIGINT AS image_id, e.range::BIGINT AS epoch,
-       ({sql_hash_uint32(7, "e.range", "vec_id")} % (SELECT k FROM nb))::BIGINT AS batch_id
+       ((row_number() OVER (PARTITION BY e.range ORDER BY {sql_hash_uint32(7, "e.range", "vec_id")}, vec_id) - 1) // 64)::BIGINT AS batch_id
 FROM embeddings, range(2) e""")
 def q_minibatch(spark, d):
     im = ds.images(spark, d).select("image_id")
-    n = im.count()
-    parts = [sample.minibatch_ids(im, "image_id", 64, seed=7, epoch=e, n_rows=n).withColumn("epoch", F.lit(e))
+    parts = [sample.minibatch_ids(im, "image_id", 64, seed=7, epoch=e).withColumn("epoch", F.lit(e))
              for e in range(2)]
     t = parts[0].unionByName(parts[1])
     return t.select(b("image_id"), b("epoch"), b("batch_id"))

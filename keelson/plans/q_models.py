@@ -114,30 +114,56 @@ def q_linear_score(spark, d):
     return t.select(b("o_orderkey"), r("logit", L.linear_logit("features", ds.LINEAR_WEIGHTS, ds.LINEAR_BIAS)), r("p"))
 
 
-GD_EPOCHS = 3
+GD_EPOCHS = 200
 GD_LR = 0.1
+ADAM_EPOCHS = 10
+ADAM_LR = 0.01
 
+_BCE = ("-(y * CASE WHEN p > 0 THEN greatest(ln(p), -100.0) ELSE -100.0 END"
+        " + (1.0 - y) * CASE WHEN p < 1 THEN greatest(ln(1.0 - p), -100.0) ELSE -100.0 END)")
 
-def _sql_gd(epochs: int, lr: float) -> str:
-    nf = len(ds.FEATURE_SQL)
+
+def _sql_epoch(nf: int) -> tuple[str, str]:
+    """CTE X of the training rows, and the text of one epoch's gradients over X and the recursive table W."""
     xs = ", ".join(f"{f} AS x{j}" for j, f in enumerate(ds.FEATURE_SQL))
-    zero = ", ".join(f"0.0::DOUBLE AS w{j}" for j in range(nf))
-    ctes = [OF, f"X AS (SELECT {xs}, label::DOUBLE AS y FROM order_features)",
-            f"W0 AS (SELECT 0 AS epoch, NULL::DOUBLE AS loss, 0.0::DOUBLE AS b, {zero})"]
-    bce = ("-(y * CASE WHEN p > 0 THEN greatest(ln(p), -100.0) ELSE -100.0 END"
-           " + (1.0 - y) * CASE WHEN p < 1 THEN greatest(ln(1.0 - p), -100.0) ELSE -100.0 END)")
-    for e in range(1, epochs + 1):
-        terms = " + ".join(f"x{j} * W.w{j}" for j in range(nf))
-        p = f"(1.0::DOUBLE / (1.0::DOUBLE + exp(-((0.0::DOUBLE + {terms}) + W.b))))"
-        grads = ", ".join(f"sum((p - y) * x{j}) / count(*) AS g{j}" for j in range(nf))
-        ctes.append(f"G{e} AS (SELECT {grads}, sum(p - y) / count(*) AS gb, sum({bce}) / count(*) AS loss "
-                    f"FROM (SELECT X.*, {p} AS p FROM X, W{e - 1} W))")
-        upd = ", ".join(f"W.w{j} - {lr!r}::DOUBLE * G.g{j} AS w{j}" for j in range(nf))
-        ctes.append(f"W{e} AS (SELECT {e} AS epoch, G.loss, W.b - {lr!r}::DOUBLE * G.gb AS b, {upd} FROM W{e - 1} W, G{e} G)")
+    terms = " + ".join(f"x{j} * w{j}" for j in range(nf))
+    p = f"(1.0::DOUBLE / (1.0::DOUBLE + exp(-((0.0::DOUBLE + {terms}) + b))))"
+    kept = ", ".join(f"any_value({c}) AS {c}" for c in ["epoch", "b", *[f"w{j}" for j in range(nf)]])
+    grads = ", ".join(f"sum((p - y) * x{j}) / count(*) AS g{j}" for j in range(nf))
+    inner = (f"SELECT {kept}, {grads}, sum(p - y) / count(*) AS gb, sum({_BCE}) / count(*) AS loss{{extra}} "
+             f"FROM (SELECT X.*, W.*, {p} AS p FROM X, W WHERE W.epoch < {{epochs}}) HAVING count(*) > 0")
+    return f"{OF},\nX AS MATERIALIZED (SELECT {xs}, label::DOUBLE AS y FROM order_features)", inner
+
+
+def _sql_out(nf: int) -> str:
     outs = ", ".join(sr(f"w{j}") + f" AS w{j}" for j in range(nf))
-    body = " UNION ALL ".join(
-        f"SELECT epoch::BIGINT AS epoch, {sr('loss')} AS loss, {sr('b')} AS bias, {outs} FROM W{e}" for e in range(1, epochs + 1))
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return f"SELECT epoch::BIGINT AS epoch, {sr('loss')} AS loss, {sr('b')} AS bias, {outs} FROM W WHERE epoch > 0"
+
+
+def _sql_gd(epochs: int, lr: float) -> str:
+    nf = len(ds.FEATURE_SQL)
+    rows, inner = _sql_epoch(nf)
+    ws = [f"w{j}" for j in range(nf)]
+    start = ", ".join(f"0.0::DOUBLE AS {w}" for w in ws)
+    step = ", ".join(f"w{j} - {lr!r}::DOUBLE * g{j}" for j in range(nf))
+    return (f"WITH RECURSIVE {rows},\nW(epoch, loss, b, {', '.join(ws)}) AS (SELECT 0, NULL::DOUBLE, 0.0::DOUBLE AS b, {start}\n"
+            f"UNION ALL SELECT epoch + 1, loss, b - {lr!r}::DOUBLE * gb, {step} FROM ({inner.format(extra='', epochs=epochs)}))\n{_sql_out(nf)}")
+
+
+def _sql_adam(epochs: int, lr: float, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8) -> str:
+    nf = len(ds.FEATURE_SQL)
+    rows, inner = _sql_epoch(nf)
+    names = [*[f"w{j}" for j in range(nf)], "b"]
+    grads = [*[f"g{j}" for j in range(nf)], "gb"]
+    cols = ["epoch", "loss", "b", *names[:-1], *[f"m_{n}" for n in names], *[f"v_{n}" for n in names]]
+    start = "SELECT 0, NULL::DOUBLE, " + ", ".join(["0.0::DOUBLE"] * (len(cols) - 2))
+    extra = ", " + ", ".join(f"any_value({c}) AS {c}" for c in cols[3 + nf:])
+    moments = ", ".join([f"{b1!r}::DOUBLE * m_{n} + {1 - b1!r}::DOUBLE * {g} AS m_{n}" for n, g in zip(names, grads)]
+                        + [f"{b2!r}::DOUBLE * v_{n} + {1 - b2!r}::DOUBLE * {g} * {g} AS v_{n}" for n, g in zip(names, grads)])
+    new = {n: f"{n} - {lr!r}::DOUBLE * (m_{n} / (1 - pow({b1!r}::DOUBLE, epoch))) / (sqrt(v_{n} / (1 - pow({b2!r}::DOUBLE, epoch))) + {eps!r}::DOUBLE)" for n in names}
+    keep = ", ".join(["epoch", "loss", new["b"], *[new[n] for n in names[:-1]], *cols[3 + nf:]])
+    return (f"WITH RECURSIVE {rows},\nW({', '.join(cols)}) AS ({start}\nUNION ALL SELECT {keep} FROM (SELECT epoch + 1 AS epoch, loss, "
+            f"{', '.join(names)}, {moments} FROM ({inner.format(extra=extra, epochs=epochs)})))\n{_sql_out(nf)}")
 
 
 def _history(spark, model):
@@ -152,23 +178,23 @@ def q_lr_gd(spark, d):
     return _history(spark, model)
 
 
-@query("lr_train_adam", "M2")
+@query("lr_train_adam", "M2", sql=_sql_adam(ADAM_EPOCHS, ADAM_LR))
 def q_lr_adam(spark, d):
-    model = L.train_adam(ds.order_vectors(spark, d), "features", "label", epochs=10, lr=0.01)
+    model = L.train_adam(ds.order_vectors(spark, d), "features", "label", epochs=ADAM_EPOCHS, lr=ADAM_LR)
     return _history(spark, model)
 
 
 # ---------------------------------------------------------------- nets
 
 # Closed-formula weight parameters (a, b) per layer name.
-LAYER_FORMULA = {"fc1": (7, 3), "fc2": (5, 2), "fc3": (3, 1), "conv1": (2, 5)}
+LAYER_FORMULA = {"fc1": (7, 3), "fc2": (5, 2), "fc3": (3, 1), "conv1": (2, 5), "conv2": (3, 4)}
 
 DENSE_SQUARE = N.Net(1, 8, 8, (N.Dense("fc1", 16), N.Act("square"), N.Dense("fc2", 8), N.Act("square"), N.Dense("fc3", 10)))
 DENSE_RELU = N.Net(1, 8, 8, (N.Dense("fc1", 16), N.Act("relu"), N.Dense("fc2", 8), N.Act("relu"), N.Dense("fc3", 10)))
-CONV_SQUARE = N.Net(1, 8, 8, (N.Conv("conv1", 2, 3, 1), N.Act("square"), N.Dense("fc1", 16), N.Act("square"),
+CONV_SQUARE = N.Net(1, 8, 8, (N.Conv("conv1", 4, 3, 2), N.Act("square"), N.Dense("fc1", 16), N.Act("square"),
                               N.Dense("fc2", 10)))
-CONV_POOL = N.Net(1, 8, 8, (N.Conv("conv1", 2, 3, 1), N.Pool(2), N.Act("relu"), N.Dense("fc1", 8), N.Act("relu"),
-                            N.Dense("fc2", 10)))
+CONV_POOL = N.Net(1, 8, 8, (N.Conv("conv1", 2, 3, 1), N.Pool(2), N.Act("relu"), N.Conv("conv2", 4, 2, 1), N.Pool(2), N.Act("relu"),
+                            N.Dense("fc1", 8), N.Act("relu"), N.Dense("fc2", 10)))
 
 
 def net_weights(spark, net: N.Net):
@@ -191,8 +217,9 @@ def _sql_act(kind: str, z: str) -> str:
     return f"{z} * {z}" if kind == "square" else f"greatest({z}, 0.0::DOUBLE)"
 
 
-def _sql_net(net: N.Net) -> str:
-    """SQL forward pass: every layer is a join on the input index and a grouped sum."""
+def sql_net_ctes(net: N.Net) -> tuple[str, str]:
+    """CTEs of the SQL forward pass (every layer is a join on the input index and a grouped sum), and the last one's name:
+    logits as (id, j, v)."""
     shapes = net.shapes()
     ctes = ["x0 AS (SELECT vec_id AS id, (i - 1) AS j, v::DOUBLE AS v FROM "
             "(SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings))"]
@@ -227,6 +254,12 @@ def _sql_net(net: N.Net) -> str:
                         f"WHERE (j % {h * w}) // {w} < {hp * p} AND (j % {w}) < {wp * p} GROUP BY 1, 2)")
             h, w = hp, wp
         cur = t
+    return ",\n".join(ctes), cur
+
+
+def _sql_net(net: N.Net) -> str:
+    held, cur = sql_net_ctes(net)
+    ctes = [held]
     ctes.append(f"pr AS (SELECT id, j AS pred FROM (SELECT id, j, row_number() OVER (PARTITION BY id ORDER BY v DESC, j) AS o "
                 f"FROM {cur}) WHERE o = 1)")
     return ("WITH " + ",\n".join(ctes) + f"\nSELECT z.id::BIGINT AS image_id, pr.pred::BIGINT AS pred, z.j::BIGINT AS pos, "
@@ -322,9 +355,11 @@ def q_flatten(spark, d):
 
 @query("dense_train_mlp", "M10")
 def q_mlp(spark, d):
-    # the stored labels carry no signal: the label is derived from the vector
+    # the stored labels carry no signal: the label is derived from the whole vector, the largest of the sums
+    # of every third pixel
     im = ds.images(spark, d)
-    im = im.withColumn("y", (F.array_position(F.slice("pixels", 1, 3), F.array_max(F.slice("pixels", 1, 3))) - 1).cast("int"))
+    thirds = F.array(*[F.expr(f"aggregate(filter(pixels, (x, i) -> i % 3 = {k}), 0D, (s, x) -> s + x)") for k in range(3)])
+    im = im.withColumn("y", (F.array_position(thirds, F.array_max(thirds)) - 1).cast("int"))
     im = split_exact(im, "image_id", seed=42, test_ratio=0.3)
     model = N.train_mlp(im.where(F.col("split") == "train"), "pixels", "y", [64, 16, 3], max_iter=200, seed=7)
     out = N.mlp_predict(model, im, "pixels", ["image_id", "split", "y"])

@@ -44,11 +44,21 @@ def test_undersample_balances(spark):
     assert got == {0: 100, 1: 100}
 
 
-def test_minibatches_cover_and_near_equal(spark):
-    df = spark.range(640)
-    out = sample.minibatch_ids(df, "id", 64, seed=0, epoch=1)
-    sizes = [r["count"] for r in out.groupBy("batch_id").count().collect()]
-    assert len(sizes) == 10 and sum(sizes) == 640 and max(sizes) < 110
+def test_minibatches_have_the_size_asked_for(spark):
+    df = spark.range(1009)
+    for epoch in (0, 1):
+        sizes = {r["batch_id"]: r["count"] for r in sample.minibatch_ids(df, "id", 64, seed=0, epoch=epoch).groupBy("batch_id").count().collect()}
+        assert sizes == {**{i: 64 for i in range(15)}, 15: 1009 - 15 * 64}
+
+
+def test_split_sizes_by_rounding(spark):
+    df = spark.range(1009).withColumn("y", F.when(F.col("id") < 503, 0).when(F.col("id") < 907, 1).otherwise(2))
+    size = lambda x: x.where("split = 'test'").count()
+    assert size(sample.split_exact(df, "id", 1, 0.2)) == 201 and size(sample.split_exact(df, "id", 1, 0.2, rounding="ceil")) == 202
+    out = sample.split_stratified(df, "id", "y", 1, 0.2, rounding="total")
+    got = {r["y"]: r["count"] for r in out.where("split = 'test'").groupBy("y").count().collect()}
+    # shares of 202: 100.70, 80.88, 20.42; the two largest remainders get one more
+    assert got == {0: 101, 1: 81, 2: 20} and out.count() == 1009
 
 
 def test_first_n(spark):
