@@ -29,6 +29,10 @@ from ..session import cut_lineage
 TRAIN_PARTITION_BYTES = 128 * 1024 * 1024
 
 
+# Terms of a logit that are summed in one chain.
+TERMS = 64
+
+
 @dataclass
 class LinearModel:
     weights: list[float]
@@ -65,77 +69,34 @@ class _EpochRunner:
         self.session = data.sparkSession.newSession()
         self.session.conf.set("spark.sql.adaptive.enabled", "false")
 
+    def _logit(self, w: np.ndarray, b: float) -> str:
+        """Sums of TERMS terms, each left to right from 0.0, then the sum of the sums: the same text for any width, and
+        up to TERMS features the same bits as :func:`dot_literal`."""
+        parts = []
+        for k in range(0, max(len(self.cols), 1), TERMS):
+            z = "0.0D"
+            for c, v in zip(self.cols[k:k + TERMS], w[k:k + TERMS]):
+                z = f"({z} + {c} * {_sql_double(v)})"
+            parts.append(z)
+        return f"({' + '.join(parts)} + {_sql_double(b)})"
+
     def stats(self, w: np.ndarray, b: float) -> tuple:
-        """Gradient (mean), bias gradient and mean loss at weights (w, b). The logit
-        is summed left to right from 0.0 like :func:`dot_literal`, so scoring and
-        training agree to the last bit."""
-        z = "0.0D"
-        for c, v in zip(self.cols, w):
-            z = f"({z} + {c} * {_sql_double(v)})"
-        z = f"({z} + {_sql_double(b)})"
-        grads = ", ".join(f"sum((_p - _y) * {c}) AS g{j}" for j, c in enumerate(self.cols))
-        q = (f"SELECT {grads}, sum(_p - _y) AS gb, sum({_BCE_SQL}) AS loss, count(1) AS n "
-             f"FROM (SELECT *, 1.0D / (1.0D + exp(-{z})) AS _p FROM global_temp.{self.view})")
+        """Gradient (mean), bias gradient and mean loss at weights (w, b) over the training rows, and the accuracy over
+        the validation rows (None without any)."""
+        fit = "CASE WHEN NOT _v THEN {} END".format
+        grads = ", ".join(f"sum({fit(f'(_p - _y) * {c}')}) AS g{j}" for j, c in enumerate(self.cols))
+        q = (f"SELECT {grads}{', ' if grads else ''}sum({fit('_p - _y')}) AS gb, sum({fit(_BCE_SQL)}) AS loss, count_if(NOT _v) AS n, "
+             f"avg(CASE WHEN _v THEN CASE WHEN (_p > 0.5D) = (_y = 1D) THEN 1.0D ELSE 0.0D END END) AS val "
+             f"FROM (SELECT *, 1.0D / (1.0D + exp(-{self._logit(w, b)})) AS _p FROM global_temp.{self.view})")
         row = self.session.sql(q).collect()[0]   # a global aggregate: exactly one row, no limit operator
         n = row["n"]
         g = np.array([row[f"g{j}"] for j in range(len(self.cols))], dtype=np.float64) / n
-        return g, row["gb"] / n, row["loss"] / n
+        return g, row["gb"] / n, row["loss"] / n, row["val"]
 
     def close(self):
         self.session.catalog.dropGlobalTempView(self.view)
 
 
-# Above this many features the per-epoch SQL (a d-deep sum and d aggregates)
-# risks the JVM method-size limit; partial gradients are then taken per Arrow
-# batch in NumPy and summed by one aggregate.
-SQL_EPOCH_MAX_FEATURES = 256
-
-
-class _NumpyEpochRunner:
-    """Wide-input epochs: per-batch NumPy partial sums (mapInPandas), then one
-    aggregate over the partial rows (one row per Arrow batch)."""
-
-    def __init__(self, data: DataFrame, cols: list[str]):
-        from ..session import ship_package
-        ship_package(data.sparkSession)
-        self.data, self.cols = data, cols
-        fields = ", ".join([f"g{j} double" for j in range(len(cols))] + ["gb double", "loss double", "n long"])
-        self.schema = fields
-
-    def stats(self, w: np.ndarray, b: float) -> tuple:
-        cols, wv, bv = self.cols, np.asarray(w, dtype=np.float64), float(b)
-
-        def run(batches):
-            import pandas as pd
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                x = pdf[cols].to_numpy(dtype=np.float64)
-                y = pdf["_y"].to_numpy(dtype=np.float64)
-                p = 1.0 / (1.0 + np.exp(-(x @ wv + bv)))
-                err = p - y
-                with np.errstate(divide="ignore"):
-                    lp = np.where(p > 0, np.maximum(np.log(p), -100.0), -100.0)
-                    lq = np.where(p < 1, np.maximum(np.log1p(-p), -100.0), -100.0)
-                row = {f"g{j}": v for j, v in enumerate(err @ x)}
-                row.update(gb=err.sum(), loss=float(-(y * lp + (1 - y) * lq).sum()), n=len(y))
-                yield pd.DataFrame([row])
-
-        parts = self.data.select(*cols, "_y").mapInPandas(run, self.schema)
-        names = [f"g{j}" for j in range(len(cols))] + ["gb", "loss", "n"]
-        row = parts.agg(*[F.sum(c).alias(c) for c in names]).first()
-        n = row["n"]
-        g = np.array([row[f"g{j}"] for j in range(len(cols))], dtype=np.float64) / n
-        return g, row["gb"] / n, row["loss"] / n
-
-    def close(self):
-        pass
-
-
-def _runner(data: DataFrame, cols: list[str]):
-    return _EpochRunner(data, cols) if len(cols) <= SQL_EPOCH_MAX_FEATURES else _NumpyEpochRunner(data, cols)
-
-
 def _sql_double(v: float) -> str:
     v = float(v)
     return f"{v!r}D" if np.isfinite(v) else f"CAST('{v!r}' AS DOUBLE)"
@@ -145,24 +106,17 @@ _BCE_SQL = ("-(_y * CASE WHEN _p > 0 THEN greatest(ln(_p), -100.0D) ELSE -100.0D
             " + (1.0D - _y) * CASE WHEN _p < 1 THEN greatest(ln(1.0D - _p), -100.0D) ELSE -100.0D END)")
 
 
-def _epoch_stats(data: DataFrame, cols: list[str], w: np.ndarray, b: float) -> tuple:
-    """One epoch's statistics (standalone form of :class:`_EpochRunner`)."""
-    run = _EpochRunner(data, cols)
-    try:
-        return run.stats(w, b)
-    finally:
-        run.close()
-
-
-def _prepare(data: DataFrame, features: str, label: str, checkpoint: bool) -> tuple[DataFrame, list[str]]:
-    """Flat double columns x0..x{d-1} and _y over partitions sized by bytes (never
+def _prepare(data: DataFrame, features: str, label: str, checkpoint: bool, validation: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """Flat double columns x0..x{d-1}, _y and the flag _v of validation rows over partitions sized by bytes (never
     fewer than the cores; upstream AQE may have coalesced a small input).
 
     The upstream pipeline runs ONCE: its (features, label) rows are checkpointed
     first; the width, the row count and the flat table are all taken from the
     checkpoint. Every row's width is checked while flattening."""
     spark = data.sparkSession
-    base = data.select(F.col(features).alias("_f"), F.col(label).cast("double").alias("_l"))
+    base = data.select(F.col(features).alias("_f"), F.col(label).cast("double").alias("_l"), F.lit(False).alias("_v"))
+    if validation is not None:
+        base = base.unionByName(validation.select(F.col(features).alias("_f"), F.col(label).cast("double").alias("_l"), F.lit(True).alias("_v")))
     base = cut_lineage(base) if checkpoint else base.cache()
     first = base.select(F.size("_f").alias("d")).first()
     d = int(first["d"]) if first is not None and first["d"] is not None else 0
@@ -170,7 +124,7 @@ def _prepare(data: DataFrame, features: str, label: str, checkpoint: bool) -> tu
     cols = [f"x{j}" for j in range(d)]
     checked = F.when(F.size("_f") == F.lit(d), F.col("_l")).otherwise(
         F.raise_error(F.lit(f"every feature array must have {d} values")))
-    flat = base.select(*[F.col("_f")[j].cast("double").alias(c) for j, c in enumerate(cols)], checked.alias("_y"))
+    flat = base.select(*[F.col("_f")[j].cast("double").alias(c) for j, c in enumerate(cols)], checked.alias("_y"), "_v")
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(n * (d + 1) * 8 / TRAIN_PARTITION_BYTES))
     # in memory on top of the checkpoint: a lost block is re-read from the
     # checkpoint files, never recomputed from the feature pipeline
@@ -178,21 +132,28 @@ def _prepare(data: DataFrame, features: str, label: str, checkpoint: bool) -> tu
 
 
 def train_gd(data: DataFrame, features: str, label: str, epochs: int = 200, lr: float = 0.1,
-             init: Sequence[float] | None = None, init_bias: float = 0.0, checkpoint: bool = True) -> LinearModel:
+             init: Sequence[float] | None = None, init_bias: float = 0.0, checkpoint: bool = True,
+             validation: DataFrame | None = None) -> LinearModel:
     """M1: full-batch gradient descent on mean binary cross-entropy. ``history``
-    holds, per epoch, the loss at the weights before the step and the weights after it."""
-    slim, cols = _prepare(data, features, label, checkpoint)
+    holds, per epoch, the loss at the weights before the step and the weights after it;
+    with ``validation`` (rows like ``data``) also their accuracy after the step, from the
+    same pass that takes the next gradient."""
+    slim, cols = _prepare(data, features, label, checkpoint, validation)
     d = len(cols)
     w = np.zeros(d) if init is None else np.asarray(init, dtype=np.float64)
     b = float(init_bias)
     hist = []
-    run = _runner(slim, cols)
+    run = _EpochRunner(slim, cols)
     try:
         for epoch in range(1, epochs + 1):
-            g, gb, loss = run.stats(w, b)
+            g, gb, loss, seen = run.stats(w, b)
+            if hist:
+                hist[-1]["val_accuracy"] = seen
             w = w - lr * g
             b = b - lr * gb
-            hist.append({"epoch": epoch, "loss": loss, "bias": b, "weights": w.tolist()})
+            hist.append({"epoch": epoch, "loss": loss, "bias": b, "weights": w.tolist(), "val_accuracy": None})
+        if validation is not None and hist:
+            hist[-1]["val_accuracy"] = run.stats(w, b)[3]
     finally:
         run.close()
         slim.unpersist()
@@ -208,10 +169,10 @@ def train_adam(data: DataFrame, features: str, label: str, epochs: int = 10, lr:
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     b1, b2 = betas
     hist = []
-    run = _runner(slim, cols)
+    run = _EpochRunner(slim, cols)
     try:
         for t in range(1, epochs + 1):
-            g, gb, loss = run.stats(w, b)
+            g, gb, loss, _ = run.stats(w, b)
             grad = np.append(g, gb)
             m = b1 * m + (1 - b1) * grad
             v = b2 * v + (1 - b2) * grad * grad

@@ -112,10 +112,29 @@ def test_mlp_beats_majority_on_separable_label(spark):
     assert acc > max(y.mean(), 1 - y.mean()) + 0.1
 
 
-def test_wide_input_numpy_epochs_match_sql(spark, monkeypatch):
-    X, y, df = _lr_data(spark)
-    sql_model = L.train_gd(df, "f", "y", epochs=8, lr=0.5)
-    monkeypatch.setattr(L, "SQL_EPOCH_MAX_FEATURES", 1)
-    np_model = L.train_gd(df, "f", "y", epochs=8, lr=0.5)
-    assert np.allclose(sql_model.weights, np_model.weights, atol=1e-12)
-    assert abs(sql_model.history[-1]["loss"] - np_model.history[-1]["loss"]) < 1e-12
+def test_wide_input(spark):
+    """400 features take the same path as few."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(120, 400))
+    y = (x[:, 0] > 0).astype(int)
+    df = spark.createDataFrame([([float(v) for v in r], int(c)) for r, c in zip(x, y)], "f array<double>, y int")
+    model = L.train_gd(df, "f", "y", epochs=3, lr=0.5)
+    w, b = np.zeros(400), 0.0
+    for _ in range(3):
+        e = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - 0.5 * (e @ x) / 120, b - 0.5 * e.mean()
+    assert np.allclose(model.weights, w, atol=1e-12) and abs(model.bias - b) < 1e-12
+
+
+def test_validation_accuracy_per_epoch(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 3))
+    y = (x @ [1.0, -2.0, 0.5] + 0.3 * rng.normal(size=300) > 0).astype(int)
+    df = spark.createDataFrame([(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, y))], "id int, f array<double>, y int")
+    fit, val = df.where("id < 200"), df.where("id >= 200")
+    model = L.train_gd(fit, "f", "y", epochs=6, lr=0.5, validation=val)
+    alone = L.train_gd(fit, "f", "y", epochs=6, lr=0.5)
+    assert np.allclose(model.weights, alone.weights, atol=1e-12) and alone.history[-1]["val_accuracy"] is None
+    for h in model.history:
+        p = 1 / (1 + np.exp(-(x[200:] @ h["weights"] + h["bias"])))
+        assert abs(h["val_accuracy"] - ((p > 0.5) == (y[200:] == 1)).mean()) < 1e-12
