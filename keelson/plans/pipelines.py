@@ -1,5 +1,5 @@
-"""End-to-end pipelines, each one query (rows-only check; every step also has
-its own oracle-checked query). Splits come first, so every fitted state
+"""End-to-end pipelines, each one query (the first with an oracle of the whole, the
+others rows-only; every step also has its own oracle-checked query). Splits come first, so every fitted state
 (scales, codes, categories, oversampling) is fitted on train only."""
 
 from __future__ import annotations
@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.arrays import assemble
+from ..functions.hashing import sql_hash_uint32
 from ..operators import clean, encode, joins, knn, linear, metrics, sample, scale
 from ..operators.oversample import smote
 from ..session import cut_lineage
 from ..tables import table
 from . import datasets as ds
-from .registry import b, query, r
+from .q_models import sql_gd_weights
+from .q_tabular import sql_split
+from .registry import b, query, r, sr
 
 
 def _evaluate(scored: DataFrame, model: str, y: str = "label", p: str = "p", pred: str = "pred") -> DataFrame:
@@ -45,7 +48,39 @@ def diabetes_style(spark: SparkSession, d: str, epochs: int = 200, lr: float = 0
     return _evaluate(scored, "lr_gd")
 
 
-@query("pipeline_diabetes", "P1 R1 A5 R2 M1 M3 A8-A13")
+def _sql_diabetes(epochs: int = 200, lr: float = 0.1) -> str:
+    nf = len(NUMERIC)
+    z = ", ".join(f"({c}::DOUBLE - m{j}) / s{j} AS x{j}" for j, c in enumerate(NUMERIC))
+    moments = ", ".join(f"avg({c}::DOUBLE) AS m{j}, stddev_samp({c}::DOUBLE) AS s{j}" for j, c in enumerate(NUMERIC))
+    terms = " + ".join(f"x{j} * w{j}" for j in range(nf))
+    bce = ("-(y * CASE WHEN p > 0 THEN greatest(ln(p), -100.0) ELSE -100.0 END"
+           " + (1.0 - y) * CASE WHEN p < 1 THEN greatest(ln(1.0 - p), -100.0) ELSE -100.0 END)")
+    div = lambda a, c: sr(f"CASE WHEN {c} = 0 THEN 0.0 ELSE ({a})::DOUBLE / ({c}) END")
+    return f"""
+WITH RECURSIVE {ds.ORDER_FEATURES_SQL},
+c0 AS (SELECT o_orderkey, {", ".join(NUMERIC)}, label, count(*) OVER (PARTITION BY label) AS cnt FROM order_features
+       WHERE {" AND ".join(f"{c} IS NOT NULL" for c in NUMERIC)}),
+u0 AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {sql_hash_uint32(73, "o_orderkey")}, o_orderkey) AS rk,
+              min(cnt) OVER () AS least_cnt FROM c0),
+u AS (SELECT * FROM u0 WHERE rk <= least_cnt),
+s AS MATERIALIZED ({sql_split("u", "o_orderkey", 42, 0.3)}),
+mo AS (SELECT {moments} FROM s WHERE split = 'train'),
+z AS MATERIALIZED (SELECT split, label::DOUBLE AS y, {z} FROM s, mo),
+X AS MATERIALIZED (SELECT * FROM z WHERE split = 'train'),
+{sql_gd_weights(nf, epochs, lr)},
+sc AS MATERIALIZED (SELECT y, 1.0::DOUBLE / (1.0::DOUBLE + exp(-((0.0::DOUBLE + {terms}) + b))) AS p
+                    FROM z, W WHERE split = 'test' AND epoch = {epochs}),
+k AS (SELECT count(*) AS n, count(*) FILTER (y = 1 AND p > 0.5) AS tp, count(*) FILTER (y <> 1 AND p > 0.5) AS fp,
+             count(*) FILTER (y = 1 AND NOT p > 0.5) AS fn, count(*) FILTER (y <> 1 AND NOT p > 0.5) AS tn, avg({bce}) AS ll FROM sc),
+g AS (SELECT p, count(*) FILTER (y = 1) AS tp, count(*) FILTER (y <> 1) AS fp FROM sc GROUP BY p),
+cum AS (SELECT *, sum(tp) OVER (ORDER BY p DESC) AS ctp FROM g),
+a AS (SELECT sum(fp * (2 * ctp - tp))::DOUBLE / (2.0 * sum(tp) * sum(fp)) AS auc FROM cum)
+SELECT 'lr_gd' AS model, n::BIGINT AS n, {div("tp + tn", "n")} AS accuracy, {div("tp", "tp + fp")} AS "precision",
+       {div("tp", "tp + fn")} AS recall, {div("2 * tp", "2 * tp + fp + fn")} AS f1, {sr("auc")} AS auc, {sr("ll")} AS log_loss
+FROM k, a"""
+
+
+@query("pipeline_diabetes", "P1 R1 A5 R2 M1 M3 A8-A13", sql=_sql_diabetes())
 def q_pipeline_diabetes(spark, d):
     return _report(diabetes_style(spark, d))
 
@@ -60,7 +95,9 @@ def passenger_style(spark: SparkSession, d: str, epochs: int = 200, lr: float =
     of = ds.order_features(spark, d)
     cust = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
     df = joins.left_join(of, cust, "o_custkey", "c_custkey")
-    df = df.withColumn("name_word", S.extract_first("c_name", S.LETTER_RUN))
+    titles = table(spark, d, "documents").select(F.col("doc_id").alias("o_custkey"), S.extract_first("text", S.TITLE_BEFORE_DOT).alias("title"))
+    df = joins.left_join(df, titles, "o_custkey")
+    df = df.withColumn("name_word", S.extract_first("c_name", S.LETTER_RUN)).withColumn("cents", S.fractional_part("o_totalprice"))
     df = df.withColumn("family", S.capped_sum("n_lines", "n_returned", 6))
     df = df.withColumn("qty_bin", S.bin_left_closed("sum_qty", QTY_EDGES, ["q0", "q1", "q2", "q3", "q4"]))
     df = df.withColumn("disc_bin", S.bin_right_closed("avg_disc", DISC_EDGES, ["d0", "d1", "d2", "d3", "d4"]))
@@ -70,13 +107,15 @@ def passenger_style(spark: SparkSession, d: str, epochs: int = 200, lr: float =
     train = df.where(F.col("split") == "train")
     df = clean.fill_constant(df, {"sum_qty": 0.0, "avg_disc": 0.0, "avg_tax": 0.0, "max_price": 0.0})
     df = clean.fill_mode(df, ["n_lines", "family"], fit_on=train)
-    df = encode.label_encode(df, ["qty_bin", "disc_bin", "c_mktsegment"], fit_on=train, suffix="_code")
+    df = encode.label_encode(df, ["qty_bin", "disc_bin", "c_mktsegment", "name_word", "title"], fit_on=train, suffix="_code")
+    df = encode.combine_encode(df, "c_mktsegment", "o_orderstatus", fit_on=train)
     cats = encode.one_hot_categories(train, "o_orderstatus")
     df = encode.one_hot(df, "o_orderstatus", cats, prefix="status")
     df = df.withColumn("open_price", S.interaction("is_open", "o_totalprice")) \
            .withColumn("family_disc", S.interaction("family", "avg_disc"))
     feats = ["o_totalprice", "n_lines", "sum_qty", "avg_disc", "c_acctbal", "family", "is_open", "alone",
-             "qty_bin_code", "disc_bin_code", "c_mktsegment_code", "open_price", "family_disc"] + \
+             "qty_bin_code", "disc_bin_code", "c_mktsegment_code", "name_word_code", "title_code", "c_mktsegment_o_orderstatus", "cents",
+             "open_price", "family_disc"] + \
             [f"status_{c}" for c in cats]
     vec = cut_lineage(df.select("o_orderkey", "split", assemble(feats).alias("features"), "label"))
     tr = smote(vec.where(F.col("split") == "train"), "o_orderkey", "features", "label", k=5, seed=42)

@@ -123,16 +123,20 @@ _BCE = ("-(y * CASE WHEN p > 0 THEN greatest(ln(p), -100.0) ELSE -100.0 END"
         " + (1.0 - y) * CASE WHEN p < 1 THEN greatest(ln(1.0 - p), -100.0) ELSE -100.0 END)")
 
 
-def _sql_epoch(nf: int) -> tuple[str, str]:
-    """CTE X of the training rows, and the text of one epoch's gradients over X and the recursive table W."""
+def _sql_rows() -> str:
+    """CTE X of the training rows of the two training queries."""
     xs = ", ".join(f"{f} AS x{j}" for j, f in enumerate(ds.FEATURE_SQL))
+    return f"{OF},\nX AS MATERIALIZED (SELECT {xs}, label::DOUBLE AS y FROM order_features)"
+
+
+def _sql_epoch(nf: int) -> str:
+    """The text of one epoch's gradients over the rows X and the recursive table W."""
     terms = " + ".join(f"x{j} * w{j}" for j in range(nf))
     p = f"(1.0::DOUBLE / (1.0::DOUBLE + exp(-((0.0::DOUBLE + {terms}) + b))))"
     kept = ", ".join(f"any_value({c}) AS {c}" for c in ["epoch", "b", *[f"w{j}" for j in range(nf)]])
     grads = ", ".join(f"sum((p - y) * x{j}) / count(*) AS g{j}" for j in range(nf))
-    inner = (f"SELECT {kept}, {grads}, sum(p - y) / count(*) AS gb, sum({_BCE}) / count(*) AS loss{{extra}} "
+    return (f"SELECT {kept}, {grads}, sum(p - y) / count(*) AS gb, sum({_BCE}) / count(*) AS loss{{extra}} "
              f"FROM (SELECT X.*, W.*, {p} AS p FROM X, W WHERE W.epoch < {{epochs}}) HAVING count(*) > 0")
-    return f"{OF},\nX AS MATERIALIZED (SELECT {xs}, label::DOUBLE AS y FROM order_features)", inner
 
 
 def _sql_out(nf: int) -> str:
@@ -140,19 +144,24 @@ def _sql_out(nf: int) -> str:
     return f"SELECT epoch::BIGINT AS epoch, {sr('loss')} AS loss, {sr('b')} AS bias, {outs} FROM W WHERE epoch > 0"
 
 
-def _sql_gd(epochs: int, lr: float) -> str:
-    nf = len(ds.FEATURE_SQL)
-    rows, inner = _sql_epoch(nf)
+def sql_gd_weights(nf: int, epochs: int, lr: float) -> str:
+    """Recursive CTE W(epoch, loss, b, w0 ...): gradient descent from zero over the rows X(x0 ..., y)."""
+    inner = _sql_epoch(nf)
     ws = [f"w{j}" for j in range(nf)]
     start = ", ".join(f"0.0::DOUBLE AS {w}" for w in ws)
     step = ", ".join(f"w{j} - {lr!r}::DOUBLE * g{j}" for j in range(nf))
-    return (f"WITH RECURSIVE {rows},\nW(epoch, loss, b, {', '.join(ws)}) AS (SELECT 0, NULL::DOUBLE, 0.0::DOUBLE AS b, {start}\n"
-            f"UNION ALL SELECT epoch + 1, loss, b - {lr!r}::DOUBLE * gb, {step} FROM ({inner.format(extra='', epochs=epochs)}))\n{_sql_out(nf)}")
+    return (f"W(epoch, loss, b, {', '.join(ws)}) AS (SELECT 0, NULL::DOUBLE, 0.0::DOUBLE AS b, {start}\n"
+            f"UNION ALL SELECT epoch + 1, loss, b - {lr!r}::DOUBLE * gb, {step} FROM ({inner.format(extra='', epochs=epochs)}))")
+
+
+def _sql_gd(epochs: int, lr: float) -> str:
+    nf = len(ds.FEATURE_SQL)
+    return f"WITH RECURSIVE {_sql_rows()},\n{sql_gd_weights(nf, epochs, lr)}\n{_sql_out(nf)}"
 
 
 def _sql_adam(epochs: int, lr: float, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8) -> str:
     nf = len(ds.FEATURE_SQL)
-    rows, inner = _sql_epoch(nf)
+    rows, inner = _sql_rows(), _sql_epoch(nf)
     names = [*[f"w{j}" for j in range(nf)], "b"]
     grads = [*[f"g{j}" for j in range(nf)], "gb"]
     cols = ["epoch", "loss", "b", *names[:-1], *[f"m_{n}" for n in names], *[f"v_{n}" for n in names]]
