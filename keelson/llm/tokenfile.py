@@ -25,24 +25,26 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path, ship, text_or_empty
+from .common import byte_slices, materialize, shared_path, ship, text_or_empty
 
 BYTE_BPE = "byte_bpe_50k.json"
 MAGIC = b"KLTOKEN1"
 #: Ids per chunk.
 CHUNK = 1 << 16
 #: Pieces whose ids a worker keeps.
-PIECES = 600_000
+PIECES = 1_200_000
+#: Text bytes that are cut into pieces together.
+ENCODE_BYTES = 10 << 20
 NO_ID = -(1 << 63)
 MANIFEST = "path string, first_id bigint, n_docs bigint, n_ids bigint, file_bytes bigint"
 
@@ -172,22 +174,27 @@ class TokenReader:
 
     def documents(self):
         """(document id or None, little-endian ids) in file order; holds one chunk and one document at a time."""
-        held, k = b"", 0
+        held, at, k = b"", 0, 0
         for doc_id, n in zip(self.doc_ids.tolist(), self.lengths.tolist()):
-            if len(held) < 4 * n:
-                parts = [held]
-                size = len(held)
+            end = at + 4 * n
+            if end > len(held):
+                parts = [held[at:]]
+                size = len(parts[0])
                 while size < 4 * n:
                     parts.append(self.chunk(k))
                     size += len(parts[-1])
                     k += 1
-                held = b"".join(parts)
-            yield (None if doc_id == NO_ID else doc_id), held[: 4 * n]
-            held = held[4 * n:]
+                held, at, end = b"".join(parts), 0, 4 * n
+            yield (None if doc_id == NO_ID else doc_id), held[at:end]
+            at = end
 
 
-ODD = re.compile(r"\s\s|[^\S \n]|[\x00\x1c-\x1f]|<\|")
-MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+#: A text with a run of white space, white space at an end, other white space than these, or "<|" is not cut up.
+UNCUT = r"  |\n\n| \n|\n |<\||^[ \n]|[ \n]$|[\x00\t\x0b-\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Marks between a letter and a space are a pre-token: they are cut off, so a word's ids serve every ending.
+ENDING, CUT_OFF = r"(\pL)([!-/:-@\[-`{-~]+)( |$)", "\\1 \0\\2\\3"
+#: New pieces that the library encodes as the lines of one string.
+LINES = 2000
 
 
 class PieceEncoder:
@@ -201,34 +208,56 @@ class PieceEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.known: dict[str, bytes] = {}
+        self.newline = self._library(["\n"])[0]
+        self.line_end = int(np.frombuffer(self.newline, "<u4")[0])
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """A piece is the text between spaces, with its space; \\x00 marks a piece that has none before it."""
-        split, odd = [], {}
-        for i, t in enumerate(texts):
-            if ODD.search(t):
-                odd[i] = t
-                split.append([])
-            else:
-                split.append(("\0" + t.replace("\n", " \n \0")).split(" ") if t else [])
-        known = self.known
-        if len(known) > PIECES:
-            known.clear()
-        new = {p for pieces in split for p in pieces if p not in known}
-        if new:
-            # letters followed by marks: two pre-tokens, so the letters' ids serve every ending
-            stems = {p: (s, p[len(s):]) for p in new if (s := p.rstrip(MARKS)) != p and s.lstrip("\0").isalpha()}
-            want = {q: None for p in new for q in (stems.get(p) and [stems[p][0], "\0" + stems[p][1]] or [p]) if q not in known}
-            plain = [q[1:] if q[:1] == "\0" else "\n" if q == "\n" else " " + q for q in want]
-            known.update(zip(want, self._library(plain)))
-            known.update((p, known[a] + known["\0" + b]) for p, (a, b) in stems.items())
-        out = [b"".join([known[p] for p in pieces]) for pieces in split]
-        if odd:
-            for i, ids in zip(odd, self._library(list(odd.values()))):
-                out[i] = ids
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Encode new pieces as lines; a line end is a pre-token of its own and stands in no other piece's ids."""
+        out = []
+        for k in range(0, len(pieces), LINES):
+            part = pieces[k:k + LINES]
+            lines = "\n".join([p[1:] if p[0] == "\0" else " " + p for p in part]) + "\n"
+            ids = self._library([lines])[0]
+            at = 4 * np.flatnonzero(np.frombuffer(ids, "<u4") == self.line_end)
+            out += [ids[begin:end] for begin, end in zip([0, *(at[:-1] + 4).tolist()], at.tolist(), strict=True)]
+        self.known.update(zip(pieces, out, strict=True))
+        return out
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(new, self._learn([pieces[i] for i in new])):
+            found[i] = ids
+        return found
+
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """The little-endian ids of each text. A piece is what stands between spaces and line ends, marks at its end cut
+        off; \\x00 marks one that has no space before it. The pieces of all texts are cut and numbered by Arrow, each distinct one is
+        looked up once, and the ids are gathered by its number."""
+        if len(self.known) > PIECES:
+            self.known.clear()
+        self.known.update({"\n": self.newline, "\0": b""})
+        odd = pc.match_substring_regex(texts, UNCUT)
+        cut = pc.if_else(odd, "", texts)
+        cut = pc.replace_substring(pc.binary_join_element_wise("\0", cut, ""), "\n", " \n \0")
+        lists = pc.split_pattern(pc.replace_substring_regex(cut, ENDING, CUT_OFF), " ")
+        coded = lists.flatten().dictionary_encode()
+        held = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat = np.frombuffer(b"".join(held), "<u4")
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        begins = np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(begins[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        bounds = 4 * np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        out = [ids[i:j] for i, j in zip(bounds.tolist(), bounds[1:].tolist())]
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        for i, ids in zip(whole, self._library([texts[i].as_py() for i in whole])):
+            out[i] = ids
         return out
 
 
@@ -258,12 +287,11 @@ def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     def run(batches):
         encoder, writer, path = worker_encoder(source.value), None, ""
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in byte_slices(batch, 1, ENCODE_BYTES):
                 if writer is None:
                     path = f"{folder}/ids-{uuid.uuid4().hex}.kltok"
                     writer = TokenWriter(path, bits, chunk)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                     writer.add(doc_id, ids + end)
         if writer is not None:
             size = writer.close()
