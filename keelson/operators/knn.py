@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uint32
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 
 #: Bytes of vectors in a training or query block, and of scratch for one block of distances inside a task.
 SIDE_BYTES = 16 * 1024 * 1024
@@ -126,10 +126,17 @@ def _paired(queries: DataFrame, train: DataFrame, query_id: str, query_vec: str,
     q_blocks = F.least(F.col("n_q"), F.greatest(spread, work, F.ceil(F.col("n_q") * width / side_bytes)))
     blocks = sizes.withColumn("t_blocks", t_blocks).withColumn("q_blocks", F.greatest(q_blocks, F.lit(1)))
     blocks = blocks.select("g", F.col("t_blocks").cast("int").alias("t_blocks"), F.col("q_blocks").cast("int").alias("q_blocks"))
+    if group is None:  # one row of numbers
+        row = blocks.first()
+        counts = [F.lit(row[c] if row else 1).alias(c) for c in ("t_blocks", "q_blocks")]
+        q, t = q.select("*", *counts), t.select("*", *counts)
+    else:  # one row per group, kept apart from the sides' plans
+        blocks = cut_lineage(blocks)
+        q, t = q.join(blocks, "g"), t.join(blocks, "g")
     own = lambda tag, n: F.pmod(hash_uint32(tag, "id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = q.join(blocks, "g").withColumn("qb", own("query", "q_blocks")).withColumn("tb", every("t_blocks"))
-    t = t.join(blocks, "g").withColumn("tb", own("train", "t_blocks")).withColumn("qb", every("q_blocks"))
+    q = q.withColumn("qb", own("query", "q_blocks")).withColumn("tb", every("t_blocks"))
+    t = t.withColumn("tb", own("train", "t_blocks")).withColumn("qb", every("q_blocks"))
     return q.unionByName(t).drop("t_blocks", "q_blocks")
 
 
