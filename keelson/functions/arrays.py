@@ -1,7 +1,7 @@
 """Array (vector) expressions: dot products, distances, activations, arg-max.
 
-All are higher-order SQL functions, so they run inside whole-stage codegen
-and never leave the JVM.
+All stay in the JVM. Element accesses are compiled by whole-stage codegen; higher-order functions are evaluated row
+by row inside it.
 """
 
 from __future__ import annotations
@@ -50,14 +50,6 @@ def dot_literal(a, weights: Sequence[float]) -> Column:
     return dot(a, w)
 
 
-def dot_columns(cols: Sequence[str], weights: Sequence[float]) -> Column:
-    """``sum_j col_j * w_j`` over flat double columns, left to right from 0.0."""
-    acc = F.lit(0.0)
-    for c, v in zip(cols, weights):
-        acc = acc + F.col(c) * F.lit(float(v))
-    return acc
-
-
 def squared_distance(a, b) -> Column:
     """Squared Euclidean distance."""
     return array_sum(F.zip_with(as_double_array(a), as_double_array(b), lambda x, y: (x - y) * (x - y)))

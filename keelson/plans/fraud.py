@@ -67,11 +67,6 @@ def transaction_columns() -> list[str]:
     return BASE_COLUMNS + [f"V{x}" for x in V_SELECTED]
 
 
-def identity_numbered() -> list[str]:
-    """id_01..id_33 and the dashed spelling id-01..id-33 of the test files."""
-    return C.numbered("id_", 1, 33, width=2) + C.numbered("id-", 1, 33, width=2)
-
-
 def read_typed(spark: SparkSession, path: str, usecols: list[str] | None = None) -> DataFrame:
     """Header-driven typed scan: the file's column order comes from its header; the
     key is long, listed string columns are strings, everything else float32; the
