@@ -183,6 +183,90 @@ def maxpool_relational(fmap: DataFrame, size: int = 2, value: str = "z") -> Data
 
 # --- M10 --------------------------------------------------------------------------
 
+def gradient(net: Net, params: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Sums over a batch of the gradient of softmax cross-entropy (weights then bias of each dense layer, flattened in
+    layer order) and of the loss. Dense and activation layers only."""
+    inputs, t = [], x
+    for layer in net.layers:
+        inputs.append(t)
+        if isinstance(layer, Dense):
+            wm, bias = params[layer.name]
+            t = t @ wm.T + bias
+        elif isinstance(layer, Act):
+            t = t * t if layer.kind == "square" else np.maximum(t, 0.0)
+        else:
+            raise ValueError("training takes dense and activation layers")
+    top = t.max(axis=1, keepdims=True)
+    e = np.exp(t - top)
+    total = e.sum(axis=1, keepdims=True)
+    rows = np.arange(len(y))
+    loss = float((top[:, 0] + np.log(total[:, 0]) - t[rows, y]).sum())
+    d = e / total
+    d[rows, y] -= 1.0
+    parts = []
+    for layer, a in zip(reversed(net.layers), reversed(inputs)):
+        if isinstance(layer, Dense):
+            parts += [d.sum(axis=0), (d.T @ a).ravel()]
+            d = d @ params[layer.name][0]
+        else:
+            d = d * 2.0 * a if layer.kind == "square" else d * (a > 0)
+    return np.concatenate(parts[::-1]), loss
+
+
+def train_net(images: DataFrame, net: Net, weights: DataFrame, label: str = "label", steps: int = 10, lr: float = 0.01,
+              momentum: float = 0.0, batch_size: int | None = None, seed=0, id_col: str = "image_id",
+              pixels_col: str = "pixels") -> tuple[DataFrame, list[float]]:
+    """Dense nets with square or ReLU activations by (stochastic) gradient descent with momentum on mean softmax
+    cross-entropy. Step s uses all rows, or minibatch ``s mod n_batches`` of exactly ``batch_size`` rows (reshuffled each
+    pass). Executors sum gradients per partition, one grouping adds them up; only the model-sized sums reach the driver.
+    Returns the trained weights table and the mean loss before each step."""
+    from ..sources.weights import WEIGHTS_SCHEMA, collect_layers
+    from ..session import cut_lineage
+    from .sample import minibatch_ids
+
+    spark = images.sparkSession
+    ship_package(spark)
+    dense = [x.name for x in net.layers if isinstance(x, Dense)]
+    params = collect_layers(weights, net.shapes())
+    data = cut_lineage(images.select(F.col(id_col).cast("long").alias("id"), F.col(pixels_col).alias("px"), F.col(label).cast("int").alias("y")))
+    n_batches = 1 if batch_size is None else max(1, -(-data.count() // batch_size))
+    velocity, losses, held = None, [], data
+    for s in range(steps):
+        if batch_size is not None and s % n_batches == 0:
+            held = cut_lineage(minibatch_ids(data, "id", batch_size, seed, epoch=s // n_batches))
+        part = held if batch_size is None else held.where(F.col("batch_id") == s % n_batches)
+        sent = spark.sparkContext.broadcast(params)
+
+        def run(batches, sent=sent):
+            total, loss, n = None, 0.0, 0
+            for pdf in batches:
+                if len(pdf):
+                    x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["px"].to_numpy()])
+                    g, part_loss = gradient(net, sent.value, x, pdf["y"].to_numpy())
+                    total, loss, n = (g if total is None else total + g), loss + part_loss, n + len(pdf)
+            if total is not None:
+                yield pd.DataFrame({"g": [[*total.tolist(), loss, float(n)]]})
+
+        sums = part.select("px", "y").mapInPandas(run, "g array<double>").select(F.posexplode("g").alias("p", "v"))
+        row = np.array([r["v"] for r in sums.groupBy("p").agg(F.sum("v").alias("v")).orderBy("p").collect()])
+        sent.unpersist()
+        if not len(row):
+            break
+        g, loss, n = row[:-2] / row[-1], row[-2], row[-1]
+        losses.append(loss / n)
+        velocity = g if velocity is None else momentum * velocity + g
+        at, params = 0, dict(params)
+        for name in dense:
+            wm, bias = params[name]
+            dw = velocity[at:at + wm.size].reshape(wm.shape)
+            db = velocity[at + wm.size:at + wm.size + bias.size]
+            params[name] = (wm - lr * dw, bias - lr * db)
+            at += wm.size + bias.size
+    rows = [(name, o, i, float(v)) for name in dense for o, line in enumerate(np.column_stack([params[name][1], params[name][0]]))
+            for i, v in enumerate(line, -1)]
+    return spark.createDataFrame(rows, WEIGHTS_SCHEMA), losses
+
+
 def train_mlp(df: DataFrame, features: str, label: str, layers: Sequence[int], max_iter: int = 100,
               seed: int = 7, block_size: int = 128):
     """Distributed MLP from ``pyspark.ml`` (sigmoid hidden layers, softmax output;

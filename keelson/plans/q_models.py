@@ -362,6 +362,39 @@ def q_flatten(spark, d):
     return long_form(im.select("image_id", F.flatten("rows2d").alias("flat")), ["image_id"], "flat")
 
 
+TRAIN_NET = N.Net(1, 8, 8, (N.Dense("fc1", 16), N.Act("square"), N.Dense("fc2", 10)))
+TRAIN_STEPS, TRAIN_LR = 3, 0.05
+
+
+def _sql_train(steps: int, lr: float) -> str:
+    """Gradient descent of TRAIN_NET in long form: forward, softmax, backward, update, ``steps`` times."""
+    first = [_sql_w("fc1", 16, 64), _sql_w("fc2", 10, 16)]
+    ctes = [PX_SQL, "lb AS (SELECT vec_id AS id, label AS y, (SELECT count(*) FROM embeddings) AS n FROM embeddings)", *first]
+    w1, b1, w2, b2 = "W_fc1", "B_fc1", "W_fc2", "B_fc2"
+    for t in range(1, steps + 1):
+        ctes += [
+            f"z1_{t} AS MATERIALIZED (SELECT px.id, W.o AS j, sum(px.v * W.w) + B.bias AS z FROM px JOIN {w1} W ON px.p = W.j JOIN {b1} B ON B.o = W.o GROUP BY px.id, W.o, B.bias)",
+            f"z2_{t} AS MATERIALIZED (SELECT a.id, W.o AS j, sum(a.z * a.z * W.w) + B.bias AS z FROM z1_{t} a JOIN {w2} W ON a.j = W.j JOIN {b2} B ON B.o = W.o GROUP BY a.id, W.o, B.bias)",
+            f"mx_{t} AS (SELECT id, max(z) AS m FROM z2_{t} GROUP BY id)",
+            f"se_{t} AS (SELECT z.id, m, sum(exp(z.z - m)) AS s FROM z2_{t} z JOIN mx_{t} USING (id) GROUP BY z.id, m)",
+            f"d2_{t} AS MATERIALIZED (SELECT z.id, z.j, lb.n, exp(z.z - m) / s - CASE WHEN lb.y = z.j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS d FROM z2_{t} z JOIN se_{t} USING (id) JOIN lb USING (id))",
+            f"d1_{t} AS MATERIALIZED (SELECT a.id, a.j, any_value(d.n) AS n, sum(d.d * W.w) * 2.0 * a.z AS d FROM d2_{t} d JOIN {w2} W ON W.o = d.j JOIN z1_{t} a ON a.id = d.id AND a.j = W.j GROUP BY a.id, a.j, a.z)",
+            f"W1_{t} AS MATERIALIZED (SELECT W.o, W.j, W.w - {lr!r}::DOUBLE * (sum(d.d * px.v) / any_value(d.n)) AS w FROM {w1} W JOIN d1_{t} d ON d.j = W.o JOIN px ON px.id = d.id AND px.p = W.j GROUP BY W.o, W.j, W.w)",
+            f"B1_{t} AS MATERIALIZED (SELECT B.o, B.bias - {lr!r}::DOUBLE * (sum(d.d) / any_value(d.n)) AS bias FROM {b1} B JOIN d1_{t} d ON d.j = B.o GROUP BY B.o, B.bias)",
+            f"W2_{t} AS MATERIALIZED (SELECT W.o, W.j, W.w - {lr!r}::DOUBLE * (sum(d.d * a.z * a.z) / any_value(d.n)) AS w FROM {w2} W JOIN d2_{t} d ON d.j = W.o JOIN z1_{t} a ON a.id = d.id AND a.j = W.j GROUP BY W.o, W.j, W.w)",
+            f"B2_{t} AS MATERIALIZED (SELECT B.o, B.bias - {lr!r}::DOUBLE * (sum(d.d) / any_value(d.n)) AS bias FROM {b2} B JOIN d2_{t} d ON d.j = B.o GROUP BY B.o, B.bias)",
+        ]
+        w1, b1, w2, b2 = f"W1_{t}", f"B1_{t}", f"W2_{t}", f"B2_{t}"
+    arms = [f"SELECT '{name}' AS layer, o, j AS i, w FROM {w} UNION ALL SELECT '{name}', o, -1, bias FROM {bb}" for name, w, bb in (("fc1", w1, b1), ("fc2", w2, b2))]
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT layer, o::BIGINT AS out_idx, i::BIGINT AS in_idx, {sr('w')} AS w FROM ({' UNION ALL '.join(arms)})"
+
+
+@query("dense_train_steps", "M10", sql=_sql_train(TRAIN_STEPS, TRAIN_LR))
+def q_train_steps(spark, d):
+    trained, _ = N.train_net(ds.images(spark, d), TRAIN_NET, net_weights(spark, TRAIN_NET), steps=TRAIN_STEPS, lr=TRAIN_LR)
+    return trained.select("layer", b("out_idx"), b("in_idx"), r("w"))
+
+
 @query("dense_train_mlp", "M10")
 def q_mlp(spark, d):
     # the stored labels carry no signal: the label is derived from the whole vector, the largest of the sums

@@ -138,3 +138,33 @@ def test_validation_accuracy_per_epoch(spark):
     for h in model.history:
         p = 1 / (1 + np.exp(-(x[200:] @ h["weights"] + h["bias"])))
         assert abs(h["val_accuracy"] - ((p > 0.5) == (y[200:] == 1)).mean()) < 1e-12
+
+
+def test_net_training_learns(spark):
+    """ReLU and square nets by minibatches with momentum: gradients by finite differences, and the loss falls."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(200, 16))
+    y = (x[:, :8].sum(1) > 0).astype(int)
+    df = spark.createDataFrame([(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, y))], "image_id long, pixels array<double>, label int")
+    for kind in ("relu", "square"):
+        net = N.Net(1, 4, 4, (N.Dense("fc1", 6), N.Act(kind), N.Dense("fc2", 2)))
+        params = {n: (rng.normal(size=s) / 4, rng.normal(size=s[0]) / 4) for n, s in net.shapes().items()}
+        g, loss = N.gradient(net, params, x[:9], y[:9])
+        for at, (name, part, place) in ((0, ("fc1", 0, (0, 0))), (96, ("fc1", 1, 0)), (102, ("fc2", 0, (0, 0))), (114, ("fc2", 1, 0))):
+            moved = {n: [p.copy() for p in ps] for n, ps in params.items()}
+            moved[name][part][place] += 1e-6
+            assert abs((N.gradient(net, moved, x[:9], y[:9])[1] - loss) / 1e-6 - g[at]) < 1e-3
+        rows = [(n, o, i, float(v)) for n, (w, b) in params.items() for o, line in enumerate(np.column_stack([b, w])) for i, v in enumerate(line, -1)]
+        table = spark.createDataFrame(rows, "layer string, out_idx int, in_idx int, w double")
+        trained, losses = N.train_net(df, net, table, steps=16, lr=0.05, momentum=0.9, batch_size=50)
+        assert len(losses) == 16 and np.mean(losses[-4:]) < 0.8 * np.mean(losses[:4])
+        assert collect_layers(trained, net.shapes())["fc1"][0].shape == (6, 16)
+
+
+def test_incomplete_weights_are_refused(spark):
+    import pytest
+    w = formula_weights(spark, "fc1", 3, 4)
+    assert collect_layers(w, {"fc1": (3, 4)})["fc1"][0].shape == (3, 4)
+    for bad in (w.where("NOT (out_idx = 1 AND in_idx = 2)"), w.union(w.limit(1)), w.where("in_idx >= 0"), w.where("layer = 'fc9'")):
+        with pytest.raises(ValueError):
+            collect_layers(bad, {"fc1": (3, 4)})
