@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from keelson.llm.bpe import stage_bpe
-from keelson.llm.common import drop_scratch
+from keelson.llm.common import delete_paths, recorded
 from keelson.llm.dedup import stage_exact_dedup
 from keelson.llm.mixing import stage_mixing
 from keelson.llm.neardup import stage_near_duplicates
@@ -20,10 +20,17 @@ from keelson.llm.quality import stage_quality
 from keelson.session import scratch_path
 
 
+#: Intermediate tables of the stage that ran last; its result is written before the next stage begins.
+_HELD: list[str] = []
+
+
 def _staged(operator):
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_scratch(spark)
-        return operator(spark, docs, sf_dir)
+        done = list(_HELD)
+        _HELD.clear()
+        delete_paths(spark, done)
+        with recorded(_HELD):
+            return operator(spark, docs, sf_dir)
 
     return stage
 

@@ -8,6 +8,7 @@ survive lost executors; none of the helpers keeps data on a single machine.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,8 @@ def words(c: Column) -> Column:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared scratch folder."""
     path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex[:12]}")
-    _SCRATCH.append(path)
+    for paths in _RECORDERS:
+        paths.append(path)
     return path
 
 
@@ -104,11 +106,21 @@ def hashed_words(texts):
     return hashes[codes], bounds
 
 
-_SCRATCH: list[str] = []
+_RECORDERS: list[list[str]] = []
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what :func:`shared_path` has handed out so far. Only for callers that know that no frame still reads it."""
-    while _SCRATCH:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+@contextmanager
+def recorded(paths: list[str]):
+    """Add to ``paths`` what :func:`shared_path` hands out inside the block."""
+    _RECORDERS.append(paths)
+    try:
+        yield
+    finally:
+        _RECORDERS.pop()
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of the shared file system that no frame reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
