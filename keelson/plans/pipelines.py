@@ -1,5 +1,5 @@
-"""End-to-end pipelines, each one query (the first with an oracle of the whole, the
-others rows-only; every step also has its own oracle-checked query). Splits come first, so every fitted state
+"""End-to-end pipelines, each one query (diabetes and fraud style with an oracle of the whole,
+passenger style rows-only; every step also has its own oracle-checked query). Splits come first, so every fitted state
 (scales, codes, categories, oversampling) is fitted on train only."""
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from ..operators.oversample import smote
 from ..session import cut_lineage
 from ..tables import table
 from . import datasets as ds
-from .q_models import sql_gd_weights
+from .q_models import sql_adam_weights, sql_gd_weights
 from .q_tabular import sql_split
 from .registry import b, query, r, sr
 
@@ -48,14 +48,28 @@ def diabetes_style(spark: SparkSession, d: str, epochs: int = 200, lr: float = 0
     return _evaluate(scored, "lr_gd")
 
 
-def _sql_diabetes(epochs: int = 200, lr: float = 0.1) -> str:
-    nf = len(NUMERIC)
-    z = ", ".join(f"({c}::DOUBLE - m{j}) / s{j} AS x{j}" for j, c in enumerate(NUMERIC))
-    moments = ", ".join(f"avg({c}::DOUBLE) AS m{j}, stddev_samp({c}::DOUBLE) AS s{j}" for j, c in enumerate(NUMERIC))
+def _sql_report(model: str, nf: int, epochs: int, held_out: str) -> str:
+    """The last CTEs and the metrics row: rows z(x0 ..., y) that satisfy ``held_out`` scored by the last weights of W."""
     terms = " + ".join(f"x{j} * w{j}" for j in range(nf))
     bce = ("-(y * CASE WHEN p > 0 THEN greatest(ln(p), -100.0) ELSE -100.0 END"
            " + (1.0 - y) * CASE WHEN p < 1 THEN greatest(ln(1.0 - p), -100.0) ELSE -100.0 END)")
     div = lambda a, c: sr(f"CASE WHEN {c} = 0 THEN 0.0 ELSE ({a})::DOUBLE / ({c}) END")
+    return f"""sc AS MATERIALIZED (SELECT y, 1.0::DOUBLE / (1.0::DOUBLE + exp(-((0.0::DOUBLE + {terms}) + b))) AS p
+                    FROM z, W WHERE {held_out} AND epoch = {epochs}),
+k AS (SELECT count(*) AS n, count(*) FILTER (y = 1 AND p > 0.5) AS tp, count(*) FILTER (y <> 1 AND p > 0.5) AS fp,
+             count(*) FILTER (y = 1 AND NOT p > 0.5) AS fn, count(*) FILTER (y <> 1 AND NOT p > 0.5) AS tn, avg({bce}) AS ll FROM sc),
+g AS (SELECT p, count(*) FILTER (y = 1) AS tp, count(*) FILTER (y <> 1) AS fp FROM sc GROUP BY p),
+cum AS (SELECT *, sum(tp) OVER (ORDER BY p DESC) AS ctp FROM g),
+a AS (SELECT sum(fp * (2 * ctp - tp))::DOUBLE / (2.0 * sum(tp) * sum(fp)) AS auc FROM cum)
+SELECT '{model}' AS model, n::BIGINT AS n, {div("tp + tn", "n")} AS accuracy, {div("tp", "tp + fp")} AS "precision",
+       {div("tp", "tp + fn")} AS recall, {div("2 * tp", "2 * tp + fp + fn")} AS f1, {sr("auc")} AS auc, {sr("ll")} AS log_loss
+FROM k, a"""
+
+
+def _sql_diabetes(epochs: int = 200, lr: float = 0.1) -> str:
+    nf = len(NUMERIC)
+    z = ", ".join(f"({c}::DOUBLE - m{j}) / s{j} AS x{j}" for j, c in enumerate(NUMERIC))
+    moments = ", ".join(f"avg({c}::DOUBLE) AS m{j}, stddev_samp({c}::DOUBLE) AS s{j}" for j, c in enumerate(NUMERIC))
     return f"""
 WITH RECURSIVE {ds.ORDER_FEATURES_SQL},
 c0 AS (SELECT o_orderkey, {", ".join(NUMERIC)}, label, count(*) OVER (PARTITION BY label) AS cnt FROM order_features
@@ -68,16 +82,7 @@ mo AS (SELECT {moments} FROM s WHERE split = 'train'),
 z AS MATERIALIZED (SELECT split, label::DOUBLE AS y, {z} FROM s, mo),
 X AS MATERIALIZED (SELECT * FROM z WHERE split = 'train'),
 {sql_gd_weights(nf, epochs, lr)},
-sc AS MATERIALIZED (SELECT y, 1.0::DOUBLE / (1.0::DOUBLE + exp(-((0.0::DOUBLE + {terms}) + b))) AS p
-                    FROM z, W WHERE split = 'test' AND epoch = {epochs}),
-k AS (SELECT count(*) AS n, count(*) FILTER (y = 1 AND p > 0.5) AS tp, count(*) FILTER (y <> 1 AND p > 0.5) AS fp,
-             count(*) FILTER (y = 1 AND NOT p > 0.5) AS fn, count(*) FILTER (y <> 1 AND NOT p > 0.5) AS tn, avg({bce}) AS ll FROM sc),
-g AS (SELECT p, count(*) FILTER (y = 1) AS tp, count(*) FILTER (y <> 1) AS fp FROM sc GROUP BY p),
-cum AS (SELECT *, sum(tp) OVER (ORDER BY p DESC) AS ctp FROM g),
-a AS (SELECT sum(fp * (2 * ctp - tp))::DOUBLE / (2.0 * sum(tp) * sum(fp)) AS auc FROM cum)
-SELECT 'lr_gd' AS model, n::BIGINT AS n, {div("tp + tn", "n")} AS accuracy, {div("tp", "tp + fp")} AS "precision",
-       {div("tp", "tp + fn")} AS recall, {div("2 * tp", "2 * tp + fp + fn")} AS f1, {sr("auc")} AS auc, {sr("ll")} AS log_loss
-FROM k, a"""
+{_sql_report("lr_gd", nf, epochs, "split = 'test'")}"""
 
 
 @query("pipeline_diabetes", "P1 R1 A5 R2 M1 M3 A8-A13", sql=_sql_diabetes())
@@ -185,6 +190,39 @@ def fraud_style(spark: SparkSession, d: str, epochs: int = 10, lr: float = 0.01)
     return _evaluate(scored, "lr_adam")
 
 
-@query("pipeline_fraud", "J1 P4 E1 A7 F3 F4 A2 A3 P5 R3 M2 U1")
+def _sql_fraud(epochs: int = 10, lr: float = 0.01) -> str:
+    shifted = ["n_lines", "sum_qty", "avg_disc", "avg_tax", "n_returned", "max_price", "id_balance"]
+    code = lambda src, c: f"(SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT {c} AS v FROM {src} WHERE {c} IS NOT NULL))"
+    feats = ["o_totalprice", *shifted, "o_orderstatus", "id_segment", "cents", "combined", "id_nation_FE", "n_lines_FE",
+             "price_mean", "price_std", "disc_mean", "disc_std"]
+    thousands = {"o_totalprice", "max_price", "price_mean", "price_std", "id_balance"}
+    xs = ", ".join(f"{c}::FLOAT::DOUBLE{' / 1000.0::DOUBLE' if c in thousands else ''} AS x{j}" for j, c in enumerate(feats))
+    return f"""
+WITH RECURSIVE {ds.ORDER_FEATURES_SQL},
+j AS (SELECT o.*, c.c_nationkey AS id_nation, c.c_acctbal AS id_balance, c.c_mktsegment AS id_segment
+      FROM order_features o LEFT JOIN customer c ON o.o_custkey = c.c_custkey),
+s AS MATERIALIZED ({sql_split("j", "o_orderkey", 7, 0.25)}),
+e AS MATERIALIZED (SELECT s.o_orderkey, s.o_custkey, s.split, s.label, s.o_totalprice, s.o_totalprice - floor(s.o_totalprice) AS cents, s.id_nation,
+        coalesce(st.code, -1) AS o_orderstatus, coalesce(sg.code, -1) AS id_segment,
+        {", ".join(f"coalesce(s.{c}::DOUBLE - min(s.{c}::DOUBLE) OVER (), -1.0) AS {c}" for c in shifted)}
+      FROM s LEFT JOIN {code("s", "o_orderstatus")} st ON st.v = s.o_orderstatus LEFT JOIN {code("s", "id_segment")} sg ON sg.v = s.id_segment),
+cb AS MATERIALIZED (SELECT *, concat(coalesce(id_nation::VARCHAR, 'nan'), '_', id_segment::VARCHAR) AS cbt FROM e),
+fn AS (SELECT id_nation AS v, count(*) / (SELECT count(id_nation) FROM e) AS f FROM e WHERE id_nation IS NOT NULL GROUP BY id_nation),
+fl AS (SELECT n_lines AS v, count(*) / (SELECT count(n_lines) FROM e) AS f FROM e WHERE n_lines IS NOT NULL GROUP BY n_lines),
+gs AS (SELECT o_custkey, avg(o_totalprice) AS price_mean, stddev_samp(o_totalprice) AS price_std, avg(avg_disc) AS disc_mean,
+              stddev_samp(avg_disc) AS disc_std FROM e GROUP BY o_custkey),
+h AS (SELECT cb.* EXCLUDE (cbt), cc.code AS combined, CASE WHEN cb.id_nation = -1 THEN -1.0 ELSE fn.f END AS id_nation_FE,
+             CASE WHEN cb.n_lines = -1 THEN -1.0 ELSE fl.f END AS n_lines_FE, coalesce(gs.price_mean, -1.0) AS price_mean,
+             coalesce(gs.price_std, -1.0) AS price_std, coalesce(gs.disc_mean, -1.0) AS disc_mean, coalesce(gs.disc_std, -1.0) AS disc_std
+      FROM cb LEFT JOIN {code("cb", "cbt")} cc ON cc.v = cb.cbt LEFT JOIN fn ON fn.v = cb.id_nation LEFT JOIN fl ON fl.v = cb.n_lines
+      LEFT JOIN gs USING (o_custkey)),
+tr AS (SELECT * EXCLUDE (split) FROM h WHERE split = 'train'),
+z AS MATERIALIZED (SELECT split AS part, label::DOUBLE AS y, {xs} FROM ({sql_split("tr", "o_orderkey", 42, 0.2, "label")})),
+X AS MATERIALIZED (SELECT * FROM z WHERE part = 'train'),
+{sql_adam_weights(len(feats), epochs, lr)},
+{_sql_report("lr_adam", len(feats), epochs, "part = 'test'")}"""
+
+
+@query("pipeline_fraud", "J1 P4 E1 A7 F3 F4 A2 A3 P5 R3 M2 U1", sql=_sql_fraud())
 def q_pipeline_fraud(spark, d):
     return _report(fraud_style(spark, d))

@@ -159,9 +159,9 @@ def _sql_gd(epochs: int, lr: float) -> str:
     return f"WITH RECURSIVE {_sql_rows()},\n{sql_gd_weights(nf, epochs, lr)}\n{_sql_out(nf)}"
 
 
-def _sql_adam(epochs: int, lr: float, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8) -> str:
-    nf = len(ds.FEATURE_SQL)
-    rows, inner = _sql_rows(), _sql_epoch(nf)
+def sql_adam_weights(nf: int, epochs: int, lr: float, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8) -> str:
+    """Recursive CTE W(epoch, loss, b, w0 ..., moments): Adam from zero over the rows X(x0 ..., y)."""
+    inner = _sql_epoch(nf)
     names = [*[f"w{j}" for j in range(nf)], "b"]
     grads = [*[f"g{j}" for j in range(nf)], "gb"]
     cols = ["epoch", "loss", "b", *names[:-1], *[f"m_{n}" for n in names], *[f"v_{n}" for n in names]]
@@ -171,8 +171,13 @@ def _sql_adam(epochs: int, lr: float, b1: float = 0.9, b2: float = 0.999, eps: f
                         + [f"{b2!r}::DOUBLE * v_{n} + {1 - b2!r}::DOUBLE * {g} * {g} AS v_{n}" for n, g in zip(names, grads)])
     new = {n: f"{n} - {lr!r}::DOUBLE * (m_{n} / (1 - pow({b1!r}::DOUBLE, epoch))) / (sqrt(v_{n} / (1 - pow({b2!r}::DOUBLE, epoch))) + {eps!r}::DOUBLE)" for n in names}
     keep = ", ".join(["epoch", "loss", new["b"], *[new[n] for n in names[:-1]], *cols[3 + nf:]])
-    return (f"WITH RECURSIVE {rows},\nW({', '.join(cols)}) AS ({start}\nUNION ALL SELECT {keep} FROM (SELECT epoch + 1 AS epoch, loss, "
-            f"{', '.join(names)}, {moments} FROM ({inner.format(extra=extra, epochs=epochs)})))\n{_sql_out(nf)}")
+    return (f"W({', '.join(cols)}) AS ({start}\nUNION ALL SELECT {keep} FROM (SELECT epoch + 1 AS epoch, loss, "
+            f"{', '.join(names)}, {moments} FROM ({inner.format(extra=extra, epochs=epochs)})))")
+
+
+def _sql_adam(epochs: int, lr: float) -> str:
+    nf = len(ds.FEATURE_SQL)
+    return f"WITH RECURSIVE {_sql_rows()},\n{sql_adam_weights(nf, epochs, lr)}\n{_sql_out(nf)}"
 
 
 def _history(spark, model):
