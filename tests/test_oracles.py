@@ -44,8 +44,6 @@ def test_every_query_registered_with_inventory():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
-    if name == "one_hot":
-        pytest.skip("oracle names the categories present at sf0.01")
     got = QUERIES[name](spark, SF_SMALL).toPandas()
     want = con.sql(ORACLES[name]).df()
     gc, gr = _rows(got)
