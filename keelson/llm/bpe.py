@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_or_empty
+from .common import _CACHES, keep_only, ship, text_or_empty
 
 WORD_BPE = "word_bpe_49k.json"
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -228,6 +228,9 @@ def worker_codec(source: bytes) -> WordCodec:
     return _codec(digest)
 
 
+_CACHES["bpe"] = _codec.cache_clear
+
+
 def read_vocabulary(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -244,6 +247,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     schema = f"id {x.schema['id'].dataType.simpleString()}, ids binary" + (", decoded string" if decode else "")
 
     def run(batches):
+        keep_only("bpe")
         codec = worker_codec(source.value)
         for batch in batches:
             texts, rows, begin, size = batch.column(1), [], 0, 0
@@ -269,6 +273,7 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     x = encoded.select("id", F.coalesce("ids", F.lit(b"")).alias("ids"))
 
     def run(batches):
+        keep_only("bpe")
         codec = worker_codec(source.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):

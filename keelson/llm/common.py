@@ -124,3 +124,15 @@ def delete_paths(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: What each operator keeps in a Python worker between tasks, and how to drop it.
+_CACHES: dict = {}
+
+
+def keep_only(owner: str) -> None:
+    """Drop what other operators keep in this Python worker: Spark reuses workers from stage to stage, and their tables
+    would add up."""
+    for name, clear in _CACHES.items():
+        if name != owner:
+            clear()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import keep_only, ship
 
 # Element classes of the HTML standard.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -376,6 +376,7 @@ def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     x = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("h"))
 
     def run(batches):
+        keep_only("html")
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, hashed_words, materialize, shared_path, ship, text_or_empty
+from .common import _CACHES, byte_slices, hashed_words, keep_only, materialize, shared_path, ship, text_or_empty
 from .tokenfile import open_fs
 
 #: Hash of the end token: of a word that cannot occur.
@@ -147,6 +147,7 @@ def count_words(train: DataFrame) -> DataFrame:
     """(h, c): the training tokens' hashes and counts, combined in tasks before the shuffle."""
 
     def run(batches):
+        keep_only("lm")
         held, size = [], 0
 
         def combined():
@@ -170,6 +171,7 @@ def write_vocabulary(counts: DataFrame, folder: str) -> tuple[tuple[int, int, in
     """Write the sorted segments; (first hash, words, number of the first, path) of each, in order."""
 
     def run(batches):
+        keep_only("lm")
         batches = [b for b in batches if b.num_rows]
         if batches:
             h, c = (np.concatenate([b.column(k).to_numpy() for b in batches]) for k in range(2))
@@ -205,6 +207,7 @@ def map_bigrams(train: DataFrame, segments: tuple, hot: np.ndarray, buckets: int
     """(bucket, keys, counts): packed combined bigrams."""
 
     def run(batches):
+        keep_only("lm")
         vocabulary = worker_vocabulary(segments)
         held, size = [], 0
 
@@ -262,6 +265,7 @@ def merge_bigrams(packed: DataFrame, folder: str, buckets: int, words: int) -> D
         return pa.RecordBatch.from_pylist(out, SHARD_SCHEMA)
 
     def run(batches):
+        keep_only("lm")
         bucket, keys, counts = None, [], []
         for batch in batches:
             for b, k, c in zip(*(col.to_pylist() for col in batch.columns)):
@@ -288,6 +292,7 @@ def merge_statistics(parts: DataFrame, folder: str, buckets: int, words: int) ->
         return pa.RecordBatch.from_pylist([{"bucket": bucket, "first": first, "n": n, "path": path, **of}])
 
     def run(batches):
+        keep_only("lm")
         bucket, arrays, first, n = None, None, 0, 0
         for batch in batches:
             for b, kind, ids, stats in zip(*(c.to_pylist() for c in batch.columns)):
@@ -408,6 +413,7 @@ class KneserNey:
 
 
 _MODELS: dict[str, KneserNey] = {}
+_CACHES["lm"] = lambda: (_MODELS.clear(), worker_vocabulary.cache_clear())
 
 
 def worker_model(model: dict) -> KneserNey:
@@ -426,6 +432,7 @@ def score_texts(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
     x = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
 
     def run(batches):
+        keep_only("lm")
         scorer = worker_model(sent.value)
         for batch in batches:
             for part in byte_slices(batch, 1, SLICE):

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, hashed_words, materialize, shared_path, ship, text_or_empty
+from .common import byte_slices, hashed_words, keep_only, materialize, shared_path, ship, text_or_empty
 from .components import components
 from .tokenfile import open_fs
 
@@ -47,7 +47,7 @@ M, K = 12, 2
 #: Members, and members not linked to the centre, in a block.
 BLOCK, QUERY_BLOCK = 2048, 512
 #: Text bytes that are sketched together, and sets (bytes) that a worker keeps from the store.
-SKETCH_BYTES, KEPT_BYTES = 2 << 20, 96 << 20
+SKETCH_BYTES, KEPT_BYTES = 2 << 20, 48 << 20
 _ODD = np.array([int.from_bytes(hashlib.sha256(f"shingle {i}".encode()).digest()[:8], "little") | 1 for i in range(SHINGLE + 1)], np.uint64)
 _MIN = np.array([int.from_bytes(hashlib.sha256(f"minhash {i}".encode()).digest()[:8], "little") | 1 for i in range(2 * M * K)], np.uint64)
 
@@ -86,6 +86,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     x = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
 
     def run(batches):
+        keep_only("neardup")
         for batch in batches:
             for part in byte_slices(batch, 1, SKETCH_BYTES):
                 s, begins = shingles(part.column(1))
@@ -115,6 +116,7 @@ def stars(classes: DataFrame) -> DataFrame:
     rows = rows.repartition("key").sortWithinPartitions("key", "priority", "id").select("key", "id")
 
     def run(batches):
+        keep_only("neardup")
         last_key, centre = None, None
         for batch in batches:
             if not batch.num_rows:
@@ -142,6 +144,7 @@ def write_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -
         wanted.hint("merge"), "id", "left_semi")  # the same plan at every size
 
     def run(batches):
+        keep_only("neardup")
         out, path, at, seen = None, "", 0, set()
         for batch in batches:
             for part in byte_slices(batch, 1, SKETCH_BYTES):
@@ -210,6 +213,7 @@ def confirm_stars(star: DataFrame, places: DataFrame) -> DataFrame:
     schema = rows.schema.simpleString()[7:-1].replace(":", " ") + ", shared bigint"
 
     def run(batches):
+        keep_only("neardup")
         store = SetStore()
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
@@ -282,6 +286,7 @@ def block_members(star: DataFrame) -> DataFrame:
     units = units.select("members", "queries").filter("size(members) > 0 AND size(queries) > 0")
 
     def run(batches):
+        keep_only("neardup")
         store = SetStore()
         for batch in batches:
             for members, queries in zip(batch.column(0), batch.column(1)):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_or_empty
+from .common import keep_only, ship, text_or_empty
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -159,6 +159,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     x = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
 
     def run(batches):
+        keep_only("secrets")
         for batch in batches:
             texts = batch.column(1)
             rows = [[{"kind": KINDS[k], "start": s, "end": e, "log10_guesses": c if k == 3 else None} for s, k, e, c in scan(texts[i].as_py())]

@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize, shared_path, ship, text_or_empty
+from .common import _CACHES, byte_slices, keep_only, materialize, shared_path, ship, text_or_empty
 
 BYTE_BPE = "byte_bpe_50k.json"
 MAGIC = b"KLTOKEN1"
@@ -262,6 +262,7 @@ class PieceEncoder:
 
 
 _ENCODERS: dict[int, PieceEncoder] = {}
+_CACHES["tokenfile"] = _ENCODERS.clear
 
 
 def worker_encoder(source: bytes) -> PieceEncoder:
@@ -285,6 +286,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        keep_only("tokenfile")
         encoder, writer, path = worker_encoder(source.value), None, ""
         for batch in batches:
             for part in byte_slices(batch, 1, ENCODE_BYTES):
@@ -310,6 +312,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     files = manifest.select("path", F.col("start").cast("bigint").alias("start")).repartition(max(1, manifest.count()))
 
     def run(batches):
+        keep_only("tokenfile")
         for batch in batches:
             for path, at in zip(*(c.to_pylist() for c in batch.columns)):
                 rows, size = [], 0

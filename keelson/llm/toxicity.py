@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_or_empty
+from .common import _CACHES, keep_only, ship, text_or_empty
 
 BITS = 20
 #: Labelled rows to train on, at most.
@@ -48,6 +48,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+_CACHES["toxicity"] = _HASHES.clear
 
 
 def _fold(h: np.ndarray) -> np.ndarray:
@@ -155,6 +156,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     x = x.select("h", "y", "t").coalesce(1)
 
     def run(batches):
+        keep_only("toxicity")
         held = []
         for batch in batches:
             for h, y, t in zip(*(batch.column(c).to_pylist() for c in range(3))):
@@ -178,6 +180,7 @@ def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray],
     x = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
 
     def run(batches):
+        keep_only("toxicity")
         bias, at, w = sent.value
         weights = np.zeros(1 << BITS, np.float64)
         weights[at] = w
