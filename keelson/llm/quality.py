@@ -5,6 +5,12 @@ host's failure rate is shrunk towards the corpus rate by a beta prior whose stre
 the host rates, and the host's verdict is joined back to its documents: documents of a host of which nearly all
 documents fail go too, also those that pass by themselves.
 
+Two verdicts: ``kept`` is that of the rules few_words and repeated alone, as the query's SQL defines it; ``accepted``, by
+which the pipeline selects, also has the rules symbolic (symbols to word characters) and duplicated (repeated lines to
+lines). Each has a shrunk rate of its own by host; a host is rejected by any of them, and a document of another host when
+its own share is above the limit times (1 - the host's rate): the more of a host fails a rule, the less is let pass
+there, and a document without symbols or repeated lines passes on any host that is not rejected.
+
 Everything is a DataFrame expression. Repeated 8-word windows are found inside the row: word hashes are combined by
 doubling (1, 2, 4, 8 words) into 64-bit window hashes; only documents with an equal pair sort their windows. The
 n_repeat_words count takes equal 64-bit hashes as equal windows.
@@ -23,6 +29,8 @@ from .common import GAP, SPACE, group_key, hinted, materialize, text_or_empty, w
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+#: Symbols to word characters, and repeated lines to lines with a word; tightened by the host's rate.
+MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT = 10, 30
 WINDOW = 8
 #: A host is rejected when its shrunk failure rate reaches this share.
 HOST_REJECT_RATE = 0.8
@@ -53,7 +61,7 @@ def _repeat_words(windows: Column) -> Column:
 
 def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                    carry: list[str] | None = None) -> DataFrame:
-    """(id, host key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed[, row])."""
+    """(id, host key, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words[, row], the rules)."""
     row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     x = docs.select(F.col(id_col).alias("id"), group_key(host_col).alias("host"), text_or_empty(text_col).alias("t"), *row)
     keep = ["id", "host"] + (["row"] if carry else [])
@@ -64,9 +72,9 @@ def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                  F.length(F.translate("t", SYMBOLS, "")).alias("unsymbolic"))
     x = x.select(*keep, F.size("w").cast("bigint").alias("n_words"), "word_chars",
                  (F.col("n_chars") - F.col("unsymbolic")).cast("bigint").alias("n_symbols"),
-                 (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
+                 F.size("lines").cast("bigint").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
                  F.transform("w", lambda s: F.xxhash64(s)).alias("h"))
-    done = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    done = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
     for step in (1, 2, 4):
         x = x.select(*keep, *done, _pair_hash(F.col("h"), step).alias("h"))
     x = x.select(*keep, *done, F.slice("h", F.lit(1), F.greatest(F.size("h") - (WINDOW - 1), F.lit(0))).alias("h"))
@@ -75,32 +83,53 @@ def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                  .cast("bigint").alias("n_repeat_words"))
     few = F.col("n_words") < MIN_WORDS
     repeats = 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
-    return x.withColumns({"few_words": few, "repeated": repeats, "base_failed": few | repeats})
+    return x.withColumns({"few_words": few, "repeated": repeats, "base_failed": few | repeats, **{r: over_limit(r) for r in LIMITS}})
+
+
+#: Rules with a limit: (what is counted, of what, limit in percent).
+LIMITS = {"symbolic": ("n_symbols", "word_chars", MAX_SYMBOL_PERCENT), "duplicated": ("n_dup_lines", "n_lines", MAX_DUP_LINE_PERCENT)}
+
+
+def over_limit(rule: str, share: Column | None = None) -> Column:
+    """Whether a document is above the rule's limit, or ``share`` of that limit."""
+    part, whole, percent = LIMITS[rule]
+    limit = percent * F.col(whole)
+    return 100 * F.col(part) > (limit if share is None else limit * share)
 
 
 def host_verdicts(rules: DataFrame, reject_rate: float = HOST_REJECT_RATE) -> DataFrame:
-    """(host, n, failures per rule, rate, rejected): failure rates by host, shrunk by an empirical beta prior.
+    """(host, n, failures per rule, rate, rejected, and a rate of each limit): failure rates by host, shrunk by an
+    empirical beta prior.
 
     The prior's mean is the corpus failure rate m; its strength is m (1 - m) / v - 1 for the variance v of the host
     rates (method of moments), within PRIOR_MIN and PRIOR_MAX. One row of totals comes to the driver."""
+    names = {"base_failed": "rate", **{r: f"{r}_rate" for r in LIMITS}}
     hosts = rules.groupBy("host").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("bigint")).alias(f"n_{c}") for c in ("few_words", "repeated", "base_failed")])
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("bigint")).alias(f"n_{c}") for c in ("few_words", "repeated", *names)])
     hosts = materialize(hosts, "quality-hosts")
-    total, failed, var = hosts.agg(F.sum("n"), F.sum("n_base_failed"), F.var_pop(F.col("n_base_failed") / F.col("n"))).first()
-    mean = (failed or 0) / total if total else 0.0
-    strength = PRIOR_MAX if not var else mean * (1 - mean) / var - 1
-    strength = min(max(strength, PRIOR_MIN), PRIOR_MAX)
-    rate = (F.col("n_base_failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
-    return hosts.withColumn("rate", rate).withColumn("rejected", F.col("rate") >= reject_rate)
+    total, *spread = hosts.agg(F.sum("n"), *[f for c in names for f in (F.sum(f"n_{c}"), F.var_pop(F.col(f"n_{c}") / F.col("n")))]).first()
+    rates = {}
+    for (c, name), failed, var in zip(names.items(), spread[::2], spread[1::2]):
+        mean = (failed or 0) / total if total else 0.0
+        strength = PRIOR_MAX if not var else mean * (1 - mean) / var - 1
+        strength = min(max(strength, PRIOR_MIN), PRIOR_MAX)
+        rates[name] = (F.col(f"n_{c}") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
+    return hosts.withColumns(rates).withColumn("rejected", F.col("rate") >= reject_rate)
 
 
 def apply_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                   carry: list[str] | None = None, reject_rate: float = HOST_REJECT_RATE) -> DataFrame:
-    """document_rules with the host's ``rate``, ``rejected`` and the verdict ``kept``."""
+    """document_rules with the host's rates, ``host_rejected`` and the verdicts ``kept`` and ``accepted``."""
     rules = materialize(document_rules(docs, id_col, text_col, host_col, carry), "quality-rules")
-    hosts = host_verdicts(rules, reject_rate).select("host", F.col("rate").alias("host_rate"), F.col("rejected").alias("host_rejected"))
+    hosts = host_verdicts(rules, reject_rate).select("host", F.col("rate").alias("host_rate"), F.col("rejected").alias("host_rejected"),
+                                                     *[f"{r}_rate" for r in LIMITS])
     out = rules.join(hinted(hosts, "host"), "host")
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    out = out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    accepted = F.col("kept")
+    for rule in LIMITS:
+        rate = F.col(f"{rule}_rate")
+        accepted = accepted & (rate < reject_rate) & ~over_limit(rule, 1 - rate)
+    return out.withColumn("accepted", accepted)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
@@ -110,8 +139,8 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules and their host's verdict keep, with the input's columns."""
-    return apply_quality(docs, carry=docs.columns).filter("kept").select("row.*")
+    """The documents that all rules and their host's verdict accept, with the input's columns."""
+    return apply_quality(docs, carry=docs.columns).filter("accepted").select("row.*")
 
 
 OP7_SQL = r"""
