@@ -5,19 +5,19 @@ host's failure rate is shrunk towards the corpus rate by a beta prior whose stre
 the host rates, and the host's verdict is joined back to its documents: documents of a host of which nearly all
 documents fail go too, also those that pass by themselves.
 
-Two verdicts: ``kept`` is that of the rules few_words and repeated alone, as the query's SQL defines it; ``accepted``, by
-which the pipeline selects, also has the rules symbolic (symbols to word characters) and duplicated (repeated lines to
-lines). Each has a shrunk rate of its own by host; a host is rejected by any of them, and a document of another host when
-its own share is above the limit times (1 - the host's rate): the more of a host fails a rule, the less is let pass
-there, and a document without symbols or repeated lines passes on any host that is not rejected.
+The rules are few_words and repeated (together: base_failed), symbolic (symbols to word characters) and duplicated
+(repeated lines to lines). Each has a shrunk rate by host. A document is kept if it does not fail base_failed, no rate of
+its host reaches HOST_REJECT_RATE, and its own share of symbols and of repeated lines is within the limit times (1 - the
+host's rate): the more of a host fails a rule, the less is let pass there, and a document without symbols or repeated
+lines passes on any host that is not rejected.
 
 Everything is a DataFrame expression. Repeated 8-word windows are found inside the row: word hashes are combined by
 doubling (1, 2, 4, 8 words) into 64-bit window hashes; only documents with an equal pair sort their windows. The
 n_repeat_words count takes equal 64-bit hashes as equal windows.
 
 Defined results: a null text has no words (all counts 0, fails), an empty table gives an empty result, repeated rows
-count as often as they occur, a null host is a host of its own, other columns of the input are ignored unless
-``carry`` names them.
+count as often as they occur, a null host is a host of its own, a very long text is counted whole within its row, a share
+equal to its limit passes, other columns of the input are ignored unless ``carry`` names them.
 """
 
 from __future__ import annotations
@@ -119,17 +119,16 @@ def host_verdicts(rules: DataFrame, reject_rate: float = HOST_REJECT_RATE) -> Da
 
 def apply_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                   carry: list[str] | None = None, reject_rate: float = HOST_REJECT_RATE) -> DataFrame:
-    """document_rules with the host's rates, ``host_rejected`` and the verdicts ``kept`` and ``accepted``."""
+    """document_rules with the host's rates, ``host_rejected`` and the verdict ``kept``."""
     rules = materialize(document_rules(docs, id_col, text_col, host_col, carry), "quality-rules")
     hosts = host_verdicts(rules, reject_rate).select("host", F.col("rate").alias("host_rate"), F.col("rejected").alias("host_rejected"),
                                                      *[f"{r}_rate" for r in LIMITS])
     out = rules.join(hinted(hosts, "host"), "host")
-    out = out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
-    accepted = F.col("kept")
+    kept = ~F.col("base_failed") & ~F.col("host_rejected")
     for rule in LIMITS:
         rate = F.col(f"{rule}_rate")
-        accepted = accepted & (rate < reject_rate) & ~over_limit(rule, 1 - rate)
-    return out.withColumn("accepted", accepted)
+        kept = kept & (rate < reject_rate) & ~over_limit(rule, 1 - rate)
+    return out.withColumn("kept", kept)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
@@ -140,7 +139,7 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
 
 def stage_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that all rules and their host's verdict accept, with the input's columns."""
-    return apply_quality(docs, carry=docs.columns).filter("accepted").select("row.*")
+    return apply_quality(docs, carry=docs.columns).filter("kept").select("row.*")
 
 
 OP7_SQL = r"""
@@ -152,21 +151,28 @@ e AS (SELECT rid, i, array_to_string(ws[i:i+7], ' ') AS win
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM e) WHERE c > 1),
 n AS (SELECT rid, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat_words
       FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM r) GROUP BY rid),
-l AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines
+l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
       FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)
       WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 b AS (
   SELECT d.doc_id, d.source, len(w.ws)::BIGINT AS n_words,
          coalesce(list_sum(list_transform(w.ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-         coalesce(l.n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n.n_repeat_words, 0)::BIGINT AS n_repeat_words
+         coalesce(l.n_lines, 0)::BIGINT AS n_lines, coalesce(l.n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n.n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM d JOIN w USING (rid) LEFT JOIN l USING (rid) LEFT JOIN n USING (rid)),
-f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM f GROUP BY source),
-m AS (SELECT sum(bad) / sum(n) AS mean, var_pop(bad / n) AS v FROM h),
-p AS (SELECT mean, CASE WHEN v IS NULL OR v = 0 THEN 10000.0
-                        ELSE least(greatest(mean * (1 - mean) / v - 1, 2.0), 10000.0) END AS k FROM m)
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+             100 * n_symbols > 10 * word_chars AS symbolic, 100 * n_dup_lines > 30 * n_lines AS duplicated FROM b),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad, count(*) FILTER (symbolic) AS sym,
+             count(*) FILTER (duplicated) AS dup FROM f GROUP BY source),
+m AS (SELECT sum(bad) / sum(n) AS bm, var_pop(bad / n) AS bv, sum(sym) / sum(n) AS sm, var_pop(sym / n) AS sv,
+             sum(dup) / sum(n) AS dm, var_pop(dup / n) AS dv FROM h),
+p AS (SELECT bm, sm, dm,
+        CASE WHEN bv IS NULL OR bv = 0 THEN 10000.0 ELSE least(greatest(bm * (1 - bm) / bv - 1, 2.0), 10000.0) END AS bk,
+        CASE WHEN sv IS NULL OR sv = 0 THEN 10000.0 ELSE least(greatest(sm * (1 - sm) / sv - 1, 2.0), 10000.0) END AS sk,
+        CASE WHEN dv IS NULL OR dv = 0 THEN 10000.0 ELSE least(greatest(dm * (1 - dm) / dv - 1, 2.0), 10000.0) END AS dk FROM m),
+r AS (SELECT source, (bad + bm * bk) / (n + bk) AS rate, (sym + sm * sk) / (n + sk) AS s_rate, (dup + dm * dk) / (n + dk) AS d_rate FROM h, p)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (h.bad + p.mean * p.k) / (h.n + p.k) < 0.8 AS kept
-FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source, p
+       NOT base_failed AND rate < 0.8 AND s_rate < 0.8 AND d_rate < 0.8
+       AND NOT 100 * n_symbols > 10 * word_chars * (1 - s_rate) AND NOT 100 * n_dup_lines > 30 * n_lines * (1 - d_rate) AS kept
+FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 """

@@ -21,6 +21,28 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered), failed
 
 
+def kept(rows, prior=(2.0, 10_000.0), reject=0.8):
+    """Ids of (doc_id, text, source) that base_failed, the host's shrunk rates and the tightened limits leave."""
+    facts = {}
+    for i, t, s in rows:
+        q = quality(t)
+        n_lines = sum(bool(words(x)) for x in (t or "").split("\n"))
+        facts[i] = (s, q[-1], (q[2], 10, q[1]), (q[3], 30, n_lines))
+    over = lambda x, share=1: 100 * x[0] > x[1] * x[2] * share
+    fails = {i: (f[1], over(f[2]), over(f[3])) for i, f in facts.items()}
+    n = Counter(f[0] for f in facts.values())
+    rates = []
+    for k in range(3):
+        bad = Counter(facts[i][0] for i, x in fails.items() if x[k])
+        each = [bad[s] / n[s] for s in n]
+        mean, avg = sum(bad.values()) / len(facts), sum(each) / len(each)
+        var = sum((r - avg) ** 2 for r in each) / len(each)
+        strength = min(max(mean * (1 - mean) / var - 1, prior[0]), prior[1]) if var else prior[1]
+        rates.append({s: (bad[s] + mean * strength) / (n[s] + strength) for s in n})
+    return {i for i, (s, failed, sym, dup) in facts.items() if not failed and max(r[s] for r in rates) < reject
+            and not over(sym, 1 - rates[1][s]) and not over(dup, 1 - rates[2][s])}
+
+
 def shingles(text):
     w = [x.translate(LOWER) for x in words(text)]
     return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])

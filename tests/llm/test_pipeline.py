@@ -6,7 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from keelson.llm import bpe, quality
+from keelson.llm import bpe
 from keelson.session import scratch_path
 from tests.llm import brute
 
@@ -15,15 +15,8 @@ SF = "/root/testdata/sf0.01"
 
 def kept_by_definition(spark, rows):
     """What quality rules, exact dedup and near-duplicates leave of (doc_id, text, source), in plain Python."""
-    rules = {i: brute.quality(t) for i, t, _ in rows}
-    hosts = Counter(s for _, _, s in rows)
-    failed = Counter(s for i, _, s in rows if rules[i][-1])
-    rates = [failed[s] / n for s, n in hosts.items()]
-    mean, avg = sum(failed.values()) / len(rows), sum(rates) / len(rates)
-    var = sum((r - avg) ** 2 for r in rates) / len(rates)
-    k = min(max(mean * (1 - mean) / var - 1, quality.PRIOR_MIN), quality.PRIOR_MAX) if var else quality.PRIOR_MAX
-    bad = {s for s, n in hosts.items() if (failed[s] + mean * k) / (n + k) >= quality.HOST_REJECT_RATE}
-    left = [(i, t, s) for i, t, s in rows if not rules[i][-1] and s not in bad]
+    good = brute.kept(rows)
+    left = [(i, t, s) for i, t, s in rows if i in good]
     last = {}
     for i, t, s in left:
         last[(t or "").translate(brute.LOWER)] = max(i, last.get((t or "").translate(brute.LOWER), -1))
