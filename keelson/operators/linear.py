@@ -1,12 +1,16 @@
 """Logistic regression: scoring (M3), full-batch training by gradient descent
 (M1) and Adam (M2), fixed-point scoring drift (M9).
 
-Training keeps the data on the executors: each epoch is ONE aggregate that
-returns d + 1 gradient sums, the loss and the count; only those numbers reach
-the driver, where the update rule runs. Weights go back to the executors as
-literals in the next epoch's expression, so the plan never grows. The input is
-cut from its lineage once (reliable checkpoint), so a lost executor recomputes
-a partition from the checkpoint, not from the whole feature pipeline.
+Training keeps the data on the executors. Where the rows fit the tasks that the
+cluster runs at a time (TASK_BYTES each), all epochs are one barrier stage: each
+task holds its rows as a matrix, the tasks hand each other d + 3 sums per epoch
+and apply the same update (:func:`_fit_in_stage`). Where they do not fit, each
+epoch is ONE aggregate that returns d + 1 gradient sums, the loss and the count;
+only those numbers reach the driver, where the update rule runs, and weights go
+back as literals in the next epoch's expression, so the plan never grows. Both
+sum the same terms. The input is cut from its lineage once (reliable
+checkpoint), so a lost executor recomputes a partition from the checkpoint, not
+from the whole feature pipeline.
 """
 
 from __future__ import annotations
@@ -17,12 +21,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot_literal, fixed_point
 from ..functions.scalar import sigmoid, threshold_label
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path, ship_package
+from .allreduce import SharedSum
 
 
 # Target in-memory size of one partition of the training table.
@@ -106,42 +112,126 @@ _BCE_SQL = ("-(_y * CASE WHEN _p > 0 THEN greatest(ln(_p), -100.0D) ELSE -100.0D
             " + (1.0D - _y) * CASE WHEN _p < 1 THEN greatest(ln(1.0D - _p), -100.0D) ELSE -100.0D END)")
 
 
-def _prepare(data: DataFrame, features: str, label: str, checkpoint: bool, validation: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
-    """Flat double columns x0..x{d-1}, _y and the flag _v of validation rows over partitions sized by bytes (never
-    fewer than the cores; upstream AQE may have coalesced a small input).
-
-    The upstream pipeline runs ONCE: its (features, label) rows are checkpointed
-    first; the width, the row count and the flat table are all taken from the
-    checkpoint. Every row's width is checked while flattening."""
-    spark = data.sparkSession
+def _checked(data: DataFrame, features: str, label: str, checkpoint: bool, validation: DataFrame | None = None) -> tuple[DataFrame, int, int]:
+    """(_f, _l, _v) rows with the flag _v of validation rows, their width and number. The upstream pipeline runs ONCE: its
+    rows are checkpointed, the width and the count are taken from the checkpoint, and every row's width is checked."""
     base = data.select(F.col(features).alias("_f"), F.col(label).cast("double").alias("_l"), F.lit(False).alias("_v"))
     if validation is not None:
         base = base.unionByName(validation.select(F.col(features).alias("_f"), F.col(label).cast("double").alias("_l"), F.lit(True).alias("_v")))
     base = cut_lineage(base) if checkpoint else base.cache()
-    first = base.select(F.size("_f").alias("d")).first()
-    d = int(first["d"]) if first is not None and first["d"] is not None else 0
-    n = base.count()
+    row = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_f")).alias("d")).first()
+    d = int(row["d"] or 0)
+    checked = F.when(F.size("_f") == F.lit(d), F.col("_l")).otherwise(F.raise_error(F.lit(f"every feature array must have {d} values")))
+    return base.select("_f", checked.alias("_l"), "_v"), d, row["n"]
+
+
+def _flat(base: DataFrame, d: int, n: int) -> tuple[DataFrame, list[str]]:
+    """Flat double columns x0..x{d-1}, _y and _v over partitions sized by bytes (never fewer than the cores; upstream AQE
+    may have coalesced a small input)."""
     cols = [f"x{j}" for j in range(d)]
-    checked = F.when(F.size("_f") == F.lit(d), F.col("_l")).otherwise(
-        F.raise_error(F.lit(f"every feature array must have {d} values")))
-    flat = base.select(*[F.col("_f")[j].cast("double").alias(c) for j, c in enumerate(cols)], checked.alias("_y"), "_v")
-    parts = max(spark.sparkContext.defaultParallelism, math.ceil(n * (d + 1) * 8 / TRAIN_PARTITION_BYTES))
+    flat = base.select(*[F.col("_f")[j].cast("double").alias(c) for j, c in enumerate(cols)], F.col("_l").alias("_y"), "_v")
+    parts = max(base.sparkSession.sparkContext.defaultParallelism, math.ceil(n * (d + 1) * 8 / TRAIN_PARTITION_BYTES))
     # in memory on top of the checkpoint: a lost block is re-read from the
     # checkpoint files, never recomputed from the feature pipeline
     return flat.repartition(parts).cache(), cols
 
 
-def train_gd(data: DataFrame, features: str, label: str, epochs: int = 200, lr: float = 0.1,
-             init: Sequence[float] | None = None, init_bias: float = 0.0, checkpoint: bool = True,
-             validation: DataFrame | None = None) -> LinearModel:
-    """M1: full-batch gradient descent on mean binary cross-entropy. ``history``
-    holds, per epoch, the loss at the weights before the step and the weights after it;
-    with ``validation`` (rows like ``data``) also their accuracy after the step, from the
-    same pass that takes the next gradient."""
-    slim, cols = _prepare(data, features, label, checkpoint, validation)
-    d = len(cols)
-    w = np.zeros(d) if init is None else np.asarray(init, dtype=np.float64)
-    b = float(init_bias)
+#: Bytes of training rows that a task of the barrier stage holds.
+TASK_BYTES = 512 * 1024 * 1024
+#: Tasks of a small training: more would only wait for each other.
+FEW_TASKS = 4
+
+
+class _Descent:
+    """Full-batch gradient descent."""
+
+    def __init__(self, lr: float):
+        self.lr = lr
+
+    def step(self, w: np.ndarray, b: float, g: np.ndarray, gb: float) -> tuple[np.ndarray, float]:
+        return w - self.lr * g, b - self.lr * gb
+
+
+class _Adam:
+    """Full-batch Adam (published update rule, bias-corrected moments)."""
+
+    def __init__(self, lr: float, betas: tuple[float, float], eps: float):
+        self.lr, self.betas, self.eps, self.t = lr, betas, eps, 0
+        self.m = self.v = 0.0
+
+    def step(self, w: np.ndarray, b: float, g: np.ndarray, gb: float) -> tuple[np.ndarray, float]:
+        self.t += 1
+        (b1, b2), grad = self.betas, np.append(g, gb)
+        self.m = b1 * self.m + (1 - b1) * grad
+        self.v = b2 * self.v + (1 - b2) * grad * grad
+        step = self.lr * (self.m / (1 - b1 ** self.t)) / (np.sqrt(self.v / (1 - b2 ** self.t)) + self.eps)
+        return w - step[:-1], b - step[-1]
+
+
+def _local_stats(x: np.ndarray, y: np.ndarray, v: np.ndarray, known: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    """Sums over a task's rows: gradient, bias gradient, loss, rows; right and all validation rows. Logits are summed in
+    chains of TERMS terms, as :meth:`_EpochRunner._logit` does. Rows with nulls count, but add nothing to the sums."""
+    z = np.zeros(len(x))
+    for k in range(0, max(x.shape[1], 1), TERMS):
+        part = np.zeros(len(x))
+        for j in range(k, min(k + TERMS, x.shape[1])):
+            part += x[:, j] * w[j]
+        z = part if k == 0 else z + part
+    with np.errstate(all="ignore"):
+        p = 1.0 / (1.0 + np.exp(-(z + b)))
+        loss = -(y * np.where(p > 0, np.maximum(np.log(p), -100.0), -100.0) + (1 - y) * np.where(p < 1, np.maximum(np.log(1 - p), -100.0), -100.0))
+    fit, r = ~v & known, p - y
+    return np.concatenate([r[fit] @ x[fit], [r[fit].sum(), loss[fit].sum(), (~v).sum(), ((p > 0.5) == (y == 1))[v & known].sum(), (v & known).sum()]])
+
+
+def _fit_in_stage(data: DataFrame, d: int, epochs: int, rule, w: np.ndarray, b: float, validate: bool, tasks: int) -> list[dict]:
+    """The history of a training in one barrier stage; ``data`` has columns _f, _l, _v."""
+    dealt = cut_lineage(data.repartition(tasks))
+    folder = scratch_path(data.sparkSession, f"training/{uuid.uuid4().hex}")
+
+    def run(batches):
+        from pyspark import BarrierTaskContext
+
+        ctx = BarrierTaskContext.get()
+        held = [t for t in batches if t.num_rows]
+        x = np.concatenate([np.zeros((0, d)), *(t.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d) for t in held)])
+        y, v = (np.concatenate([np.zeros(0, k), *(t.column(c).to_numpy(zero_copy_only=False).astype(k) for t in held)]) for c, k in ((1, np.float64), (2, bool)))
+        valid = lambda c: c.is_valid().to_numpy(zero_copy_only=False)
+        known = np.concatenate([np.zeros(0, bool), *(valid(t.column(1)) & valid(t.column(0).flatten()).reshape(-1, d).all(axis=1) for t in held)])
+
+        together = SharedSum(ctx, folder)
+        weights, bias, rows = w, b, []
+        for epoch in range(1, epochs + 1 + validate):
+            *g, gb, loss, n, right, seen = together.sum(_local_stats(x, y, v, known, weights, bias))
+            if rows:
+                rows[-1][4] = right / seen if seen else None
+            if epoch <= epochs:
+                weights, bias = rule.step(weights, bias, np.array(g) / n, gb / n)
+                rows.append([epoch, loss / n, float(bias), weights.tolist(), None])
+        if ctx.partitionId() == 0:
+            names = ["epoch", "loss", "bias", "weights", "val"]
+            types = [pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    out = dealt.mapInArrow(run, "epoch int, loss double, bias double, weights array<double>, val double", barrier=True).collect()  # a row per epoch
+    return [{"epoch": r["epoch"], "loss": r["loss"], "bias": r["bias"], "weights": list(r["weights"]), "val_accuracy": r["val"]}
+            for r in sorted(out, key=lambda r: r["epoch"])]
+
+
+def _fit(data: DataFrame, features: str, label: str, epochs: int, rule, init: np.ndarray | None, init_bias: float, checkpoint: bool,
+         validation: DataFrame | None) -> LinearModel:
+    spark = data.sparkSession
+    ship_package(spark)
+    base, d, n = _checked(data, features, label, checkpoint, validation)
+    w, b = np.zeros(d) if init is None else np.asarray(init, dtype=np.float64), float(init_bias)
+    if not n or not epochs:
+        return LinearModel(w.tolist(), b, [])
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(1, math.ceil(n * (d + 2) * 8 / TASK_BYTES))
+    if tasks <= cores:
+        hist = _fit_in_stage(base, d, epochs, rule, w, b, validation is not None, min(cores, max(tasks, FEW_TASKS)))
+        return LinearModel(hist[-1]["weights"], hist[-1]["bias"], hist)
+    slim, cols = _flat(base, d, n)
     hist = []
     run = _EpochRunner(slim, cols)
     try:
@@ -149,40 +239,30 @@ def train_gd(data: DataFrame, features: str, label: str, epochs: int = 200, lr:
             g, gb, loss, seen = run.stats(w, b)
             if hist:
                 hist[-1]["val_accuracy"] = seen
-            w = w - lr * g
-            b = b - lr * gb
-            hist.append({"epoch": epoch, "loss": loss, "bias": b, "weights": w.tolist(), "val_accuracy": None})
+            w, b = rule.step(w, b, g, gb)
+            hist.append({"epoch": epoch, "loss": loss, "bias": float(b), "weights": w.tolist(), "val_accuracy": None})
         if validation is not None and hist:
             hist[-1]["val_accuracy"] = run.stats(w, b)[3]
     finally:
         run.close()
         slim.unpersist()
-    return LinearModel(w.tolist(), b, hist)
+    return LinearModel(w.tolist(), float(b), hist)
+
+
+def train_gd(data: DataFrame, features: str, label: str, epochs: int = 200, lr: float = 0.1,
+             init: Sequence[float] | None = None, init_bias: float = 0.0, checkpoint: bool = True,
+             validation: DataFrame | None = None) -> LinearModel:
+    """M1: full-batch gradient descent on mean binary cross-entropy. ``history``
+    holds, per epoch, the loss at the weights before the step and the weights after it;
+    with ``validation`` (rows like ``data``) also their accuracy after the step, from the
+    same pass that takes the next gradient."""
+    return _fit(data, features, label, epochs, _Descent(lr), init, init_bias, checkpoint, validation)
 
 
 def train_adam(data: DataFrame, features: str, label: str, epochs: int = 10, lr: float = 0.01,
                betas: tuple[float, float] = (0.9, 0.999), eps: float = 1e-8, checkpoint: bool = True) -> LinearModel:
     """M2: full-batch Adam (published update rule, bias-corrected moments)."""
-    slim, cols = _prepare(data, features, label, checkpoint)
-    d = len(cols)
-    w, b = np.zeros(d), 0.0
-    m, v = np.zeros(d + 1), np.zeros(d + 1)
-    b1, b2 = betas
-    hist = []
-    run = _EpochRunner(slim, cols)
-    try:
-        for t in range(1, epochs + 1):
-            g, gb, loss, _ = run.stats(w, b)
-            grad = np.append(g, gb)
-            m = b1 * m + (1 - b1) * grad
-            v = b2 * v + (1 - b2) * grad * grad
-            step = lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
-            w, b = w - step[:d], b - step[d]
-            hist.append({"epoch": t, "loss": loss, "bias": b, "weights": w.tolist()})
-    finally:
-        run.close()
-        slim.unpersist()
-    return LinearModel(w.tolist(), float(b), hist)
+    return _fit(data, features, label, epochs, _Adam(lr, betas, eps), None, 0.0, checkpoint, None)
 
 
 def history_frame(spark, model: LinearModel) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Every row stays in the memory of its task for the whole training; the tasks run at the same time. A step takes one
 minibatch of exactly ``batch_size`` rows, wherever they lie: each task sums the gradient over its own rows of the batch,
-``BarrierTaskContext.allGather`` hands every task the sums of all, and each applies the same update to its own copy of
-the weights and of the optimiser's state, in the same order, so the copies stay equal. Nothing but sums of the model's
-size passes between tasks, and no job is planned per step.
+the tasks add up their sums (:mod:`~keelson.operators.allreduce`), and each applies the same update to its own copy of the
+weights and of the optimiser's state, so the copies stay equal. Nothing but sums of the model's size passes between
+tasks, and no job is planned per step.
 
 The batches are exact and reshuffled per epoch (:func:`batch_numbers`: ranks in seeded hash order, found by Spark before
 the stage), so the result does not depend on the number of tasks beyond rounding. After each epoch one task writes the
@@ -14,7 +14,6 @@ goes on from the last state written.
 
 from __future__ import annotations
 
-import base64
 import io
 import math
 import uuid
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, scratch_path, ship_package
 from ..sources.shared import open_shared
 from ..sources.weights import WEIGHTS_SCHEMA, collect_layers
+from .allreduce import SharedSum
 from .nets import Dense, Net, gradient
 from .ranking import hash_rank
 
@@ -140,7 +140,8 @@ def train_net_minibatch(images: DataFrame, net: Net, weights: DataFrame, label:
         y = np.concatenate([b.column(1).to_numpy() for b in tables]) if tables else np.zeros(0, np.int32)
         of = np.concatenate([b.column(2).flatten().to_numpy().reshape(b.num_rows, -1) for b in tables]) if tables else np.zeros((0, epochs), np.int64)
         own = ctx.partitionId() == 0
-        done = int(ctx.allGather(str(max([0, *(e for e in _state_files(folder) if e <= epochs)]) if own else ""))[0])
+        together = SharedSum(ctx, folder, str(max([0, *(e for e in _state_files(folder) if e <= epochs)])) if own else "")
+        done = int(together.gathered[0])
         rule = Optimizer(optimizer, len(sent.value), lr, momentum, betas, eps)
         flat, losses = sent.value, []
         if done:
@@ -152,21 +153,20 @@ def train_net_minibatch(images: DataFrame, net: Net, weights: DataFrame, label:
             cuts = np.searchsorted(of[order, epoch], np.arange(n_batches + 1))
             total = 0.0
             for b in range(n_batches):
-                mine, message = order[cuts[b]:cuts[b + 1]], ""
+                mine, part = order[cuts[b]:cuts[b + 1]], None
                 if len(mine):
                     g, loss = gradient(net, unflatten_params(net, flat), x[mine], y[mine])
-                    message = base64.b64encode(np.append(g, [loss, len(mine)]).tobytes()).decode()
-                sums = sum(np.frombuffer(base64.b64decode(m)) for m in ctx.allGather(message) if m)
+                    part = np.append(g, [loss, len(mine)])
+                sums = together.sum(part)
                 total += sums[-2] / sums[-1]
                 flat = rule.step(flat, sums[:-2] / sums[-1])
             losses.append(total / n_batches)
             if own:
                 _save_state(folder, epoch + 1, flat=flat, losses=np.array(losses), first=rule.first, second=rule.second, steps=np.array(rule.steps))
-        ctx.barrier()
         if own:
             yield pa.RecordBatch.from_arrays([pa.array([len(losses)], pa.int32())], ["epochs"])
 
-    dealt.mapInArrow(run, "epochs int", barrier=True).collect()  # one row: the last task's word that all is written
+    dealt.mapInArrow(run, "epochs int", barrier=True).collect()  # one row: the task that writes is done
     sent.unpersist()
     state = _load_state(folder, epochs)
     return _weights_frame(spark, net, state["flat"]), state["losses"].tolist()
