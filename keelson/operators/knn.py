@@ -4,7 +4,8 @@ Catalyst has no kNN join, and a plain cross join materialises N x M rows. Here b
 bounded bytes; every query block meets every training block in one task (``applyInArrow`` on the pair of block
 numbers), which computes squared distances in NumPy and emits the k best per query; a window merges them by query id.
 Nothing passes through the driver but one row of counts, and no pair rows exist. The distance work stays the exact
-N x M of the brute-force definition; each side is shipped once per block of the other.
+N x M of the brute-force definition; each side is shipped once per block of the other. Training sides above PRUNE_BYTES go
+through :mod:`~keelson.operators.knn_pruned`, which gives the same rows and skips block pairs that cannot hold a neighbour.
 
 Policy: ties go to the smaller training id; a distance that is not a number (or overflows) is reported as NaN and comes
 after all others, by id, so every query gets min(k, m) rows; a null training label stays null.
@@ -27,6 +28,9 @@ BLOCK_BYTES = 64 * 1024 * 1024
 #: Distance work (query rows x training rows x dims) that one pair of blocks aims at.
 WORK_PER_TASK = 2e9
 
+#: Bytes of training vectors from which block pairs are pruned (the result is the same).
+PRUNE_BYTES = 64 * 1024 * 1024
+
 NEIGHBOUR_SCHEMA = "query_id long, neighbor_id long, neighbor_label long, dist double"
 SUMMARY_SCHEMA = "query_id long, nearest_id long, min_dist double, sum_dist double, n_train long"
 
@@ -71,6 +75,8 @@ def _candidates(q: np.ndarray, train: _Train, k: int):
     with a bound of their rounding error. Where fewer than k are finite, the first of the rest by id are added."""
     q_sq = (q * q).sum(axis=1)
     d = q_sq[:, None] + train.squares[None, :] - 2.0 * (q @ train.vectors.T)
+    for i in np.flatnonzero(~np.isfinite(q_sq) & np.isfinite(q).all(axis=1)):  # the square overflows, a distance need not
+        d[i] = ((q[i] - train.vectors) ** 2).sum(axis=1)
     d[~np.isfinite(d)] = np.inf
     k = min(k, d.shape[1])
     kth = np.partition(d, k - 1, axis=1)[:, k - 1]
@@ -105,28 +111,37 @@ def _nearest(q: np.ndarray, ids: np.ndarray, train: _Train, k: int, self_ids: np
     return rows[keep], members[keep], dist[keep]
 
 
-def _paired(queries: DataFrame, train: DataFrame, query_id: str, query_vec: str, train_id: str, train_vec: str,
-            train_label: str | None, side_bytes: int, group: str | None = None) -> DataFrame:
-    """Rows of both sides (is_query, id, vec, label, g) dealt to all pairs of a query block and a training block of the
-    same group (one group if ``group`` is None). Numbers of blocks follow the group's sizes."""
-    spark = queries.sparkSession
+def _plain_sides(queries: DataFrame, train: DataFrame, query_id: str, query_vec: str, train_id: str, train_vec: str,
+                 train_label: str | None, group: str | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides as (is_query, id, vec, label, g)."""
     double = lambda c: F.transform(c, lambda x: x.cast("double"))
     g = F.col(group).cast("string") if group else F.lit("")
     q = queries.select(F.lit(True).alias("is_query"), F.col(query_id).cast("long").alias("id"), double(query_vec).alias("vec"),
                        F.lit(None).cast("long").alias("label"), g.alias("g"))
     t = train.select(F.lit(False).alias("is_query"), F.col(train_id).cast("long").alias("id"), double(train_vec).alias("vec"),
                      (F.col(train_label).cast("long") if train_label else F.lit(None).cast("long")).alias("label"), g.alias("g"))
+    return q, t
+
+
+def _side_sizes(q: DataFrame, t: DataFrame) -> DataFrame:
+    """(g, n_q, n_t, d) of the groups."""
     sizes = q.select("g", F.lit(1).alias("q"), F.lit(0).alias("t"), F.size("vec").alias("d")).unionByName(
         t.select("g", F.lit(0).alias("q"), F.lit(1).alias("t"), F.size("vec").alias("d")))
-    sizes = sizes.groupBy("g").agg(F.sum("q").alias("n_q"), F.sum("t").alias("n_t"), F.greatest(F.max("d"), F.lit(1)).alias("d"))
+    return sizes.groupBy("g").agg(F.sum("q").alias("n_q"), F.sum("t").alias("n_t"), F.greatest(F.max("d"), F.lit(1)).alias("d"))
+
+
+def _paired(q: DataFrame, t: DataFrame, sizes: DataFrame, side_bytes: int, grouped: bool) -> DataFrame:
+    """Rows of both sides dealt to all pairs of a query block and a training block of the same group. Numbers of blocks
+    follow the group's ``sizes``."""
+    spark = q.sparkSession
     width = F.col("d") * 8 + 16
     t_blocks = F.greatest(F.ceil(F.col("n_t") * width / side_bytes), F.lit(1))
-    spread = F.ceil(F.lit(spark.sparkContext.defaultParallelism) / F.col("t_blocks")) if group is None else F.lit(1)
+    spread = F.ceil(F.lit(spark.sparkContext.defaultParallelism) / F.col("t_blocks")) if not grouped else F.lit(1)
     work = F.ceil(F.col("n_q") * F.col("n_t") * F.col("d") / WORK_PER_TASK / F.col("t_blocks"))
     q_blocks = F.least(F.col("n_q"), F.greatest(spread, work, F.ceil(F.col("n_q") * width / side_bytes)))
     blocks = sizes.withColumn("t_blocks", t_blocks).withColumn("q_blocks", F.greatest(q_blocks, F.lit(1)))
     blocks = blocks.select("g", F.col("t_blocks").cast("int").alias("t_blocks"), F.col("q_blocks").cast("int").alias("q_blocks"))
-    if group is None:  # one row of numbers
+    if not grouped:  # one row of numbers
         row = blocks.first()
         counts = [F.lit(row[c] if row else 1).alias(c) for c in ("t_blocks", "q_blocks")]
         q, t = q.select("*", *counts), t.select("*", *counts)
@@ -150,13 +165,12 @@ def _column(table: pa.Table, name: str) -> pa.Array:
     return c.chunk(0) if c.num_chunks else pa.array([], c.type)
 
 
-def knn(queries: DataFrame, train: DataFrame, k: int, query_id: str, query_vec: str, train_id: str,
-        train_vec: str, train_label: str | None = None, exclude_self: bool = False,
-        side_bytes: int = SIDE_BYTES, group: str | None = None, with_vectors: bool = False) -> DataFrame:
-    """L1: the k nearest training rows of every query row by squared Euclidean distance, ordered by (dist, neighbor_id):
-    columns query_id, neighbor_id, neighbor_label, dist, rank (1-based), and neighbor_vec if ``with_vectors``. With
-    ``group``, a column of both sides, neighbours come from the query's own group (rows without a group have none)."""
-    ship_package(queries.sparkSession)
+def neighbour_schema(with_vectors: bool) -> str:
+    return NEIGHBOUR_SCHEMA + (", neighbor_vec array<double>" if with_vectors else "")
+
+
+def searcher(k: int, exclude_self: bool, with_vectors: bool):
+    """The function of one group that holds a block of each side: the k nearest of each query row in it."""
     fields = [("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("neighbor_label", pa.int64()), ("dist", pa.float64())]
     schema = pa.schema([*fields, *([("neighbor_vec", pa.list_(pa.float64()))] if with_vectors else [])])
 
@@ -178,12 +192,36 @@ def knn(queries: DataFrame, train: DataFrame, k: int, query_id: str, query_vec:
                 out.append(pa.table(cols))
         return pa.concat_tables([x.cast(schema) for x in out]) if out else schema.empty_table()
 
-    paired = _paired(queries, train, query_id, query_vec, train_id, train_vec, train_label, side_bytes, group)
-    found = paired.groupBy("g", "qb", "tb").applyInArrow(run, NEIGHBOUR_SCHEMA + (", neighbor_vec array<double>" if with_vectors else ""))
+    return run
+
+
+def k_best(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy("dist", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.lit(k))
 
 
+def knn(queries: DataFrame, train: DataFrame, k: int, query_id: str, query_vec: str, train_id: str,
+        train_vec: str, train_label: str | None = None, exclude_self: bool = False,
+        side_bytes: int = SIDE_BYTES, group: str | None = None, with_vectors: bool = False, prune: bool | None = None) -> DataFrame:
+    """L1: the k nearest training rows of every query row by squared Euclidean distance, ordered by (dist, neighbor_id):
+    columns query_id, neighbor_id, neighbor_label, dist, rank (1-based), and neighbor_vec if ``with_vectors``. With
+    ``group``, a column of both sides, neighbours come from the query's own group (rows without a group have none).
+    ``prune`` forces or forbids the pruned search, which otherwise depends on the training side's size."""
+    ship_package(queries.sparkSession)
+    q, t = _plain_sides(queries, train, query_id, query_vec, train_id, train_vec, train_label, group)
+    sizes = cut_lineage(_side_sizes(q, t))
+    held = sizes.agg(F.sum(F.col("n_t") * (F.col("d") * 8 + 16))).first()[0] or 0
+    if prune or (prune is None and held > PRUNE_BYTES):
+        from .knn_pruned import knn_pruned
+
+        pruned = knn_pruned(q, t, k, exclude_self, with_vectors)
+        if pruned is not None:
+            return pruned[0]
+    found = _paired(q, t, sizes, side_bytes, group is not None).groupBy("g", "qb", "tb").applyInArrow(
+        searcher(k, exclude_self, with_vectors), neighbour_schema(with_vectors))
+    return k_best(found, k)
+
+
 def pairwise_summary(queries: DataFrame, train: DataFrame, query_id: str, query_vec: str, train_id: str,
                      train_vec: str, side_bytes: int = SIDE_BYTES) -> DataFrame:
     """J4 + D1 over all (query, train) pairs without emitting them: per query the
@@ -210,7 +248,8 @@ def pairwise_summary(queries: DataFrame, train: DataFrame, query_id: str, query_
                          "min_dist": pa.array(least, mask=np.full(len(q_ids), not m)), "sum_dist": total,
                          "n_train": np.full(len(q_ids), m, np.int64)})
 
-    out = _paired(queries, train, query_id, query_vec, train_id, train_vec, None, side_bytes).groupBy("g", "qb", "tb").applyInArrow(run, SUMMARY_SCHEMA)
+    q, t = _plain_sides(queries, train, query_id, query_vec, train_id, train_vec, None, None)
+    out = _paired(q, t, _side_sizes(q, t), side_bytes, False).groupBy("g", "qb", "tb").applyInArrow(run, SUMMARY_SCHEMA)
     best = F.min(F.when(F.col("nearest_id").isNotNull(), F.struct(F.col("min_dist"), F.col("nearest_id"))))
     agg = out.groupBy("query_id").agg(best.alias("_b"), F.sum("sum_dist").alias("sum_dist"), F.sum("n_train").alias("n_train"))
     return agg.select("query_id", F.col("_b.nearest_id").alias("nearest_id"), F.col("_b.min_dist").alias("min_dist"),
