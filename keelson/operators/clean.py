@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def drop_null_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -45,20 +47,33 @@ def fill_constant(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
 
 
 def column_modes(df: DataFrame, cols: Sequence[str]) -> dict:
-    """Most frequent non-null value per column, the smallest on ties. Values are counted by a grouping, so no task holds a
-    column's whole table of values; one row per column comes back."""
-    modes = {}
-    for c in cols:
-        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        top = counts.agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("top")).first()["top"]
-        modes[c] = top["v"] if top is not None else None
-    return modes
+    """Most frequent non-null value per column, the smallest on ties. The columns are stacked, so one scan and one grouping
+    count the values of all of them and no task holds a column's whole table of values; one row per column comes back."""
+    from .encode import KEYS, _kind, _stack
+
+    counts = _stack(df, cols).groupBy("feature", *KEYS).agg(F.count(F.lit(1)).alias("_count"))
+    top = counts.groupBy("feature").agg(F.min(F.struct((-F.col("_count")).alias("_count"), *KEYS)).alias("top"))
+    found = {r["feature"]: r["top"] for r in top.collect()}
+    return {c: _plain(df, c, found[c][_kind(df, c)]) if c in found else None for c in cols}
+
+
+def _plain(df: DataFrame, c: str, value):
+    """A stacked value in the column's own type."""
+    t = df.schema[c].dataType
+    if isinstance(t, T.BooleanType):
+        return bool(value)
+    if isinstance(t, T.DateType):
+        return datetime.date(1970, 1, 1) + datetime.timedelta(days=value)
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=value)
+    return value
 
 
 def fill_mode(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Nulls to the column's mode in ``fit_on`` (default: ``df`` itself)."""
     modes = column_modes(fit_on if fit_on is not None else df, cols)
-    return df.fillna({c: v for c, v in modes.items() if v is not None})
+    out = {c: F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType)).alias(c) for c, v in modes.items() if v is not None}
+    return df.select(*[out.get(c, F.col(c)) for c in df.columns])
 
 
 def sentinel_to_null(c, sentinel=-1):

@@ -3,6 +3,7 @@ small key) over the scored rows; no rows reach the driver."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,17 +81,32 @@ def close_enough_accuracy(df: DataFrame, y: str, p: str, tol: float = 0.5) -> Da
              .withColumn("accuracy", _div(F.col("n_correct"), F.col("n")))
 
 
-#: Ranges of scores that running sums are split into.
-SCORE_RANGES = 64
+#: Distinct scores per range of scores that running sums are split into, and ranges at least.
+RANGE_SCORES, SCORE_RANGES = 250_000, 64
+#: Relative rank error of the quantiles that cut the ranges is 1 / (CUT_DETAIL * ranges).
+CUT_DETAIL = 20
 
 
-def score_ranges(per: DataFrame, score: str, ranges: int = SCORE_RANGES) -> Column:
-    """Range number of a score, non-decreasing in it: cut at approximate quantiles of the distinct scores, so any
-    distribution spreads evenly. At most ``ranges`` cuts come to the driver."""
+def score_ranges(per: DataFrame, score: str, n_scores: int) -> Column:
+    """Range number of a score, non-decreasing in it: cut at approximate quantiles of the ``n_scores`` distinct scores, so
+    any distribution spreads evenly, about RANGE_SCORES to a range. One number per range comes to the driver; the place
+    among the cuts is found by binary search."""
+    ranges = max(SCORE_RANGES, -(-n_scores // RANGE_SCORES))
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = per.agg(F.percentile_approx(score, shares, 100 * ranges).alias("cuts")).first()["cuts"] or []
-    held = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    return F.size(F.filter(held, lambda c: c < F.col(score)))
+    cuts = per.agg(F.percentile_approx(score, shares, CUT_DETAIL * ranges).alias("cuts")).first()["cuts"] or []
+    return _place(sorted(set(cuts)), F.col(score))
+
+
+def _place(cuts: list[float], c: Column) -> Column:
+    """How many of the sorted ``cuts`` are below ``c``: a balanced tree of comparisons for few cuts, two levels of
+    arrays for many."""
+    held = lambda v: F.array(*[F.lit(float(x)) for x in v]) if v else F.array().cast("array<double>")
+    if len(cuts) <= 256:
+        return F.size(F.filter(held(cuts), lambda x: x < c))
+    step = math.isqrt(len(cuts))
+    coarse = F.size(F.filter(held(cuts[::step]), lambda x: x < c))  # the group before this one holds the place
+    group = F.slice(held(cuts), F.greatest(coarse - 1, F.lit(0)) * step + 1, F.lit(step))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(group, lambda x: x < c)))
 
 
 def _score_table(df: DataFrame, y: str, score: str) -> tuple[DataFrame, Column]:
@@ -100,7 +116,7 @@ def _score_table(df: DataFrame, y: str, score: str) -> tuple[DataFrame, Column]:
         F.sum((F.col("y") == F.lit(1)).cast("long")).alias("tp"),
         F.sum((F.col("y") != F.lit(1)).cast("long")).alias("fp"))
     per = cut_lineage(per)   # read for the cuts, the sums of the ranges and the running sums
-    b = score_ranges(per, "threshold")
+    b = score_ranges(per, "threshold", per.count())
     return running_sums_desc(per, "threshold", ["tp", "fp"], b), b
 
 

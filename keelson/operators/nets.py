@@ -181,6 +181,51 @@ def maxpool_relational(fmap: DataFrame, size: int = 2, value: str = "z") -> Data
                 .where(F.col("_n") == F.lit(size * size)).drop("_n"))
 
 
+def relational_net(images: DataFrame, net: Net, weights: DataFrame, id_col: str = "image_id", pixels_col: str = "pixels") -> DataFrame:
+    """The whole net (convolutions of any number of channels and stride, pools, activations, dense layers) as
+    joins with the weights and grouped sums: one row per image and output, (image_id, pos, value).
+
+    Rows are (image, place j in the layer's output, value). They are partitioned by image once, where the pixels are laid
+    out; every layer groups by image and place, which that partitioning serves, so no layer shuffles. A layer's weights
+    (size-checked broadcast) say to which outputs a place contributes: :func:`_fan_out`."""
+    spark, shapes = images.sparkSession, net.shapes()
+    x = images.select(F.col(id_col).cast("long").alias("image_id"), F.col(pixels_col).alias("px")).repartition("image_id")
+    x = x.select("image_id", F.posexplode("px").alias("j", "v")).select("image_id", "j", F.col("v").cast("double").alias("v"))
+    c, h, w = net.channels, net.height, net.width
+    for layer in net.layers:
+        if isinstance(layer, Act):
+            x = x.withColumn("v", F.col("v") * F.col("v") if layer.kind == "square" else F.greatest("v", F.lit(0.0)))
+        elif isinstance(layer, Pool):
+            hp, wp, size = h // layer.size, w // layer.size, layer.size
+            row, col = F.floor(F.col("j") % (h * w) / w), F.col("j") % w
+            place = F.floor(F.col("j") / (h * w)) * (hp * wp) + F.floor(row / size) * wp + F.floor(col / size)
+            x = x.where((row < hp * size) & (col < wp * size)).groupBy("image_id", place.cast("int").alias("j")).agg(F.max("v").alias("v"))
+            h, w = hp, wp
+        else:
+            own = weights.where(F.col("layer") == layer.name)
+            bias = F.broadcast(own.where("in_idx < 0").select(F.col("out_idx").alias("o"), F.col("w").alias("b")))  # one per output channel
+            if isinstance(layer, Conv):
+                links, (c, h, w) = _fan_out(own, (c, h, w), layer)
+            else:
+                links = own.where("in_idx >= 0").select(F.col("in_idx").alias("j"), F.col("out_idx").alias("o"), F.col("out_idx").alias("to"), "w")
+            z = x.join(sized_broadcast(links), "j").groupBy("image_id", "o", "to").agg(F.sum(F.col("v") * F.col("w")).alias("s"))
+            x = z.join(bias, "o").select("image_id", F.col("to").alias("j"), (F.col("s") + F.col("b")).alias("v"))
+    return x.select("image_id", F.col("j").cast("int").alias("pos"), F.col("v").alias("value"))
+
+
+def _fan_out(own: DataFrame, shape: tuple[int, int, int], layer: Conv) -> tuple[DataFrame, tuple[int, int, int]]:
+    """(j, o, to, w): each input place of a convolution, the output places that it contributes to and with which weight; its
+    size is that of the layer (places x kernel x channels), whatever the number of images."""
+    (c, h, w), k, s = shape, layer.kernel, layer.stride
+    ho, wo = (h - k) // s + 1, (w - k) // s + 1
+    kern = own.where("in_idx >= 0").select(F.col("out_idx").alias("o"), F.col("w"), F.floor(F.col("in_idx") / (k * k)).alias("ch"),
+                                           F.floor(F.col("in_idx") % (k * k) / k).alias("ki"), (F.col("in_idx") % k).alias("kj"))
+    out = kern.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(ho * wo - 1))))
+    row, col = F.floor(F.col("to") / wo) * s + F.col("ki"), F.col("to") % wo * s + F.col("kj")
+    links = out.select((F.col("ch") * (h * w) + row * w + col).cast("int").alias("j"), "o", (F.col("o") * (ho * wo) + F.col("to")).cast("int").alias("to"), "w")
+    return links, (layer.out_channels, ho, wo)
+
+
 # --- M10 --------------------------------------------------------------------------
 
 def gradient(net: Net, params: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:

@@ -36,14 +36,15 @@ def sql_split(src: str, id_col: str, seed, ratio: float, by: str | None = None)
 # ---------------------------------------------------------------- 2.1 sources
 
 @query("scan_csv", "S1", sql="""
-SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation""")
+SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, o_orderstatus, floor(o_totalprice * 1e2 + 0.5) / 1e2 AS o_totalprice, o_orderpriority
+FROM orders""")
 def scan_csv(spark, d):
-    path = scratch_path(spark, f"nation-csv-{uuid.uuid4().hex}")
-    csvsrc.write_csv(table(spark, d, "nation"), path)
-    schema = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType()),
-                           T.StructField("n_regionkey", T.IntegerType())])
-    df = csvsrc.read_csv(spark, path, schema)
-    return df.select(b("n_nationkey"), "n_name", b("n_regionkey"))
+    path = scratch_path(spark, f"orders-csv-{uuid.uuid4().hex}")
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    orders = table(spark, d, "orders").select(*cols)
+    csvsrc.write_csv(orders, path)
+    df = csvsrc.read_csv(spark, path, T.StructType([T.StructField(f.name, f.dataType) for f in orders.schema.fields]))
+    return df.select(b("o_orderkey"), b("o_custkey"), "o_orderstatus", r("o_totalprice", places=2), "o_orderpriority")
 
 
 CUSTOMER_CSV_SCHEMA_ORDER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
