@@ -7,8 +7,10 @@ Per-coordinate learning rates and L1 shrinkage leave few weights; they are colle
 entries, some MB), broadcast, and every whole text is scored where it lies.
 
 Defined results: a null or empty text has no features and gets the score of the bias; rows without a label are not
-trained on; without any training row every score is 0; an empty table gives an empty result; of the documents only
-the id (to find labels) and the text are read.
+trained on; an id that the documents repeat is trained on once, with its least text, an id that the labels repeat with
+each of its labels; repeated documents are scored each; a very long text is read whole; a score of exactly 0.5 is
+predicted 1; without any training row every score is 0; an empty table gives an empty result; of the documents only the
+id (to find labels) and the text are read.
 """
 
 from __future__ import annotations
@@ -151,14 +153,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.lit(7), id_col).alias("h"))
     picked = picked.orderBy("h", "id", "y").limit(max_rows)  # max_rows narrow rows: bounded for the broadcast
     x = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t")).join(F.broadcast(picked), "id")
-    x = x.select("h", "y", "t").coalesce(1)
+    x = x.groupBy("h", "id", "y").agg(F.min("t").alias("t")).select("h", "y", "t")  # an id that repeats is one row
+
+    def features(batches):
+        keep_only("toxicity")
+        for batch in batches:
+            found = [np.unique(occurrences(t)).astype("<u4").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["h", "y", "f"])
+
+    # the texts are read where they lie; one task gets the features of max_rows rows
+    x = x.mapInArrow(features, "h bigint, y int, f binary").repartition(1)
 
     def run(batches):
         keep_only("toxicity")
         held = []
         for batch in batches:
-            for h, y, t in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                held.append((h, y, np.unique(occurrences(t))))
+            for h, y, f in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                held.append((h, y, np.frombuffer(f, "<u4")))
         held.sort(key=lambda r: (r[0], r[1], len(r[2])))
         if held:
             b, at, w = train_calibrated([(f, y) for _, y, f in held])
