@@ -5,8 +5,9 @@
 2. Tensored banding: the M * M table keys of a class are the pairs of one hash of either collection, so M * M tables of
    2 K minhashes need only 2 M K of them. A pair of similarity s shares no key with probability at most
    2 (1 - s^K)^M: 1e-4 at s = 0.75 with K = 2, M = 12.
-3. Stars: rows are dealt by key and sorted by a global priority. In each bucket the first member is the centre and every
-   other member gives one (centre, member) row: never pairs of members. Since priorities are global, a group of copies
+3. Stars: in each bucket the first member by a global priority is the centre and every other member gives one (centre,
+   member) row: never pairs of members. Rows are dealt by key and sorted; of the few buckets that hold a notable share of
+   all rows the centres are found by a partial minimum and joined back by a broadcast, so no task gets such a bucket. Since priorities are global, a group of copies
    has few centres. Two classes that share a bucket share its centre.
 4. Sets of the classes in stars are written to a store in the shared folder, and rows carry their places in it. Each
    star row is confirmed exactly.
@@ -35,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import heavy_keys, hot_key_join
 from .common import byte_slices, hashed_words, keep_only, materialize, shared_path, ship, text_or_empty
 from .components import components
 from .tokenfile import open_fs
@@ -48,6 +50,8 @@ M, K = 12, 2
 BLOCK, QUERY_BLOCK = 2048, 512
 #: Text bytes that are sketched together, and sets (bytes) that a worker keeps from the store.
 SKETCH_BYTES, KEPT_BYTES = 2 << 20, 48 << 20
+#: A bucket with more than this share of all rows is not sorted in one task.
+BUCKET_SHARE = 1 / 2000
 _ODD = np.array([int.from_bytes(hashlib.sha256(f"shingle {i}".encode()).digest()[:8], "little") | 1 for i in range(SHINGLE + 1)], np.uint64)
 _MIN = np.array([int.from_bytes(hashlib.sha256(f"minhash {i}".encode()).digest()[:8], "little") | 1 for i in range(2 * M * K)], np.uint64)
 
@@ -110,9 +114,20 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def stars(classes: DataFrame) -> DataFrame:
-    """(c, x): each bucket's centre with each of its other members, distinct. ``classes``: (id, a, b)."""
+    """(c, x): each bucket's centre with each of its other members, distinct. ``classes``: (id, a, b).
+
+    The centre is the member of least (priority, id). Buckets that hold more than BUCKET_SHARE of all rows are found by a
+    bounded sketch; their centres come from a partially aggregated minimum and are joined back by a broadcast (there are
+    at most 1 / BUCKET_SHARE), so their members stay where they are. All others are sorted by key."""
     keys = F.flatten(F.transform("a", lambda a: F.transform(F.col("b"), lambda b: F.xxhash64(a, b))))
     rows = classes.select("id", F.explode(keys).alias("key")).withColumn("priority", F.xxhash64("id"))
+    large = heavy_keys(rows, "key", BUCKET_SHARE)
+    if large:
+        named = F.broadcast(classes.sparkSession.createDataFrame([(k,) for k in large], "key bigint"))
+        hot = rows.join(named, "key")
+        centres = hot.groupBy("key").agg(F.min(F.struct("priority", "id")).alias("m")).select("key", F.col("m.id").alias("c"))
+        spread = hot.join(F.broadcast(centres), "key").filter("c <> id").select("c", F.col("id").alias("x"))
+        rows = rows.join(named, "key", "left_anti")
     rows = rows.repartition("key").sortWithinPartitions("key", "priority", "id").select("key", "id")
 
     def run(batches):
@@ -132,7 +147,8 @@ def stars(classes: DataFrame) -> DataFrame:
                 pairs = np.unique(np.stack([centres[pick], ids[pick]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["c", "x"])
 
-    return rows.mapInArrow(run, "c bigint, x bigint").distinct()
+    pairs = rows.mapInArrow(run, "c bigint, x bigint")
+    return (pairs.unionByName(spread) if large else pairs).distinct()
 
 
 def write_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -208,7 +224,8 @@ def confirm_stars(star: DataFrame, places: DataFrame) -> DataFrame:
     """(c, x, places, shared) of each star row, from full sets."""
     c = places.select(*[F.col(k).alias(f"c_{k}") for k in places.columns])
     x = places.select(*[F.col(k).alias(f"x_{k}") for k in places.columns])
-    rows = star.join(c, star.c == c.c_id).join(x, star.x == x.x_id).select(*c.columns, *x.columns)
+    rows = hot_key_join(star, c, "c", "c_id", how="inner")  # a centre may have a third of all documents
+    rows = rows.join(x, F.col("x") == F.col("x_id")).select(*c.columns, *x.columns)
     rows = rows.repartition("x_path", "x_at").sortWithinPartitions("c_path", "c_at", "x_path", "x_at")
     schema = rows.schema.simpleString()[7:-1].replace(":", " ") + ", shared bigint"
 
@@ -273,7 +290,7 @@ def block_members(star: DataFrame) -> DataFrame:
     groups = star.groupBy("c_id").agg(F.count(F.lit(1)).alias("members"), F.sum((~F.col("linked")).cast("int")).alias("open"))
     groups = groups.filter("open > 0 AND members > 1").select(
         "c_id", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("open") / QUERY_BLOCK).cast("int").alias("query_blocks"))
-    rows = rows.join(groups, "c_id")
+    rows = hot_key_join(rows, materialize(groups, "star-groups"), "c_id", how="inner")
     place = F.xxhash64("m.id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     held = rows.withColumn("block", F.pmod(place, "blocks").cast("int")).withColumn("query_block", every("query_blocks"))
@@ -302,8 +319,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: (id, n_shingles, component, kept)."""
     sketched = materialize(sketch(docs, id_col, text_col), "sketches")
     some = sketched.filter("n > 0 AND id IS NOT NULL")
-    classes = some.groupBy("digest").agg(F.min("id").alias("class"))
-    member = materialize(sketched.select("id", "n", "digest").join(classes, "digest", "left"), "classes")
+    classes = some.groupBy(F.hex("digest").alias("d")).agg(F.min("id").alias("class"))
+    digest = F.when(F.col("n") > 0, F.hex("digest")).alias("d")  # null without words: not joined, nor sent to one task
+    member = materialize(hot_key_join(sketched.select("id", "n", digest), classes, "d"), "classes")
     heads = member.filter("id = class AND n > 0").select("id").distinct()
     star = materialize(stars(sketched.join(heads, "id", "left_semi").dropDuplicates(["id"]).select("id", "a", "b")), "stars")
     wanted = star.select(F.col("c").alias("id")).unionByName(star.select(F.col("x").alias("id"))).distinct()
