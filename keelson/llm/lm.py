@@ -17,7 +17,8 @@ merged by range of word numbers, those of the longer contexts that end in a freq
 is gathered is all training text; nothing is capped or pruned. The driver sees the rows of files (up to three per bucket
 for order 3) and the frequent contexts (at most 4 per bucket).
 
-Scoring reads whole texts and looks words and bigrams up in memory maps of the files, batch by batch in sorted order.
+Scoring reads whole texts and looks words and bigrams up in memory maps of the files, batch by batch in sorted order; a
+worker opens the files that a batch needs and keeps HELD_FILES of each kind mapped at most.
 The maps need the shared folder to be mounted on the workers; from other file systems the arrays are read into memory.
 
 p(w | u v) = max(c(uvw) - D(c(uvw)), 0) / c(uv.) + g(uv) p(w | v), g(uv) = (D1 N1(uv.) + D2 N2(uv.) + D3 N3+(uv.)) / c(uv.),
@@ -124,6 +125,29 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out.view(np.int64), bounds + np.arange(rows + 1)
 
 
+#: Files that a worker keeps mapped at a time, of each kind.
+HELD_FILES = 1024
+
+
+class Mapped:
+    """The arrays of many files by key, mapped when they are first asked for; the HELD_FILES used last stay mapped."""
+
+    def __init__(self, files: dict):
+        self.files, self.held = files, {}
+
+    def get(self, key):
+        """The arrays, or None for a key without a file."""
+        if key not in self.files:
+            return None
+        found = self.held.pop(key, None)
+        if found is None:
+            found = map_arrays(*self.files[key])
+            if len(self.held) >= HELD_FILES:
+                self.held.pop(next(iter(self.held)))
+        self.held[key] = found
+        return found
+
+
 class Vocabulary:
     """Word hash -> number (place in the order of hashes); ``size`` for none, size + 1 for the begin of a text."""
 
@@ -131,7 +155,7 @@ class Vocabulary:
         self.size = sum(s[1] for s in segments)
         self.firsts = np.array([s[0] for s in segments], np.int64)
         self.offsets = np.array([s[2] for s in segments], np.int64)
-        self.maps = [map_arrays(s[3], s[1], ["<i8", "<i8"]) for s in segments]
+        self.maps = Mapped({k: (s[3], s[1], ["<i8", "<i8"]) for k, s in enumerate(segments)})
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, counts) of sorted distinct hashes."""
@@ -139,14 +163,13 @@ class Vocabulary:
         if not len(self.firsts):
             return out, counts
         segment = np.searchsorted(self.firsts, hashes, "right") - 1
-        bounds = np.searchsorted(segment, np.arange(len(self.maps) + 1))
-        for k, (keys, held) in enumerate(self.maps):
-            h = hashes[bounds[k]:bounds[k + 1]]
-            if len(h):
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[at] == h
-                out[bounds[k]:bounds[k + 1]][hit] = at[hit] + self.offsets[k]
-                counts[bounds[k]:bounds[k + 1]][hit] = held[at[hit]]
+        for k in np.unique(segment[segment >= 0]).tolist():
+            b, e = np.searchsorted(segment, [k, k + 1])
+            keys, held = self.maps.get(k)
+            at = np.minimum(np.searchsorted(keys, hashes[b:e]), len(keys) - 1)
+            hit = keys[at] == hashes[b:e]
+            out[b:e][hit] = at[hit] + self.offsets[k]
+            counts[b:e][hit] = held[at[hit]]
         return out, counts
 
 
@@ -308,10 +331,27 @@ SHARD_SCHEMA = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("path"
                           ("stats", pa.list_(pa.binary())), ("seen", pa.list_(pa.int64()))])
 
 
+#: Totals of contexts from which on they are kept apart, with 64 bits.
+LARGE = (1 << 32) - 1
+CONTEXT = ["<u8", *["<u4"] * 4, "<u8", "<u8"]
+
+
 def context_arrays(keys: np.ndarray, stats: list[np.ndarray]) -> list[np.ndarray]:
-    """What is kept of contexts of two and more words: those that occur once are known from their own n-gram."""
+    """What is kept of contexts of two and more words: those that occur once are known from their own n-gram. Totals of
+    LARGE and more are LARGE in their array; places and totals of those follow. (Followers are distinct words, of which
+    there are fewer than LARGE.)"""
     many = stats[0] > 1
-    return [keys[many], *(s[many].astype("<u4") for s in stats)]
+    keys, (total, *seen) = keys[many], [s[many].astype(np.int64) for s in stats]
+    large = np.flatnonzero(total >= LARGE)
+    return [keys, np.minimum(total, LARGE).astype("<u4"), *(s.astype("<u4") for s in seen), large.astype("<u8"), total[large].astype("<u8")]
+
+
+def context_statistics(held: list[np.ndarray], place: np.ndarray) -> list[np.ndarray]:
+    """The 4 statistics of the contexts at ``place`` of :func:`context_arrays`."""
+    total, *seen = (a[place].astype(np.int64) for a in held[1:5])
+    large = np.flatnonzero(total == LARGE)
+    total[large] = held[6][np.searchsorted(held[5], place[large].astype(np.uint64))]
+    return [total, *seen]
 
 
 def merge_ngrams(packed: DataFrame, folder: str, hot: np.ndarray, buckets: int, words: int, order: int) -> DataFrame:
@@ -419,7 +459,7 @@ def merge_statistics(parts: DataFrame, folder: str, buckets: int, words: int) ->
     rows = parts.select("bucket", "kind", "ids", "stats").repartition("bucket").sortWithinPartitions("bucket")
 
     def finish(bucket, arrays, first, n):
-        of = {f"n{k}": int((arrays[0] == k).sum()) for k in range(1, 5)}
+        of = {**{f"n{k}": int((arrays[0] == k).sum()) for k in range(1, 5)}, "more": int((arrays[0] > 2).sum())}
         path = write_arrays(folder, "statistics", [a.astype("<i8") for a in arrays])
         return pa.RecordBatch.from_pylist([{"bucket": bucket, "first": first, "n": n, "path": path, **of}])
 
@@ -441,7 +481,7 @@ def merge_statistics(parts: DataFrame, folder: str, buckets: int, words: int) ->
         if arrays is not None:
             yield finish(bucket, arrays, first, n)
 
-    return rows.mapInArrow(run, "bucket bigint, first bigint, n bigint, path string, n1 bigint, n2 bigint, n3 bigint, n4 bigint")
+    return rows.mapInArrow(run, "bucket bigint, first bigint, n bigint, path string, n1 bigint, n2 bigint, n3 bigint, n4 bigint, more bigint")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -463,6 +503,8 @@ def train_kneser_ney(train: DataFrame, order: int = 2) -> dict:
     counts = materialize(count_words(train), "lm-counts")
     segments, tokens = write_vocabulary(counts, folder)
     words = sum(s[1] for s in segments)
+    if words + 2 >= LARGE:  # two word numbers share a key of 64 bits
+        raise ValueError(f"{words} distinct words are too many for word numbers of 32 bits")
     buckets = max(1, -(-tokens // BUCKET))
     frequent = np.sort(np.array([r["h"] for r in counts.filter(F.col("c") > tokens / (4 * buckets)).select("h").collect()], np.int64))
     hot = np.append(Vocabulary(segments).numbers(frequent)[0], words + 1) if words else np.array([words + 1])
@@ -480,7 +522,7 @@ def train_kneser_ney(train: DataFrame, order: int = 2) -> dict:
             "shards": tuple((r["bucket"], r["path"], tuple(r["sizes"])) for r in shards),
             "contexts": tuple((r["kind"], r["bucket"], r["path"], tuple(r["sizes"])) for r in longer),
             "ranges": tuple(sorted((r["first"], r["n"], r["path"]) for r in ranges)), "d1": discounts(*of), "d": tuple(discounts(*x) for x in seen),
-            "seen": of}
+            "seen": of, "more": sum(r["more"] for r in ranges)}
 
 
 class KneserNey:
@@ -489,14 +531,15 @@ class KneserNey:
     def __init__(self, model: dict):
         self.model, self.vocabulary = model, worker_vocabulary(model["segments"])
         inner = model["order"] - 2
-        self.shards = {b: map_arrays(path, list(n), ["<u8", "<u8", "<u8", *["<u4"] * (2 * inner), "u1"]) for b, path, n in model["shards"]}
-        self.contexts = {(kind, b): map_arrays(path, list(n), ["<u8", *["<u4"] * 4]) for kind, b, path, n in model["contexts"]}
+        self.shards = Mapped({b: (path, list(n), ["<u8", "<u8", "<u8", *["<u4"] * (2 * inner), "u1"]) for b, path, n in model["shards"]})
+        self.contexts = Mapped({(kind, b): (path, list(n), CONTEXT) for kind, b, path, n in model["contexts"]})
         self.firsts = np.array([r[0] for r in model["ranges"]], np.int64)
-        self.ranges = [map_arrays(path, n, ["<i8"] * 5) for _, n, path in model["ranges"]]
+        self.ranges = Mapped({k: (path, n, ["<i8"] * 5) for k, (_, n, path) in enumerate(model["ranges"])})
         d = np.array([0.0, *model["d1"]])
         total = model["bigrams"]
         self.unigram_discount, self.total = d, total
-        kept = sum(float((np.minimum(r[0], 0) + d[np.minimum(r[0], 3)]).sum()) for r in self.ranges)
+        n1, n2, *_ = model["seen"]
+        kept = float(d @ [0, n1, n2, model["more"]])  # what the discounts take from all words
         self.uniform = kept / total / (model["words"] + 1) if total else 1.0
 
     def _statistics(self, ids: np.ndarray, columns: slice) -> list[np.ndarray]:
@@ -504,10 +547,9 @@ class KneserNey:
         names = range(5)[columns]
         out = [np.zeros(len(ids), np.int64) for _ in names]
         part = np.searchsorted(self.firsts, ids, "right") - 1
-        bounds = np.searchsorted(part, np.arange(len(self.ranges) + 1))
-        for k, arrays in enumerate(self.ranges):
-            b, e = bounds[k], bounds[k + 1]
-            at = ids[b:e] - self.firsts[k]
+        for k in np.unique(part[part >= 0]).tolist():
+            b, e = np.searchsorted(part, [k, k + 1])
+            arrays, at = self.ranges.get(k), ids[b:e] - self.firsts[k]
             fits = at < len(arrays[0])
             for o, c in zip(out, names):
                 o[b:e][fits] = arrays[c][at[fits]]
@@ -516,10 +558,9 @@ class KneserNey:
     def _buckets(self, at: np.ndarray):
         """(bucket, places) of the places dealt to each bucket."""
         order = np.argsort(at, kind="stable")
-        bounds = np.searchsorted(at[order], np.arange(self.model["buckets"] + 1))
-        for b in range(self.model["buckets"]):
-            if bounds[b] < bounds[b + 1]:
-                yield b, order[bounds[b]:bounds[b + 1]]
+        found, begins = np.unique(at[order], return_index=True)
+        for b, begin, end in zip(found.tolist(), begins, [*begins[1:], len(at)]):
+            yield b, order[begin:end]
 
     def _ngrams(self, levels: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """(adjusted counts, whether they occur) of the n-grams of each level as :func:`combine` gives them."""
@@ -534,9 +575,10 @@ class KneserNey:
                 parent = (key >> HALF).astype(np.int64)
                 at = at[parent]
             for b, who in self._buckets(at):
-                if b not in self.shards:
+                shard = self.shards.get(b)
+                if shard is None:
                     continue
-                pairs, many, often, *rest = self.shards[b]
+                pairs, many, often, *rest = shard
                 starts, lefts, top = rest[:inner], rest[inner:2 * inner], rest[-1]
                 if k == 0:
                     place = np.minimum(np.searchsorted(pairs, key[who]), len(pairs) - 1)
@@ -579,8 +621,8 @@ class KneserNey:
                 place = np.minimum(np.searchsorted(held[0], keys[part]), len(held[0]) - 1)
                 hit = held[0][place] == keys[part]
                 found[part[hit]] = True
-                for o, a in zip(out, held[1:]):
-                    o[part[hit]] = a[place[hit]]
+                for o, a in zip(out, context_statistics(held, place[hit])):
+                    o[part[hit]] = a
         return out, found
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:

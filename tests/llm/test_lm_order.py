@@ -81,3 +81,15 @@ def test_the_query_uses_more_than_one_word_of_context(spark, monkeypatch):
         monkeypatch.setattr(lm, "ORDER", order)
         of[order] = sum(r.score for r in lm.op6_language_model(spark, "/root/testdata/sf0.01").collect() if r.held_out)
     assert len(of) == 2 and of[lm.ORDER] > of[2]
+
+
+def test_totals_above_32_bits():
+    import numpy as np
+
+    from keelson.llm import lm
+
+    keys, total = np.array([3, 5, 8, 9], np.uint64), np.array([2, 2 ** 33 + 5, 1, 2 ** 32 - 1], np.int64)
+    held = lm.context_arrays(keys, [total, np.array([1, 2, 1, 3]), np.array([0, 1, 0, 4]), np.array([0, 7, 0, 2 ** 31])])
+    assert held[0].tolist() == [3, 5, 9]
+    got = lm.context_statistics(held, np.array([2, 0, 1, 1]))
+    assert [a.tolist() for a in got] == [[2 ** 32 - 1, 2, 2 ** 33 + 5, 2 ** 33 + 5], [3, 1, 2, 2], [4, 0, 1, 1], [2 ** 31, 0, 7, 7]]
