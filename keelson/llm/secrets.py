@@ -6,10 +6,15 @@ sense than the assignment pattern) and would take at least 10^GUESS_LOG10 guesse
 over all its segmentations into words, dates, repeats, keyboard walks and sequences, and brute-force spans, found by
 dynamic programming; base spans stay whatever their values cost.
 
+Words are the common ones of passwords and the words of the corpus itself, ranked by how many texts have them: a Spark
+grouping counts the words of all texts, the first WORDS of them are collected and broadcast (some 200 KB, whatever the
+corpus). So ordinary prose behind a credential word ("the password is required") costs little in any language.
+
 Offsets count code points, ends are exclusive. Whole texts are scanned.
 
-Defined results: a null text is empty and has no spans; repeated rows are scanned each; an empty table gives an empty
-result; other columns are ignored.
+Defined results: a null text is empty and has no spans; repeated rows are scanned each, and each counts for the words; a
+very long text is scanned whole; words of equal counts are ranked in byte order; spans that start at one place are listed
+by kind; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,11 +22,13 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_only, ship, text_or_empty
+from .common import byte_slices, keep_only, ship, text_or_empty
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -48,13 +55,15 @@ banana orange apple cheese flower purple yellow green black white silver golden
 london paris berlin madrid america germany france england spain january february march april june july august september
 october november december monday tuesday wednesday thursday friday saturday sunday""".split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
-LONGEST = max(map(len, COMMON))
+#: Words of the corpus that count as words, those in fewer texts do not; letters of such a word.
+WORDS, MIN_TEXTS, MIN_LETTERS, MAX_LETTERS = 20_000, 5, 3, 24
 LEET = str.maketrans("4@301!$57", "aaeoiisst")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
 YEAR = re.compile(r"(?:19|20)\d\d")
 
 
+MARKS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 #: Row and place of each key; every row is shifted by half a key. Keys within one place of each other touch.
 KEY = {c: (r, i + 0.5 * r) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
 
@@ -84,7 +93,20 @@ def _run_starts(low: str, joined) -> list[int]:
     return out
 
 
-def guess_cost(value: str) -> float:
+class Words:
+    """Ranks of words: the common ones of passwords first, then ``listed`` in their order."""
+
+    def __init__(self, listed: list[str] = ()):
+        self.rank = dict(RANK)
+        for w in listed:
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+
+
+PLAIN = Words()
+
+
+def guess_cost(value: str, words: Words = PLAIN) -> float:
     """log10 guesses of the cheapest segmentation of ``value``; time linear in its length."""
     n = len(value)
     if not n:
@@ -120,11 +142,11 @@ def guess_cost(value: str) -> float:
                 cost = min(cost, best[start] + sum(char_cost(c) for c in value[start:start + p]) + math.log10((end - start) // p + 1) + span)
         for start, c in dates.get(end, ()):
             cost = min(cost, best[start] + c + span)
-        for start in range(max(0, end - LONGEST), end - 1):
-            rank = RANK.get(low[start:end])
+        for start in range(max(0, end - words.longest), end - 1):
+            rank = words.rank.get(low[start:end])
             extra = 0.0
             if rank is None:
-                rank, extra = RANK.get(plain[start:end]), 1.0  # letters written as signs
+                rank, extra = words.rank.get(plain[start:end]), 1.0  # letters written as signs
             if rank is not None:
                 upper = sum(1 for c in value[start:end] if c.isupper())
                 if upper:
@@ -134,14 +156,14 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def scan(text: str) -> list[tuple[int, int, int, float]]:
+def scan(text: str, words: Words = PLAIN) -> list[tuple[int, int, int, float]]:
     """(start, kind number, end, log10 guesses or 0) of every span, by start and kind."""
     found = []
     low = text.lower()
     if any(h in low for h in HINTS):
         found += [(m.start(), 0, m.end(), 0.0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
         for m in CONTEXT.finditer(text):
-            cost = guess_cost(m[1])
+            cost = guess_cost(m[1], words)
             if cost >= GUESS_LOG10:
                 found.append((m.start(1), 3, m.end(1), cost))
     if "AKIA" in text:
@@ -153,16 +175,44 @@ def scan(text: str) -> list[tuple[int, int, int, float]]:
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("log10_guesses", pa.float64())])
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans array<struct(kind, start, end, log10_guesses)>) of every whole text."""
+def corpus_words(docs: DataFrame, text_col: str = "text", most: int = WORDS, min_texts: int = MIN_TEXTS) -> list[str]:
+    """The ``most`` words (letters only, lower-cased, marks around them cut off) that the most texts have."""
     ship(docs.sparkSession)
+
+    def run(batches):
+        keep_only("secrets")
+        for batch in batches:
+            for part in byte_slices(batch, 0, 8 << 20):
+                lists = pc.utf8_split_whitespace(pc.utf8_lower(part.column(0)))
+                coded = pc.utf8_trim(lists.flatten(), characters=MARKS).dictionary_encode()
+                bounds = lists.offsets.to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                code = coded.indices.to_numpy()
+                once = np.unique(row * max(1, len(coded.dictionary)) + code) % max(1, len(coded.dictionary))
+                letters = pc.utf8_length(coded.dictionary)
+                word = pc.and_(pc.and_(pc.utf8_is_alpha(coded.dictionary), pc.greater_equal(letters, MIN_LETTERS)), pc.less_equal(letters, MAX_LETTERS))
+                n = np.bincount(once, minlength=len(coded.dictionary)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([coded.dictionary.filter(word), pa.array(n).filter(word)], ["word", "n"])
+
+    counts = docs.select(text_or_empty(text_col).alias("t")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = counts.filter(F.col("n") >= min_texts).orderBy(F.col("n").desc(), "word").limit(most).collect()  # WORDS rows
+    return [r["word"] for r in rows]
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: list[str] | None = None) -> DataFrame:
+    """(id, spans array<struct(kind, start, end, log10_guesses)>) of every whole text. ``words``: ranked words; those of
+    ``docs`` themselves if None."""
+    spark = docs.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(corpus_words(docs, text_col) if words is None else words)
     x = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
 
     def run(batches):
         keep_only("secrets")
+        ranked = Words(sent.value)
         for batch in batches:
             texts = batch.column(1)
-            rows = [[{"kind": KINDS[k], "start": s, "end": e, "log10_guesses": c if k == 3 else None} for s, k, e, c in scan(texts[i].as_py())]
+            rows = [[{"kind": KINDS[k], "start": s, "end": e, "log10_guesses": c if k == 3 else None} for s, k, e, c in scan(texts[i].as_py(), ranked)]
                     for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(SPAN))], ["id", "spans"])
 

@@ -42,6 +42,27 @@ def test_method_adds_costly_values_only():
     assert found("Xk9!mQ2#vL8 without context") == []
 
 
+PROSE = """the password is required for every login and the token is missing from this request. a secret is revealed when the
+credential is correct. the passphrase is unchanged, so the password: whatever follows it, is something reasonable. das passwort ist erforderlich"""
+
+
+def test_ordinary_prose_gives_no_span(spark):
+    """Words of the corpus cost little; a random value in the same place still costs much."""
+    rows = [(i, PROSE) for i in range(10)] + [(50, "the password is kq7Vx2mWz9"), (51, "the token is zzqjvkxwpf"), (52, "the secret is p@ssw0rd")]
+    found = {r.id: [(s.kind, s.start) for s in r.spans if s.kind == "guess"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == [] for i in range(10)) and found[52] == [] and found[50] == [("guess", 16)] and found[51] == [("guess", 13)]
+    # without the corpus' words the prose would be marked
+    plain = {r.id: [s for s in r.spans if s.kind == "guess"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), words=[]).collect()}
+    assert plain[0]
+
+
+def test_corpus_words_are_counted_by_text(spark):
+    rows = [(i, t) for i, t in enumerate(["Alpha alpha, (beta) x9 beta2 é", "alpha BETA gamma", "«gamma» alpha", None, "", "Größe beta", "größe! alpha " * 3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert secrets.corpus_words(docs, min_texts=2) == ["alpha", "beta", "größe"]
+    assert secrets.corpus_words(docs, most=1, min_texts=1) == ["alpha"]
+
+
 def test_cost_is_the_cheapest_segmentation():
     """The dynamic program against all segmentations of short values, with each span's cost taken alone."""
     one = math.log10(2)
