@@ -6,8 +6,10 @@ have no content, an end tag closes up to its match inside the nearest scope, tha
 block, and unmatched end tags are dropped.
 
 Visibility: nothing of head, script, style, template, comments, form controls' options that are not chosen, media
-fallbacks; nothing under ``hidden``, ``display:none`` or ``visibility:hidden``, a closed ``dialog`` or a closed
-``details`` but its summary.
+fallbacks, titles, definitions and descriptions inside drawings, annotations of formulas; nothing under ``hidden`` or
+``display:none``, a closed ``dialog`` or a closed ``details`` but its summary; text under ``visibility:hidden`` only where
+an element below sets itself visible. Text of drawings (SVG, a line for each text element), formulas (MathML) and text
+areas (their lines as they are) shows.
 
 Rendering: white space collapses outside ``pre``; blocks stand on lines of their own, paragraphs, headings, lists and
 tables with a blank line around them; list items get a bullet or their number and are indented by depth; table cells
@@ -33,11 +35,11 @@ from .common import keep_only, ship
 # Element classes of the HTML standard.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = set("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
-h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary ul table caption
+h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary textarea ul table caption
 thead tbody tfoot tr td th""".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl menu dir table figure hr".split())
-UNSEEN = set("""head title script style template noscript noembed noframes datalist object video audio canvas iframe svg math
-textarea param rp""".split())
+UNSEEN = set("""head title script style template noscript noembed noframes datalist object video audio canvas iframe
+param rp desc metadata defs annotation annotation-xml""".split())
 ENDS_P = set("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4
 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul dd dt li""".split())
 #: Start tag -> open elements that it closes, and the elements at which the search for them stops.
@@ -55,7 +57,10 @@ IMPLIED = {
 SCOPE = {"table", "td", "th", "caption", "html"}
 FLOW_IN_HEAD_ENDS = ENDS_P | {"a", "b", "i", "span", "em", "strong", "img", "br", "input", "button", "label", "body"}
 SPACES = re.compile(r"[ \t\n\f\r]+")
-HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+NOT_DISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: Parents of SVG text that stands by itself.
+DRAWN = set("svg g a switch".split())
 
 
 class Node:
@@ -135,7 +140,7 @@ def parse(page: str) -> Node:
 
 
 def visible(node: Node, parent: Node) -> bool:
-    if node.tag in UNSEEN or "hidden" in node.attrs or HIDDEN_STYLE.search(node.attrs.get("style", "")):
+    if node.tag in UNSEEN or "hidden" in node.attrs or NOT_DISPLAYED.search(node.attrs.get("style", "")):
         return False
     if node.tag == "dialog" and "open" not in node.attrs:
         return False
@@ -144,6 +149,24 @@ def visible(node: Node, parent: Node) -> bool:
     return not (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden")
 
 
+def shown_in(node: Node, shown: bool) -> bool:
+    """Whether text right in ``node`` shows: visibility passes down until an element sets its own."""
+    own = VISIBILITY.findall(node.attrs.get("style", "")) if "style" in node.attrs else ()
+    return own[-1].lower() == "visible" if own else shown
+
+
+def shows_again(node: Node) -> bool:
+    """Whether an element below one that is not shown sets itself visible."""
+    todo = [node]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, Node):
+                if shown_in(c, False):
+                    return True
+                todo.append(c)
+    return False
+
+
 def width(s: str) -> int:
     """Columns that a line takes: wide characters two, combining marks none."""
     if s.isascii():
@@ -269,12 +292,12 @@ def _number(value: str, otherwise: int, most: int = 1000) -> int:
 def render(root: Node) -> str:
     """The visible text of a tree."""
     flows, tables, lists, pre = [Flow()], [], [], 0
-    todo: list[tuple] = [(root, root, False)]
+    todo: list[tuple] = [(root, root, False, True)]
     while todo:
-        node, parent, leaving = todo.pop()
+        node, parent, leaving, shown = todo.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            if parent.tag == "details" and "open" not in parent.attrs:
+            if not shown or parent.tag == "details" and "open" not in parent.attrs:
                 continue
             if not (parent.tag in ("table", "thead", "tbody", "tfoot", "tr", "ul", "ol", "select") and not node.strip()):
                 flow.text(node, pre > 0)
@@ -283,15 +306,18 @@ def render(root: Node) -> str:
         if not leaving:
             if node is not root and not visible(node, parent):
                 continue
+            shown = shown_in(node, shown)
+            if not shown and not shows_again(node):
+                continue
             if tag == "br":
                 flow.end_line(True)
             elif tag == "wbr":
                 continue
             elif tag == "img":
-                if node.attrs.get("alt", "").strip():
+                if shown and node.attrs.get("alt", "").strip():
                     flow.text(node.attrs["alt"], False)
             elif tag == "input":
-                if node.attrs.get("type", "text").lower() in ("submit", "button", "reset") and node.attrs.get("value"):
+                if shown and node.attrs.get("type", "text").lower() in ("submit", "button", "reset") and node.attrs.get("value"):
                     flow.text(node.attrs["value"], False)
             if tag in VOID:
                 if tag == "hr":
@@ -300,8 +326,8 @@ def render(root: Node) -> str:
             if tag == "option" and parent.tag in ("select", "optgroup") and "selected" not in node.attrs and node is not next(
                     (c for c in parent.children if isinstance(c, Node) and c.tag == "option"), None):
                 continue
-            todo.append((node, parent, True))
-            todo.extend((c, node, False) for c in reversed(node.children))
+            todo.append((node, parent, True, shown))
+            todo.extend((c, node, False, shown) for c in reversed(node.children))
             if tag in ("td", "th"):
                 flows.append(Flow())
                 continue
@@ -313,7 +339,7 @@ def render(root: Node) -> str:
                 continue
             if tag in ("thead", "tbody", "tfoot"):
                 continue
-            if tag in BLOCK:
+            if tag in BLOCK or tag == "text" and parent.tag in DRAWN:
                 flow.block(tag in SPACED and not (lists and tag in ("ul", "ol", "menu", "dir")))
             if tag == "table":
                 tables.append(Table())
@@ -330,7 +356,7 @@ def render(root: Node) -> str:
                     flow.indent += 2
             elif tag in ("blockquote", "dd"):
                 flow.indent += 2
-            elif tag in ("pre", "listing", "xmp"):
+            elif tag in ("pre", "listing", "xmp", "textarea"):
                 pre += 1
             continue
         # leaving
@@ -359,9 +385,9 @@ def render(root: Node) -> str:
                 flow.indent -= 2
         elif tag in ("blockquote", "dd"):
             flow.indent -= 2
-        elif tag in ("pre", "listing", "xmp"):
+        elif tag in ("pre", "listing", "xmp", "textarea"):
             pre -= 1
-        if tag in BLOCK:
+        if tag in BLOCK or tag == "text" and parent.tag in DRAWN:
             flow.block(tag in SPACED and not (lists and tag in ("ul", "ol", "menu", "dir")))
     return "\n".join(flows[0].result())
 

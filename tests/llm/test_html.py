@@ -6,6 +6,10 @@ import pytest
 from keelson.llm.html import extract_html, html_text
 
 CASES = [
+    ("<p>area <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> m", "area x=2 m"),
+    ("<svg><title>t</title><defs><text>no</text></defs><text>north</text><g><text>so<tspan>uth</tspan></text></g><desc>d</desc></svg>", "north\nsouth"),
+    ("<div style='visibility:hidden'>a<p style='visibility: visible'>b</p>c</div>d", "b\n\nd"),
+    ("<div style='visibility:hidden'>a<p>b</p></div>c", "c"), ("<div style='display:none'><p style='visibility:visible'>b</p></div>c", "c"),
     ("plain", "plain"), ("", ""), ("a  b\n c", "a b c"), ("<p>one<p>two", "one\n\ntwo"), ("a<br>b<br><br>c", "a\nb\n\nc"),
     ("<div>a</div><div>b</div>", "a\nb"), ("x<b>y</b> <i> z</i>", "xy z"), ("a &amp; b &lt;c&gt; &eacute;&#233;", "a & b <c> éé"),
     ("<head><title>t</title><style>s</style></head><body>b<script>var x='</p>';</script><!-- c --></body>", "b"),
@@ -19,7 +23,7 @@ CASES = [
     ("<pre>\n a\n   b</pre>", " a\n   b"), ("<pre>x\n\ny</pre>", "x\n\ny"), ("a<hr>b", "a\n\nb"), ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"),
     ("<blockquote>q<p>r</blockquote>s", "  q\n\n  r\n\ns"), ("<h1>h</h1>t", "h\n\nt"), ("</p>a</div></b>", "a"), ("<p>a<table><tr><td>b</table>c", "a\n\nb\n\nc"),
     ("<select><option>a<option selected>b<option>c</select>", "a\nb"), ("<img alt='pic'> t<input type=hidden value=v><input type=submit value=Go>", "pic tGo"),
-    ("<a href=x>l</a><textarea>no</textarea><noscript>no</noscript>", "l"), ("<b><p>x</b>y</p>z", "xy\n\nz"), ("<td>cell</td>", "cell"), ("<li>a<li>b", "- a\n- b"),
+    ("<a href=x>l</a><textarea>two\nlines</textarea><noscript>no</noscript>", "l\ntwo\nlines"), ("<b><p>x</b>y</p>z", "xy\n\nz"), ("<td>cell</td>", "cell"), ("<li>a<li>b", "- a\n- b"),
     ("<unknown>x</unknown>", "x"), ("a<", "a<"), ("<!DOCTYPE html><html><body>x", "x"), ("<template>t</template><dialog>d</dialog>x", "x"),
 ]
 
