@@ -3,6 +3,20 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the next
 stage's ``docs``; all but the last return the columns of documents. The intermediate tables of a stage live in the
 shared scratch folder and are deleted when the next stage begins, when its result has been written.
+
+Defined results, by stage (columns other than doc_id, text and source are carried, whatever their names):
+
+* quality_rules: documents that fail a rule, or whose host does, go; a null or empty text has no words and fails, a null
+  source is a host of its own, repeated rows are judged and kept each, a very long text is counted whole;
+* exact_dedup: of equal texts (A-Z lower-cased) the row with the largest doc_id stays; a null text equals an empty one, of
+  rows equal in text and id one stays, a null id is below all others;
+* near_duplicates: of each linked group the least doc_id stays; texts without words and rows without id link with nothing
+  and stay, repeated ids are one document, links are confirmed on whole texts;
+* source_mixing: each row as often as the mix takes it (0 to 3 times); texts without words are not taken, a null source is
+  a source of its own, ties go by hash, a text that does not fit the room left is passed over;
+* bpe_round_trip: a row per row; a null text is empty and has no tokens.
+
+An empty table gives an empty table in every stage.
 """
 
 from __future__ import annotations
