@@ -43,8 +43,8 @@ def get_spark(master: str | None = None, app: str = "keelson",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session (tests) may fall back to a private temp folder;
-    on a cluster the setting must name shared storage.
+    Only a local-mode session (tests: driver and tasks are one process) may fall
+    back to a private temp folder; on a cluster the setting must name shared storage.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,7 +54,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):  # local-cluster has executors of their own
         raise RuntimeError("spark.checkpoint.dir is unset; set it to shared storage")
     local = tempfile.mkdtemp(prefix="keelson-ckpt-")
     sc.setCheckpointDir(local)
