@@ -41,9 +41,9 @@ MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 COVER_PERCENT = 50
 NO_LANG = "und"
 #: Text bytes counted together; bits of the filter of frequent phrases (a power of two, 16 MB); phrases per partition.
-SLICE, FILTER_BITS, PART_ROWS = 16 << 20, 1 << 27, 1 << 20
-#: Groups that a level of the ranking puts together.
-FAN = 64
+SLICE, FILTER_BITS, PART_ROWS = 6 << 20, 1 << 27, 1 << 20
+#: Groups that a level of the ranking puts together; rows of an Arrow batch of counts.
+FAN, BATCH_ROWS = 64, 1 << 16
 #: What a byte is: 0 of a word, 1 a space, 2 a break between pieces.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -67,10 +67,11 @@ def cut_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarr
         first[begins] = inside[begins]
     starts = np.flatnonzero(first)
     row = np.searchsorted(bounds, starts, "right") - 1
-    breaks = kind == 2
-    piece = np.cumsum(breaks)[starts] + row if len(starts) else np.zeros(0, np.int64)
-    packed = np.cumsum(inside)
+    places = np.int32 if len(raw) < 1 << 31 else np.int64
+    piece = np.cumsum(kind == 2, dtype=places)[starts] + row if len(starts) else np.zeros(0, np.int64)
+    packed = np.cumsum(inside, dtype=places)
     ends = np.append(packed[starts] - 1, packed[-1] if len(raw) else 0).astype(np.int64)
+    del packed
     data = _FOLD[raw[inside]]
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes()))
     return words.dictionary_encode(), row, piece
@@ -210,8 +211,12 @@ def count_phrases(docs: DataFrame, words: int, shorter: str, seed: int, filter_b
                     at = at[at + words - 1 < len(code)]
                     at = at[piece[at] == piece[at + words - 1]]
                     distinct, f = np.unique(sub[at] * len(numbers) + code[at + words - 1], return_counts=True)
-                    columns = [*rows[distinct // len(numbers)].T, numbers[distinct % len(numbers)]]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns), pa.array(f.astype(np.int64))], [*names, "f"])
+                    del at, good, sub, code, piece
+                    for k in range(0, len(distinct), BATCH_ROWS):
+                        d = distinct[k:k + BATCH_ROWS]
+                        columns = [*rows[d // len(numbers)].T, numbers[d % len(numbers)]]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns),
+                                                          pa.array(f[k:k + BATCH_ROWS].astype(np.int64))], [*names, "f"])
 
     return docs.mapInArrow(run, ", ".join(f"{c} bigint" for c in (*names, "f"))).groupBy(*names).agg(F.sum("f").alias("f"))
 
