@@ -87,10 +87,11 @@ RANGE_SCORES, SCORE_RANGES = 250_000, 64
 CUT_DETAIL = 20
 
 
-def score_ranges(per: DataFrame, score: str, n_scores: int) -> Column:
+def score_ranges(per: DataFrame, score: str, n_scores: int | None = None) -> Column:
     """Range number of a score, non-decreasing in it: cut at approximate quantiles of the ``n_scores`` distinct scores, so
     any distribution spreads evenly, about RANGE_SCORES to a range. One number per range comes to the driver; the place
     among the cuts is found by binary search."""
+    n_scores = per.count() if n_scores is None else n_scores
     ranges = max(SCORE_RANGES, -(-n_scores // RANGE_SCORES))
     shares = [i / ranges for i in range(1, ranges)]
     cuts = per.agg(F.percentile_approx(score, shares, CUT_DETAIL * ranges).alias("cuts")).first()["cuts"] or []
