@@ -170,9 +170,9 @@ p AS (SELECT bm, sm, dm,
         CASE WHEN bv IS NULL OR bv = 0 THEN 10000.0 ELSE least(greatest(bm * (1 - bm) / bv - 1, 2.0), 10000.0) END AS bk,
         CASE WHEN sv IS NULL OR sv = 0 THEN 10000.0 ELSE least(greatest(sm * (1 - sm) / sv - 1, 2.0), 10000.0) END AS sk,
         CASE WHEN dv IS NULL OR dv = 0 THEN 10000.0 ELSE least(greatest(dm * (1 - dm) / dv - 1, 2.0), 10000.0) END AS dk FROM m),
-r AS (SELECT source, (bad + bm * bk) / (n + bk) AS rate, (sym + sm * sk) / (n + sk) AS s_rate, (dup + dm * dk) / (n + dk) AS d_rate FROM h, p)
+q AS (SELECT source, (bad + bm * bk) / (n + bk) AS rate, (sym + sm * sk) / (n + sk) AS s_rate, (dup + dm * dk) / (n + dk) AS d_rate FROM h, p)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND rate < 0.8 AND s_rate < 0.8 AND d_rate < 0.8
        AND NOT 100 * n_symbols > 10 * word_chars * (1 - s_rate) AND NOT 100 * n_dup_lines > 30 * n_lines * (1 - d_rate) AS kept
-FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
+FROM f JOIN q ON f.source IS NOT DISTINCT FROM q.source
 """
