@@ -379,22 +379,23 @@ def op13_phrases(spark, sf_dir: str) -> DataFrame:
 
 OP13_SQL = r"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
-      FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
-g AS (SELECT lang, w[i:i] AS g FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p)
-      UNION ALL SELECT lang, w[i:i+1] FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM p)
-      UNION ALL SELECT lang, w[i:i+2] FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM p)),
-f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g),
-n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
-c AS (SELECT * FROM f WHERE len(g) >= 2 AND f >= 10),
-x AS (SELECT lang, s, max(f) AS longer FROM (SELECT lang, g[1:2] AS s, f FROM c WHERE len(g) = 3
-                                             UNION ALL SELECT lang, g[2:3], f FROM c WHERE len(g) = 3) GROUP BY lang, s),
-k AS (SELECT lang, g, f, unnest(range(1, len(g))) AS k FROM c),
-s AS (SELECT k.lang, k.g, k.f AS a, k.k, l.f AS l, r.f AS r, (1000000::HUGEINT * k.f * k.f) // (l.f::HUGEINT * r.f) AS score
-      FROM k JOIN f l ON l.lang = k.lang AND l.g = k.g[1:k.k] JOIN f r ON r.lang = k.lang AND r.g = k.g[k.k+1:]),
-b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
-o AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score::BIGINT AS score
-      FROM b LEFT JOIN x ON x.lang = b.lang AND x.s = b.g WHERE coalesce(100 * longer < 50 * a, true)),
-q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
-SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN n ON n.lang = q.lang WHERE rank <= 2000
+p AS (SELECT lang, row_number() OVER () AS pid, piece FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+w AS (SELECT lang, pid, unnest(ws) AS a, generate_subscripts(ws, 1) AS i
+      FROM (SELECT lang, pid, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p)),
+g AS (SELECT lang, a, lead(a, 1) OVER (PARTITION BY pid ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY pid ORDER BY i) AS c FROM w),
+f1 AS (SELECT lang, a, count(*) AS f FROM g GROUP BY lang, a),
+f2 AS (SELECT lang, a, b, count(*) AS f FROM g WHERE b IS NOT NULL GROUP BY lang, a, b HAVING count(*) >= 10),
+f3 AS (SELECT lang, a, b, c, count(*) AS f FROM g WHERE c IS NOT NULL GROUP BY lang, a, b, c HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+longer AS (SELECT lang, a, b, max(f) AS f FROM (SELECT lang, a, b, f FROM f3 UNION ALL SELECT lang, b, c, f FROM f3) GROUP BY lang, a, b),
+s2 AS (SELECT x.lang, x.a || ' ' || x.b AS phrase, x.f AS a, l.f AS l, r.f AS r, (1000000::HUGEINT * x.f * x.f) // (l.f::HUGEINT * r.f) AS score
+       FROM f2 x JOIN f1 l ON l.lang = x.lang AND l.a = x.a JOIN f1 r ON r.lang = x.lang AND r.a = x.b
+       LEFT JOIN longer o ON o.lang = x.lang AND o.a = x.a AND o.b = x.b WHERE coalesce(100 * o.f < 50 * x.f, true)),
+k3 AS (SELECT x.lang, x.a || ' ' || x.b || ' ' || x.c AS phrase, x.f, l1.f AS l1, r1.f AS r1, l2.f AS l2, r2.f AS r2,
+              (1000000::HUGEINT * x.f * x.f) // (l1.f::HUGEINT * r1.f) AS c1, (1000000::HUGEINT * x.f * x.f) // (l2.f::HUGEINT * r2.f) AS c2
+       FROM f3 x JOIN f1 l1 ON l1.lang = x.lang AND l1.a = x.a JOIN f2 r1 ON r1.lang = x.lang AND r1.a = x.b AND r1.b = x.c
+       JOIN f2 l2 ON l2.lang = x.lang AND l2.a = x.a AND l2.b = x.b JOIN f1 r2 ON r2.lang = x.lang AND r2.a = x.c),
+s3 AS (SELECT lang, phrase, f AS a, CASE WHEN c1 <= c2 THEN l1 ELSE l2 END AS l, CASE WHEN c1 <= c2 THEN r1 ELSE r2 END AS r, least(c1, c2) AS score FROM k3),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM (SELECT * FROM s2 UNION ALL SELECT * FROM s3))
+SELECT q.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM q JOIN n ON n.lang = q.lang WHERE rank <= 2000
 """
