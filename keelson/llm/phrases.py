@@ -217,6 +217,8 @@ def count_phrases(docs: DataFrame, words: int, shorter: str, seed: int, filter_b
                         columns = [*rows[d // len(numbers)].T, numbers[d % len(numbers)]]
                         yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns),
                                                           pa.array(f[k:k + BATCH_ROWS].astype(np.int64))], [*names, "f"])
+                    del coded, numbers, rows, distinct, f
+                    pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, ", ".join(f"{c} bigint" for c in (*names, "f"))).groupBy(*names).agg(F.sum("f").alias("f"))
 
