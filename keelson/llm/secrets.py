@@ -25,7 +25,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_slices, keep_only, ship, text_or_empty
@@ -55,6 +55,8 @@ banana orange apple cheese flower purple yellow green black white silver golden
 london paris berlin madrid america germany france england spain january february march april june july august september
 october november december monday tuesday wednesday thursday friday saturday sunday""".split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
+#: Groups of words that are ranked by themselves, level by level.
+RANK_GROUPS = (1024, 32, 1)
 #: Words of the corpus that count as words, those in fewer texts do not; letters of such a word.
 WORDS, MIN_TEXTS, MIN_LETTERS, MAX_LETTERS = 20_000, 5, 3, 24
 LEET = str.maketrans("4@301!$57", "aaeoiisst")
@@ -195,8 +197,11 @@ def corpus_words(docs: DataFrame, text_col: str = "text", most: int = WORDS, min
                 yield pa.RecordBatch.from_arrays([coded.dictionary.filter(word), pa.array(n).filter(word)], ["word", "n"])
 
     counts = docs.select(text_or_empty(text_col).alias("t")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.filter(F.col("n") >= min_texts).orderBy(F.col("n").desc(), "word").limit(most).collect()  # WORDS rows
-    return [r["word"] for r in rows]
+    best = counts.filter(F.col("n") >= min_texts)
+    for groups in RANK_GROUPS:  # each group keeps ``most`` at most, so neither a task nor the driver gets all tasks' lists
+        place = F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("word"), F.lit(groups))).orderBy(F.col("n").desc(), "word"))
+        best = best.select("word", "n", place.alias("place")).filter(F.col("place") <= most)
+    return [r["word"] for r in sorted(best.collect(), key=lambda r: r["place"])]
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: list[str] | None = None) -> DataFrame:
