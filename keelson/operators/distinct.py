@@ -1,13 +1,13 @@
 """A4, exact distinct counts by bitmaps: mergeable state instead of a distinct aggregate.
 
-Values get dense codes (a fitted table); a state row holds, for one uid, feature and bucket of 32768 codes, the bitmap of
-the codes seen. Bitmaps are built in each task before the shuffle and combined by ``bitmap_or_agg``, also across states
-of different frames (train and test), without rereading rows; a uid that holds half of all rows is a few bitmaps per task
-and is spread over its buckets. There is no Expand over the rows, whatever the number of features.
+Values get dense codes (a fitted table); a state row holds, for one uid, feature and bucket of 64 codes, the bitmap of
+the codes seen, one whole number. Bitmaps are built in each task before the shuffle by a hash aggregate and combined by
+``bit_or``, also across states of different frames (train and test), without rereading rows; a uid that holds half of all
+rows is a few bitmaps per task and is spread over its buckets. There is no Expand over the rows, whatever the number of
+features.
 
-A bitmap takes 4 KB however few bits it has: for uids that hold few of very many values the plain distinct count
-(:func:`~keelson.operators.encode.group_nunique_encode`) is smaller; codes are dealt in value order, so few values mean one
-bitmap per uid."""
+A bitmap takes 8 bytes beside its key, so a state is never larger than the distinct pairs that it stands for, however few
+of the values a uid holds; codes are dealt in value order, so few values mean one bitmap per uid."""
 
 from __future__ import annotations
 
@@ -28,21 +28,20 @@ def distinct_state(df: DataFrame, main_columns: Sequence[str], uid: str, codes:
         x = encode._attach(x, codes, c, "code", small)
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_v_{c}").cast("bigint").alias("code")) for c in main_columns])
     rows = x.select(F.col(uid).alias("uid"), F.explode(pairs).alias("p")).select("uid", "p.*").where("code IS NOT NULL")
-    place = F.col("code") + 1  # buckets and positions count from 1
-    return rows.groupBy("uid", "feature", F.bitmap_bucket_number(place).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bit = F.expr("shiftleft(1L, CAST(code & 63 AS INT))")
+    return rows.groupBy("uid", "feature", F.shiftright("code", 6).alias("bucket")).agg(F.bit_or(bit).alias("bits"))
 
 
 def merge_distinct(*states: DataFrame) -> DataFrame:
     out = states[0]
     for s in states[1:]:
         out = out.unionByName(s)
-    return out.groupBy("uid", "feature", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return out.groupBy("uid", "feature", "bucket").agg(F.bit_or("bits").alias("bits"))
 
 
 def distinct_counts(state: DataFrame, main_columns: Sequence[str], uid: str) -> DataFrame:
     """(uid, ``{uid}_{main}_ct`` ...): bits set, by feature."""
-    n = F.bitmap_count("bits")
+    n = F.bit_count("bits")
     cols = [F.coalesce(F.sum(F.when(F.col("feature") == c, n)), F.lit(0)).cast("bigint").alias(f"{uid}_{c}_ct") for c in main_columns]
     return state.groupBy("uid").agg(*cols).withColumnRenamed("uid", uid)
 
