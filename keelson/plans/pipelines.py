@@ -37,8 +37,9 @@ NUMERIC = ["o_totalprice", "n_lines", "sum_qty", "avg_disc", "avg_tax", "n_retur
 def diabetes_style(spark: SparkSession, d: str, epochs: int = 200, lr: float = 0.1) -> DataFrame:
     """drop nulls -> undersample classes -> exact split -> standardise (sample std,
     fit on train) -> LR by gradient descent -> threshold metrics, ROC AUC, log loss."""
-    df = clean.drop_null_rows(ds.order_features(spark, d).select("o_orderkey", *NUMERIC, "label"))
-    df = sample.undersample_balance(df, "label", "o_orderkey", seed=73)
+    # balancing and splitting read their input several times: each gets it from a checkpoint
+    df = cut_lineage(clean.drop_null_rows(ds.order_features(spark, d).select("o_orderkey", *NUMERIC, "label")))
+    df = cut_lineage(sample.undersample_balance(df, "label", "o_orderkey", seed=73))
     df = cut_lineage(sample.split_exact(df, "o_orderkey", seed=42, test_ratio=0.3))
     train = df.where(F.col("split") == "train")
     df = scale.standardize_sample(df, NUMERIC, fit_on=train)
@@ -108,7 +109,7 @@ def passenger_style(spark: SparkSession, d: str, epochs: int = 200, lr: float =
     df = df.withColumn("disc_bin", S.bin_right_closed("avg_disc", DISC_EDGES, ["d0", "d1", "d2", "d3", "d4"]))
     df = df.withColumn("is_open", S.flag_equals("o_orderstatus", "O").cast("int"))
     df = df.withColumn("alone", S.flag_equals("family", 0).cast("int"))
-    df = cut_lineage(sample.split_exact(df, "o_orderkey", seed=42, test_ratio=0.2))
+    df = cut_lineage(sample.split_exact(cut_lineage(df), "o_orderkey", seed=42, test_ratio=0.2))
     train = df.where(F.col("split") == "train")
     df = clean.fill_constant(df, {"sum_qty": 0.0, "avg_disc": 0.0, "avg_tax": 0.0, "max_price": 0.0})
     df = clean.fill_mode(df, ["n_lines", "family"], fit_on=train)
