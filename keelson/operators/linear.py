@@ -3,7 +3,8 @@
 
 Training keeps the data on the executors. Where the rows fit the tasks that the
 cluster runs at a time (TASK_BYTES each), all epochs are one barrier stage: each
-task holds its rows as a matrix, the tasks hand each other d + 3 sums per epoch
+task keeps its rows in slices, HELD_BYTES of them in memory and the rest in a
+file of its own; the tasks hand each other d + 3 sums per epoch
 and apply the same update (:func:`_fit_in_stage`). Where they do not fit, each
 epoch is ONE aggregate that returns d + 1 gradient sums, the loss and the count;
 only those numbers reach the driver, where the update rule runs, and weights go
@@ -16,6 +17,7 @@ from the whole feature pipeline.
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -136,10 +138,14 @@ def _flat(base: DataFrame, d: int, n: int) -> tuple[DataFrame, list[str]]:
     return flat.repartition(parts).cache(), cols
 
 
-#: Bytes of training rows that a task of the barrier stage holds.
+#: Bytes of training rows that a task of the barrier stage goes through, and of those in its memory: the rest is in a file.
 TASK_BYTES = 512 * 1024 * 1024
-#: Tasks of a small training: more would only wait for each other.
+HELD_BYTES = 64 * 1024 * 1024
+#: Bytes of a slice, which is worked on at a time.
+SLICE_BYTES = 1024 * 1024
+#: Tasks of a small training: more would only wait for each other. Larger ones get a task for so many bytes.
 FEW_TASKS = 4
+SPREAD_BYTES = 8 * 1024 * 1024
 
 
 class _Descent:
@@ -168,20 +174,81 @@ class _Adam:
         return w - step[:-1], b - step[-1]
 
 
-def _local_stats(x: np.ndarray, y: np.ndarray, v: np.ndarray, known: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+class _TaskRows:
+    """A task's rows in slices with their columns apart, x (d, rows) and y. Training and validation rows are in slices of
+    their own; rows with nulls are counted, but add nothing to the sums. Slices beyond HELD_BYTES are in an unnamed file."""
+
+    def __init__(self, batches, d: int):
+        self.d, self.rows, self.slices, self.file, self.largest = d, 0, [], None, 0
+        room, step = HELD_BYTES, max(64, SLICE_BYTES // (8 * (d + 1)))
+        for t in batches:
+            for s in range(0, t.num_rows, step):
+                part = t.slice(s, step)
+                flat, label = part.column(0).flatten(), part.column(1)
+                x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                y, v = label.to_numpy(zero_copy_only=False).astype(np.float64), part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                known = _valid(label) & _valid(flat).reshape(-1, d).all(axis=1)
+                self.rows += int((~v).sum())
+                for validation in (False, True):
+                    kept = known & (v == validation)
+                    n = int(kept.sum())
+                    if n:
+                        cols = np.empty((d + 1, n))
+                        cols[:d], cols[d] = x[kept].T, y[kept]
+                        room -= cols.nbytes
+                        self._keep(cols, n, validation, room >= 0)
+
+    def _keep(self, cols: np.ndarray, n: int, validation: bool, held: bool) -> None:
+        if not held:
+            self.file = self.file or tempfile.TemporaryFile()
+            self.file.write(memoryview(cols).cast("B"))
+            self.largest = max(self.largest, cols.size)
+        self.slices.append((cols if held else None, n, validation))
+
+    def __iter__(self):
+        """(columns, whether they are validation rows)"""
+        read = np.empty(self.largest)
+        if self.file:
+            self.file.seek(0)
+        for cols, n, validation in self.slices:
+            if cols is None:
+                cols = read[:(self.d + 1) * n]
+                if self.file.readinto(memoryview(cols).cast("B")) != cols.nbytes:
+                    raise EOFError("the file of a task's rows is short")
+                cols = cols.reshape(self.d + 1, n)
+            yield cols, validation
+
+
+def _valid(c: pa.Array) -> np.ndarray:
+    return c.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _local_stats(rows: _TaskRows, w: np.ndarray, b: float) -> np.ndarray:
     """Sums over a task's rows: gradient, bias gradient, loss, rows; right and all validation rows. Logits are summed in
-    chains of TERMS terms, as :meth:`_EpochRunner._logit` does. Rows with nulls count, but add nothing to the sums."""
-    z = np.zeros(len(x))
-    for k in range(0, max(x.shape[1], 1), TERMS):
-        part = np.zeros(len(x))
-        for j in range(k, min(k + TERMS, x.shape[1])):
-            part += x[:, j] * w[j]
-        z = part if k == 0 else z + part
-    with np.errstate(all="ignore"):
-        p = 1.0 / (1.0 + np.exp(-(z + b)))
-        loss = -(y * np.where(p > 0, np.maximum(np.log(p), -100.0), -100.0) + (1 - y) * np.where(p < 1, np.maximum(np.log(1 - p), -100.0), -100.0))
-    fit, r = ~v & known, p - y
-    return np.concatenate([r[fit] @ x[fit], [r[fit].sum(), loss[fit].sum(), (~v).sum(), ((p > 0.5) == (y == 1))[v & known].sum(), (v & known).sum()]])
+    chains of TERMS terms, as :meth:`_EpochRunner._logit` does."""
+    d = rows.d
+    out = np.zeros(d + 5)
+    out[d + 2] = rows.rows
+    for cols, validation in rows:
+        x, y = cols[:d], cols[d]
+        z, term = np.zeros(len(y)), np.empty(len(y))
+        for k in range(0, d, TERMS):
+            part = z if k == 0 else np.zeros(len(y))
+            for j in range(k, min(k + TERMS, d)):
+                part += np.multiply(x[j], w[j], out=term)
+            z = part if k == 0 else z + part
+        with np.errstate(all="ignore"):
+            p = 1.0 / (1.0 + np.exp(-(z + b)))
+            if validation:
+                out[d + 3] += ((p > 0.5) == (y == 1)).sum()
+                out[d + 4] += len(y)
+                continue
+            loss = -(y * np.where(p > 0, np.maximum(np.log(p), -100.0), -100.0) + (1 - y) * np.where(p < 1, np.maximum(np.log(1 - p), -100.0), -100.0))
+        r = p - y
+        out[:d] += x @ r
+        out[d] += r.sum()
+        out[d + 1] += loss.sum()
+    return out
 
 
 def _fit_in_stage(data: DataFrame, d: int, epochs: int, rule, w: np.ndarray, b: float, validate: bool, tasks: int) -> list[dict]:
@@ -193,16 +260,11 @@ def _fit_in_stage(data: DataFrame, d: int, epochs: int, rule, w: np.ndarray, b:
         from pyspark import BarrierTaskContext
 
         ctx = BarrierTaskContext.get()
-        held = [t for t in batches if t.num_rows]
-        x = np.concatenate([np.zeros((0, d)), *(t.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d) for t in held)])
-        y, v = (np.concatenate([np.zeros(0, k), *(t.column(c).to_numpy(zero_copy_only=False).astype(k) for t in held)]) for c, k in ((1, np.float64), (2, bool)))
-        valid = lambda c: c.is_valid().to_numpy(zero_copy_only=False)
-        known = np.concatenate([np.zeros(0, bool), *(valid(t.column(1)) & valid(t.column(0).flatten()).reshape(-1, d).all(axis=1) for t in held)])
-
+        held = _TaskRows(batches, d)
         together = SharedSum(ctx, folder)
         weights, bias, rows = w, b, []
         for epoch in range(1, epochs + 1 + validate):
-            *g, gb, loss, n, right, seen = together.sum(_local_stats(x, y, v, known, weights, bias))
+            *g, gb, loss, n, right, seen = together.sum(_local_stats(held, weights, bias))
             if rows:
                 rows[-1][4] = right / seen if seen else None
             if epoch <= epochs:
@@ -227,9 +289,10 @@ def _fit(data: DataFrame, features: str, label: str, epochs: int, rule, init: np
     if not n or not epochs:
         return LinearModel(w.tolist(), b, [])
     cores = spark.sparkContext.defaultParallelism
-    tasks = max(1, math.ceil(n * (d + 2) * 8 / TASK_BYTES))
+    size = n * (d + 2) * 8
+    tasks = max(1, math.ceil(size / TASK_BYTES))
     if tasks <= cores:
-        hist = _fit_in_stage(base, d, epochs, rule, w, b, validation is not None, min(cores, max(tasks, FEW_TASKS)))
+        hist = _fit_in_stage(base, d, epochs, rule, w, b, validation is not None, min(cores, max(tasks, FEW_TASKS, math.ceil(size / SPREAD_BYTES))))
         return LinearModel(hist[-1]["weights"], hist[-1]["bias"], hist)
     slim, cols = _flat(base, d, n)
     hist = []
