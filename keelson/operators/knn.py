@@ -2,7 +2,8 @@
 
 Catalyst has no kNN join, and a plain cross join materialises N x M rows. Here both sides are hashed into blocks of
 bounded bytes; every query block meets every training block in one task (``applyInArrow`` on the pair of block
-numbers), which computes squared distances in NumPy and emits the k best per query; a window merges them by query id.
+numbers), which computes squared distances in NumPy, a tile of bounded bytes at a time against the k-th found so far, and
+emits the k best per query; a window merges them by query id.
 Nothing passes through the driver but one row of counts, and no pair rows exist. The distance work stays the exact
 N x M of the brute-force definition; each side is shipped once per block of the other. Training sides above PRUNE_BYTES go
 through :mod:`~keelson.operators.knn_pruned`, which gives the same rows and skips block pairs that cannot hold a neighbour.
@@ -22,11 +23,17 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_uint32
 from ..session import cut_lineage, ship_package
 
-#: Bytes of vectors in a training or query block, and of scratch for one block of distances inside a task.
-SIDE_BYTES = 16 * 1024 * 1024
-BLOCK_BYTES = 64 * 1024 * 1024
-#: Distance work (query rows x training rows x dims) that one pair of blocks aims at.
-WORK_PER_TASK = 2e9
+#: Bytes of vectors in a training or query block.
+SIDE_BYTES = 8 * 1024 * 1024
+#: Query rows and training rows of a tile of distances inside a task, the rows that its first bounds come from, and the
+#: close pairs that are held before the bounds are drawn in.
+TILE_ROWS, TILE_COLUMNS, SEED_COLUMNS, HELD_PAIRS = 512, 1024, 256, 1 << 18
+#: Bytes of distances where the rows are not all finite.
+ODD_BYTES = 16 * 1024 * 1024
+#: Distance work (query rows x training rows x dims) that one pair of blocks aims at, and partitions of pairs at most.
+WORK_PER_TASK, MOST_PARTITIONS = 2e10, 2048
+#: Vectors with larger squares are compared apart: the square of a difference could overflow.
+LARGEST_SQUARE = 1e290
 
 #: Bytes of training vectors from which block pairs are pruned (the result is the same).
 PRUNE_BYTES = 64 * 1024 * 1024
@@ -38,7 +45,7 @@ SUMMARY_SCHEMA = "query_id long, nearest_id long, min_dist double, sum_dist doub
 def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     """Rows of an Arrow list column as a float64 matrix; all rows must have the same length."""
     rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null element becomes NaN
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)  # a null element becomes NaN
     width = len(flat) // rows if rows else 0
     lengths = np.diff(column.offsets.to_numpy())
     if column.null_count or (lengths != width).any() or (dim is not None and rows and width != dim):
@@ -67,12 +74,64 @@ class _Train:
         self.members = order[grouped[within < per]]  # row numbers of the block, by distinct vector and id
         self.kept = np.minimum(sizes, per)
         self.begins = np.cumsum(self.kept) - self.kept
-        self.squares = (self.vectors * self.vectors).sum(axis=1)
-
-
-def _candidates(q: np.ndarray, train: _Train, k: int):
-    """(rows, distinct vectors) that hold the k nearest of each query row: expanded distances by one matrix product, cut
-    with a bound of their rounding error. Where fewer than k are finite, the first of the rest by id are added."""
+        self.squares = np.einsum("ij,ij->i", self.vectors, self.vectors)
+        # rows whose distances cannot overflow: around their mean, with their squares as a last column, so that one matrix
+        # product gives distances but for the query's own square
+        self.fine = np.flatnonzero(self.squares < LARGEST_SQUARE)
+        plain = self.vectors if len(self.fine) == len(self.vectors) else self.vectors[self.fine]
+        self.centre = plain.mean(axis=0) if len(plain) else np.zeros(rows.shape[1])
+        self.wide = np.empty((len(plain), rows.shape[1] + 1))
+        np.subtract(plain, self.centre, out=self.wide[:, :-1])
+        self.wide[:, -1] = np.einsum("ij,ij->i", self.wide[:, :-1], self.wide[:, :-1])
+
+
+def _tolerance(width: int, q_sq: np.ndarray, largest: float) -> np.ndarray:
+    """Bound of the rounding error of expanded distances."""
+    return 16.0 * (width + 2) * np.finfo(np.float64).eps * (q_sq + largest) + 1e-300
+
+
+def _drawn_in(rows: np.ndarray, cols: np.ndarray, e: np.ndarray, kth: np.ndarray, tol: np.ndarray, k: int):
+    """The close pairs without those that k others of their row rule out; lowers ``kth``, the k-th value of each row."""
+    order = np.lexsort((e, rows))
+    rows, cols, e = rows[order], cols[order], e[order]
+    begins = np.searchsorted(rows, np.arange(len(kth)))
+    full = np.diff(np.append(begins, len(rows))) >= k
+    kth[full] = np.minimum(kth[full], e[begins[full] + k - 1])
+    keep = e <= (kth + tol)[rows]
+    return rows[keep], cols[keep], e[keep]
+
+
+def _close_pairs(q: np.ndarray, train: _Train, k: int, bound: np.ndarray | None):
+    """(rows, fine distinct vectors) among which are the k nearest of each query row or, with ``bound`` (squared), those of
+    them within it; and the k-th distances."""
+    width, m = q.shape[1], len(train.wide)
+    a = np.empty((len(q), width + 1))
+    np.subtract(q, train.centre, out=a[:, :-1])
+    q_sq = np.einsum("ij,ij->i", a[:, :-1], a[:, :-1])
+    a[:, :-1] *= -2.0
+    a[:, -1] = 1.0
+    tol = _tolerance(width, q_sq, train.wide[:, -1].max())
+    first = min(m, max(SEED_COLUMNS, 4 * k))
+    kth = np.partition(a @ train.wide[:first].T, k - 1, axis=1)[:, k - 1]
+    if bound is not None:
+        kth = np.minimum(kth, bound - q_sq)
+    held, parts, n, e = None, [], 0, np.empty((len(q), min(m, TILE_COLUMNS)))
+    for s in range(0, m, TILE_COLUMNS):
+        tile = train.wide[s:s + TILE_COLUMNS]
+        d = e if len(tile) == e.shape[1] else np.empty((len(q), len(tile)))
+        np.matmul(a, tile.T, out=d)
+        at = np.flatnonzero(d <= (kth + tol)[:, None])
+        parts.append((at // len(tile), at % len(tile) + s, d.reshape(-1)[at]))
+        n += len(at)
+        if n > HELD_PAIRS or s == 0 or s + TILE_COLUMNS >= m:
+            held = _drawn_in(*(np.concatenate(c) for c in zip(*([held] if held else []), *parts)), kth, tol, k)
+            parts, n = [], 0
+    return held[0], held[1], kth + q_sq
+
+
+def _odd_candidates(q: np.ndarray, train: _Train, k: int):
+    """As :func:`_candidates`, for rows that are not finite or whose distances may overflow. Where fewer than k are finite,
+    the first of the rest by id are added."""
     q_sq = (q * q).sum(axis=1)
     d = q_sq[:, None] + train.squares[None, :] - 2.0 * (q @ train.vectors.T)
     for i in np.flatnonzero(~np.isfinite(q_sq) & np.isfinite(q).all(axis=1)):  # the square overflows, a distance need not
@@ -81,7 +140,7 @@ def _candidates(q: np.ndarray, train: _Train, k: int):
     k = min(k, d.shape[1])
     kth = np.partition(d, k - 1, axis=1)[:, k - 1]
     largest = train.squares[np.isfinite(train.squares)].max(initial=0.0)
-    tol = 16.0 * (q.shape[1] + 2) * np.finfo(np.float64).eps * (np.where(np.isfinite(q_sq), q_sq, 0.0) + largest) + 1e-300
+    tol = _tolerance(q.shape[1], np.where(np.isfinite(q_sq), q_sq, 0.0), largest)
     near = (d <= (kth + tol)[:, None]) & np.isfinite(d)
     short = np.flatnonzero(~np.isfinite(kth))
     if len(short):
@@ -90,10 +149,35 @@ def _candidates(q: np.ndarray, train: _Train, k: int):
     return np.nonzero(near)
 
 
-def _nearest(q: np.ndarray, ids: np.ndarray, train: _Train, k: int, self_ids: np.ndarray | None):
-    """(query rows, training rows, distances) of the k nearest of each query row, exact."""
+def _candidates(q: np.ndarray, train: _Train, k: int, bound: np.ndarray | None = None):
+    """(rows, distinct vectors) that hold the k nearest of each query row, or those of them within its ``bound`` (squared):
+    expanded distances by matrix products, cut with a bound of their rounding error."""
+    fine = np.zeros(len(q), bool)
+    if len(train.fine) >= k:
+        with np.errstate(all="ignore"):
+            fine = np.einsum("ij,ij->i", q, q) < LARGEST_SQUARE
+    found, some = [], np.flatnonzero(fine)
+    for s in range(0, len(some), TILE_ROWS):
+        at = some[s:s + TILE_ROWS]
+        rows, which, kth = _close_pairs(q[at], train, k, None if bound is None else bound[at])
+        # with the k-th so far off, vectors left out as too large could be as near
+        sure = kth < 0.1 * LARGEST_SQUARE if len(train.fine) < len(train.vectors) else np.ones(len(at), bool)
+        fine[at[~sure]] = False
+        keep = sure[rows]
+        found.append((at[rows[keep]], train.fine[which[keep]]))
+    odd, step = np.flatnonzero(~fine), max(1, ODD_BYTES // (8 * max(1, len(train.vectors))))
+    for s in range(0, len(odd), step):
+        with np.errstate(all="ignore"):
+            rows, which = _odd_candidates(q[odd[s:s + step]], train, k)
+        found.append((odd[s:s + step][rows], which))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _nearest(q: np.ndarray, ids: np.ndarray, train: _Train, k: int, self_ids: np.ndarray | None, bound: np.ndarray | None = None):
+    """(query rows, training rows, distances) of the k nearest of each query row, exact; with ``bound`` (squared), those
+    beyond it may be missing."""
     extra = 1 if self_ids is not None else 0
-    rows, which = _candidates(q, train, k + extra)
+    rows, which = _candidates(q, train, k + extra, bound)
     diff = q[rows] - train.vectors[which]
     dist = np.einsum("ij,ij->i", diff, diff)
     dist[~np.isfinite(dist)] = np.nan
@@ -145,14 +229,18 @@ def _paired(q: DataFrame, t: DataFrame, sizes: DataFrame, side_bytes: int, group
         row = blocks.first()
         counts = [F.lit(row[c] if row else 1).alias(c) for c in ("t_blocks", "q_blocks")]
         q, t = q.select("*", *counts), t.select("*", *counts)
+        pairs = row["t_blocks"] * row["q_blocks"] if row else 1
     else:  # one row per group, kept apart from the sides' plans
         blocks = cut_lineage(blocks)
         q, t = q.join(blocks, "g"), t.join(blocks, "g")
+        pairs = blocks.agg(F.sum(F.col("t_blocks").cast("bigint") * F.col("q_blocks"))).first()[0] or 1
     own = lambda tag, n: F.pmod(hash_uint32(tag, "id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = q.withColumn("qb", own("query", "q_blocks")).withColumn("tb", every("t_blocks"))
     t = t.withColumn("tb", own("train", "t_blocks")).withColumn("qb", every("q_blocks"))
-    return q.unionByName(t).drop("t_blocks", "q_blocks")
+    both = q.unionByName(t).drop("t_blocks", "q_blocks")
+    # pairs of blocks are long work of few bytes, which must not be joined into few partitions by their bytes
+    return both.repartition(min(MOST_PARTITIONS, 3 * pairs), "g", "qb", "tb") if pairs > spark.sparkContext.defaultParallelism else both
 
 
 def _sides(table: pa.Table) -> tuple[pa.Table, pa.Table]:
@@ -170,7 +258,8 @@ def neighbour_schema(with_vectors: bool) -> str:
 
 
 def searcher(k: int, exclude_self: bool, with_vectors: bool):
-    """The function of one group that holds a block of each side: the k nearest of each query row in it."""
+    """The function of one group that holds a block of each side: the k nearest of each query row in it or, where the rows
+    have a ``bound``, those of them within it."""
     fields = [("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("neighbor_label", pa.int64()), ("dist", pa.float64())]
     schema = pa.schema([*fields, *([("neighbor_vec", pa.list_(pa.float64()))] if with_vectors else [])])
 
@@ -182,9 +271,11 @@ def searcher(k: int, exclude_self: bool, with_vectors: bool):
             vectors = _matrix(_column(t, "vec"))
             held = _Train(ids, vectors, k + (1 if exclude_self else 0))
             q_ids, q_vec = _column(q, "id").to_numpy(), _matrix(_column(q, "vec"), vectors.shape[1])
-            step = max(1, min(8192, BLOCK_BYTES // (32 * max(1, len(held.vectors)))))
+            far = _column(q, "bound").to_numpy() if "bound" in q.column_names else None
+            step = 4 * TILE_ROWS
             for s in range(0, len(q_ids), step):
-                rows, members, dist = _nearest(q_vec[s:s + step], ids, held, k, q_ids[s:s + step] if exclude_self else None)
+                bound = None if far is None else far[s:s + step] * far[s:s + step] * (1 + 1e-9)
+                rows, members, dist = _nearest(q_vec[s:s + step], ids, held, k, q_ids[s:s + step] if exclude_self else None, bound)
                 picked = pa.array(members)
                 cols = {"query_id": q_ids[s:s + step][rows], "neighbor_id": ids[members], "neighbor_label": _column(t, "label").take(picked), "dist": dist}
                 if with_vectors:
@@ -235,7 +326,7 @@ def pairwise_summary(queries: DataFrame, train: DataFrame, query_id: str, query_
         if m and len(q_ids):
             ids, vectors = _column(t, "id").to_numpy(), _matrix(_column(t, "vec"))
             q_vec, held = _matrix(_column(q, "vec"), vectors.shape[1]), _Train(ids, vectors, 1)
-            step = max(1, min(8192, BLOCK_BYTES // (32 * max(1, len(held.vectors)))))
+            step = 4 * TILE_ROWS
             # sum over all pairs in closed form, around the block's mean: m |q - c|^2 + sum |t - c|^2
             centre = vectors.mean(axis=0)
             around = ((vectors - centre) ** 2).sum()
