@@ -4,10 +4,13 @@
 2. Every training row goes to a near pivot and is cut, by its distance to the pivot, into blocks of about ``block_rows``
    rows: a pivot's blocks are shells with an inner and an outer radius. A shell that is too full (a vector repeated
    without end) is dealt by a hash of the id.
+   Neighbouring shells of a pivot make a cell of about CELL_ROWS rows. Blocks are for bounds, cells are what queries visit, so
+   a query is sent to no more cells than there are, however small the blocks.
 3. First round: from its distances to the pivots, the shells' radii and counts alone, each query gets a bound of its k-th
-   distance; searching its nearest block makes the bound sharper.
-4. Second round: a query visits a block only if the least distance that the triangle inequality allows is within its
-   bound. Queries and blocks meet as in :mod:`~keelson.operators.knn`, by the same exact search, and a window merges.
+   distance; searching the cell of its nearest block makes the bound sharper.
+4. Second round: a query visits a cell only if the least distance that the triangle inequality allows in one of its blocks
+   is within its bound. Queries and cells meet as in :mod:`~keelson.operators.knn`, by the same exact search, which gives
+   back what is within the bound, and a window merges.
 
 Rows that are not finite, on either side, take part in all pairs of their group, so the result is that of the plain join:
 same order of ties, NaN distances last. Which pivot a row goes to affects the work only. Rounding is covered by a slack.
@@ -28,6 +31,8 @@ from .joins import sized_broadcast
 PIVOTS, SAMPLE, PIVOT_BYTES = 64, 8, 8 << 20
 #: Rows of a training block, and blocks that all groups may have together (larger blocks beyond).
 BLOCK_ROWS, MOST_BLOCKS = 8192, 1 << 16
+#: Rows and bytes of a cell, if a block is not larger.
+CELL_ROWS, CELL_BYTES = 16_384, 8 << 20
 #: Bins of a pivot's distances from which shells are cut.
 BINS = 1024
 #: Query rows that meet a block in one task.
@@ -97,8 +102,8 @@ def assign(t: DataFrame, sent) -> DataFrame:
     return t.mapInArrow(run, "id bigint, vec array<double>, label bigint, g string, pivot int, far double")
 
 
-def cut_blocks(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``block``, blocks: block, g, pivot, inner, outer, n)."""
+def cut_blocks(rows: DataFrame, block_rows: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``cell``, blocks: block, cell, g, pivot, inner, outer, n), both numbered in the order of the blocks."""
     n = rows.count()
     block_rows = max(block_rows, -(-n // MOST_BLOCKS))
     widest = sized_broadcast(cut_lineage(rows.groupBy("g", "pivot").agg(F.max("far").alias("widest"))))
@@ -115,8 +120,12 @@ def cut_blocks(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     placed = cut_lineage(placed)
     key = ["g", "pivot", "shell", "salt"]
     blocks = placed.groupBy(*key).agg(F.min("far").alias("inner"), F.max("far").alias("outer"), F.count(F.lit(1)).alias("n"))
-    blocks = cut_lineage(blocks.withColumn("block", (F.row_number().over(Window.orderBy(*key)) - 1)))  # MOST_BLOCKS rows or so
-    placed = placed.join(sized_broadcast(blocks.select(*key, "block")), key).select("id", "vec", "label", "g", "block")
+    cell_rows = max(block_rows, min(CELL_ROWS, CELL_BYTES // (8 * width + 16)))
+    ahead = F.sum("n").over(Window.partitionBy("g", "pivot").orderBy("shell", "salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    blocks = blocks.withColumn("part", F.floor(ahead / cell_rows))
+    numbers = {"block": F.row_number().over(Window.orderBy(*key)) - 1, "cell": F.dense_rank().over(Window.orderBy("g", "pivot", "part")) - 1}
+    blocks = cut_lineage(blocks.withColumns(numbers).drop("part"))  # MOST_BLOCKS rows or so
+    placed = placed.join(sized_broadcast(blocks.select(*key, "cell")), key).select("id", "vec", "label", "g", F.col("cell").cast("bigint").alias("cell"))
     return placed, blocks
 
 
@@ -124,7 +133,10 @@ class _Blocks:
     """The blocks of one group, for queries."""
 
     def __init__(self, rows: list, pivots: np.ndarray):
-        self.number = np.array([r["block"] for r in rows], np.int64)
+        rows = sorted(rows, key=lambda r: r["block"])
+        cell = np.array([r["cell"] for r in rows], np.int64)
+        self.begins = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))  # first block of each cell
+        self.cells, self.cell = cell[self.begins], cell
         self.pivot = np.array([r["pivot"] for r in rows], np.int64)
         self.inner, self.outer, self.n = (np.array([r[c] for r in rows], np.float64) for c in ("inner", "outer", "n"))
         self.pivots = pivots
@@ -142,70 +154,81 @@ class _Blocks:
 
 
 def _slices(b: pa.RecordBatch, blocks: int):
-    step = max(1, (32 << 20) // (8 * max(1, blocks)))
+    step = max(1, (4 << 20) // (8 * max(1, blocks)))
     for s in range(0, b.num_rows, step):
         yield b.slice(s, step)
 
 
 def first_bounds(q: DataFrame, sent, need: int) -> DataFrame:
-    """Queries with ``bound`` (the k-th distance is not larger; infinite if unknown) and ``home``, their nearest block."""
+    """Queries with ``bound`` (the k-th distance is not larger; infinite if unknown) and ``home``, the cell of their nearest
+    block."""
 
     def run(batches):
         for whole in batches:
-            for b in _slices(whole, max([len(v.number) for v in sent.value.values()], default=0)):
+            for b in _slices(whole, max([len(v.cell) for v in sent.value.values()], default=0)):
                 x, bound, home = _vectors(b.column(1)), np.full(b.num_rows, np.inf), np.full(b.num_rows, -1, np.int64)
                 for g, at in _per_group(b, 2):
                     held = sent.value.get(g)
                     if held is not None:
-                        least, most = held.reach(x[at])
-                        order = np.argsort(most, axis=1, kind="stable")
+                        _, most = held.reach(x[at])
+                        nearest = most.argmin(axis=1)
+                        found = np.where(held.n[nearest] >= need, most[np.arange(len(at)), nearest], np.inf)
+                        few = np.flatnonzero(held.n[nearest] < need)  # more than the nearest block for so many rows
+                        order = np.argsort(most[few], axis=1, kind="stable")
                         enough = np.cumsum(held.n[order], axis=1) >= need
-                        first = enough.argmax(axis=1)
-                        rows = np.arange(len(at))
-                        bound[at] = np.where(enough.any(axis=1), most[rows, order[rows, first]], np.inf)
-                        home[at] = held.number[order[:, 0]]
+                        last = order[np.arange(len(few)), enough.argmax(axis=1)]
+                        found[few] = np.where(enough.any(axis=1), most[few, last], np.inf)
+                        bound[at], home[at] = found, held.cell[nearest]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bound), pa.array(home, mask=home < 0)], [*b.schema.names, "bound", "home"])
 
     return q.mapInArrow(run, "id bigint, vec array<double>, g string, bound double, home bigint")
 
 
-def blocks_within(q: DataFrame, sent) -> DataFrame:
-    """Queries with ``blocks``: those but the home block that can hold a row within the bound."""
+def cells_within(q: DataFrame, sent) -> DataFrame:
+    """Queries with ``cells``: those but the home cell that can hold a row within the bound; and the number of blocks that
+    they and the home cell are visited for."""
 
     def run(batches):
         for whole in batches:
-            for b in _slices(whole, max([len(v.number) for v in sent.value.values()], default=0)):
+            for b in _slices(whole, max([len(v.cell) for v in sent.value.values()], default=0)):
                 x, bound = _vectors(b.column(1)), b.column(3).to_numpy(zero_copy_only=False)
-                home, lists = b.column(4).fill_null(-1).to_numpy(), [None] * b.num_rows
+                home, lists, blocks = b.column(4).fill_null(-1).to_numpy(), [None] * b.num_rows, np.zeros(b.num_rows, np.int64)
                 for g, at in _per_group(b, 2):
                     held = sent.value.get(g)
                     if held is not None:
-                        near = (held.reach(x[at])[0] <= bound[at][:, None]) & (held.number != home[at][:, None])
-                        for i, row in zip(at.tolist(), near):
-                            lists[i] = held.number[row]
-                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([v if v is not None else [] for v in lists], pa.list_(pa.int64()))], ["id", "vec", "blocks"])
+                        near = held.reach(x[at])[0] <= bound[at][:, None]
+                        blocks[at] = near.sum(axis=1)
+                        cells = np.logical_or.reduceat(near, held.begins, axis=1) & (held.cells != home[at][:, None])
+                        for i, row in zip(at.tolist(), cells):
+                            lists[i] = held.cells[row]
+                lists = pa.array([v if v is not None else [] for v in lists], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], b.column(3), lists, pa.array(blocks)], ["id", "vec", "bound", "cells", "blocks"])
 
-    return q.mapInArrow(run, "id bigint, vec array<double>, blocks array<bigint>")
+    return q.mapInArrow(run, "id bigint, vec array<double>, bound double, cells array<bigint>, blocks bigint")
 
 
 def _visit(visits: DataFrame, rows: DataFrame, k: int, exclude_self: bool, with_vectors: bool) -> DataFrame:
-    """(id, vec, block) queries and the training rows of their blocks -> neighbours by query and block. A block that many
-    queries visit meets them in chunks, each in a task of its own."""
-    from .knn import neighbour_schema, searcher
+    """(id, vec, bound, cell) queries and the training rows of their cells -> neighbours within the bound by query and cell. A
+    cell that many queries visit meets them in chunks, each in a task of its own."""
+    from .knn import MOST_PARTITIONS, neighbour_schema, searcher
 
-    chunks = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("bigint").alias("chunks"))
-    chunks = sized_broadcast(cut_lineage(chunks))
+    chunks = cut_lineage(visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("bigint").alias("chunks")))
+    pairs = chunks.agg(F.sum("chunks")).first()[0] or 1
+    chunks = sized_broadcast(chunks)
     none = F.lit(None).cast("long").alias("label")
-    q = visits.join(chunks, "block").select(F.lit(True).alias("is_query"), "id", "vec", none, "block", F.pmod(hash_uint32("chunk", "id"), F.col("chunks")).alias("chunk"))
-    t = rows.join(chunks, "block").select(F.lit(False).alias("is_query"), "id", "vec", "label", "block",
-                                          F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
-    return q.unionByName(t).groupBy("block", "chunk").applyInArrow(searcher(k, exclude_self, with_vectors), neighbour_schema(with_vectors))
+    q = visits.join(chunks, "cell").select(F.lit(True).alias("is_query"), "id", "vec", none, "bound", "cell", F.pmod(hash_uint32("chunk", "id"), F.col("chunks")).alias("chunk"))
+    t = rows.join(chunks, "cell").select(F.lit(False).alias("is_query"), "id", "vec", "label", F.lit(None).cast("double").alias("bound"), "cell",
+                                         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
+    both = q.unionByName(t)
+    if pairs > rows.sparkSession.sparkContext.defaultParallelism:  # long work of few bytes
+        both = both.repartition(min(MOST_PARTITIONS, 3 * pairs), "cell", "chunk")
+    return both.groupBy("cell", "chunk").applyInArrow(searcher(k, exclude_self, with_vectors), neighbour_schema(with_vectors))
 
 
 def knn_pruned(q: DataFrame, t: DataFrame, k: int, exclude_self: bool = False, with_vectors: bool = False, block_rows: int = BLOCK_ROWS,
                pivots: int = PIVOTS) -> tuple[DataFrame, dict] | None:
     """Neighbours as :func:`~keelson.operators.knn.knn` returns them, of sides (is_query, id, vec, label, g), and a report
-    (queries, blocks, pairs of a query and a block of its group, pairs visited). None where there are too many groups."""
+    (queries, blocks, pairs of a query and a block of its group, pairs that can hold a neighbour). None where there are too many groups."""
     from .knn import k_best
 
     spark = t.sparkSession
@@ -220,7 +243,7 @@ def knn_pruned(q: DataFrame, t: DataFrame, k: int, exclude_self: bool = False, w
     if points is None:
         return None
     sent = spark.sparkContext.broadcast(points)
-    rows, blocks = cut_blocks(cut_lineage(assign(t, sent)), block_rows)
+    rows, blocks = cut_blocks(cut_lineage(assign(t, sent)), block_rows, most or 1)
     by_group: dict[str, list] = {}
     for r in blocks.collect():  # MOST_BLOCKS rows or so
         by_group.setdefault(r["g"], []).append(r)
@@ -228,15 +251,16 @@ def knn_pruned(q: DataFrame, t: DataFrame, k: int, exclude_self: bool = False, w
     shells = spark.sparkContext.broadcast({g: _Blocks(v, points.get(g, none)) for g, v in by_group.items()})
 
     start = cut_lineage(first_bounds(q, shells, k + (1 if exclude_self else 0)))
-    near = cut_lineage(_visit(start.where(F.col("home").isNotNull()).select("id", "vec", F.col("home").alias("block")), rows, k, exclude_self, with_vectors))
+    whole = F.lit(float("inf")).alias("bound")  # so that each query gets all k, for a sharp bound
+    near = cut_lineage(_visit(start.where(F.col("home").isNotNull()).select("id", "vec", whole, F.col("home").alias("cell")), rows, k, exclude_self, with_vectors))
     sharp = near.groupBy("query_id").agg(F.when((F.count(F.lit(1)) >= k) & ~F.isnan(F.max("dist")), F.sqrt(F.max("dist")) * (1 + SLACK)).alias("kth"))
     bound = F.least("bound", F.coalesce("kth", F.lit(float("inf"))))
     second = start.join(sharp, start["id"] == sharp["query_id"], "left").select("id", "vec", "g", bound.alias("bound"), "home")
-    second = cut_lineage(blocks_within(second, shells))
-    far = _visit(second.select("id", "vec", F.explode("blocks").alias("block")), rows, k, exclude_self, with_vectors)
+    second = cut_lineage(cells_within(second, shells))
+    far = _visit(second.select("id", "vec", "bound", F.explode("cells").alias("cell")), rows, k, exclude_self, with_vectors)
     counts = {g: len(v) for g, v in by_group.items()}
-    n, more = second.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("blocks")), F.lit(0))).first()
+    n, more = second.agg(F.count(F.lit(1)), F.coalesce(F.sum("blocks"), F.lit(0))).first()
     sizes = {r["g"]: r["count"] for r in q.groupBy("g").count().collect()}
     report = {"queries": n, "blocks": sum(counts.values()), "pairs": sum(c * sizes.get(g, 0) for g, c in counts.items()),
-              "visited": more + sum(c for g, c in sizes.items() if g in counts)}
+              "visited": more}
     return k_best(near.unionByName(far), k), report
