@@ -55,7 +55,7 @@ def diabetes_workflow(spark: SparkSession, csv_path: str, seed: int = 42, epochs
     model = linear.train_gd(tr, "x", LABEL, epochs=epochs, lr=lr)
     rows = [_metrics_row("lr_gd", linear.predict(te, "x", model))]
     for k, vote in ((K_MAJORITY, knn.majority_vote), (K_MEAN, knn.mean_vote)):
-        nb = knn.knn(te, tr, k, "row_id", "x", "row_id", "x", LABEL)
+        nb = cut_lineage(knn.knn(te, tr, k, "row_id", "x", "row_id", "x", LABEL))
         share = nb.groupBy("query_id").agg(F.avg(F.col("neighbor_label").cast("double")).alias("p"))
         scored = vote(nb).join(share, "query_id").join(te.select(F.col("row_id").alias("query_id"), LABEL), "query_id")
         rows.append(_metrics_row(f"knn{k}", scored))

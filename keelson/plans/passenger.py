@@ -103,7 +103,7 @@ def passenger_workflow(spark, train_csv: str, test_csv: str, epochs: int = PASSE
     vec = cut_lineage(sample.split_exact(vec, "PassengerId", seed=PASSENGER_SEED, test_ratio=PASSENGER_TEST_RATIO,
                                          tag="part"))
     tr = smote(vec.where(F.col("part") == "train"), "PassengerId", "x", "y", k=5, seed=PASSENGER_SEED)
-    tr = tr.select(F.col("id").alias("PassengerId"), F.col("vec").alias("x"), F.col("label").cast("int").alias("y"))
+    tr = cut_lineage(tr.select(F.col("id").alias("PassengerId"), F.col("vec").alias("x"), F.col("label").cast("int").alias("y")))
     te = vec.where(F.col("part") == "test").select("PassengerId", "x", "y")
     cols = [f"f{j}" for j in range(len(feats))]
     moments = scale.fit_moments(tr.select(*[F.col("x")[j].alias(c) for j, c in enumerate(cols)]), cols,
@@ -129,7 +129,7 @@ def passenger_workflow(spark, train_csv: str, test_csv: str, epochs: int = PASSE
     for v in ["plain"] + [f"fixed{b}" for b in FIXED_POINT_BITS]:
         report("lr_gd" if v == "plain" else f"lr_gd_{v}", variants.where(F.col("variant") == v))
     for k, vote in ((PASSENGER_K_MAJORITY, knn.majority_vote), (PASSENGER_K_MEAN, knn.mean_vote)):
-        nb = knn.knn(te_s, tr_s, k, "PassengerId", "x", "PassengerId", "x", "y")
+        nb = cut_lineage(knn.knn(te_s, tr_s, k, "PassengerId", "x", "PassengerId", "x", "y"))
         share = nb.groupBy("query_id").agg(F.avg(F.col("neighbor_label").cast("double")).alias("p"))
         scored = vote(nb).join(share, "query_id").join(te_s.select(F.col("PassengerId").alias("query_id"), "y"),
                                                         "query_id")

@@ -124,14 +124,14 @@ def passenger_style(spark: SparkSession, d: str, epochs: int = 200, lr: float =
              "open_price", "family_disc"] + \
             [f"status_{c}" for c in cats]
     vec = cut_lineage(df.select("o_orderkey", "split", assemble(feats).alias("features"), "label"))
-    tr = smote(vec.where(F.col("split") == "train"), "o_orderkey", "features", "label", k=5, seed=42)
+    tr = cut_lineage(smote(vec.where(F.col("split") == "train"), "o_orderkey", "features", "label", k=5, seed=42))  # read for its moments and its rows
     te = vec.where(F.col("split") == "test").select(F.col("o_orderkey").alias("id"), F.col("features").alias("vec"), "label")
     moments = scale.fit_moments(_unpack(tr, len(feats)), [f"f{j}" for j in range(len(feats))], population=True)
     tr_s = cut_lineage(_scale_vec(tr, moments, len(feats)))
     te_s = _scale_vec(te, moments, len(feats))
     model = linear.train_gd(tr_s, "vec", "label", epochs=epochs, lr=lr)
     lr_eval = _evaluate(linear.predict(te_s, "vec", model), "lr_gd")
-    nb = knn.knn(te_s, tr_s, k, "id", "vec", "id", "vec", "label")
+    nb = cut_lineage(knn.knn(te_s, tr_s, k, "id", "vec", "id", "vec", "label"))
     votes = knn.majority_vote(nb).withColumnRenamed("query_id", "id")
     share = nb.groupBy("query_id").agg(F.avg(F.col("neighbor_label").cast("double")).alias("p")) \
               .withColumnRenamed("query_id", "id")
@@ -166,7 +166,7 @@ def fraud_style(spark: SparkSession, d: str, epochs: int = 10, lr: float = 0.01)
     ident = clean.rename_positional(
         table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
         ["o_custkey", "id_name", "id_nation", "id_balance", "id_segment"])
-    df = joins.left_join(of, ident, "o_custkey")
+    df = cut_lineage(joins.left_join(of, ident, "o_custkey").drop("id_name"))  # the split reads it several times
     s = cut_lineage(sample.split_exact(df, "o_orderkey", seed=7, test_ratio=0.25))
     both = joins.tagged_union({"train": joins.split_back(s, "train"), "test": joins.split_back(s, "test")})
     both = encode.label_encode(both, ["o_orderstatus", "id_segment"])
