@@ -6,7 +6,7 @@ numbers), which computes squared distances in NumPy, a tile of bounded bytes at
 emits the k best per query; a window merges them by query id.
 Nothing passes through the driver but one row of counts, and no pair rows exist. The distance work stays the exact
 N x M of the brute-force definition; each side is shipped once per block of the other. Training sides above PRUNE_BYTES go
-through :mod:`~keelson.operators.knn_pruned`, which gives the same rows and skips block pairs that cannot hold a neighbour.
+through :mod:`~keelson.operators.knn_boxes`, which gives the same rows and skips cells that cannot hold a neighbour.
 
 Policy: ties go to the smaller training id; a distance that is not a number (or overflows) is reported as NaN and comes
 after all others, by id, so every query gets min(k, m) rows; a null training label stays null.
@@ -35,7 +35,7 @@ WORK_PER_TASK, MOST_PARTITIONS = 2e10, 2048
 #: Vectors with larger squares are compared apart: the square of a difference could overflow.
 LARGEST_SQUARE = 1e290
 
-#: Bytes of training vectors from which block pairs are pruned (the result is the same).
+#: Bytes of training vectors from which the search goes by cells (the result is the same).
 PRUNE_BYTES = 64 * 1024 * 1024
 
 NEIGHBOUR_SCHEMA = "query_id long, neighbor_id long, neighbor_label long, dist double"
@@ -70,17 +70,27 @@ class _Train:
         sizes = np.bincount(group, minlength=len(by_id))
         begins = np.cumsum(sizes) - sizes
         within = np.arange(len(group)) - np.repeat(begins, sizes)
-        self.vectors = rows[first[by_id]]
-        self.members = order[grouped[within < per]]  # row numbers of the block, by distinct vector and id
-        self.kept = np.minimum(sizes, per)
+        self._measure(rows[first[by_id]], order[grouped[within < per]], np.minimum(sizes, per))
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, members: np.ndarray, kept: np.ndarray) -> _Train:
+        """A block whose distinct vectors, rows by vector and id, and rows of each vector are known."""
+        block = cls.__new__(cls)
+        block._measure(vectors, members, kept)
+        return block
+
+    def _measure(self, vectors: np.ndarray, members: np.ndarray, kept: np.ndarray) -> None:
+        self.vectors = vectors
+        self.members = members  # row numbers of the block, by distinct vector and id
+        self.kept = kept
         self.begins = np.cumsum(self.kept) - self.kept
         self.squares = np.einsum("ij,ij->i", self.vectors, self.vectors)
         # rows whose distances cannot overflow: around their mean, with their squares as a last column, so that one matrix
         # product gives distances but for the query's own square
         self.fine = np.flatnonzero(self.squares < LARGEST_SQUARE)
         plain = self.vectors if len(self.fine) == len(self.vectors) else self.vectors[self.fine]
-        self.centre = plain.mean(axis=0) if len(plain) else np.zeros(rows.shape[1])
-        self.wide = np.empty((len(plain), rows.shape[1] + 1))
+        self.centre = plain.mean(axis=0) if len(plain) else np.zeros(vectors.shape[1])
+        self.wide = np.empty((len(plain), vectors.shape[1] + 1))
         np.subtract(plain, self.centre, out=self.wide[:, :-1])
         self.wide[:, -1] = np.einsum("ij,ij->i", self.wide[:, :-1], self.wide[:, :-1])
 
@@ -303,11 +313,11 @@ def knn(queries: DataFrame, train: DataFrame, k: int, query_id: str, query_vec:
     sizes = cut_lineage(_side_sizes(q, t))
     held = sizes.agg(F.sum(F.col("n_t") * (F.col("d") * 8 + 16))).first()[0] or 0
     if prune or (prune is None and held > PRUNE_BYTES):
-        from .knn_pruned import knn_pruned
+        from .knn_boxes import knn_boxes
 
-        pruned = knn_pruned(q, t, k, exclude_self, with_vectors)
+        pruned = knn_boxes(q, t, sizes, k, exclude_self, with_vectors)
         if pruned is not None:
-            return pruned[0]
+            return pruned
     found = _paired(q, t, sizes, side_bytes, group is not None).groupBy("g", "qb", "tb").applyInArrow(
         searcher(k, exclude_self, with_vectors), neighbour_schema(with_vectors))
     return k_best(found, k)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import dot_literal, fixed_point
 from ..functions.scalar import sigmoid, threshold_label
-from ..session import cut_lineage, scratch_path, ship_package
+from ..session import cut_packed, release, scratch_path, ship_package
 from .allreduce import SharedSum
 
 
@@ -120,7 +120,7 @@ def _checked(data: DataFrame, features: str, label: str, checkpoint: bool, valid
     base = data.select(F.col(features).alias("_f"), F.col(label).cast("double").alias("_l"), F.lit(False).alias("_v"))
     if validation is not None:
         base = base.unionByName(validation.select(F.col(features).alias("_f"), F.col(label).cast("double").alias("_l"), F.lit(True).alias("_v")))
-    base = cut_lineage(base) if checkpoint else base.cache()
+    base = cut_packed(base) if checkpoint else base.cache()
     row = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_f")).alias("d")).first()
     d = int(row["d"] or 0)
     checked = F.when(F.size("_f") == F.lit(d), F.col("_l")).otherwise(F.raise_error(F.lit(f"every feature array must have {d} values")))
@@ -253,7 +253,7 @@ def _local_stats(rows: _TaskRows, w: np.ndarray, b: float) -> np.ndarray:
 
 def _fit_in_stage(data: DataFrame, d: int, epochs: int, rule, w: np.ndarray, b: float, validate: bool, tasks: int) -> list[dict]:
     """The history of a training in one barrier stage; ``data`` has columns _f, _l, _v."""
-    dealt = cut_lineage(data.repartition(tasks))
+    dealt = data.repartition(tasks)
     folder = scratch_path(data.sparkSession, f"training/{uuid.uuid4().hex}")
 
     def run(batches):
@@ -293,6 +293,7 @@ def _fit(data: DataFrame, features: str, label: str, epochs: int, rule, init: np
     tasks = max(1, math.ceil(size / TASK_BYTES))
     if tasks <= cores:
         hist = _fit_in_stage(base, d, epochs, rule, w, b, validation is not None, min(cores, max(tasks, FEW_TASKS, math.ceil(size / SPREAD_BYTES))))
+        release(spark)
         return LinearModel(hist[-1]["weights"], hist[-1]["bias"], hist)
     slim, cols = _flat(base, d, n)
     hist = []

@@ -12,7 +12,7 @@ from ..functions.arrays import assemble
 from ..functions.hashing import sql_hash_uint32
 from ..operators import clean, encode, joins, knn, linear, metrics, sample, scale
 from ..operators.oversample import smote
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_packed, release
 from ..tables import table
 from . import datasets as ds
 from .q_models import sql_adam_weights, sql_gd_weights
@@ -109,7 +109,10 @@ def passenger_style(spark: SparkSession, d: str, epochs: int = 200, lr: float =
     df = df.withColumn("disc_bin", S.bin_right_closed("avg_disc", DISC_EDGES, ["d0", "d1", "d2", "d3", "d4"]))
     df = df.withColumn("is_open", S.flag_equals("o_orderstatus", "O").cast("int"))
     df = df.withColumn("alone", S.flag_equals("family", 0).cast("int"))
-    df = cut_lineage(sample.split_exact(cut_lineage(df), "o_orderkey", seed=42, test_ratio=0.2))
+    df = cut_packed(df.drop("o_custkey", "o_orderpriority", "c_name"))  # not read again
+    release(spark)
+    df = cut_packed(sample.split_exact(df, "o_orderkey", seed=42, test_ratio=0.2))
+    release(spark)
     train = df.where(F.col("split") == "train")
     df = clean.fill_constant(df, {"sum_qty": 0.0, "avg_disc": 0.0, "avg_tax": 0.0, "max_price": 0.0})
     df = clean.fill_mode(df, ["n_lines", "family"], fit_on=train)
@@ -123,15 +126,21 @@ def passenger_style(spark: SparkSession, d: str, epochs: int = 200, lr: float =
              "qty_bin_code", "disc_bin_code", "c_mktsegment_code", "name_word_code", "title_code", "c_mktsegment_o_orderstatus", "cents",
              "open_price", "family_disc"] + \
             [f"status_{c}" for c in cats]
-    vec = cut_lineage(df.select("o_orderkey", "split", assemble(feats).alias("features"), "label"))
-    tr = cut_lineage(smote(vec.where(F.col("split") == "train"), "o_orderkey", "features", "label", k=5, seed=42))  # read for its moments and its rows
-    te = vec.where(F.col("split") == "test").select(F.col("o_orderkey").alias("id"), F.col("features").alias("vec"), "label")
+    vec = cut_packed(df.select("o_orderkey", "split", assemble(feats).alias("features"), "label"))
+    del df, train
+    release(spark)
+    te = cut_packed(vec.where(F.col("split") == "test").select(F.col("o_orderkey").alias("id"), F.col("features").alias("vec"), "label"))
+    tr = cut_packed(smote(vec.where(F.col("split") == "train"), "o_orderkey", "features", "label", k=5, seed=42))  # read for its moments and its rows
+    del vec
+    release(spark)
     moments = scale.fit_moments(_unpack(tr, len(feats)), [f"f{j}" for j in range(len(feats))], population=True)
-    tr_s = cut_lineage(_scale_vec(tr, moments, len(feats)))
+    tr_s = _scale_vec(tr, moments, len(feats))
     te_s = _scale_vec(te, moments, len(feats))
     model = linear.train_gd(tr_s, "vec", "label", epochs=epochs, lr=lr)
     lr_eval = _evaluate(linear.predict(te_s, "vec", model), "lr_gd")
-    nb = cut_lineage(knn.knn(te_s, tr_s, k, "id", "vec", "id", "vec", "label"))
+    nb = cut_packed(knn.knn(te_s, tr_s, k, "id", "vec", "id", "vec", "label"))
+    del tr, tr_s
+    release(spark)
     votes = knn.majority_vote(nb).withColumnRenamed("query_id", "id")
     share = nb.groupBy("query_id").agg(F.avg(F.col("neighbor_label").cast("double")).alias("p")) \
               .withColumnRenamed("query_id", "id")
